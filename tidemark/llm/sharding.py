@@ -48,7 +48,7 @@ def bounded_placement(arcs: DataFrame, shards: int, slack: float) -> DataFrame:
     room = (
         f"transform(sequence(0, {shards - 1}), s -> cast(sum_n div {shards} + if(s < sum_n % {shards}, 1, 0) as bigint))"
         if not slack
-        else f"transform(sequence(0, {shards - 1}), s -> cast(ceil((1 + {slack!r}D) * sum_n / {shards}) as bigint))"
+        else f"transform(sequence(0, {shards - 1}), s -> cast(ceil(round((1 + {slack!r}D) * sum_n / {shards}, 6)) as bigint))"
     )
     parts = "array<struct<arc:int,first:bigint,past:bigint,shard:int,slot:bigint>>"
     take = "least(s.rest, s.room[w])"
