@@ -110,7 +110,7 @@ def test_ring_is_the_greedy_walk(spark):
     df = spark.range(400).withColumnRenamed("id", "k")
     got = {r.k: r.shard for r in sharding.ring_shards(df, "k", 5, vnodes=8, slack=0.1).collect()}
     pos = {r.k: r.p for r in df.select("k", sharding._position(F.lit(7), F.col("k")).alias("p")).collect()}
-    nodes = sorted((r.p, r.id % 5) for r in spark.range(40).select("id", sharding._position(F.lit(7), F.lit("node"), F.col("id")).alias("p")).collect())
+    nodes = sorted((r.lo, r.shard) for r in sharding._nodes(spark, 5, 8, 7).collect())
     arc = lambda p: sum(x <= p for x, _ in nodes) % 40
     load, cap = Counter(), -(-440 // 5)
     pieces = {r.piece: r for r in sharding.ring_pieces(spark, 5, 8, 7).collect()}

@@ -13,9 +13,15 @@ def _position(*of: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*of), 1)
 
 
+def _nodes(spark: SparkSession, shards: int, vnodes: int, seed: int) -> DataFrame:
+    """(lo, shard): a node's position depends on its shard and number alone, so one more shard moves no other node."""
+    shard = (F.col("id") % shards).cast("int")
+    return spark.range(shards * vnodes).select(_position(F.lit(seed), F.lit("node"), shard, F.expr(f"id div {shards}")).alias("lo"), shard.alias("shard"))
+
+
 def ring_pieces(spark: SparkSession, shards: int, vnodes: int, seed: int) -> DataFrame:
     """(piece, bucket, lo, hi, arc): the ring cut into pieces; a piece's keys belong to the first virtual node clockwise, whose place in ring order is ``arc``. Its size depends on the parameters alone."""
-    nodes = spark.range(shards * vnodes).select(_position(F.lit(seed), F.lit("node"), F.col("id")).alias("lo"), F.lit(1).alias("node"))
+    nodes = _nodes(spark, shards, vnodes, seed).select("lo", F.lit(1).alias("node"))
     cuts = spark.range(1 << PIECE_BITS).select(F.shiftleft("id", RING_BITS - PIECE_BITS).alias("lo"), F.lit(0).alias("node"))
     ring = Window.orderBy("lo", "node")
     return (
@@ -33,8 +39,7 @@ def ring_pieces(spark: SparkSession, shards: int, vnodes: int, seed: int) -> Dat
 
 def _walks(spark: SparkSession, shards: int, vnodes: int, seed: int) -> DataFrame:
     """(arc, walk): the distinct shards met clockwise from each arc."""
-    nodes = spark.range(shards * vnodes).select(_position(F.lit(seed), F.lit("node"), F.col("id")).alias("lo"), (F.col("id") % shards).cast("int").alias("shard"))
-    ring = nodes.agg(F.transform(F.array_sort(F.collect_list(F.struct("lo", "shard"))), lambda x: x["shard"]).alias("ring"))
+    ring = _nodes(spark, shards, vnodes, seed).agg(F.transform(F.array_sort(F.collect_list(F.struct("lo", "shard"))), lambda x: x["shard"]).alias("ring"))
     return ring.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(shards * vnodes - 1)), lambda a: F.array_distinct(F.concat(F.slice("ring", a + 1, F.lit(shards * vnodes)), F.slice("ring", F.lit(1), a))))).alias("arc", "walk"))
 
 
