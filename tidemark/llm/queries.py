@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, sharding
+from . import chat, decontaminate, mixing, sharding
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1_mixing(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op3_query(spark, sf_dir)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op5_chat(spark, table(spark, sf_dir, "conversations"))
 
@@ -23,8 +27,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_chat, op6_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op3_decontaminate, op5_chat, op6_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE}
