@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, sharding
+from . import chat, decontaminate, mixing, sharding, simhash
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6_sharding(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op9_simhash(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_decontaminate, op5_chat, op6_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op3_decontaminate, op5_chat, op6_sharding, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
