@@ -129,7 +129,8 @@ def mix(sized: DataFrame, *, length: int = 256, shard_blocks: int = 4096, share:
     spans = streams.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {length}, (start + size - 1) div {length})")))
     begin = F.greatest(F.lit(0), F.col("block") * length - F.col("start"))
     end = F.least(F.col("size"), F.col("block") * length + F.col("take") - F.col("start"))
-    pieces = spans.join(draws.hint("merge"), ["src", "block"])  # the planner takes the draws for as small as the plan they come from.select("src", "start", "doc_id", "shard", "draw", "epoch", begin.alias("from_word"), end.alias("to_word")).filter("from_word < to_word")
+    # by merge: the planner takes the draws for as small as the plan they come from
+    pieces = spans.join(draws.hint("merge"), ["src", "block"]).select("src", "start", "doc_id", "shard", "draw", "epoch", begin.alias("from_word"), end.alias("to_word")).filter("from_word < to_word")
     return targets, streams, pieces
 
 
