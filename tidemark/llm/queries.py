@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, sharding, simhash
+from . import chat, decontaminate, embeddings, mixing, sharding, simhash
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9_simhash(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.op10_embeddings(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_decontaminate, op5_chat, op6_sharding, op9_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op3_decontaminate, op5_chat, op6_sharding, op9_simhash, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
