@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, mixing, sharding, simhash
+from . import chat, decontaminate, embeddings, mixing, sharding, simhash, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_query(spark, sf_dir)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op4_warc(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op5_chat(spark, table(spark, sf_dir, "conversations"))
 
@@ -35,8 +39,8 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_decontaminate, op5_chat, op6_sharding, op9_simhash, op10_embeddings)}
+    return {f.__name__: f for f in (op1_mixing, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op9_simhash, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE}
