@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, mixing, sharding, simhash, warc
+from . import chat, decontaminate, embeddings, langid, mixing, quality, sharding, simhash, substrings, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1_mixing(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op2_language(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_query(spark, sf_dir)
 
@@ -30,6 +34,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6_sharding(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op8_query(spark, sf_dir)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9_simhash(spark, table(spark, sf_dir, "documents"))
 
@@ -39,8 +51,8 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op9_simhash, op10_embeddings)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op7_quality, op8_substrings, op9_simhash, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op8_substrings": substrings.ORACLE}
