@@ -1,7 +1,73 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to sharded training text.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's ``docs``. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, langid, mixing, sharding, simhash
+from tidemark.llm.common import new_path, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose best language has less than this share of the evidence has no language.
+LEAST_SCORE = 0.3
+SHARDS = 16
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those in which no language stands out; a text too short for evidence stays."""
+    told = langid.predict(docs.select(*COLUMNS), langid.learned(docs), with_text=True)
+    return told.filter((F.col("lang_pred") != "und") & ((F.col("score") == 0) | (F.col("score") >= LEAST_SCORE))).select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates; of rows that repeat an id, one."""
+    groups = simhash.near_duplicate_groups(docs)
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n"))
+    kept = docs.select(*COLUMNS).join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    again = kept.filter("n > 1").dropDuplicates(["doc_id"])
+    return kept.filter("n = 1").unionByName(again).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which benchmark passages make up a twentieth or more."""
+    found = decontaminate.op3_decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, by document and pass over its source."""
+    mixed = mixing.mixed_documents(docs.select(*COLUMNS))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with shard and slot."""
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    return sharding.ring_shards(marked, "doc_id", SHARDS, ties=("n_chars", "text_hash")).drop("text_hash")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("source_mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+#: SQL has no XXH64, and a learned language and a keyed permutation are beyond it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_bucket, written
 from .textbytes import chunks
@@ -126,8 +127,8 @@ def fit(train: DataFrame, *, docs_per_lang: int = 1500, floor: int = 18, rival:
     return LanguageFilters.build(langs, gram.view(np.uint64), lang, coverage, int(np.argmax([k for _, k in sizes])))
 
 
-def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row of ``docs`` (doc_id, text; other columns are left out).
+def predict(docs: DataFrame, model: LanguageFilters, *, with_text: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (columns of these names, and ``_letter``, are replaced); only ``text`` is looked at.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if no language was learned. A text
     that no filter knows gets the most frequent language with score 0.
@@ -143,12 +144,15 @@ def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
                 np.add.at(hits, of, m.hits(gram, piece, len(starts)))
                 np.add.at(n, of, np.bincount(piece, minlength=len(starts)))
             best, score = m.decide(hits, n)
-            known = b.column("letter").to_numpy(zero_copy_only=False).astype(bool) & (best >= 0)
+            known = b.column("_letter").to_numpy(zero_copy_only=False).astype(bool) & (best >= 0)
             pred = [m.langs[i] if k else "und" for i, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], [*kept, "lang_pred", "score"])
 
-    letter = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    return docs.select("doc_id", "text", letter.alias("letter")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    docs = docs.drop("lang_pred", "score", "_letter")
+    # texts need not come back if nobody asked for them
+    kept = [c for c in docs.columns if c != "text"] if not with_text else docs.columns
+    schema = T.StructType([*(f for f in docs.schema if f.name in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.withColumn("_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
 def learned(docs: DataFrame) -> LanguageFilters:
@@ -157,5 +161,5 @@ def learned(docs: DataFrame) -> LanguageFilters:
 
 
 def op2_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    out = predict(docs, learned(docs))
+    out = predict(docs.select("doc_id", "text"), learned(docs))
     return out.select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

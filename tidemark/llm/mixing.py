@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, written
+from .textbytes import word_bounds
 
 #: Sub-ranges of a source's token stream in which documents are ordered; with the document id they fix the stream.
 CELLS = 256
@@ -134,6 +136,37 @@ def mix(sized: DataFrame, *, length: int = 256, shard_blocks: int = 4096, share:
     return targets, streams, pieces
 
 
+def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words [from, to) of each span with what stands between them; spans that touch are one, others a line each."""
+    raw = text.encode("utf-8", "surrogatepass")
+    start, end = word_bounds(np.frombuffer(raw, np.uint8))
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return b"\n".join(raw[start[a] : end[b - 1]] for a, b in merged).decode("utf-8", "surrogatepass")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix of ``docs`` (doc_id, text, source, other columns) as documents: a row for each pass over a source in which
+    draws take words of the document, with those words as its text. doc_id must not repeat; documents without words are
+    in no mix. Rows of a document and a pass meet by doc_id; no source is gathered anywhere."""
+    sized = written(docs.select("doc_id", "source", n_words("text").alias("size")), "mix-sizes")
+    _, _, pieces = mix(sized, **options)
+    names = docs.columns
+    spans = pieces.groupBy(F.col("doc_id").alias("p_id"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [cut_text(t.as_py(), [(x["from_word"], x["to_word"]) for x in s.as_py()]) for t, s in zip(b.column("text"), b.column("spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in names], names)
+
+    joined = docs.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("p_id"))).drop("p_id", "epoch")
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op1_mixing(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes of it."""
     sized = written(docs.select("doc_id", "source", n_words("text").alias("size")), "mix-sizes")

@@ -57,11 +57,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[start, end) of every word between ASCII white space."""
+    edge = np.diff(np.concatenate(([0], (~_SPACE[raw]).astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every word between ASCII white space; the hash is the same wherever the word stands."""
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    edge = np.diff(np.concatenate(([0], (~_SPACE[raw]).astype(np.int8), [0])))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    start, end = word_bounds(raw)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_ODD, len(raw)), dtype=np.uint64)))
     return start, mixed((total[end] - total[start]) * _power(_INVERSE, len(raw) + 1)[start] + (end - start).astype(np.uint64))
