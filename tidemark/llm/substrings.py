@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .textbytes import mixed, word_hashes
 
-WINDOW, GRAM, GROUP = 20, 5, 1000
+WINDOW, GRAM, GROUP = 20, 5, 20_000
 #: Words whose places fit into the low bits of an anchor's order.
 _PLACES = 22
 
