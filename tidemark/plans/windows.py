@@ -162,7 +162,7 @@ ORACLES = {
     "attempt_sequence": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS INT) AS attempt_n, greatest(0, (k - 10) * 100) AS duration_ms FROM ev",
     "cooldown_filter": f"""SELECT tick_id, symbol, us FROM c""",
     "ema": None,
-    "stream_bars": f"SELECT symbol, us // {6 * HOUR} * {6 * HOUR} AS open_us, round(avg(price), 6) AS avg_price, count(*) AS n FROM ticks GROUP BY ALL HAVING us // {6 * HOUR} * {6 * HOUR} + {6 * HOUR} <= {_OUT}",
+    "stream_bars": f"SELECT symbol, open_us, round(avg(price), 6) AS avg_price, count(*) AS n FROM (SELECT *, us // {6 * HOUR} * {6 * HOUR} AS open_us FROM ticks) WHERE open_us + {6 * HOUR} <= {_OUT} GROUP BY ALL",
     "stream_trade_flow": f"SELECT symbol, open_us, count(*) AS n, round(sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) / sum(qty), 6) AS buy_ratio, count(*) >= 3 AND sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) / sum(qty) >= 0.55 AS confirmed FROM (SELECT *, unnest([us // {6 * HOUR} * {6 * HOUR}, us // {6 * HOUR} * {6 * HOUR} - {6 * HOUR}]) AS open_us FROM trades) WHERE open_us + {12 * HOUR} <= {_OUT} GROUP BY ALL",
     "candidate_sessions": f"""SELECT symbol, min(us) AS open_us, max(us) + {6 * HOUR} AS close_us, round(arg_min(price, us), 6) AS first_price, count(*) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY symbol ORDER BY us) AS sid FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY symbol ORDER BY us) < {6 * HOUR} THEN 0 ELSE 1 END AS opens FROM ticks WHERE tick_id % 20 = 3))
         GROUP BY symbol, sid HAVING max(us) + {6 * HOUR} <= (SELECT max(us) - {HOUR} FROM ticks WHERE tick_id % 20 = 3)""",
