@@ -197,5 +197,5 @@ def label_quality(anchor: DataFrame, sigma: DataFrame, horizons: DataFrame) -> D
     early = F.least(rank[F.col("anchor_reason")], rank[F.col("sigma_reason")])
     dead = F.coalesce(F.col("anchor_reason").startswith("bad"), F.lit(False)) | F.coalesce(F.col("sigma_reason").startswith("bad"), F.lit(False))
     # an event without anchor or sigma has no horizons
-    reason = F.array(*map(F.lit, REASONS))[F.when(dead, early).otherwise(F.least(early, F.col("h")))]
+    reason = F.get(F.array(*map(F.lit, REASONS)), F.when(dead, early).otherwise(F.least(early, F.col("h"))))
     return parts.select("event_id", quality_of(reason).alias("label_quality"), reason.alias("reason_code"))
