@@ -3,9 +3,10 @@
 Suffixes are indexed at anchors only: of every WINDOW words in a row, the GRAM-word stretch with the smallest hash. The
 same words have the same anchor wherever they stand, so two equal windows meet at it. An anchor's words are the prefix by
 which suffixes are split into groups; anchors that occur once are no group. Around each anchor occurrence the windows that
-have it travel together, as one run of words.
+have it travel together, as one run of words. Runs of the same words lead to the same leaves: the earliest of them goes
+into its group, and all windows of the others go at once.
 
-A prefix with at most GROUP runs is a group that fits in memory: its windows are sorted by doubling ranks of 1, 2, 4,
+A prefix with at most GROUP such runs is a group that fits in memory: its windows are sorted by doubling ranks of 1, 2, 4,
 8, 16 words, which is the order of leaves in the group's suffix tree, and windows of equal rank at full depth are the
 leaves under one deep internal node. A prefix with more runs is made longer, up to the whole window; such a group is one
 deep node already and needs only its earliest leaf, which an aggregation finds.
@@ -88,53 +89,70 @@ def anchors_of(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tupl
     return starts, anchor[starts], key[starts]
 
 
+def _window_hash(h: np.ndarray, starts: np.ndarray, window: int, by: int) -> np.ndarray:
+    w = np.zeros(len(starts), np.uint64)
+    for k in range(window):
+        w = w * np.uint64(by) + h[starts + k]
+    return mixed(w)
+
+
 def _emit_anchors(window: int, gram: int):
+    """Rows (key, run, doc, th, at): each anchor's words, those of its run, and its place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, th = b.column("doc").to_numpy(), b.column("th").to_numpy()
             for rows, first, _, _, h in _groups(b.column("text")):
-                _, anchor, key = anchors_of(h, first, window, gram)
+                starts, anchor, key = anchors_of(h, first, window, gram)
                 if not len(anchor):
                     continue
-                one = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-                anchor, key = anchor[one], key[one]
+                opens = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+                last = np.append(opens[1:], len(anchor)) - 1
+                # a run's first and last window hold all its words, for its windows share an anchor
+                ends = _window_hash(h, starts[opens], window, 0xD6E8FEB86659FD93), _window_hash(h, starts[last], window, 0xA0761D6478BD642F)
+                words = mixed(ends[0] * np.uint64(0xD6E8FEB86659FD93) + ends[1] + (last - opens).astype(np.uint64))
+                anchor, key = anchor[opens], key[opens]
                 of = np.searchsorted(first, anchor, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[rows[of]]), pa.array(th[rows[of]]), pa.array(anchor - first[of], pa.int32())], ["key", "doc", "th", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(words.view(np.int64)), pa.array(doc[rows[of]]), pa.array(th[rows[of]]), pa.array(anchor - first[of], pa.int32())], ["key", "run", "doc", "th", "at"])
 
     return run
 
 
-_RUNS = "key long, key2 long, doc long, th long, start int, n int, words binary"
+#: What becomes of a run: its windows are sorted in its group, each is a group of its own, or all of them go.
+SORTED, DEEP, GONE = 1, 2, 3
+_RUNS = "kind int, key long, key2 long, doc long, th long, start int, n int, words binary"
 
 
 def _emit_runs(window: int, gram: int):
-    """Rows (doc, th, text, anchors): for each repeated anchor its run of windows with their words, or, where it is too frequent, each window's own two hashes."""
+    """Rows (doc, th, text, anchors): for each anchor its run of windows with their words; or, if DEEP, each window's own two hashes; or, if GONE, the stretch of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, th = b.column("doc").to_numpy(), b.column("th").to_numpy()
             lists = b.column("anchors")
-            cut, at, often = lists.offsets.to_numpy(), lists.flatten().field("at").to_numpy(), lists.flatten().field("often").to_numpy(zero_copy_only=False)
+            cut, at, kind = lists.offsets.to_numpy(), lists.flatten().field("at").to_numpy(), lists.flatten().field("kind").to_numpy()
             cut = cut - cut[0]
             for rows, first, raw, start, h in _groups(b.column("text")):
                 starts, anchor, key = anchors_of(h, first, window, gram)
                 mark = np.zeros(len(h) + 1, np.int8)
                 for r, f in zip(rows.tolist(), first.tolist(), strict=True):
                     own = slice(cut[r], cut[r + 1])
-                    mark[f + at[own]] = np.where(often[own], 2, 1)
+                    mark[f + at[own]] = kind[own]
                 of = np.searchsorted(first, starts, "right") - 1
                 end = np.append(start[1:], len(raw) + 1)  # where the next word begins
-                hot = np.flatnonzero(mark[anchor] == 2)
-                if len(hot):
-                    w = [np.zeros(len(hot), np.uint64), np.zeros(len(hot), np.uint64)]
-                    for k in range(window):
-                        x = h[starts[hot] + k]
-                        w[0] = w[0] * np.uint64(0xD6E8FEB86659FD93) + x
-                        w[1] = w[1] * np.uint64(0xA0761D6478BD642F) + mixed(x + np.uint64(k + 1))
-                    r = rows[of[hot]]
-                    cols = [pa.array(mixed(w[0]).view(np.int64)), pa.array(mixed(w[1]).view(np.int64)), pa.array(doc[r]), pa.array(th[r]), pa.array(starts[hot] - first[of[hot]], pa.int32()), pa.array(np.ones(len(hot)), pa.int32()), pa.nulls(len(hot), pa.binary())]
+                deep = np.flatnonzero(mark[anchor] == DEEP)
+                if len(deep):
+                    r, w = rows[of[deep]], [_window_hash(h, starts[deep], window, by).view(np.int64) for by in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+                    cols = [pa.array(np.full(len(deep), DEEP, np.int32)), pa.array(w[0]), pa.array(w[1]), pa.array(doc[r]), pa.array(th[r]), pa.array(starts[deep] - first[of[deep]], pa.int32()), pa.array(np.ones(len(deep), np.int32)), pa.nulls(len(deep), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, _RUNS_NAMES)
+                gone = np.flatnonzero(mark[anchor] == GONE)
+                if len(gone):
+                    new = np.flatnonzero(np.concatenate(([True], np.diff(starts[gone]) != 1)))
+                    n, lo = np.diff(np.append(new, len(gone))), gone[new]
+                    r, none = rows[of[lo]], pa.array(np.zeros(len(lo), np.int64))
+                    cols = [pa.array(np.full(len(lo), GONE, np.int32)), none, none, pa.array(doc[r]), pa.array(th[r]), pa.array(starts[lo] - first[of[lo]], pa.int32()), pa.array(n, pa.int32()), pa.nulls(len(lo), pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, _RUNS_NAMES)
-                cold = np.flatnonzero(mark[anchor] == 1)
+                cold = np.flatnonzero(mark[anchor] == SORTED)
                 if len(cold):
                     new = np.concatenate(([True], (anchor[cold][1:] != anchor[cold][:-1]) | (np.diff(cold) != 1)))
                     lo = cold[new]
@@ -143,13 +161,13 @@ def _emit_runs(window: int, gram: int):
                     last = starts[lo] + n - 1 + window - 1
                     whole = raw.tobytes()
                     words = [b" ".join(whole[p:q].split()) for p, q in zip(start[starts[lo]].tolist(), end[last].tolist(), strict=True)]
-                    cols = [pa.array(key[lo].view(np.int64)), pa.array(np.zeros(len(lo)), pa.int64()), pa.array(doc[r]), pa.array(th[r]), pa.array(starts[lo] - first[of[lo]], pa.int32()), pa.array(n, pa.int32()), pa.array(words, pa.binary())]
+                    cols = [pa.array(np.full(len(lo), SORTED, np.int32)), pa.array(key[lo].view(np.int64)), pa.array(np.zeros(len(lo), np.int64)), pa.array(doc[r]), pa.array(th[r]), pa.array(starts[lo] - first[of[lo]], pa.int32()), pa.array(n, pa.int32()), pa.array(words, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, _RUNS_NAMES)
 
     return run
 
 
-_RUNS_NAMES = ["key", "key2", "doc", "th", "start", "n", "words"]
+_RUNS_NAMES = ["kind", "key", "key2", "doc", "th", "start", "n", "words"]
 
 
 def later_leaves(doc: np.ndarray, start: np.ndarray, n: np.ndarray, words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,15 +255,22 @@ def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc, th, a, b): word spans [a, b) of ``texts`` (doc, th, text) covered by windows that also start earlier."""
-    anchors = written(texts.mapInArrow(_emit_anchors(window, gram), "key long, doc long, th long, at int"), "anchors")
-    many = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marked = anchors.join(many.hint("merge"), "key").groupBy("doc", "th").agg(F.collect_set(F.struct("at", (F.col("n") > group).alias("often"))).alias("anchors"))
+    anchors = written(texts.mapInArrow(_emit_anchors(window, gram), "key long, run long, doc long, th long, at int"), "anchors")
+    many = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("run") == F.max("run")).alias("same")).filter("n > 1").select("key", "same")
+    again = written(anchors.join(many.hint("merge"), "key"), "again")
+    heads = written(again.groupBy("key", "run").agg(F.min(F.struct("doc", "at")).alias("head"), F.first("same").alias("same")), "heads")
+    large = heads.filter("not same").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key", F.lit(DEEP).alias("deep"))
+    kinds = heads.join(large.hint("merge"), "key", "left").select("key", "run", "head", F.when(~F.col("same"), F.coalesce("deep", F.lit(SORTED))).alias("kind"))
+    first = (F.col("doc") == F.col("head.doc")) & (F.col("at") == F.col("head.at"))
+    told = again.drop("same").join(kinds.hint("merge"), ["key", "run"]).select("doc", "th", "at", F.when(first, F.col("kind")).otherwise(GONE).alias("kind")).filter("kind is not null")
+    marked = told.groupBy("doc", "th").agg(F.collect_set(F.struct("at", "kind")).alias("anchors"))
     runs = written(texts.join(marked.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "anchors").mapInArrow(_emit_runs(window, gram), _RUNS), "runs")
-    trees = runs.filter("words is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), "doc long, th long, a int, b int")
-    deep = runs.filter("words is null").select("key", "key2", "doc", "th", "start")
+    trees = runs.filter(F.col("kind") == SORTED).drop("kind").repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), "doc long, th long, a int, b int")
+    deep = runs.filter(F.col("kind") == DEEP).select("key", "key2", "doc", "th", "start")
+    gone = runs.filter(F.col("kind") == GONE).select("doc", "th", "start", F.col("start") + F.col("n") + (window - 1))
     head = deep.groupBy("key", "key2").agg(F.min(F.struct("doc", "start")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "key2", "head")
     later = deep.join(head.hint("merge"), ["key", "key2"]).filter((F.col("doc") != F.col("head.doc")) | (F.col("start") != F.col("head.start")))
-    return trees.union(later.select("doc", "th", "start", F.col("start") + window))
+    return trees.union(gone).union(later.select("doc", "th", "start", F.col("start") + window))
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
