@@ -256,13 +256,14 @@ def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc, th, a, b): word spans [a, b) of ``texts`` (doc, th, text) covered by windows that also start earlier."""
     anchors = written(texts.mapInArrow(_emit_anchors(window, gram), "key long, run long, doc long, th long, at int"), "anchors")
-    many = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("run") == F.max("run")).alias("same")).filter("n > 1").select("key", "same")
+    # written, so that the join below reads both sides from a shuffle and a frequent anchor's rows can be split
+    many = written(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "many")
     again = written(anchors.join(many.hint("merge"), "key"), "again")
-    heads = written(again.groupBy("key", "run").agg(F.min(F.struct("doc", "at")).alias("head"), F.first("same").alias("same")), "heads")
-    large = heads.filter("not same").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group).select("key", F.lit(DEEP).alias("deep"))
-    kinds = heads.join(large.hint("merge"), "key", "left").select("key", "run", "head", F.when(~F.col("same"), F.coalesce("deep", F.lit(SORTED))).alias("kind"))
+    heads = written(again.groupBy("key", "run").agg(F.min(F.struct("doc", "at")).alias("head")), "heads")
+    groups = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.when(F.col("n") > group, DEEP).otherwise(SORTED).alias("kind"))
+    kinds = heads.join(groups.hint("merge"), "key", "left")
     first = (F.col("doc") == F.col("head.doc")) & (F.col("at") == F.col("head.at"))
-    told = again.drop("same").join(kinds.hint("merge"), ["key", "run"]).select("doc", "th", "at", F.when(first, F.col("kind")).otherwise(GONE).alias("kind")).filter("kind is not null")
+    told = again.join(kinds.hint("merge"), ["key", "run"]).select("doc", "th", "at", F.when(first, F.col("kind")).otherwise(GONE).alias("kind")).filter("kind is not null")
     marked = told.groupBy("doc", "th").agg(F.collect_set(F.struct("at", "kind")).alias("anchors"))
     runs = written(texts.join(marked.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "anchors").mapInArrow(_emit_runs(window, gram), _RUNS), "runs")
     trees = runs.filter(F.col("kind") == SORTED).drop("kind").repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), "doc long, th long, a int, b int")
