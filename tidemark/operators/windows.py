@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trailing(width_us: int, by: str = "symbol", at: str = "us"):
@@ -99,12 +100,67 @@ def cooldown_filter(firings: DataFrame, keys: list[str], cooldown_us: int, at: s
     return firings.groupBy(*keys).applyInPandas(keep, firings.schema)
 
 
-def ema(rows: DataFrame, value: str, spans: tuple[int, ...], at: str = "us", tie: str = "tick_id") -> DataFrame:
-    """Recursive moving averages with k = 2 / (span + 1), started at the first value of each symbol."""
-    schema = rows.select(tie, "symbol").schema.simpleString()[7:-1].replace(":", " ") + "".join(f", ema{n} double" for n in spans)
+def with_ema(rows: DataFrame, value: str, spans: tuple[int, ...], at: str = "us", tie: str = "tick_id") -> DataFrame:
+    """``rows`` with recursive moving averages, k = 2 / (span + 1), started at the first value of each symbol."""
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"ema{n}", T.DoubleType()) for n in spans)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie])
-        return pdf[[tie, "symbol"]].assign(**{f"ema{n}": pdf[value].ewm(span=n, adjust=False).mean() for n in spans})
+        pdf = pdf.sort_values(list(dict.fromkeys([at, tie])))
+        return pdf.assign(**{f"ema{n}": pdf[value].ewm(span=n, adjust=False).mean() for n in spans})
+
+    return rows.groupBy("symbol").applyInPandas(run, schema)
+
+
+def ema(rows: DataFrame, value: str, spans: tuple[int, ...], at: str = "us", tie: str = "tick_id") -> DataFrame:
+    return with_ema(rows.select(tie, "symbol", at, value), value, spans, at, tie).select(tie, "symbol", *(f"ema{n}" for n in spans))
+
+
+def _enough_volume(mult: float) -> Column:
+    """Volume against the median of the last 20 bars, zero counting as one."""
+    med = F.percentile(F.col("v"), 0.5).over(Window.partitionBy("symbol").orderBy("open_us").rowsBetween(-19, 0))
+    return F.col("v") >= mult * F.when(med == 0, 1.0).otherwise(med)
+
+
+def rule_breakout(bars: DataFrame, lookback: int, buffer_pct: float, vol_mult: float, span: int) -> DataFrame:
+    """Bars that close beyond the extremes of the ``lookback`` bars before, on the same side of the moving average, on enough volume.
 
-    return rows.select(tie, "symbol", at, value).groupBy("symbol").applyInPandas(run, schema)
+    A symbol's first ``lookback`` + 4 bars say nothing.
+    """
+    o = Window.partitionBy("symbol").orderBy("open_us")
+    prior, e = o.rowsBetween(-lookback, -1), F.col(f"ema{span}")
+    told = with_ema(bars, "c", (span,), "open_us", "open_us").withColumns({"hi": F.max("h").over(prior), "lo": F.min("l").over(prior), "nth": F.row_number().over(o), "enough": _enough_volume(vol_mult)})
+    up = (F.col("c") > F.col("hi") * (1 + buffer_pct / 100)) & (F.col("c") > e)
+    down = (F.col("c") < F.col("lo") * (1 - buffer_pct / 100)) & (F.col("c") < e)
+    rule = F.when(up, "breakout_up").when(down, "breakdown_dn")
+    found = told.filter((F.col("nth") >= lookback + 5) & F.col("enough")).withColumn("rule", rule).filter("rule is not null")
+    return found.select("symbol", "open_us", "rule", F.when(F.col("rule") == "breakout_up", F.col("hi")).otherwise(F.col("lo")).alias("level"), e.alias("ema"))
+
+
+def rule_ema_cross(bars: DataFrame, fast: int, slow: int, vol_mult: float) -> DataFrame:
+    """Bars at which the fast average passes the slow one, on enough volume."""
+    gap = F.col(f"ema{fast}") - F.col(f"ema{slow}")
+    told = with_ema(bars, "c", (fast, slow), "open_us", "open_us").withColumn("gap", gap)
+    told = told.withColumns({"before": F.lag("gap").over(Window.partitionBy("symbol").orderBy("open_us")), "enough": _enough_volume(vol_mult)})
+    rule = F.when((F.col("before") <= 0) & (F.col("gap") > 0), "cross_up").when((F.col("before") >= 0) & (F.col("gap") < 0), "cross_dn")
+    return told.filter("enough").withColumn("rule", rule).filter("rule is not null").select("symbol", "open_us", "rule", F.col(f"ema{fast}").alias("ema_fast"), F.col(f"ema{slow}").alias("ema_slow"))
+
+
+def rolling_rv_range(ticks: DataFrame, short_us: int, mid_us: int, long_us: int) -> DataFrame:
+    """Deviation of log returns between points inside each window, the range of the middle one, and short to long.
+
+    The return that enters a window from before it does not count, nor does one of prices that are not positive.
+    """
+    prev = F.lag("price").over(Window.partitionBy("symbol").orderBy("us", "tick_id"))
+    told = ticks.withColumn("ret", F.when((F.col("price") > 0) & (prev > 0), F.log(F.col("price") / prev)))
+
+    def rv(width_us: int) -> Column:
+        o = trailing(width_us)
+        enters = F.min_by(F.struct("ret"), F.struct("us", "tick_id")).over(o)["ret"]
+        n = F.count("ret").over(o) - F.when(enters.isNull(), 0).otherwise(1)
+        s1 = F.sum("ret").over(o) - F.coalesce(enters, F.lit(0.0))
+        s2 = F.sum(F.col("ret") * F.col("ret")).over(o) - F.coalesce(enters * enters, F.lit(0.0))
+        return F.when(n >= 2, F.sqrt(F.greatest(F.lit(0.0), (s2 - s1 * s1 / n) / (n - 1))))
+
+    o = trailing(mid_us)
+    told = told.select("tick_id", rv(short_us).alias("rv_short"), rv(mid_us).alias("rv_mid"), rv(long_us).alias("rv_long"), F.when(F.count("price").over(o) >= 2, F.max("price").over(o) - F.min("price").over(o)).alias("price_range"))
+    return told.withColumn("rv_ratio", F.when(F.col("rv_long") > 0, F.col("rv_short") / F.col("rv_long")))

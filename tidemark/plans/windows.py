@@ -115,6 +115,18 @@ def ema(s, d):
     return rounded(wn.ema(market.ticks(s, d), "price", (20, 50)))
 
 
+def rule_breakout(s, d):
+    return rounded(wn.rule_breakout(wn.bars(market.ticks(s, d), "1 hour"), 32, 0.2, 1.0, 20), 4)
+
+
+def rule_ema_cross(s, d):
+    return rounded(wn.rule_ema_cross(wn.bars(market.ticks(s, d), D6), 9, 21, 1.0), 4)
+
+
+def rolling_rv_range(s, d):
+    return rounded(wn.rolling_rv_range(market.ticks(s, d), 6 * HOUR, 15 * HOUR, 60 * HOUR))
+
+
 def stream_bars(s, d):
     return rounded(jobs.run_available(jobs.stream_bars(jobs.event_stream(s, d), D6, "1 hour")))
 
@@ -133,6 +145,8 @@ _DELTA = "SELECT tick_id, symbol, us, price, (price - lag(price) OVER w) / lag(p
 _RET = ", ".join(f"round(CASE WHEN count(*) {_OVER.format(h * HOUR)} >= 2 THEN (price - first(price) {_OVER.format(h * HOUR)}) / first(price) {_OVER.format(h * HOUR)} END, 6) AS ret_{h}" for h in (1, 5, 15, 60))
 _Z = _OVER.format(60 * HOUR)
 _F = _OVER.format(6 * HOUR)
+_M = _OVER.format(15 * HOUR)
+_RV = "list_aggregate((list(ret) {0})[2:], 'stddev_samp')"
 # a window is out once the last event less the delay has passed its end
 _OUT = f"(SELECT max(us) - {HOUR} FROM ev)"
 _ORDER = "(PARTITION BY symbol ORDER BY us, tick_id)"
@@ -162,6 +176,11 @@ ORACLES = {
     "attempt_sequence": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS INT) AS attempt_n, greatest(0, (k - 10) * 100) AS duration_ms FROM ev",
     "cooldown_filter": f"""SELECT tick_id, symbol, us FROM c""",
     "ema": None,
+    "rule_breakout": "SELECT symbol, open_us, rule, round(CASE WHEN rule = 'breakout_up' THEN hi ELSE lo END, 4) AS level, round(e1, 4) AS ema FROM (SELECT *, CASE WHEN c > hi * 1.002::DOUBLE AND c > e1 THEN 'breakout_up' WHEN c < lo * 0.998::DOUBLE AND c < e1 THEN 'breakdown_dn' END AS rule FROM b JOIN e USING (symbol, rn)) WHERE rn >= 37 AND v >= CASE WHEN med = 0 THEN 1 ELSE med END AND rule IS NOT NULL",
+    "rule_ema_cross": f"""SELECT symbol, open_us, rule, round(e1, 4) AS ema_fast, round(e2, 4) AS ema_slow FROM (SELECT *, CASE WHEN before <= 0 AND e1 > e2 THEN 'cross_up' WHEN before >= 0 AND e1 < e2 THEN 'cross_dn' END AS rule
+        FROM (SELECT *, lag(e1 - e2) OVER (PARTITION BY symbol ORDER BY rn) AS before FROM b JOIN e USING (symbol, rn))) WHERE rule IS NOT NULL AND v >= CASE WHEN med = 0 THEN 1 ELSE med END""",
+    "rolling_rv_range": f"""SELECT tick_id, round(a, 6) AS rv_short, round(b, 6) AS rv_mid, round(c, 6) AS rv_long, round(r, 6) AS price_range, round(CASE WHEN c > 0 THEN a / c END, 6) AS rv_ratio FROM (SELECT tick_id, {_RV.format(_F)} AS a, {_RV.format(_M)} AS b, {_RV.format(_Z)} AS c, CASE WHEN count(*) {_M} >= 2 THEN max(price) {_M} - min(price) {_M} END AS r
+        FROM (SELECT *, CASE WHEN price > 0 AND lag(price) OVER {_ORDER} > 0 THEN ln(price / lag(price) OVER {_ORDER}) END AS ret FROM ticks))""",
     "stream_bars": f"SELECT symbol, open_us, round(avg(price), 6) AS avg_price, count(*) AS n FROM (SELECT *, us // {6 * HOUR} * {6 * HOUR} AS open_us FROM ticks) WHERE open_us + {6 * HOUR} <= {_OUT} GROUP BY ALL",
     "stream_trade_flow": f"SELECT symbol, open_us, count(*) AS n, round(sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) / sum(qty), 6) AS buy_ratio, count(*) >= 3 AND sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) / sum(qty) >= 0.55 AS confirmed FROM (SELECT *, unnest([us // {6 * HOUR} * {6 * HOUR}, us // {6 * HOUR} * {6 * HOUR} - {6 * HOUR}]) AS open_us FROM trades) WHERE open_us + {12 * HOUR} <= {_OUT} GROUP BY ALL",
     "candidate_sessions": f"""SELECT symbol, min(us) AS open_us, max(us) + {6 * HOUR} AS close_us, round(arg_min(price, us), 6) AS first_price, count(*) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY symbol ORDER BY us) AS sid FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY symbol ORDER BY us) < {6 * HOUR} THEN 0 ELSE 1 END AS opens FROM ticks WHERE tick_id % 20 = 3))
@@ -172,9 +191,21 @@ c AS (SELECT * FROM hot QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY
   UNION ALL SELECT h.* FROM c, LATERAL (SELECT * FROM hot WHERE hot.symbol = c.symbol AND hot.us >= c.us + {12 * HOUR} ORDER BY us, tick_id LIMIT 1) h) """
 
 
+def _averaged(width: int, first: int, second: int) -> str:
+    """Numbered bars ``b`` and their recursive averages ``e``."""
+    over = "OVER (PARTITION BY symbol ORDER BY open_us {})"
+    step = ", ".join(f"e{i} + (b.c - e{i}) * 2 / {n + 1}::DOUBLE" for i, n in ((1, first), (2, second)))
+    return f"""WITH RECURSIVE {market.SQL}, b AS (SELECT *, row_number() {over.format("")} AS rn, quantile_cont(v, 0.5) {over.format("ROWS BETWEEN 19 PRECEDING AND CURRENT ROW")} AS med, max(h) {over.format("ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING")} AS hi, min(l) {over.format("ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING")} AS lo
+  FROM ({_BAR.format(w=width)})),
+e AS (SELECT symbol, rn, c AS e1, c AS e2 FROM b WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, {step} FROM e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn + 1) """
+
+
+_BEFORE = {"cooldown_filter": _COOL, "rule_breakout": _averaged(HOUR, 20, 20), "rule_ema_cross": _averaged(6 * HOUR, 9, 21)}
+
+
 def queries():
     return {name: globals()[name] for name in ORACLES}
 
 
 def oracle_sql():
-    return {name: (_COOL if name == "cooldown_filter" else f"WITH {market.SQL} ") + sql for name, sql in ORACLES.items() if sql}
+    return {name: _BEFORE.get(name, f"WITH {market.SQL} ") + sql for name, sql in ORACLES.items() if sql}
