@@ -80,3 +80,31 @@ def event_id_hash(*parts: Column) -> Column:
 def violations(rules: dict[str, Column]) -> Column:
     """Names of the rules that are false; a rule that is null passes."""
     return F.array_compact(F.array(*(F.when(~rule, F.lit(name)) for name, rule in rules.items())))
+
+
+#: Hours of the day (UTC) of each market regime; other hours are low_activity.
+REGIME_HOURS = {"aggressive": (14, 15, 16, 17), "normal": (8, 9, 10, 11, 12, 13), "caution": (18, 19), "pause": (20, 21, 22)}
+
+
+def time_gate(ts: Column, awake: tuple[int, int] = (8, 22), behind_hours: int = 4) -> tuple[Column, Column, Column, Column]:
+    """(market regime, operator window, blocked, reason) by the hour in UTC and by the operator's hour, a fixed number of hours behind."""
+    utc, local = F.hour(ts), F.pmod(F.hour(ts) - behind_hours, F.lit(24))
+    regime = F.when(utc.isNull(), None)
+    for name, hours in REGIME_HOURS.items():
+        regime = regime.when(utc.isin(*hours), name)
+    asleep = ~local.between(*awake)
+    return regime.otherwise("low_activity"), F.when(asleep, "sleep").otherwise("awake"), asleep, F.when(asleep, "operator_sleep").otherwise("allowed_window")
+
+
+def signal_contract(symbol: Column, price: Column, kind: Column, decision: Column, rejection: Column) -> Column:
+    """The first rule that a signal breaks, null if none."""
+    p = finite_or_null(price)
+    return (
+        F.when(F.coalesce(F.trim(symbol) == "", F.lit(True)), "symbol")
+        .when(F.coalesce(p <= 0, F.lit(True)), "price_alert")
+        .when(~F.coalesce(kind.isin("alert", "near_miss"), F.lit(False)), "signal_kind")
+        .when(~F.coalesce(decision.isin("sent", "blocked"), F.lit(False)), "decision")
+        .when((decision == "sent") & (kind != "alert"), "sent_needs_alert")
+        .when((decision == "blocked") & rejection.isNull(), "blocked_needs_reason")
+        .when((decision == "blocked") & (kind == "alert"), "alert_blocked")
+    )

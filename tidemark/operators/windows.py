@@ -164,3 +164,10 @@ def rolling_rv_range(ticks: DataFrame, short_us: int, mid_us: int, long_us: int)
     o = trailing(mid_us)
     told = told.select("tick_id", rv(short_us).alias("rv_short"), rv(mid_us).alias("rv_mid"), rv(long_us).alias("rv_long"), F.when(F.count("price").over(o) >= 2, F.max("price").over(o) - F.min("price").over(o)).alias("price_range"))
     return told.withColumn("rv_ratio", F.when(F.col("rv_long") > 0, F.col("rv_short") / F.col("rv_long")))
+
+
+def downtrend(bars: DataFrame, since_us: int, least: int = 50, fast: int = 20, slow: int = 50) -> DataFrame:
+    """(symbol, n, downtrend) from the bars that open from ``since_us`` on: fast average and last close both below the slow one; false with fewer than ``least`` bars."""
+    told = with_ema(bars.filter(F.col("open_us") >= since_us).select("symbol", "open_us", "c"), "c", (fast, slow), "open_us", "open_us")
+    last = told.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("c", f"ema{fast}", f"ema{slow}"), "open_us").alias("t"))
+    return last.select("symbol", "n", ((F.col("n") >= least) & (F.col(f"t.ema{fast}") < F.col(f"t.ema{slow}")) & (F.col("t.c") < F.col(f"t.ema{slow}"))).alias("downtrend"))
