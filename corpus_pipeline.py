@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, mixing, sharding, simhash
-from tidemark.llm.common import new_path, table
+from tidemark.llm.common import new_path, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language has less than this share of the evidence has no language.
@@ -24,25 +24,36 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.filter((F.col("lang_pred") != "und") & ((F.col("score") == 0) | (F.col("score") >= LEAST_SCORE))).select(*COLUMNS)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, an id of each row of its own, written so that every later reading finds the same ids."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) for operators that tell documents apart by id: the id is the row's."""
+    return docs.select(F.col("row").alias("doc_id"), "text")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates; of rows that repeat an id, one."""
-    groups = simhash.near_duplicate_groups(docs)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.select(*COLUMNS).join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    again = kept.filter("n > 1").dropDuplicates(["doc_id"])
-    return kept.filter("n = 1").unionByName(again).select(*COLUMNS)
+    """Keeps one row of each group of near duplicates: that with the smallest id, null last; of equal ids, one."""
+    rows = identified(docs)
+    groups = simhash.near_duplicate_groups(as_rows(rows)).select(F.col("doc_id").alias("r"), "component_id")
+    named = rows.select("row", "doc_id").join(groups, F.col("row") == F.col("r"))
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept"))
+    return rows.join(kept.hint("merge"), F.col("row") == F.col("kept")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark passages make up a twentieth or more."""
-    found = decontaminate.op3_decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    rows = identified(docs)
+    found = decontaminate.op3_decontaminate(spark, as_rows(rows), table(spark, sf_dir, "benchmark"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad"))
+    return rows.join(bad, F.col("row") == F.col("bad"), "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, by document and pass over its source."""
-    mixed = mixing.mixed_documents(docs.select(*COLUMNS))
+    """The words that the mix takes, by row and pass over its source."""
+    mixed = mixing.mixed_documents(identified(docs), "row")
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

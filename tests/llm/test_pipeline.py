@@ -82,3 +82,28 @@ def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_are_told_apart_where_ids_are_not(spark, sf_dir):
+    bench = corpus()[1][0][1]
+    long = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(8)]
+    texts = [(None, long[0]), (None, long[1]), (7, long[2]), (7, long[3]), (8, long[4]), (9, long[4]), (9, long[5]), (None, long[6]), (None, long[6])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{len(t) % 2}", len(t)) for i, t in texts], SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in cp.near_dedup_stage(spark, docs, sf_dir).collect())
+    assert got == Counter([(None, long[0]), (None, long[1]), (7, long[2]), (7, long[3]), (8, long[4]), (9, long[5]), (None, long[6])])
+
+    texts = [(None, long[0]), (None, bench), (7, long[2]), (7, bench + " " + long[3]), (8, long[4]), (8, long[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in cp.decontamination_stage(spark, docs, sf_dir).collect())
+    assert got == Counter([(None, long[0]), (7, long[2]), (8, long[4]), (8, long[4])])
+
+    sizes = {(None, 40): long[0], (None, 60): long[1], (7, 1): long[2], (7, 50): long[3], (7, 2): long[4]}
+    texts = [(i, " ".join(t.split()[:n])) for (i, n), t in sizes.items()] + [(7, "w3x0 w3x1")] * 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA).repartition(3)
+    want, got = Counter(), Counter()
+    for r in mixing.op1_mixing(spark, docs).collect():
+        want[r.doc_id] += r.taken
+    for r in cp.mixing_stage(spark, docs, sf_dir).collect():
+        got[r.doc_id] += len(r.text.split())
+        assert any(i == r.doc_id and r.text in t for i, t in texts)
+    assert got == want

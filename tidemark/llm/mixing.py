@@ -90,7 +90,7 @@ def _draws(length: int, seed: int):
     return expand
 
 
-def mix(sized: DataFrame, *, length: int = 256, shard_blocks: int = 4096, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(sized: DataFrame, *, length: int = 256, shard_blocks: int = 4096, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, seed: int = 11, row: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(targets, streams, pieces) of a mix of ``sized`` (doc_id, source, size in words; other columns are left out).
 
     A source's documents, in a fixed pseudorandom order, are one stream of words packed into blocks of ``length``; the
@@ -103,22 +103,23 @@ def mix(sized: DataFrame, *, length: int = 256, shard_blocks: int = 4096, share:
     ``targets`` is (src, source, source_size, target), ``streams`` has each document's src and ``start``, ``pieces`` is
     a row for each part of a document that a draw takes: src, start, doc_id, shard, draw, epoch, and words
     [from_word, to_word) of the document. Null sources are a source of their own; documents without words are in no
-    piece; a null id sorts first; repeated rows are documents of their own. ``sized`` is read several times: hand in a
-    written table.
+    piece; a null id sorts first; repeated rows are documents of their own. Columns ``row`` are names of ``sized`` that
+    tell its rows apart where ids do not: they order equal ids and are in the pieces. ``sized`` is read several times:
+    hand in a written table.
     """
     spark = sized.sparkSession
-    sized = sized.select("doc_id", "source", "size").withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CELLS)).cast("int"))
+    sized = sized.select("doc_id", "source", "size", *row).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CELLS)).cast("int"))
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("n"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")), share, weights, cap)
     # one row for each source and cell: as many as the mix has sources, whatever the number of documents
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("cell_start", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("cell").alias("c"), "cell_start")
     starts = starts.join(targets.select(F.col("source").alias("s2"), "src", "source_size", "target"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    within = Window.partitionBy("source", "cell").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "cell").orderBy("doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     streams = (
         sized.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
-        .select("doc_id", "source", "size", "src", "source_size", "target", (F.col("at") + F.col("cell_start")).alias("start"))
+        .select("doc_id", "source", "size", *row, "src", "source_size", "target", (F.col("at") + F.col("cell_start")).alias("start"))
     )
 
     words = F.least(F.round("target"), cap * F.col("source_size")).cast("long")
@@ -132,7 +133,7 @@ def mix(sized: DataFrame, *, length: int = 256, shard_blocks: int = 4096, share:
     begin = F.greatest(F.lit(0), F.col("block") * length - F.col("start"))
     end = F.least(F.col("size"), F.col("block") * length + F.col("take") - F.col("start"))
     # by merge: the planner takes the draws for as small as the plan they come from
-    pieces = spans.join(draws.hint("merge"), ["src", "block"]).select("src", "start", "doc_id", "shard", "draw", "epoch", begin.alias("from_word"), end.alias("to_word")).filter("from_word < to_word")
+    pieces = spans.join(draws.hint("merge"), ["src", "block"]).select("src", "start", "doc_id", *row, "shard", "draw", "epoch", begin.alias("from_word"), end.alias("to_word")).filter("from_word < to_word")
     return targets, streams, pieces
 
 
@@ -149,21 +150,22 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join(raw[start[a] : end[b - 1]] for a, b in merged).decode("utf-8", "surrogatepass")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, row: str, **options) -> DataFrame:
     """The mix of ``docs`` (doc_id, text, source, other columns) as documents: a row for each pass over a source in which
-    draws take words of the document, with those words as its text. doc_id must not repeat; documents without words are
-    in no mix. Rows of a document and a pass meet by doc_id; no source is gathered anywhere."""
-    sized = written(docs.select("doc_id", "source", n_words("text").alias("size")), "mix-sizes")
-    _, _, pieces = mix(sized, **options)
+    draws take words of the document, with those words as its text. ``row`` names a long column that tells rows apart,
+    whatever their ids, and is read several times: hand in a written table. Documents without words are in no mix. Rows
+    of a document and a pass meet by ``row``; no source is gathered anywhere."""
+    sized = written(docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("text_hash"), row), "mix-sizes")
+    _, _, pieces = mix(sized, row=("text_hash", row), **options)
     names = docs.columns
-    spans = pieces.groupBy(F.col("doc_id").alias("p_id"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"))
+    spans = pieces.groupBy(F.col(row).alias("p_row"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [cut_text(t.as_py(), [(x["from_word"], x["to_word"]) for x in s.as_py()]) for t, s in zip(b.column("text"), b.column("spans"), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
-    joined = docs.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("p_id"))).drop("p_id", "epoch")
+    joined = docs.join(spans.hint("merge"), F.col(row) == F.col("p_row")).drop("p_row", "epoch")
     return joined.mapInArrow(run, docs.schema)
 
 
