@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as cp
-from tidemark.llm import mixing, simhash
+from tidemark.llm import jaccard, mixing, simhash
 
 WORDS = {"en": "the and of with that this from have".split(), "de": "der die das und nicht ein mit auch".split()}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -107,3 +107,31 @@ def test_rows_are_told_apart_where_ids_are_not(spark, sf_dir):
         got[r.doc_id] += len(r.text.split())
         assert any(i == r.doc_id and r.text in t for i, t in texts)
     assert got == want
+
+
+def test_near_dedup_is_brute_force_jaccard(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+    rnd, texts = random.Random(3), [None, "", " \n", "one two", "One  two"]
+    passage = " ".join(f"p{k}" for k in range(30))
+    for i in range(25):
+        base = [f"b{i}w{rnd.randint(0, 400)}" for _ in range(rnd.randint(20, 150))]
+        for _ in range(6):
+            near = list(base)
+            for _ in range(rnd.randint(0, 1 + len(base) // 20)):
+                near[rnd.randrange(len(near))] = f"x{rnd.randint(0, 9999)}"
+            texts.append(" ".join(near) + (" " + passage if i % 3 == 0 else ""))
+
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [cut(t) for t in texts]
+    link = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    low = list(range(len(sets)))
+    for _ in range(len(sets)):
+        for a, b in link:
+            low[a] = min(low[a], low[b])
+    want = {i for i, x in enumerate(low) if i == x}
+    assert len(want) < len(texts) - 30
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert {r.doc_id for r in cp.near_dedup_stage(spark, docs, sf_dir).collect()} == want

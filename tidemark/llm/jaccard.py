@@ -1,0 +1,195 @@
+"""Near duplicates by Jaccard similarity of word shingles, found without loss by prefix filtering.
+
+Shingles have one order for all documents, rare ones first. Two sets of which 4/5 of the union is common share a shingle
+among the first n // 5 + 1 of each, n being its size, so documents meet at those alone. Every link is judged by the sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+from .components import connected_components
+from .simhash import _LOWER
+
+#: One text in so many is read to tell common shingles, and how many of these are told. They set the order alone, so any choice finds the same links.
+SAMPLE, COMMON = 16, 1 << 20
+POSTING = "key long, node long, n long, pos long"
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the different shingles; fewer words than ``size`` are one shingle, none are no shingle."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    if not words:
+        return np.empty(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1])).tolist()
+    ends = (ends[min(size, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends)), np.uint64, len(ends)).view(np.int64))  # noqa: B905
+
+
+def _emit_shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), size))], ["key"])
+
+    return run
+
+
+def _emit_prefixes(size: int, common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = common.value
+        for b in batches:
+            key, n, pos = [], [], []
+            for t in b.column(1):
+                s = shingles(t.as_py(), size)
+                n.append(len(s))
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    s = s[np.lexsort((s, np.where(keys[at] == s, times[at], 0)))]
+                # texts without words meet at one key
+                key.append(s[: len(s) // 5 + 1] if len(s) else np.zeros(1, np.int64))
+                pos.append(np.arange(len(key[-1])))
+            many = [len(k) for k in key]
+            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), many)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(key), node, np.repeat(np.array(n, np.int64), many), np.concatenate(pos))], ["key", "node", "n", "pos"])
+
+    return run
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come sorted by key, the first column, cut between keys."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            held.append([c.flatten().to_numpy().reshape(b.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns])
+            n += b.num_rows
+        if n >= 200_000 and held[0][0][0] != held[-1][0][-1]:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            yield [c[:cut] for c in whole]
+            held = [[c[cut:] for c in whole]]
+            n = len(held[0][0])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cols in _whole_keys(batches):
+        same = cols[0][1:] == cols[0][:-1]
+        some = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in cols], ["key", "node", "n", "pos"])
+
+
+def _candidates(star: bool):
+    """(a, b) of a list that may be similar by size, place and parities: with one of its nodes, or else of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, n, pos, odd, comp in _whole_keys(batches):
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            a, b = [], []
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+                if not star and (comp[lo:hi] == comp[lo]).all():
+                    continue
+                # lists of the same nodes have different hubs
+                hub = lo + int(key[lo]) % (hi - lo)
+                first, past, step = (hub, hub + 1, 1) if star else (lo, hi, max(1, (1 << 20) // (hi - lo)))
+                for x in range(first, past, step):
+                    end = min(x + step, past)
+                    m, k, p, q = n[x:end, None], n[None, lo:hi], pos[x:end, None], pos[None, lo:hi]
+                    most = np.minimum(p, q) + np.minimum(m - p, k - q)
+                    good = (5 * np.minimum(m, k) >= 4 * np.maximum(m, k)) & (9 * most >= 4 * (m + k))
+                    good &= node[x:end, None] != node[None, lo:hi] if star else (node[x:end, None] < node[None, lo:hi]) & (comp[x:end, None] != comp[None, lo:hi])
+                    f, g = np.nonzero(good)
+                    f, g = f + x, g + lo
+                    # sets differ in at least as many shingles as their parities do
+                    close = 9 * np.bitwise_count((odd[f] ^ odd[g]).view(np.uint64)).sum(1, dtype=np.int64) <= n[f] + n[g]
+                    a.append(node[f[close]])
+                    b.append(node[g[close]])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return run
+
+
+def parities(keys: np.ndarray) -> np.ndarray:
+    """512 bits: whether the number of hashes that fall on each is odd."""
+    return np.packbits(np.bincount((keys.view(np.uint64) >> np.uint64(55)).astype(np.int64), minlength=512) & 1).view(np.int64)
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [shingles(t.as_py(), size) for t in b.column(1)]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, longs), pa.array([parities(k) for k in keys], longs)], ["node", "keys", "odd"])
+
+    return run
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(5 * both >= 4 * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+
+def _judged(lists: DataFrame, star: bool, sets: DataFrame) -> DataFrame:
+    """The candidate pairs of ``lists`` with a Jaccard similarity of 0.8 or more."""
+    sorted_ = lists.select("key", "node", "n", "pos", "odd", "comp").repartition("key").sortWithinPartitions("key", "node")
+    pairs = written(sorted_.mapInArrow(_candidates(star), "a long, b long").distinct(), "jaccard-pairs")
+    x, y = (sets.select(F.col("node").alias(to), F.col("keys").alias(name)) for to, name in (("a", "x"), ("b", "y")))
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "jaccard-links")
+
+
+def near_duplicate_groups(docs: DataFrame, *, size: int = 5) -> DataFrame:
+    """(row, component) of every row of ``docs`` (row, text), a written table with a long ``row`` that does not repeat.
+
+    Two texts are linked if their sets of shingles of ``size`` words (ASCII letters folded) have a Jaccard similarity of
+    0.8 or more; texts without words, null too, are linked. component is the smallest row reachable. Equal texts stand
+    for one node. Documents that meet at a shingle are compared with one of them; then, as far as that has left them in
+    different groups, with each other. So all links that join groups are found, and none below 0.8.
+    """
+    spark = docs.sparkSession
+    named = written(docs.select("row", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same")), "jaccard-rows")
+    nodes = named.groupBy("same").agg(F.min("row").alias("node"))
+    copies = written(named.join(nodes, "same").select("row", "node"), "jaccard-copies")
+    texts = docs.join(copies.filter("row <> node").select(F.col("row").alias("c")), F.col("row") == F.col("c"), "left_anti").select(F.col("row").alias("node"), "text")
+
+    seen = texts.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_emit_shingles(size), "key long")
+    seen = written(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "jaccard-common")
+    least, told = 0, 0
+    for r in sorted(seen.groupBy("n").count().collect(), key=lambda r: -r["n"]):
+        if told + r["count"] > COMMON:
+            break
+        least, told = r["n"], told + r["count"]
+    held = sorted((r["key"], r["n"]) for r in seen.filter(F.col("n") >= least).toLocalIterator()) if least else []
+    common = spark.sparkContext.broadcast((np.array([k for k, _ in held], np.int64), np.array([n for _, n in held], np.int64)))
+
+    lists = texts.mapInArrow(_emit_prefixes(size, common), POSTING).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_with_company, POSTING)
+    lists = written(lists, "jaccard-lists")
+    some = lists.select(F.col("node").alias("c")).distinct()
+    sets = written(texts.join(some, F.col("node") == F.col("c"), "left_semi").mapInArrow(_sets(size), "node long, keys array<long>, odd array<long>"), "jaccard-sets")
+    lists = lists.join(sets.select("node", "odd"), "node")
+    links = _judged(lists.withColumn("comp", F.col("node")), True, sets)
+    groups = written(connected_components(links), "jaccard-groups")
+    apart = lists.join(groups.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = _judged(apart, False, sets)
+    if not more.isEmpty():
+        groups = written(connected_components(links.union(more)), "jaccard-groups")
+    return copies.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
