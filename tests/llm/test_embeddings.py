@@ -45,3 +45,13 @@ def test_same_as_brute_force(spark):
 
 def test_empty(spark):
     assert embeddings.op10_embeddings(spark, spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_lost_links_are_not_returned(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(16)], 0, "clash") for i in range(80)]
+    rows += [(80 + i, [2.0 * x + 0.01 * k for k, x in enumerate(rows[i][1])], 0, "clash") for i in range(3)]
+    whole = embeddings.descend
+    monkeypatch.setattr(embeddings, "descend", lambda *a, **b: tuple(x.filter("false") for x in whole(*a, **b)))
+    with pytest.raises(RuntimeError, match="audited links"):
+        embeddings.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA), audit=20, attempts=1)

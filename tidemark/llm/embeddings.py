@@ -7,6 +7,7 @@ which is compared in blocks. Recall is audited against brute force for a bounded
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components
 
+LOG = logging.getLogger(__name__)
 EDGE = "u long, v long, sim double"
 
 
@@ -193,7 +195,7 @@ def descend(nodes: DataFrame, threshold: float, *, k: int, tables: int, rounds:
     return lists, reduce(DataFrame.union, links)
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, k: int = 8, tables: int = 8, rounds: int = 4, settled: float = 0.02, block: int = 1024, audit: int = 512, least_recall: float = 0.95, seed: int = 3) -> tuple[DataFrame, float]:
+def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, k: int = 8, tables: int = 8, rounds: int = 4, settled: float = 0.02, block: int = 1024, audit: int = 512, least_links: int = 1000, audits: int = 32, attempts: int = 5, least_recall: float = 0.95, seed: int = 3) -> tuple[DataFrame, float]:
     """((vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label), recall audited).
 
     Only vectors with equal, non-null labels and equal dimensions are compared. A vector that is null, empty, zero, or
@@ -201,8 +203,10 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, k: in
     and count as links of each other; a null vec_id never names a component unless it is alone. Other columns are left
     out.
 
-    If the audit of ``audit`` query vectors (chosen by a hash) against all vectors of their label finds less than
-    ``least_recall`` of their links, the descent is repeated with twice the lists and tables, up to twice more.
+    Query vectors, in the order of a hash, are compared with all vectors of their label, ``audit`` at a time, until they
+    have ``least_links`` links or all vectors are drawn. After ``audits`` such blocks it is logged that fewer were found,
+    as a table almost without links would else be compared in full. If less than ``least_recall`` of these links are in
+    the result, the descent is repeated with twice the lists and tables; a RuntimeError after ``attempts`` of them.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").alias("vec"), "label")
@@ -213,15 +217,21 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, k: in
     nodes = written(grouped.select(F.monotonically_increasing_id().alias("node"), "label", dim.alias("dim"), F.xxhash64("label", dim).alias("grp"), "vec", "weight", "low"), "nn-nodes")
     small = nodes.select("node", "weight")
 
-    q = nodes.orderBy(F.xxhash64("node")).limit(audit).select("node", "grp", "vec").collect()
-    by_group: dict[int, list] = {}
-    for r in q:
-        by_group.setdefault(r.grp, []).append((r.node, r.vec))
-    held = spark.sparkContext.broadcast({g: (np.array([n for n, _ in x], np.int64), _unit(np.array([v for _, v in x], np.float64))) for g, x in by_group.items()})
-    want = nodes.select("grp", "node", "dim", "vec").mapInArrow(_brute(held, threshold), "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
-    want = {r.node: r.want for r in want.collect() if r.want}
-
-    for attempt in range(3):
+    want: dict[int, int] = {}
+    many, drawn = nodes.count(), 0
+    while drawn < min(many, audit * audits) and sum(want.values()) < least_links:
+        q = nodes.orderBy(F.xxhash64("node"), "node").offset(drawn).limit(audit).select("node", "grp", "vec").collect()
+        by_group: dict[int, list] = {}
+        for r in q:
+            by_group.setdefault(r.grp, []).append((r.node, r.vec))
+        held = spark.sparkContext.broadcast({g: (np.array([n for n, _ in x], np.int64), _unit(np.array([v for _, v in x], np.float64))) for g, x in by_group.items()})
+        one = nodes.select("grp", "node", "dim", "vec").mapInArrow(_brute(held, threshold), "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
+        want |= {r.node: r.want for r in one.collect() if r.want}
+        drawn += len(q)
+    if drawn < many and sum(want.values()) < least_links:
+        LOG.warning("audit of vectors: only %d links at %d of %d vectors", sum(want.values()), drawn, many)
+
+    for attempt in range(attempts):
         size = k << attempt
         lists, found = descend(nodes, threshold, k=size, tables=tables << attempt, rounds=rounds, settled=settled, seed=seed + attempt)
         # the graph's sims may differ in the last bits between its steps: judge each link once, by one formula
@@ -245,8 +255,11 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, k: in
         counts = written(counts, "nn-counts")
         got = {r.node: r.nodes for r in counts.filter(F.col("node").isin(list(want))).select("node", "nodes").collect()} if want else {}
         recall = sum(min(got.get(n, 0), w) for n, w in want.items()) / sum(want.values()) if want else 1.0
+        LOG.info("audit of vectors: recall %.4f of %d links at %d of %d vectors, lists of %d", recall, sum(want.values()), drawn, many, size)
         if recall >= least_recall:
             break
+    else:
+        raise RuntimeError(f"{recall:.4f} of {sum(want.values())} audited links found after {attempts} attempts, {least_recall} wanted")
 
     low = nodes.join(comps, "node", "left").select("node", "low", "weight", F.coalesce("component", "node").alias("component"))
     lowest = low.groupBy("component").agg(F.min("low").alias("component_id"))
