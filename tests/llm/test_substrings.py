@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import substrings
@@ -34,7 +35,7 @@ def test_word_hashes_do_not_depend_on_place():
     assert all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
 
 
-@pytest.mark.parametrize(("group", "vocab"), [(1000, 40), (3, 40), (1000, 2), (2, 400)])
+@pytest.mark.parametrize(("group", "vocab"), [(1000, 40), (3, 40), (1000, 2), (2, 400), (1, 40), (1, 2)])
 def test_same_as_brute_force(spark, group, vocab):
     rnd = random.Random(group + vocab)
     text = lambda n: " ".join(rnd.choice([f"w{rnd.randrange(vocab)}", "é", "A"][: 1 if vocab > 100 else 3]) for _ in range(n))
@@ -51,6 +52,36 @@ def test_same_as_brute_force(spark, group, vocab):
     got = sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in out.collect()), key=repr)
     assert got == by_hand(docs, 20)
 
+def regular(n):
+    """The first n letters of the Thue-Morse sequence and the same with letters swapped."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return a, a.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 3 << 20])
+def test_regular_long_words_are_told_apart(spark, n):
+    x, y = regular(n)
+    left, right = [f"l{i}" for i in range(12)], [f"r{i}" for i in range(12)]
+    docs = [(1, " ".join([*left, x, *right])), (2, " ".join([*left, y, *right])), (3, " ".join([*left, x, *right]))]
+    out = substrings.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in out) == [(1, 25, 0), (2, 25, 0), (3, 25, 25)]
+
+
+@pytest.mark.parametrize("window", [7, 20])
+def test_tree_has_the_repeats_of_its_runs(window):
+    rnd, gram = random.Random(window), 3
+    runs = [[f"w{rnd.randrange(3)}" for _ in range(rnd.randint(window, 2 * window - gram))] for _ in range(80)]
+    runs += [r[rnd.randrange(0, len(r) - window + 1) :] for r in runs]
+    n = np.array([len(r) - window + 1 for r in runs])
+    run, offset, node = substrings.deep_nodes(n, pa.array([" ".join(r).encode() for r in runs], pa.binary()), window)
+    got, want = {}, {}
+    for r, o, k in zip(run.tolist(), offset.tolist(), node.tolist()):
+        got.setdefault(k, set()).add((r, o))
+    for r, words in enumerate(runs):
+        for o in range(len(words) - window + 1):
+            want.setdefault(tuple(words[o : o + window]), set()).add((r, o))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
 
 def test_empty(spark):
     assert substrings.op8_substrings(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []

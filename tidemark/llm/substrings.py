@@ -1,25 +1,28 @@
 """Exact substring dedup by suffix trees over prefix-partitioned suffixes of words.
 
-Suffixes are indexed at anchors only: of every WINDOW words in a row, the GRAM-word stretch with the smallest hash. The
-same words have the same anchor wherever they stand, so two equal windows meet at it. An anchor's words are the prefix by
-which suffixes are split into groups; anchors that occur once are no group. Around each anchor occurrence the windows that
-have it travel together, as one run of words. Runs of the same words lead to the same leaves: the earliest of them goes
-into its group, and all windows of the others go at once.
-
-A prefix with at most GROUP such runs is a group that fits in memory: its windows are sorted by doubling ranks of 1, 2, 4,
-8, 16 words, which is the order of leaves in the group's suffix tree, and windows of equal rank at full depth are the
-leaves under one deep internal node. A prefix with more runs is made longer, up to the whole window; such a group is one
-deep node already and needs only its earliest leaf, which an aggregation finds.
-
-The earliest leaf of each node stays; the words of the others go.
+Suffixes are indexed at anchors: of every WINDOW words in a row, the GRAM-word stretch with the smallest hash. The same
+words have the same anchor wherever they stand, so two equal windows meet at it. The windows that share an anchor
+travel together as one run of words, and the anchor's words are the prefix by which runs are split into groups. Only a
+prefix that occurs twice makes a group.
+
+Of runs with the same words (told by a digest of the words themselves) the earliest goes on and all windows of the
+others go. A prefix with at most GROUP such runs is a group that fits in memory: ``deep_nodes`` sorts its suffixes
+and finds the lengths of their common prefixes, which together are the group's suffix tree. Its internal nodes at
+least WINDOW words deep are the repeats; the earliest leaf below such a node stays, the words of the others go.
+
+A prefix with more runs is made longer, from 5 to 13, 17, 19 and 20 words: of the windows around a prefix some hold
+the next words after it and the others the words before it, so each run splits in two, with one longer prefix each, and
+these are grouped anew. A prefix as long as the window is a deep node itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +34,22 @@ WINDOW, GRAM, GROUP = 20, 5, 1000
 _PLACES = 22
 
 
-def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, their first word, bytes, (start, hash) of words) of several texts at a time."""
+def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]]:
+    """(rows, their first word, bytes, (start, hash) of words) of several texts at a time; one byte lies between words."""
     rows, held, n = [], [], 0
 
     def out():
-        raw = np.frombuffer(b"\n".join(held), np.uint8)
-        start, h = word_hashes(raw)
+        whole = b"\n".join(held)
+        start, h = word_hashes(np.frombuffer(whole, np.uint8))
         first = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in held])[:-1])
-        return np.array(rows), first, raw, start, h
+        return np.array(rows), first, whole, start, h
 
     for i, text in enumerate(texts):
         text = text.as_py()
         if not text:
             continue
         rows.append(i)
-        held.append(text.encode("utf-8", "surrogatepass"))
+        held.append(b" ".join(text.encode("utf-8", "surrogatepass").split()))
         n += len(held[-1]) + 1
         if n >= size:
             yield out()
@@ -89,42 +92,42 @@ def anchors_of(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tupl
     return starts, anchor[starts], key[starts]
 
 
-def _window_hash(h: np.ndarray, starts: np.ndarray, window: int, by: int) -> np.ndarray:
-    w = np.zeros(len(starts), np.uint64)
-    for k in range(window):
-        w = w * np.uint64(by) + h[starts + k]
-    return mixed(w)
+def _digests(parts: Iterator[bytes]) -> np.ndarray:
+    """128 bits of each part's content, as two longs a row."""
+    return np.frombuffer(b"".join([blake2b(p, digest_size=16).digest() for p in parts]), np.int64).reshape(-1, 2)
 
 
 def _emit_anchors(window: int, gram: int):
-    """Rows (key, run, doc, th, at): each anchor's words, those of its run, and its place."""
+    """Rows (key, r1, r2, doc, th, start): each anchor's prefix, the digest of its run's words, and the anchor's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, th = b.column("doc").to_numpy(), b.column("th").to_numpy()
-            for rows, first, _, _, h in _groups(b.column("text")):
+            for rows, first, whole, start, h in _groups(b.column("text")):
                 starts, anchor, key = anchors_of(h, first, window, gram)
                 if not len(anchor):
                     continue
                 opens = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
                 last = np.append(opens[1:], len(anchor)) - 1
-                # a run's first and last window hold all its words, for its windows share an anchor
-                ends = _window_hash(h, starts[opens], window, 0xD6E8FEB86659FD93), _window_hash(h, starts[last], window, 0xA0761D6478BD642F)
-                words = mixed(ends[0] * np.uint64(0xD6E8FEB86659FD93) + ends[1] + (last - opens).astype(np.uint64))
+                end = np.append(start[1:] - 1, len(whole))
+                words = _digests(whole[p:q] for p, q in zip(start[starts[opens]].tolist(), end[starts[last] + window - 1].tolist(), strict=True))
                 anchor, key = anchor[opens], key[opens]
                 of = np.searchsorted(first, anchor, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(words.view(np.int64)), pa.array(doc[rows[of]]), pa.array(th[rows[of]]), pa.array(anchor - first[of], pa.int32())], ["key", "run", "doc", "th", "at"])
+                cols = [pa.array(key.view(np.int64)), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(doc[rows[of]]), pa.array(th[rows[of]]), pa.array(anchor - first[of], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "r1", "r2", "doc", "th", "start"])
 
     return run
 
 
-#: What becomes of a run: its windows are sorted in its group, each is a group of its own, or all of them go.
+#: What becomes of a run: it is a leaf of its group's tree, its prefix is made longer, or all of its windows go.
 SORTED, DEEP, GONE = 1, 2, 3
-_RUNS = "kind int, key long, key2 long, doc long, th long, start int, n int, words binary"
+#: A run's prefix, its first window, how many windows it has, the word at which the prefix begins, and its words.
+_RUNS = "kind int, key long, doc long, th long, start int, n int, pre int, words binary"
 
 
 def _emit_runs(window: int, gram: int):
-    """Rows (doc, th, text, anchors): for each anchor its run of windows with their words; or, if DEEP, each window's own two hashes; or, if GONE, the stretch of windows."""
+    """Rows (doc, th, text, anchors): for each anchor its run of windows with their words; if GONE, the stretch of windows alone."""
+    names = [f.split()[0] for f in _RUNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,85 +135,115 @@ def _emit_runs(window: int, gram: int):
             lists = b.column("anchors")
             cut, at, kind = lists.offsets.to_numpy(), lists.flatten().field("at").to_numpy(), lists.flatten().field("kind").to_numpy()
             cut = cut - cut[0]
-            for rows, first, raw, start, h in _groups(b.column("text")):
+            for rows, first, whole, start, h in _groups(b.column("text")):
                 starts, anchor, key = anchors_of(h, first, window, gram)
                 mark = np.zeros(len(h) + 1, np.int8)
                 for r, f in zip(rows.tolist(), first.tolist(), strict=True):
                     own = slice(cut[r], cut[r + 1])
                     mark[f + at[own]] = kind[own]
+                what = mark[anchor]
+                some = np.flatnonzero(what)
+                if not len(some):
+                    continue
                 of = np.searchsorted(first, starts, "right") - 1
-                end = np.append(start[1:], len(raw) + 1)  # where the next word begins
-                deep = np.flatnonzero(mark[anchor] == DEEP)
-                if len(deep):
-                    r, w = rows[of[deep]], [_window_hash(h, starts[deep], window, by).view(np.int64) for by in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-                    cols = [pa.array(np.full(len(deep), DEEP, np.int32)), pa.array(w[0]), pa.array(w[1]), pa.array(doc[r]), pa.array(th[r]), pa.array(starts[deep] - first[of[deep]], pa.int32()), pa.array(np.ones(len(deep), np.int32)), pa.nulls(len(deep), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, _RUNS_NAMES)
-                gone = np.flatnonzero(mark[anchor] == GONE)
-                if len(gone):
-                    new = np.flatnonzero(np.concatenate(([True], np.diff(starts[gone]) != 1)))
-                    n, lo = np.diff(np.append(new, len(gone))), gone[new]
-                    r, none = rows[of[lo]], pa.array(np.zeros(len(lo), np.int64))
-                    cols = [pa.array(np.full(len(lo), GONE, np.int32)), none, none, pa.array(doc[r]), pa.array(th[r]), pa.array(starts[lo] - first[of[lo]], pa.int32()), pa.array(n, pa.int32()), pa.nulls(len(lo), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, _RUNS_NAMES)
-                cold = np.flatnonzero(mark[anchor] == SORTED)
-                if len(cold):
-                    new = np.concatenate(([True], (anchor[cold][1:] != anchor[cold][:-1]) | (np.diff(cold) != 1)))
-                    lo = cold[new]
-                    n = np.diff(np.append(np.flatnonzero(new), len(cold)))
-                    r = rows[of[lo]]
-                    last = starts[lo] + n - 1 + window - 1
-                    whole = raw.tobytes()
-                    words = [b" ".join(whole[p:q].split()) for p, q in zip(start[starts[lo]].tolist(), end[last].tolist(), strict=True)]
-                    cols = [pa.array(np.full(len(lo), SORTED, np.int32)), pa.array(key[lo].view(np.int64)), pa.array(np.zeros(len(lo), np.int64)), pa.array(doc[r]), pa.array(th[r]), pa.array(starts[lo] - first[of[lo]], pa.int32()), pa.array(n, pa.int32()), pa.array(words, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, _RUNS_NAMES)
+                # runs that go are one stretch as long as windows follow each other
+                what, place, group = what[some], starts[some], np.where(what[some] == GONE, -1, anchor[some])
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(group) != 0) | (np.diff(of[some]) != 0))))
+                n, lo = np.diff(np.append(new, len(some))), some[new]
+                what, r, end = what[new], rows[of[lo]], np.append(start[1:] - 1, len(whole))
+                stays = what != GONE
+                words = [whole[p:q] if s else None for s, p, q in zip(stays.tolist(), start[starts[lo]].tolist(), end[starts[lo] + n + window - 2].tolist(), strict=True)]
+                place = pa.array(starts[lo] - first[of[lo]], pa.int32())
+                cols = [pa.array(what, pa.int32()), pa.array(key[lo].view(np.int64)), pa.array(doc[r]), pa.array(th[r]), place, pa.array(n, pa.int32()), pa.array(anchor[lo] - starts[lo], pa.int32()), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-_RUNS_NAMES = ["kind", "key", "key2", "doc", "th", "start", "n", "words"]
+_LONGER = "key long, r1 long, r2 long, doc long, th long, start int, n int, pre int, words binary"
+
+
+def _lengthen(window: int, old: int, new: int):
+    """Runs around a prefix of ``old`` words as runs around one of ``new`` words: windows that hold the words after it, and those that hold the words before it."""
+    names = [f.split()[0] for f in _LONGER.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, th, start, n, pre, text in zip(*(b.column(c).to_pylist() for c in ("doc", "th", "start", "n", "pre", "words")), strict=True):
+                words, cut = text.split(b" "), min(n, max(0, pre - window + new))
+                for lo, hi, at in ((0, cut, pre - (window + 1 - new)), (cut, n, pre)):
+                    if lo < hi:
+                        own = words[lo : hi + window - 1]
+                        key, part = b" ".join(words[at : at + new]), b" ".join(own)
+                        rows.append((key, doc, th, start + lo, hi - lo, at - lo, part))
+            if rows:
+                key, doc, th, start, n, pre, part = zip(*rows, strict=True)
+                told, prefix = _digests(part), _digests(key)[:, 0]
+                cols = [prefix, told[:, 0], told[:, 1], doc, th, start, n, pre, part]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-def later_leaves(doc: np.ndarray, start: np.ndarray, n: np.ndarray, words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(run, offset) of the windows that are not the earliest leaf of their node in the tree of these runs' suffixes."""
-    number: dict[bytes, int] = {}
-    ids, size = [], []
-    for w in words:
-        split = w.split(b" ")
-        ids += [number.setdefault(x, len(number)) for x in split]
-        size.append(len(split))
-    ranks = {1: np.array(ids, np.int64)}
-    base = np.cumsum(size) - size
-    depth, total = 1, len(ids)
+    return run
 
-    def joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
-        second = np.zeros(total, np.int64)  # what reaches beyond a run's end is no window's
-        second[: total - by] = b[by:]
-        return np.unique(a * (int(b.max()) + 1) + second, return_inverse=True)[1]
 
-    while depth * 2 <= window:
-        ranks[depth * 2] = joined(ranks[depth], ranks[depth], depth)
+def deep_nodes(n: np.ndarray, words: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, offset, node) of the windows below internal nodes of at least ``window`` words in the suffix tree of these runs.
+
+    The tree is the sorted suffixes with the lengths of common prefixes of neighbours. Suffixes are ranked by 1, 2, 4, ...
+    words until the longest run is covered; the same ranks, from the longest down, give the common prefixes.
+    """
+    lists = pc.split_pattern(words, b" ")
+    size = np.diff(lists.offsets.to_numpy())
+    # an end mark, below all words, after each run
+    ids = np.zeros(size.sum() + len(size), np.int64)
+    base = np.cumsum(size + 1) - (size + 1)
+    body = np.ones(len(ids), bool)
+    body[base + size] = False
+    ids[body] = lists.flatten().dictionary_encode().indices.to_numpy() + 1
+    ranks, depth = [ids], 1
+    while depth < size.max():
+        second = np.zeros(len(ids), np.int64)
+        second[: len(ids) - depth] = ranks[-1][depth:]
+        ranks.append(np.unique(ranks[-1] * (int(second.max()) + 1) + second, return_inverse=True)[1])
         depth *= 2
-    rank, rest = ranks[depth], window - depth
-    for d in sorted(ranks, reverse=True):
-        if rest >= d:
-            rank, depth, rest = joined(rank, ranks[d], depth), depth + d, rest - d
     run = np.repeat(np.arange(len(n)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    leaf, at = rank[base[run] + offset], start[run] + offset
-    order = np.lexsort((at, doc[run], leaf))
-    opens = np.concatenate(([True], leaf[order][1:] != leaf[order][:-1]))
+    place = base[run] + offset
+    order = np.argsort(ranks[-1][place], kind="stable")
+    a, b = place[order][:-1], place[order][1:]
+    rest = (size[run] - offset)[order]
+    common, most = np.zeros(len(a), np.int64), np.minimum(rest[:-1], rest[1:])
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = np.minimum(a + common, len(ids) - 1), np.minimum(b + common, len(ids) - 1)
+        common += (ranks[k][x] == ranks[k][y]).astype(np.int64) << k
+    deep = np.minimum(common, most) >= window
+    below = np.concatenate((deep, [False])) | np.concatenate(([False], deep))
+    node = np.cumsum(np.concatenate(([True], ~deep)))
+    return run[order][below], offset[order][below], node[below]
+
+
+def later_leaves(doc: np.ndarray, start: np.ndarray, n: np.ndarray, words: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, offset) of the windows that are not the earliest leaf below their deep node."""
+    run, offset, node = deep_nodes(n, words, window)
+    if not len(run):
+        return run, offset
+    at = start[run] + offset
+    order = np.lexsort((at, doc[run], node))
+    opens = np.concatenate(([True], np.diff(node[order]) != 0))
     head = order[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
     later = order[(doc[run][order] != doc[run][head]) | (at[order] != at[head])]
-    later.sort()
+    later = later[np.lexsort((offset[later], run[later]))]
     return run[later], offset[later]
 
 
-def _subtrees(window: int, words_at_once: int = 400_000):
-    """Rows sorted by key; whole groups are taken together until they hold ``words_at_once`` windows."""
+def _subtrees(window: int, windows_at_once: int = 400_000):
+    """Rows sorted by key; whole groups are taken together until they hold ``windows_at_once`` windows."""
 
     def found(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
         doc, th, start, n = (t.column(c).to_numpy() for c in ("doc", "th", "start", "n"))
-        run, offset = later_leaves(doc, start.astype(np.int64), n.astype(np.int64), t.column("words").to_pylist(), window)
+        run, offset = later_leaves(doc, start.astype(np.int64), n.astype(np.int64), t.column("words").chunk(0), window)
         # windows in a row make one span
         new = np.flatnonzero(np.concatenate(([True], (np.diff(run) != 0) | (np.diff(offset) != 1)))) if len(run) else np.empty(0, np.int64)
         last = np.append(new[1:], len(run)) - 1
@@ -220,9 +253,11 @@ def _subtrees(window: int, words_at_once: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             n += int(batch.column("n").to_numpy().sum())
-            if n < words_at_once:
+            if n < windows_at_once:
                 continue
             t = pa.Table.from_batches(held)
             key = t.column("key").to_numpy()
@@ -253,25 +288,43 @@ def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
 
+def _judged(runs: DataFrame, group: int, whole: bool = False) -> DataFrame:
+    """``runs`` (key, r1, r2, doc, start, ...) with ``kind``: GONE if the same words come earlier; else null if its prefix has no other run, SORTED if it has few, DEEP if many. If ``whole``, prefixes are windows and nothing is left to find among different runs."""
+    heads = runs.groupBy("key", "r1", "r2").agg(F.min(F.struct("doc", "start")).alias("head"))
+    if whole:
+        kinds = heads.withColumn("kind", F.lit(None).cast("int"))
+    else:
+        heads = written(heads, "heads")
+        groups = heads.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.when(F.col("many") > group, DEEP).otherwise(SORTED).alias("kind"))
+        kinds = heads.join(groups.hint("merge"), "key", "left")
+    first = (F.col("doc") == F.col("head.doc")) & (F.col("start") == F.col("head.start"))
+    return runs.join(kinds.hint("merge"), ["key", "r1", "r2"]).withColumn("kind", F.when(first, F.col("kind")).otherwise(GONE)).drop("head").filter("kind is not null")
+
+
 def repeated_spans(texts: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc, th, a, b): word spans [a, b) of ``texts`` (doc, th, text) covered by windows that also start earlier."""
-    anchors = written(texts.mapInArrow(_emit_anchors(window, gram), "key long, run long, doc long, th long, at int"), "anchors")
+    anchors = written(texts.mapInArrow(_emit_anchors(window, gram), "key long, r1 long, r2 long, doc long, th long, start int"), "anchors")
     # written, so that the join below reads both sides from a shuffle and a frequent anchor's rows can be split
     many = written(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "many")
     again = written(anchors.join(many.hint("merge"), "key"), "again")
-    heads = written(again.groupBy("key", "run").agg(F.min(F.struct("doc", "at")).alias("head")), "heads")
-    groups = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.when(F.col("n") > group, DEEP).otherwise(SORTED).alias("kind"))
-    kinds = heads.join(groups.hint("merge"), "key", "left")
-    first = (F.col("doc") == F.col("head.doc")) & (F.col("at") == F.col("head.at"))
-    told = again.join(kinds.hint("merge"), ["key", "run"]).select("doc", "th", "at", F.when(first, F.col("kind")).otherwise(GONE).alias("kind")).filter("kind is not null")
-    marked = told.groupBy("doc", "th").agg(F.collect_set(F.struct("at", "kind")).alias("anchors"))
-    runs = written(texts.join(marked.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "anchors").mapInArrow(_emit_runs(window, gram), _RUNS), "runs")
-    trees = runs.filter(F.col("kind") == SORTED).drop("kind").repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), "doc long, th long, a int, b int")
-    deep = runs.filter(F.col("kind") == DEEP).select("key", "key2", "doc", "th", "start")
-    gone = runs.filter(F.col("kind") == GONE).select("doc", "th", "start", F.col("start") + F.col("n") + (window - 1))
-    head = deep.groupBy("key", "key2").agg(F.min(F.struct("doc", "start")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "key2", "head")
-    later = deep.join(head.hint("merge"), ["key", "key2"]).filter((F.col("doc") != F.col("head.doc")) | (F.col("start") != F.col("head.start")))
-    return trees.union(gone).union(later.select("doc", "th", "start", F.col("start") + window))
+    marked = _judged(again, group).groupBy("doc", "th").agg(F.collect_set(F.struct(F.col("start").alias("at"), "kind")).alias("anchors"))
+    # rows repeated as they are need their runs once
+    once = texts.dropDuplicates(["doc", "th"])
+    runs = written(once.join(marked.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "anchors").mapInArrow(_emit_runs(window, gram), _RUNS), "runs")
+
+    def spans(of: DataFrame) -> DataFrame:
+        leaves = of.filter(F.col("kind") == SORTED).select("key", "doc", "th", "start", "n", "words").repartition("key").sortWithinPartitions("key")
+        gone = of.filter(F.col("kind") == GONE).select("doc", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
+        return leaves.mapInArrow(_subtrees(window), "doc long, th long, a int, b int").union(gone)
+
+    out, prefix = spans(runs), gram
+    while prefix < window and not runs.filter(F.col("kind") == DEEP).isEmpty():
+        longer = (prefix + window + 1) // 2
+        deep = runs.filter(F.col("kind") == DEEP).select("doc", "th", "start", "n", "pre", "words")
+        split = written(deep.mapInArrow(_lengthen(window, prefix, longer), _LONGER), "longer")
+        runs, prefix = written(_judged(split, group, longer == window), "runs"), longer
+        out = out.union(spans(runs))
+    return out
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:

@@ -36,19 +36,8 @@ def chunks(texts: pa.Array, step: int, overlap: int = 0, fold=None, size: int =
         yield np.frombuffer(b"".join(held), np.uint8), np.array(starts), np.array(docs)
 
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        _powers[base] = np.multiply.accumulate(out)
-    return _powers[base][:n]
+_SLICE = 1 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -57,6 +46,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_LONG = 64
+
+
+def _drawn(code: np.ndarray) -> np.ndarray:
+    """A number for each byte at each place of a word, as if drawn at random."""
+    return mixed((code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_NEAR = _drawn(np.arange(_LONG * 256)).reshape(_LONG, 256)
+
+
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[start, end) of every word between ASCII white space."""
     edge = np.diff(np.concatenate(([0], (~_SPACE[raw]).astype(np.int8), [0])))
@@ -64,9 +64,25 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every word between ASCII white space; the hash is the same wherever the word stands."""
-    if not len(raw):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    """(start, hash) of every word between ASCII white space; the hash is the same wherever the word stands.
+
+    It is the sum of the numbers drawn for the word's bytes at their places: no polynomial, whose value at an odd base
+    modulo 2**64 is the same for many regular words.
+    """
     start, end = word_bounds(raw)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_ODD, len(raw)), dtype=np.uint64)))
-    return start, mixed((total[end] - total[start]) * _power(_INVERSE, len(raw) + 1)[start] + (end - start).astype(np.uint64))
+    size = end - start
+    order = np.argsort(-size, kind="stable")
+    at, total = start[order], np.zeros(len(start), np.uint64)
+    live = np.searchsorted(-size[order], -np.arange(_LONG))  # words longer than each place come first
+    for place in range(_LONG):
+        n = live[place]
+        if not n:
+            break
+        total[:n] += _NEAR[place][raw[at[:n] + place]]
+    for k in range(np.searchsorted(-size[order], -_LONG) if len(size) else 0):
+        for a in range(_LONG, int(size[order[k]]), _SLICE):
+            part = raw[at[k] + a : min(at[k] + a + _SLICE, end[order[k]])]
+            total[k] += _drawn(np.arange(a, a + len(part)) << 8 | part).sum(dtype=np.uint64)
+    h = np.empty(len(start), np.uint64)
+    h[order] = total
+    return start, mixed(h + size.astype(np.uint64))
