@@ -34,22 +34,29 @@ BUCKET = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int, seed: int) -> int:
-    """Bit set if it is in over half of the shingles' hashes; a text without words has zero."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """The hash of every shingle, in order and with repeats; fewer words than ``shingle`` are one shingle, none are no shingle."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
-    n = max(1, len(words) - shingle + 1)
     ends = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, n)  # noqa: B905
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends))  # noqa: B905
+
+
+def folded(h: np.ndarray) -> int:
+    """Bit set if it is in over half of the hashes; zero if there are none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int, seed: int) -> int:
+    return folded(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFrame:
