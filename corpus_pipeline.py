@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard, langid, mixing, sharding
+from tidemark.llm import decontaminate, langid, mixing, sharding, similar
 from tidemark.llm.common import new_path, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,10 +35,11 @@ def as_rows(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more): that with
-    the smallest id, null last; of equal ids, one."""
+    """Keeps one row of each group of near duplicates: that with the smallest id, null last; of equal ids, one.
+
+    SimHash with Golay keys proposes pairs, and five-word shingles with a Jaccard similarity of 0.8 or more link them."""
     rows = identified(docs)
-    named = rows.select("row", "doc_id").join(jaccard.near_duplicate_groups(rows.select("row", "text")), "row")
+    named = rows.select("row", "doc_id").join(similar.similar_groups(rows.select("row", "text")), "row")
     kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept"))
     return rows.join(kept.hint("merge"), F.col("row") == F.col("kept")).select(*COLUMNS)
 
