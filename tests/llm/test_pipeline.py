@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as cp
-from tidemark.llm import jaccard, mixing, simhash
+from tidemark.llm import mixing, similar, simhash
 
 WORDS = {"en": "the and of with that this from have".split(), "de": "der die das und nicht ein mit auch".split()}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,8 +109,8 @@ def test_rows_are_told_apart_where_ids_are_not(spark, sf_dir):
     assert got == want
 
 
-def test_near_dedup_is_brute_force_jaccard(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_near_dedup_is_brute_force_jaccard(spark, bucket):
     rnd, texts = random.Random(3), [None, "", " \n", "one two", "One  two"]
     passage = " ".join(f"p{k}" for k in range(30))
     for i in range(25):
@@ -133,5 +133,7 @@ def test_near_dedup_is_brute_force_jaccard(spark, sf_dir, monkeypatch):
             low[a] = min(low[a], low[b])
     want = {i for i, x in enumerate(low) if i == x}
     assert len(want) < len(texts) - 30
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    assert {r.doc_id for r in cp.near_dedup_stage(spark, docs, sf_dir).collect()} == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    # with many fingerprints of each set no link is missed; a bucket of two takes the other way for larger groups
+    got = {r.row: r.component for r in similar.similar_groups(docs, seeds=6, reach=24, bucket=bucket).collect()}
+    assert {i for i, c in got.items() if i == c} == want and got == dict(enumerate(low))
