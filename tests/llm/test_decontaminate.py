@@ -69,3 +69,13 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in dc.op3_decontaminate(spark, d, b).collect()] == [(1, 2, 0, 0)]
     assert dc.op3_decontaminate(spark, d.limit(0), b).collect() == []
+
+
+@pytest.mark.parametrize("pass_chars", [16_000_000, 3])
+def test_large_ids_beside_null_ids(spark, pass_chars, monkeypatch):
+    monkeypatch.setattr(dc.find_benchmark_spans, "__kwdefaults__", {**dc.find_benchmark_spans.__kwdefaults__, "pass_chars": pass_chars})
+    ids = [(1 << 53) + 1, None, (1 << 62) + 3, None, -(1 << 62) - 5, (1 << 53) + 1]
+    docs = [(i, f"some words and item{k % 2} text") for k, i in enumerate(ids)]
+    items = [(1, "item0 text"), (2, "words and item1")]
+    got = dc.op3_decontaminate(spark, spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == by_hand(docs, items)

@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WINDOW = 13
 #: Suffix positions kept: every eighth.
@@ -125,23 +125,40 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of benchmark items as rows of word numbers, by length, with the items that have them."""
+    """Windows of benchmark items as rows of word numbers, by length, with the items that have them.
+
+    A pass of the benchmark is held as arrays: 4 bytes for each word of each different window and 12 for each window of an
+    item, besides the dictionary of different words.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item for item, _ in items})
+        place = {name: i for i, name in enumerate(self.names)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            ids = tuple(self.number.setdefault(w, len(self.number) + 2) for w in fold_words(text))
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(ids[i : i + window], set()).add(item)
-        self.by_length = {n: [np.array(rows, np.int64), [sorted(found[r]) for r in rows]] for n in sorted({len(p) for p in found}) if (rows := [p for p in found if len(p) == n])}
+            ids = np.array([self.number.setdefault(w, len(self.number) + 2) for w in fold_words(text)], np.int32)
+            if len(ids):
+                n = min(window, len(ids))
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), place[item]))
         self.alphabet = len(self.number) + 2
-        pairs = [rows[:, i] * self.alphabet + rows[:, i + 1] for rows, _ in self.by_length.values() for i in range(rows.shape[1] - 1)]
+        self.by_length: dict[int, np.ndarray] = {}
+        owners, first = [], 0
+        for n in sorted(found):
+            rows, which = np.unique(np.concatenate([r for r, _ in found[n]]), axis=0, return_inverse=True)
+            item = np.repeat([i for _, i in found[n]], [len(r) for r, _ in found[n]])
+            owners.append(np.unique(np.stack((which.ravel() + first, item)), axis=1))
+            self.by_length[n] = rows
+            first += len(rows)
+        # the items of window k are owner[start[k] : start[k + 1]]
+        window_of, self.owner = np.concatenate(owners, 1) if owners else np.empty((2, 0), np.int64)
+        self.start = np.searchsorted(window_of, np.arange(first + 1))
+        pairs = [rows[:, i].astype(np.int64) * self.alphabet + rows[:, i + 1] for rows in self.by_length.values() for i in range(rows.shape[1] - 1)]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         self.shortest = min(self.by_length, default=0)
         self.single = np.zeros(self.alphabet, bool)
         if 1 in self.by_length:
-            self.single[self.by_length[1][0][:, 0]] = True
+            self.single[self.by_length[1][:, 0]] = True
 
     def runs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[from, to) of the stretches that could hold a phrase: neighbours are a pair of some phrase."""
@@ -162,11 +179,12 @@ class Phrases:
             lo, hi = np.concatenate((lo, alone)), np.concatenate((hi, alone + 1))
         return lo, hi
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[str]], np.ndarray]:
-        """Occurrences in one shard: positions and lengths, and for each the number of its phrase's items."""
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences in one shard: positions, lengths, and the number of the window."""
         lo, hi = self.runs(ids)
+        none = np.empty(0, np.int64)
         if not len(lo):
-            return np.empty(0, np.int64), np.empty(0, np.int64), [], np.empty(0, np.int64)
+            return none, none, none
         size = hi - lo + 1  # each run and an end mark after it
         start = np.cumsum(size) - size
         where = np.repeat(lo - start, size) + np.arange(size.sum())
@@ -175,31 +193,29 @@ class Phrases:
         body[start + size - 1] = False
         text[body] = ids[where[body]]
         index = FMIndex(text, self.alphabet)
-        at, length, items, which = [], [], [], []
-        for n, (rows, names) in self.by_length.items():
+        at, length, which, first = [none], [none], [none], 0
+        for n, rows in self.by_length.items():
             a, b = index.search(rows)
             count = b - a
             some = np.flatnonzero(count)
-            total = count[some].sum()
-            if not total:
-                continue
             c = count[some]
-            every = np.repeat(a[some] - (np.cumsum(c) - c), c) + np.arange(total)
+            every = np.repeat(a[some] - (np.cumsum(c) - c), c) + np.arange(c.sum())
             at.append(where[index.locate(every)])
-            length.append(np.full(total, n))
-            which.append(np.repeat(np.arange(len(some)), c) + len(items))
-            items += [names[i] for i in some]
-        if not at:
-            return np.empty(0, np.int64), np.empty(0, np.int64), [], np.empty(0, np.int64)
-        return np.concatenate(at), np.concatenate(length), items, np.concatenate(which)
+            length.append(np.full(len(every), n))
+            which.append(np.repeat(some, c) + first)
+            first += len(rows)
+        return np.concatenate(at), np.concatenate(length), np.concatenate(which)
+
+
+_SPAN = pa.struct([("from_word", pa.int32()), ("to_word", pa.int32())])
 
 
-def _shard_rows(phrases: Phrases, docs: list, words: list[np.ndarray]) -> pd.DataFrame:
+def _shard_rows(phrases: Phrases, docs: list[int | None], words: list[np.ndarray]) -> pa.RecordBatch:
     sizes = np.array([len(w) for w in words], np.int64)
     # an end mark after each document keeps phrases from lying across two
     ids = np.concatenate([np.append(w, 1) for w in words])
     base = np.cumsum(sizes + 1) - (sizes + 1)
-    at, length, items, which = phrases.hits(ids)
+    at, length, which = phrases.hits(ids)
     spans, found = [[] for _ in docs], [set() for _ in docs]
     if len(at):
         by = np.argsort(at, kind="stable")
@@ -210,28 +226,23 @@ def _shard_rows(phrases: Phrases, docs: list, words: list[np.ndarray]) -> pd.Dat
         first = np.flatnonzero(opens)
         ends = reach[np.concatenate((first[1:] - 1, [len(at) - 1]))]
         for f, e in zip(first, ends, strict=True):
-            spans[doc[f]].append((int(at[f] - base[doc[f]]), int(e - base[doc[f]])))
+            spans[doc[f]].append({"from_word": int(at[f] - base[doc[f]]), "to_word": int(e - base[doc[f]])})
         for d, w in {*zip(doc.tolist(), which.tolist(), strict=True)}:
-            found[d].update(items[w])
-    return pd.DataFrame(
-        {
-            "doc_id": pd.array(docs, "Int64"),
-            "n_words": sizes,
-            "spans": [[{"from_word": a, "to_word": b} for a, b in s] for s in spans],
-            "items": [sorted(x) for x in found],
-        }
-    )
+            found[d].update(phrases.owner[phrases.start[w] : phrases.start[w + 1]].tolist())
+    names = [[phrases.names[i] for i in sorted(x)] for x in found]
+    cols = [pa.array(docs, pa.int64()), pa.array(sizes), pa.array(spans, pa.list_(_SPAN)), pa.array(names, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "spans", "items"])
 
 
 def _find(shared, shard_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = shared.value
         get = phrases.number.get
         docs, words, n = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                split = fold_words(text)
-                docs.append(None if pd.isna(doc) else int(doc))
+            for doc, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text"), strict=True):
+                split = fold_words(text.as_py())
+                docs.append(doc)
                 words.append(np.fromiter((get(w, 1) for w in split), np.int64, len(split)))
                 if (n := n + len(split)) >= shard_words:
                     yield _shard_rows(phrases, docs, words)
@@ -257,28 +268,34 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, window: int =
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-chars // pass_chars))
-    texts = docs.select("doc_id", "text")
+    schema = f"doc_id long, n_words long, spans {SPANS}, items array<string>"
     if passes == 1:
         held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in items.collect()], window))
-        return texts.mapInPandas(_find(held, shard_words), f"doc_id long, n_words long, spans {SPANS}, items array<string>")
-    keyed = texts.withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "text")
+        return docs.select("doc_id", "text").mapInArrow(_find(held, shard_words), schema)
+    # written, so that every pass and the last join see the same rows under the same number
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate-rows")
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
     found = None
     for p in range(passes):
         held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in items.filter(part == p).collect()], window))
-        one = keyed.mapInPandas(_find(held, shard_words), f"doc_id long, n_words long, spans {SPANS}, items array<string>")
+        one = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_find(held, shard_words), schema)
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = found.groupBy(F.col("doc_id").alias("row")).agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     spans = F.expr(
         f"""aggregate(all, cast(array() as {SPANS}), (m, s) -> if(size(m) > 0 and m[size(m) - 1].to_word >= s.from_word,
             concat(slice(m, 1, size(m) - 1), array(named_struct('from_word', m[size(m) - 1].from_word, 'to_word', greatest(m[size(m) - 1].to_word, s.to_word)))),
             concat(m, array(s))))"""
     )
-    ids = docs.select(F.col("doc_id").alias("own_id")).withColumn("doc_id", F.monotonically_increasing_id())
-    return merged.withColumn("spans", spans).drop("all").join(ids, "doc_id").select(F.col("own_id").alias("doc_id"), "n_words", "spans", "items")
+    return merged.withColumn("spans", spans).drop("all").join(keyed.select("row", "doc_id"), "row").select("doc_id", "n_words", "spans", "items")
 
 
 def op3_decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with the number of its words that benchmark windows cover.
+
+    Null, empty and word-free texts have no words, no hit and the digest of an empty list, and are not contaminated; ids of
+    any size, null and repeated ones come back as they are, a row each. Items that share an id count as one. Without
+    documents there is no row, without items nothing is contaminated. Other columns are left out.
+    """
     found = find_benchmark_spans(docs, benchmark)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to_word"] - s["from_word"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")).withColumn(
