@@ -58,6 +58,52 @@ def test_mix_meets_targets_and_bounds(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize(("length", "shard_blocks", "cell_rows"), [(16, 8, 10), (7, 300, 5000)])
+def test_pieces_replay_the_plan(spark, length, shard_blocks, cell_rows):
+    """Streams have neither gap nor overlap, each pass takes every block once, shards are full, and what is taken is what the draws cover."""
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 150)) or None, ["a", "b", None, "hot"][min(3, int(rng.integers(0, 6)))], int(rng.integers(0, 60))) for _ in range(300)]
+    rows += [(5, "a", 9)] * 50 + [(7, "big", 4000), (8, "none", 0)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumns({"target": F.lit("clash"), "start": F.lit(1)})
+    parts = [t.collect() for t in mixing.mix(sized, length=length, shard_blocks=shard_blocks, cell_rows=cell_rows)]
+    targets, streams, draws, pieces = parts
+    assert Counter((r.doc_id, r.source, r.size) for r in streams) == Counter(rows)
+    size = {t.src: t.source_size for t in targets}
+    for src, n in size.items():
+        at = 0
+        for r in sorted((r for r in streams if r.src == src and r.size), key=lambda r: r.start):
+            assert r.start == at
+            at += r.size
+        assert at == n
+    shards = Counter(d.shard for d in draws)
+    assert sorted(shards) == list(range(len(shards))) and [n for _, n in sorted(shards.items())][:-1] == [shard_blocks] * (len(shards) - 1)
+    want = Counter()
+    for src, n in size.items():
+        own = sorted((d for d in draws if d.src == src), key=lambda d: d.draw)
+        assert [d.draw for d in own] == list(range(len(own)))
+        blocks = -(-n // length)
+        for e in {d.epoch for d in own}:
+            met = [d.block for d in own if d.epoch == e]
+            assert len(set(met)) == len(met) and (len(met) == blocks or e == own[-1].epoch)
+        for d in own:
+            lo, hi = d.block * length, d.block * length + d.take
+            for r in streams:
+                if r.src == src and (both := min(hi, r.start + r.size) - max(lo, r.start)) > 0:
+                    want[src, r.start] += both
+    got = Counter()
+    for p in pieces:
+        got[p.src, p.start] += p.to_word - p.from_word
+    assert got == want
+    assert [sorted(map(str, t.collect())) for t in mixing.mix(sized.repartition(5), length=length, shard_blocks=shard_blocks, cell_rows=cell_rows)] == [sorted(map(str, t)) for t in parts]
+
+
+def test_counts_of_a_shard_follow_the_weights():
+    left, rng = np.array([3000, 1000, 2000]), np.random.default_rng(1)
+    n = np.mean([mixing.drawn_counts(rng, 600, left) for _ in range(300)], 0)
+    assert np.abs(n - [300, 100, 200]).max() < 5
+    assert list(mixing.drawn_counts(rng, 6, np.array([1, 0, 5]))) == [1, 0, 5]
+
+
 def test_mix_of_nothing(spark):
     assert mixing.op1_mixing(spark, docs(spark, [])).collect() == []
     only = mixing.op1_mixing(spark, docs(spark, [(1, None, None)])).collect()

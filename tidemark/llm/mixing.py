@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from .common import n_words, written
 from .textbytes import word_bounds
 
-#: Sub-ranges of a source's token stream in which documents are ordered; with the document id they fix the stream.
-CELLS = 256
+#: Documents of a cell, about: each source's token stream is its cells one after the other, and a cell is sorted by one task.
+CELL_ROWS = 20_000
+#: Output shards whose source counts one task draws, one after the other.
+RANGE_SHARDS = 16
+#: Copies of a document that are made at once.
+_COPIES = 4096
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0) -> DataFrame:
@@ -60,81 +64,122 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray
     return out.astype(np.int64)
 
 
-def _shard_counts(shards: int, seed: int):
+def drawn_counts(rng: np.random.Generator, size: int, left: np.ndarray) -> np.ndarray:
+    """Multinomial counts of ``size`` draws by the weights ``left``, none above it: what would be is drawn again among the rest."""
+    got = np.zeros_like(left)
+    while (need := size - int(got.sum())) > 0:
+        room = left - got
+        got += np.minimum(rng.multinomial(need, room / room.sum()), room)
+    return got
+
+
+_PLAN = "range long, blocks long, src array<int>, source_size array<long>, words array<long>, draws array<long>, first array<long>, n array<long>"
+
+
+def _range_counts(per_range: int, seed: int):
+    """The plan of all sources, one row, to a row for each range of shards: how many draws of each source it has, and the first."""
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s in batch.itertuples(index=False):
-                n = np.random.default_rng(_key(seed, "shards", s.src)).multinomial(s.draws, np.full(shards, 1 / shards))
-                some = np.flatnonzero(n)
-                yield pd.DataFrame({"src": s.src, "source_size": s.source_size, "words": s.words, "draws": s.draws, "shard": some, "first": (np.cumsum(n) - n)[some], "n": n[some]})
+            for p in batch["plan"]:
+                src, size, words, draws = (np.array([s[c] for s in p], np.int64) for c in ("src", "source_size", "words", "draws"))
+                left, k, held = draws.copy(), 0, []
+                while left.sum():
+                    n = drawn_counts(np.random.default_rng(_key(seed, "range", k)), min(per_range, int(left.sum())), left)
+                    held.append({"range": k, "blocks": int(n.sum()), "src": src.astype(np.int32), "source_size": size, "words": words, "draws": draws, "first": draws - left, "n": n})
+                    left, k = left - n, k + 1
+                    if len(held) == 1000:
+                        yield pd.DataFrame(held)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held)
 
     return draw
 
 
-def _draws(length: int, seed: int):
+def _draws(length: int, shard_blocks: int, seed: int):
+    """A range of shards to the draws of its shards: each shard has multinomial source counts, and each draw a block."""
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s in batch.itertuples(index=False):
-                k = np.arange(s.first, s.first + s.n)
-                blocks, full = -(-s.source_size // length), s.source_size // length
-                epoch, j = k // blocks, k % blocks
-                block = j.copy()
-                for e in np.unique(epoch):
-                    at = (epoch == e) & (j < full)
-                    block[at] = permuted(j[at], full, _key(seed, s.src, int(e)))
-                take = np.minimum(length, s.source_size - block * length)
-                last = (k == s.draws - 1) & (s.words % s.source_size > 0)
-                take[last] = s.words % s.source_size - j[last] * length
-                yield pd.DataFrame({"src": s.src, "shard": s.shard, "draw": k, "epoch": epoch, "block": block, "take": take})
+            for p in batch.itertuples(index=False):
+                left, first, shard = p.n.copy(), p.first.copy(), p.range * RANGE_SHARDS
+                while left.sum():
+                    n = drawn_counts(np.random.default_rng(_key(seed, "shard", shard)), min(shard_blocks, int(left.sum())), left)
+                    for i in np.flatnonzero(n):
+                        size, many = int(p.source_size[i]), int(p.draws[i])
+                        k = np.arange(first[i], first[i] + n[i])
+                        blocks, full = -(-size // length), size // length
+                        epoch, j = k // blocks, k % blocks
+                        block = j.copy()
+                        for e in np.unique(epoch):
+                            at = (epoch == e) & (j < full)
+                            block[at] = permuted(j[at], full, _key(seed, int(p.src[i]), int(e)))
+                        take = np.minimum(length, size - block * length)
+                        last = (k == many - 1) & (p.words[i] % size > 0)
+                        take[last] = p.words[i] % size - j[last] * length
+                        yield pd.DataFrame({"src": p.src[i], "shard": shard, "draw": k, "epoch": epoch, "block": block, "take": take})
+                    left, first, shard = left - n, first + n, shard + 1
 
     return expand
 
 
-def mix(sized: DataFrame, *, length: int = 256, shard_blocks: int = 4096, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, seed: int = 11, row: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(targets, streams, pieces) of a mix of ``sized`` (doc_id, source, size in words; other columns are left out).
+def mix(sized: DataFrame, *, length: int = 256, shard_blocks: int = 4096, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, seed: int = 11, row: tuple[str, ...] = (), cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(targets, streams, draws, pieces) of a mix of ``sized`` (doc_id, source, size in words; other columns are left out).
 
     A source's documents, in a fixed pseudorandom order, are one stream of words packed into blocks of ``length``; the
-    last block may be short. The source's number of draws follows from its target, and one multinomial draw for each
-    source splits it over the output shards, so every shard has multinomial source counts while totals meet the
-    targets. The k-th draw of a source takes the block at the k-th place of a keyed permutation of its block indices,
-    a new one when all are used (a short last block ends each pass); the very last draw stops where the target is
-    reached. Blocks and documents meet by (source, block index), so no source's size makes a task large.
-
-    ``targets`` is (src, source, source_size, target), ``streams`` has each document's src and ``start``, ``pieces`` is
-    a row for each part of a document that a draw takes: src, start, doc_id, shard, draw, epoch, and words
-    [from_word, to_word) of the document. Null sources are a source of their own; documents without words are in no
-    piece; a null id sorts first; repeated rows are documents of their own. Columns ``row`` are names of ``sized`` that
-    tell its rows apart where ids do not: they order equal ids and are in the pieces. ``sized`` is read several times:
-    hand in a written table.
+    last block may be short. The source's number of draws follows from its target. Every output shard of ``shard_blocks``
+    blocks draws its source counts from a multinomial law whose weights are the draws that each source has left, so that
+    totals meet the targets. The k-th draw of a source takes the block at the k-th place of a keyed permutation of its
+    block indices, a new one when all are used (a short last block ends each pass); the very last draw stops where the
+    target is reached. Blocks and documents meet by (source, block index), so no source's size makes a task large.
+
+    ``targets`` is (src, source, source_size, target), ``streams`` has each document's src and ``start``, ``draws`` is the
+    plan of the shards (src, shard, draw, epoch, block, take in words), ``pieces`` is a row for each part of a document
+    that a draw takes: src, start, doc_id, shard, draw, epoch, and words [from_word, to_word) of the document.
+
+    Null sources are a source of their own; documents without words are in no piece; a null id sorts first. Repeated rows
+    are documents of their own: one row with a count until their places are known. Columns ``row`` are names of
+    ``sized`` that tell its rows apart where ids do not: they order equal ids and are in the pieces. A row of counts for
+    each source is held by a task and by the driver's plan, nothing that grows with documents.
     """
     spark = sized.sparkSession
-    sized = sized.select("doc_id", "source", "size", *row).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CELLS)).cast("int"))
-    cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("n"))
-    targets = source_targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")), share, weights, cap)
-    # one row for each source and cell: as many as the mix has sources, whatever the number of documents
+    told = ["doc_id", "source", "size", *row]
+    units = written(sized.groupBy(*told).agg(F.count(F.lit(1)).alias("copies")), "mix-units")
+    cells = max(1, -(-units.count() // cell_rows))
+    units = units.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", *row), F.lit(cells)).cast("int"))
+    whole = F.col("size") * F.col("copies")
+    by_cell = units.groupBy("source", "cell").agg(F.sum(whole).alias("n"))
+    targets = written(source_targets(by_cell.groupBy("source").agg(F.sum("n").alias("source_size")), share, weights, cap), "mix-targets")
+    # one row for each source and cell
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("cell_start", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("cell").alias("c"), "cell_start")
+    starts = by_cell.withColumn("cell_start", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("cell").alias("c"), "cell_start")
     starts = starts.join(targets.select(F.col("source").alias("s2"), "src", "source_size", "target"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
     within = Window.partitionBy("source", "cell").orderBy("doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
-    streams = (
-        sized.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = (
+        units.withColumn("at", F.coalesce(F.sum(whole).over(within), F.lit(0)))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
-        .select("doc_id", "source", "size", *row, "src", "source_size", "target", (F.col("at") + F.col("cell_start")).alias("start"))
+        .select(*told, "src", "source_size", "target", (F.col("at") + F.col("cell_start")).alias("start"), "copies")
     )
+    some = placed.withColumn("from", F.explode(F.expr(f"sequence(0L, copies - 1, {_COPIES}L)")))
+    each = some.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + (_COPIES - 1), F.col("copies") - 1))))
+    streams = each.withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("copies", "from", "copy")
 
     words = F.least(F.round("target"), cap * F.col("source_size")).cast("long")
     blocks = F.ceil(F.col("source_size") / length)
     plan = targets.filter("source_size > 0").select("src", "source_size", words.alias("words")).withColumn("draws", F.expr("words div source_size") * blocks + F.ceil(F.col("words") % F.col("source_size") / length))
-    shards = max(1, -(-(plan.agg(F.sum("draws")).first()[0] or 0) // shard_blocks))
-    counts = plan.mapInPandas(_shard_counts(shards, seed), "src int, source_size long, words long, draws long, shard int, first long, n long")
-    draws = counts.repartition("src", "shard").mapInPandas(_draws(length, seed), "src int, shard int, draw long, epoch long, block long, take long")
+    one = plan.agg(F.array_sort(F.collect_list(F.struct("src", "source_size", "words", "draws"))).alias("plan"))
+    ranges = one.mapInPandas(_range_counts(shard_blocks * RANGE_SHARDS, seed), _PLAN)
+    # by number, as the few small rows of the plan become many
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    draws = ranges.repartition(parts, "range").mapInPandas(_draws(length, shard_blocks, seed), "src int, shard long, draw long, epoch long, block long, take long")
 
     spans = streams.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {length}, (start + size - 1) div {length})")))
     begin = F.greatest(F.lit(0), F.col("block") * length - F.col("start"))
     end = F.least(F.col("size"), F.col("block") * length + F.col("take") - F.col("start"))
     # by merge: the planner takes the draws for as small as the plan they come from
     pieces = spans.join(draws.hint("merge"), ["src", "block"]).select("src", "start", "doc_id", *row, "shard", "draw", "epoch", begin.alias("from_word"), end.alias("to_word")).filter("from_word < to_word")
-    return targets, streams, pieces
+    return targets, streams, draws, pieces
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
@@ -155,8 +200,8 @@ def mixed_documents(docs: DataFrame, row: str, **options) -> DataFrame:
     draws take words of the document, with those words as its text. ``row`` names a long column that tells rows apart,
     whatever their ids, and is read several times: hand in a written table. Documents without words are in no mix. Rows
     of a document and a pass meet by ``row``; no source is gathered anywhere."""
-    sized = written(docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("text_hash"), row), "mix-sizes")
-    _, _, pieces = mix(sized, row=("text_hash", row), **options)
+    sized = docs.select("doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("text_hash"), row)
+    *_, pieces = mix(sized, row=("text_hash", row), **options)
     names = docs.columns
     spans = pieces.groupBy(F.col(row).alias("p_row"), "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"))
 
@@ -170,9 +215,12 @@ def mixed_documents(docs: DataFrame, row: str, **options) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Every document with its size, its source's size and target, and the words the mix takes of it."""
-    sized = written(docs.select("doc_id", "source", n_words("text").alias("size")), "mix-sizes")
-    _, streams, pieces = mix(sized)
+    """Every row of ``docs`` (doc_id, source, text) with its size, its source's size and target, and the words the mix takes of it.
+
+    A null or word-free text has size 0 and is not taken; a null source is the last one; repeated rows are documents of
+    their own; without documents there is no row. Other columns are left out, whatever their names.
+    """
+    _, streams, _, pieces = mix(docs.select("doc_id", "source", n_words("text").alias("size")))
     taken = pieces.groupBy(F.col("src").alias("p_src"), F.col("start").alias("p_start")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n"))
     out = streams.join(taken, (F.col("src") == F.col("p_src")) & (F.col("start") == F.col("p_start")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
