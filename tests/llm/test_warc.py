@@ -2,6 +2,9 @@ import gzip
 import hashlib
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.llm import warc
 from tidemark.llm.common import new_path
 
@@ -32,18 +35,37 @@ def test_round_trip(spark):
     assert warc.op4_warc(spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_members_by_offset_are_the_archive(spark):
-    pages = spark.createDataFrame(rows_of(), SCHEMA).repartition(2)
+def archived(spark, rows, **sizes):
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(2)
     types = warc.record_types(pages).withColumnRenamed("page_id", "t_page_id")
     at = new_path(spark, "test-warc")
-    warc.write_raw(pages, types, f"{at}/raw")
-    raw = {r.path.rsplit("/", 1)[-1]: bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{at}/raw").collect()}
-    members, index = warc.normalise(spark, f"{at}/raw", f"{at}/normal")
+    warc.write_raw(pages, types, f"{at}/raw", sizes.get("archive_bytes", warc.ARCHIVE_BYTES))
+    return at, *warc.normalise(spark, f"{at}/raw", f"{at}/normal", part_bytes=sizes.get("part_bytes", warc.PART_BYTES))
+
+
+@pytest.mark.parametrize(("archive_bytes", "part_bytes"), [(3_000, 900), (1 << 25, 1 << 22)])
+def test_archives_are_bounded_and_read_by_offset(spark, archive_bytes, part_bytes):
+    at, archives, index = archived(spark, rows_of(), archive_bytes=archive_bytes, part_bytes=part_bytes)
+    raw = {"-".join(r.path.rsplit("/", 2)[-2:]): bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{at}/raw").collect()}
+    assert len(raw) > (4 if archive_bytes < 1 << 20 else 0)
     for name, content in raw.items():
         one = zlib.decompressobj(31)
-        assert one.decompress(content) is not None and one.eof and not one.unused_data  # a single stream
-        own = sorted((r.offset, r.length, bytes(r.member)) for r in members.filter(members.archive == name).collect())
-        whole = b"".join(m for *_, m in own)
-        assert gzip.decompress(whole) == gzip.decompress(content)
-        for r in index.filter(index.archive == name).collect():
-            assert f"<urn:page:{r.page_id}>".encode() in gzip.decompress(whole[r.offset : r.offset + r.length])
+        records = one.decompress(content)
+        assert one.eof and not one.unused_data  # a single stream
+        own = index.filter(index.archive == name).collect()
+        assert len(records) <= archive_bytes or len(own) == 1
+        whole = b"".join(warc.archive_bytes(archives, name))
+        assert gzip.decompress(whole) == records
+        assert sum(r.length for r in own) == len(whole)
+        for r in own:
+            assert f"<urn:page:{'' if r.page_id is None else r.page_id}>".encode() in gzip.decompress(whole[r.offset : r.offset + r.length])
+    got = warc.read_archives(archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows_of())
+
+
+@pytest.mark.parametrize("wrong", ["offset + 1", "offset - 1"])
+def test_a_wrong_offset_fails(spark, wrong):
+    _, archives, index = archived(spark, rows_of(5))
+    with pytest.raises(Exception, match="PythonException|zlib|records at offset|bytes after"):
+        warc.read_archives(archives, index.filter("offset > 0").withColumn("offset", F.expr(wrong))).collect()
+    assert warc.read_archives(archives, index.filter("page_id = 3")).count() == 1

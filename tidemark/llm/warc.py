@@ -1,10 +1,11 @@
 """WARC archives: written as monolithic gzip streams, normalised to one gzip member a record with a sidecar offset index.
 
 1. Records are text (the payloads are UTF-8), so Spark's text sink with gzip writes them: each file is one gzip stream.
-2. The normaliser inflates each file once, as a stream, and writes every record as a gzip member of its own. Members go
-   to a table (archive, offset, length, member): joined by offset they are the archive, a valid .warc.gz. The sidecar
-   index has a row for each record (archive, offset, length, record id, type, url).
-3. Reading takes members by their offsets and parses each alone.
+2. The normaliser inflates each file once, as a stream, and writes every record as a gzip member of its own. Spark has no
+   sink for plain bytes in a shared folder, so an archive is a few rows of a table, each a stretch of its bytes with
+   whole members: laid end to end they are a valid .warc.gz (``archive_bytes`` gives them). The sidecar index has a row
+   for each record (archive, part, offset, length, record id, type, url).
+3. Reading takes each record by its index entry: the archive's bytes from offset on, length of them, parsed alone.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,13 @@ from .common import new_path, written
 
 #: Payloads below this size are never replaced by a revisit.
 LEAST_REVISIT = 100
-#: Bytes of records in a raw archive, about; a file always ends with a record.
+#: Bytes of records in a raw archive at most, unless one record has more; a file always ends with a record.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes of an archive that one row of the table holds, about.
+PART_BYTES = 4 << 20
 
-_MEMBERS = "archive string, offset long, length long, page_id long, record_type string, url string, member binary"
+_ENTRY = "offset: bigint, length: bigint, page_id: bigint, record_type: string, url: string"
+_PARTS = f"archive string, part int, begin long, content binary, entries array<struct<{_ENTRY}>>"
 
 
 def record_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -62,14 +67,31 @@ def _record(url: Column) -> Column:
     )
 
 
+def _numbered(archive_bytes: int):
+    """Rows (value) with the number of the task's archive that they go to, by the bytes before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, held = 0, 0
+        for b in batches:
+            numbers = []
+            for n in pc.binary_length(b.column("value")).to_pylist():
+                if held and held + n > archive_bytes:
+                    archive, held = archive + 1, 0
+                held += n
+                numbers.append(archive)
+            yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(numbers, pa.int32())], ["value", "archive"])
+
+    return run
+
+
 def write_raw(pages: DataFrame, types: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Raw archives under ``path``: gzip files, each one whole-file stream.
+    """Raw archives under ``path``: gzip files, each one whole-file stream of at most ``archive_bytes`` of records (or one record).
 
-    Rows are dealt by page_id, so each page meets its type with one shuffle of the texts.
+    Rows are dealt by page_id and digest, so each page meets its type with one shuffle of the texts.
     """
     records = pages.select("page_id", "url", "html").join(types.distinct(), F.col("page_id").eqNullSafe(F.col("t_page_id")) & (F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256) == F.col("payload_digest")))
-    per_file = max(1, archive_bytes // 8192)
-    records.select(_record(F.col("url")).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    dealt = records.select(_record(F.col("url")).alias("value")).mapInArrow(_numbered(archive_bytes), "value string, archive int")
+    dealt.write.partitionBy("archive").option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _parse(head: bytes) -> dict[str, str]:
@@ -108,73 +130,96 @@ def normalise_stream(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str],
         raise ValueError(f"{len(held)} bytes after the last whole record")
 
 
-def _normalise(level: int, batch_bytes: int):
+def _normalise(level: int, part_bytes: int):
+    names = ["archive", "part", "begin", "content", "entries"]
+    entry = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string())]))
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), entry]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["archive", "offset", "length", "page_id", "record_type", "url", "member"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                archive, whole = path.as_py().rsplit("/", 1)[-1], memoryview(content.as_buffer())
-                offset, rows, size = 0, [], 0
+                # the folder is the number of the task's archive, the file is the task
+                archive, whole = "-".join(path.as_py().rsplit("/", 2)[-2:]), memoryview(content.as_buffer())
+                part, begin, offset, members, entries = 0, 0, 0, [], []
                 for headers, record in normalise_stream(bytes(whole[i : i + 65536]) for i in range(0, len(whole), 65536)):
                     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
                     member = pack.compress(record) + pack.flush()
-                    rows.append((archive, offset, len(member), _urn(headers["WARC-Record-ID"]), headers["WARC-Type"], headers.get("WARC-Target-URI"), member))
-                    offset, size = offset + len(member), size + len(member)
-                    if size >= batch_bytes:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    members.append(member)
+                    entries.append({"offset": offset, "length": len(member), "page_id": _urn(headers["WARC-Record-ID"]), "record_type": headers["WARC-Type"], "url": headers.get("WARC-Target-URI")})
+                    offset += len(member)
+                    if offset - begin >= part_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((archive, part, begin, b"".join(members), entries), kinds, strict=True)], names)
+                        part, begin, members, entries = part + 1, offset, [], []
+                if members:
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((archive, part, begin, b"".join(members), entries), kinds, strict=True)], names)
 
     return run
 
 
-def normalise(spark: SparkSession, raw: str, out: str, *, level: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(members, index) of the raw archives under ``raw``, written under ``out``.
+def normalise(spark: SparkSession, raw: str, out: str, *, level: int = 4, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(archives, index) of the raw archives under ``raw``, written under ``out``.
 
-    A task holds one compressed archive (ARCHIVE_BYTES bound them) and one record; an empty folder gives empty tables.
+    ``archives`` is (archive, part, begin, content): stretches of an archive's bytes. A task holds one compressed raw
+    archive, one part and one record; an empty folder gives empty tables.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(raw).select("path", "content")
-    files.mapInArrow(_normalise(level, 4 << 20), _MEMBERS).write.option("compression", "none").parquet(f"{out}/members")
-    members = spark.read.parquet(f"{out}/members")
-    members.drop("member").write.parquet(f"{out}/index")
-    return members, spark.read.parquet(f"{out}/index")
+    files.mapInArrow(_normalise(level, part_bytes), _PARTS).write.option("compression", "none").parquet(f"{out}/archives")
+    parts = spark.read.parquet(f"{out}/archives")
+    parts.select("archive", "part", F.inline("entries")).write.parquet(f"{out}/index")
+    return parts.drop("entries"), spark.read.parquet(f"{out}/index")
+
 
+def archive_bytes(archives: DataFrame, name: str) -> Iterator[bytes]:
+    """The bytes of one archive, a part at a time: written to a file, they are its .warc.gz."""
+    for r in archives.filter(F.col("archive") == name).orderBy("part").select("content").toLocalIterator():
+        yield bytes(r.content)
 
-def read_archives(members: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) of every record, each inflated alone. A revisit has no payload of its own; its size and digest are those of the full payload."""
+
+def read_archives(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) of every entry of ``index``, taken at its offset and inflated alone.
+
+    A revisit has no payload of its own; its size and digest are those of the full payload. An entry whose offset and
+    length are not those of one record fails the job.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            rows = []
-            for member in batch.column(0):
-                for headers, record in normalise_stream(iter([member.as_py()])):
+            for begin, content, wanted in zip(*(batch.column(c) for c in ("begin", "content", "wanted")), strict=True):
+                begin, content, rows = begin.as_py(), memoryview(content.as_buffer()), []
+                for w in wanted.as_py():
+                    at = w["offset"] - begin
+                    found = list(normalise_stream(iter([bytes(content[at : at + w["length"]])])))
+                    if len(found) != 1:
+                        raise ValueError(f"{len(found)} records at offset {w['offset']}, length {w['length']}")
+                    headers, record = found[0]
                     size = int(headers["Content-Length"])
                     payload = record[len(record) - 4 - size : -4]
                     own = headers["WARC-Type"] == "response"
                     digest = hashlib.sha256(payload).hexdigest() if own else headers["WARC-Payload-Digest"].removeprefix("sha256:")
                     full = len(payload) if own else int(headers["X-Payload-Length"])
                     rows.append((_urn(headers["WARC-Record-ID"]), full, digest, headers["WARC-Type"], _urn(headers.get("WARC-Refers-To")), headers.get("WARC-Target-URI"), payload if own else None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return members.select("member").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    wanted = index.groupBy("archive", "part").agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))
+    taken = archives.join(wanted.hint("merge"), ["archive", "part"]).select("begin", "content", "wanted")
+    return taken.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def op4_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html; other columns are left out) archived, normalised and read back.
+    """``pages`` (page_id, url, html; other columns are left out) archived, normalised and read back through the index.
 
-    A null html is an empty payload, a null url a record without target; rows are one record each, repeated ones too.
+    A null html is an empty payload, a null url a record without target; rows are one record each, repeated ones too. A
+    null page_id is a record with an empty number. Without pages there is no archive and no row.
     """
     pages = pages.select("page_id", "url", "html")
     types = written(record_types(pages), "warc-types").withColumnRenamed("page_id", "t_page_id")
     at = new_path(spark, "warc")
     write_raw(pages, types, f"{at}/raw")
-    members, _ = normalise(spark, f"{at}/raw", f"{at}/normal")
-    return read_archives(members).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives, index = normalise(spark, f"{at}/raw", f"{at}/normal")
+    return read_archives(archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
