@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ring positions have 63 bits; pieces of the ring end at every virtual node and at every 2**51, so a piece holds few keys.
 RING_BITS, PIECE_BITS = 63, 12
+#: Rows of a piece that are ranked together, about.
+LOT = 100_000
 
 
 def _position(*of: Column) -> Column:
@@ -74,15 +76,16 @@ def bounded_placement(arcs: DataFrame, shards: int, slack: float) -> DataFrame:
     )
 
 
-def ring_shards(df: DataFrame, key: str, shards: int, *, vnodes: int = 64, slack: float = 0.0, seed: int = 7, ties: tuple[str, ...] = ()) -> DataFrame:
+def ring_shards(df: DataFrame, key: str, shards: int, *, vnodes: int = 64, slack: float = 0.0, seed: int = 7, ties: tuple[str, ...] = (), lot: int = LOT) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), balanced by rows.
 
-    A key's ring position is a hash of its value, so equal keys lie side by side in the order of ``ties``. A null key
-    has a position of its own. Columns of ``df`` named shard or slot are replaced; columns that begin with ``_ring_``
-    are reserved. An empty table gives an empty result; repeated rows are placed one by one.
+    A key's ring position is a hash of its value. A null key has a position of its own. Columns of ``df`` named shard or
+    slot are replaced; columns that begin with ``_ring_`` are reserved. An empty table gives an empty result; repeated rows
+    are placed one by one.
 
-    Only counts by ring piece (their number is fixed by the parameters) meet in one place; rows are ranked within
-    their piece, whatever a key's share of the rows.
+    Only counts by ring piece (their number is fixed by the parameters) meet in one place. Rows are ranked within their
+    piece, in the order of ring position, key and ``ties``; a piece of over ``lot`` rows, as a much repeated key makes it, is
+    cut by a hash of key and ``ties`` into lots of about that many rows, which follow one another.
     """
     spark = df.sparkSession
     pieces = ring_pieces(spark, shards, vnodes, seed).select(*(F.col(c).alias(f"_ring_{c}") for c in ("piece", "bucket", "lo", "hi", "arc")))
@@ -91,20 +94,28 @@ def ring_shards(df: DataFrame, key: str, shards: int, *, vnodes: int = 64, slack
     found = keyed.join(F.broadcast(pieces), (F.shiftright("_ring_pos", RING_BITS - PIECE_BITS) == F.col("_ring_bucket")) & at)
 
     counts = found.groupBy("_ring_piece", "_ring_arc").agg(F.count(F.lit(1)).alias("_ring_n"))
-    in_arc = Window.partitionBy("_ring_arc").orderBy("_ring_piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_ring_piece", F.coalesce(F.sum("_ring_n").over(in_arc), F.lit(0)).alias("_ring_before"))
+    lots = counts.select("_ring_piece", F.ceil(F.col("_ring_n") / lot).alias("_ring_lots"))
+    found = found.join(F.broadcast(lots), "_ring_piece").withColumn("_ring_lot", F.pmod(F.xxhash64(key, *ties), "_ring_lots"))
+    by_lot = found.groupBy("_ring_piece", "_ring_arc", "_ring_lot").agg(F.count(F.lit(1)).alias("_ring_n"))
+    in_arc = Window.partitionBy("_ring_arc").orderBy("_ring_piece", "_ring_lot").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_lot.select("_ring_piece", "_ring_lot", F.coalesce(F.sum("_ring_n").over(in_arc), F.lit(0)).alias("_ring_before"))
     arcs = _walks(spark, shards, vnodes, seed).join(F.broadcast(counts.groupBy(F.col("_ring_arc").alias("arc")).agg(F.sum("_ring_n").alias("n"))), "arc")
     parts = bounded_placement(arcs.select("arc", "n", "walk"), shards, slack).select(*(F.col(c).alias(f"_ring_p_{c}") for c in ("arc", "first", "past", "shard", "slot")))
 
-    in_piece = Window.partitionBy("_ring_piece").orderBy("_ring_pos", key, *ties)
-    ranked = found.withColumn("_ring_rank", F.row_number().over(in_piece) - 1).join(F.broadcast(before), "_ring_piece").withColumn("_ring_rank", F.col("_ring_rank") + F.col("_ring_before"))
+    in_lot = Window.partitionBy("_ring_piece", "_ring_lot").orderBy("_ring_pos", key, *ties)
+    ranked = found.withColumn("_ring_rank", F.row_number().over(in_lot) - 1).join(before, ["_ring_piece", "_ring_lot"]).withColumn("_ring_rank", F.col("_ring_rank") + F.col("_ring_before"))
     placed = ranked.join(F.broadcast(parts), (F.col("_ring_arc") == F.col("_ring_p_arc")) & (F.col("_ring_rank") >= F.col("_ring_p_first")) & (F.col("_ring_rank") < F.col("_ring_p_past")))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
     return placed.select(*kept, F.col("_ring_p_shard").alias("shard"), (F.col("_ring_p_slot") + F.col("_ring_rank") - F.col("_ring_p_first")).alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:
-    """Every document's shard by the ``rows`` law, with size, text_crc32, law, slot and a null grown_shard."""
+    """Every document's shard by the ``rows`` law, with size, text_crc32, law, slot and a null grown_shard.
+
+    A null text has size 1 and checksum 0; null and repeated ids are placed row by row, by text checksum and size where ids
+    are equal; of rows equal in all of these any may come first. Without documents there is no row. Other columns are left
+    out. Counts differ by one at most, so there is no slack: the figures of what one more shard moves are in the README.
+    """
     sized = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
