@@ -102,17 +102,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int64()), pa.array(g.view(np.int64)), pa.array(n)], ["l", "gram", "n"])
 
 
-def fit(train: DataFrame, *, docs_per_lang: int = 1500, floor: int = 18, rival: float = 0.5) -> LanguageFilters:
+def fit(train: DataFrame, *, docs_per_lang: int = 1500, floor: int = 18, most_grams: int = 1 << 22, rival: float = 0.5) -> LanguageFilters:
     """Filters learned from ``train`` (text, lang), of which about ``docs_per_lang`` documents of each language are used, chosen by a hash of the text.
 
     A language's filter gets the n-grams that make up at least 2**-floor of its own (so 2**floor of them at most), occur
     five times, and are at least ``rival`` times as frequent as in any other language, for texts hold passages of others.
+    With many languages the floor rises, so that all of them together have ``most_grams`` n-grams at most.
     """
     train = train.filter("lang is not null and text is not null")
     sizes = sorted((r.lang, r.n) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     langs = [lang for lang, _ in sizes]
     if not langs:
         return LanguageFilters([], np.zeros((1024, 1), np.uint64), np.empty(0), np.empty(0), 0)
+    floor = min(floor, (most_grams // len(langs)).bit_length() - 1)
     known = F.create_map(*(F.lit(x) for i, (lang, n) in enumerate(sizes) for x in (lang, i)))
     share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, int(min(1, docs_per_lang / n) * 1_000_000))))
     taken = train.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")]).select(known[F.col("lang")].cast("long").alias("l"), "text")
@@ -161,5 +163,11 @@ def learned(docs: DataFrame) -> LanguageFilters:
 
 
 def op2_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The language of every row of ``docs`` (doc_id, text, lang), learned from documents that are not held out.
+
+    A null text, or one without a letter, is ``und`` with score 0, and so is every text if there is nothing to learn from. Null
+    languages and texts teach nothing; a null id is not held out; repeated rows are told apart nowhere and each is told.
+    Without documents there is no row. Other columns are left out.
+    """
     out = predict(docs.select("doc_id", "text"), learned(docs))
     return out.select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
