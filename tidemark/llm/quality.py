@@ -10,10 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import id_bucket, written
 from .textbytes import chunks, word_hashes
 
 PASSAGE = 512
@@ -126,28 +126,41 @@ class GatedAttention:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(quality, x): the passages of each text, however many pieces it comes in, as one bag."""
     for b in batches:
-        label = b.column("quality").to_numpy()
+        label, held = b.column("quality").to_numpy(), {}
         for raw, starts, docs in chunks(b.column("text"), PASSAGE):
             x, of = passages(raw, starts, docs)
-            flat = pa.array(x.astype(np.float32).ravel())
-            cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            rows = pa.ListArray.from_arrays(pa.array(np.append(cut, len(of)) * FEATURES, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(label[of[cut]], pa.int64()), rows], ["quality", "x"])
+            for i in np.unique(of).tolist():
+                held.setdefault(i, []).append(x[of == i].astype(np.float32))
+        bags = [np.concatenate(x).ravel() for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(label[list(held)], pa.int64()), pa.array(bags, pa.list_(pa.float32()))], ["quality", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = 2000) -> GatedAttention:
-    """A model learned from ``labels`` (doc_id, quality 0 or 1) of ``docs`` (doc_id, text).
-
-    About ``docs_per_label`` documents of each label are used, chosen by a hash of the id, and that table alone is
-    broadcast. Null labels and ids are left out, repeated ones count once (the larger label holds). Without labels every
-    score is 0.5.
-    """
+def fitting_sample(docs: DataFrame, labels: DataFrame, *, docs_per_label: int, longest: int, fit_bytes: int) -> DataFrame:
+    """(doc_id, quality, th): the documents to fit on, and the hash of the text meant where an id has several."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
     sizes = {r.quality: r.n for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("quality") == 1, min(1.0, docs_per_label / sizes.get(1, 1))).otherwise(min(1.0, docs_per_label / sizes.get(0, 1)))
     taken = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    bags = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("quality", "text").mapInArrow(_bags, "quality long, x array<float>").toArrow()
+    # ids and lengths of about docs_per_label documents a label: one task orders them
+    one = F.min(F.struct(F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("th")))
+    sized = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "quality").agg(one.alias("s")).select("doc_id", "quality", "s.*")
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return sized.filter(F.col("n") <= longest).withColumn("bytes", F.sum("n").over(order)).filter(F.col("bytes") <= fit_bytes // 2).select("doc_id", "quality", "th")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = 2000, longest: int = 1 << 20, fit_bytes: int = 64 << 20) -> GatedAttention:
+    """A model learned from ``labels`` (doc_id, quality 0 or 1) of ``docs`` (doc_id, text).
+
+    It is fitted on a bounded sample: about ``docs_per_label`` documents of each label, chosen by a hash of the id, none
+    longer than ``longest`` bytes, and ``fit_bytes`` of text in all, half for each label. That table of ids is broadcast, and
+    the driver gets the passages of those texts, 1.8 times their bytes. Null labels and ids are left out, repeated ones
+    count once (the larger label and the shortest text hold). Without labels every score is 0.5.
+    """
+    taken = written(fitting_sample(docs, labels, docs_per_label=docs_per_label, longest=longest, fit_bytes=fit_bytes), "quality-sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").filter(F.xxhash64("text") == F.col("th")).dropDuplicates(["doc_id"])
+    bags = texts.select("quality", "text").mapInArrow(_bags, "quality long, x array<float>").toArrow()
     # the order of rows must not change the model
     rows = sorted(((y, np.array(x, np.float64).reshape(-1, FEATURES)) for y, x in zip(bags.column("quality").to_pylist(), (c.values.to_numpy() for c in bags.column("x")), strict=True)), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return GatedAttention.fit([x for _, x in rows], np.array([y for y, _ in rows], np.float64))
@@ -172,6 +185,11 @@ def score(docs: DataFrame, model: GatedAttention) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The quality of every row of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, quality) that are not held out.
+
+    Null and empty texts have no passage and all have one score; without labels every score is 0.5. A null id is not held
+    out and has no label; repeated rows are scored each. Without documents there is no row. Other columns are left out.
+    """
     model = fit(docs, labels.filter(id_bucket("doc_id", 5) != 0))
     held = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
