@@ -135,5 +135,5 @@ def test_near_dedup_is_brute_force_jaccard(spark, bucket):
     assert len(want) < len(texts) - 30
     docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
     # with many fingerprints of each set no link is missed; a bucket of two takes the other way for larger groups
-    got = {r.row: r.component for r in similar.similar_groups(docs, seeds=6, reach=24, bucket=bucket).collect()}
+    got = {r.row: r.component for r in similar.similar_groups(docs, seeds=6, reach=24, total=384, bucket=bucket).collect()}
     assert {i for i, c in got.items() if i == c} == want and got == dict(enumerate(low))

@@ -56,6 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_only(spark: SparkSession, make, name: str) -> DataFrame:
+    """The table that ``make()`` gives, written; what it wrote on the way is deleted."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        made = make()
+        made.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

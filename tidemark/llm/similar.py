@@ -23,7 +23,7 @@ from .textbytes import mixed
 
 #: Bits of a Golay pair key; the number of the fingerprint stands above them.
 _KEY_BITS = 26
-#: Fingerprints under one key that are compared pair by pair at once; beyond it, first with one of them.
+#: Fingerprints under one key whose bits are all compared at once; beyond it, those with one of them.
 BUCKET = 64
 
 
@@ -78,35 +78,55 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 
 
 def _meetings(reach: int, bucket: int):
-    """Rows (key, fp) sorted by key: (seed, a, b) of fingerprints of a bucket within ``reach``; of a bucket too large for that, its rows as (key, a)."""
+    """Rows (key, fp) sorted by key: (seed, a, b) of one fingerprint of a bucket, its hub, with each of the others that is within ``reach``; and, where three or more have one so near, (key, a) for those.
+
+    In a bucket of more than ``bucket`` fingerprints all count as near some other: it is never compared pair by pair here.
+    """
     cell = 1 << 22
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, fp in _whole_keys(batches):
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(start, len(key)))
-            found = []
+            pairs, lists = [], []
+
+            def add(k: np.ndarray, x: np.ndarray, near_some: np.ndarray | None, near_hub: np.ndarray, hub: np.ndarray) -> None:
+                g, at = np.nonzero(near_hub)
+                h = x[np.arange(len(x)), hub][g]
+                pairs.append(np.stack((k[g] >> _KEY_BITS, np.minimum(h, x[g, at]), np.maximum(h, x[g, at]))))
+                many = np.full(x.shape, True) if near_some is None else near_some & (near_some.sum(1) > 2)[:, None]
+                g, at = np.nonzero(many)
+                lists.append(np.stack((k[g], x[g, at])))
+
             for n in np.unique(size[(size > 1) & (size <= bucket)]).tolist():
                 of = start[size == n]
                 for i in range(0, len(of), max(1, cell // (n * n))):
                     part = of[i : i + max(1, cell // (n * n))]
-                    x = fp[part[:, None] + np.arange(n)]
-                    g, a, b = np.nonzero(np.triu(bit_distance(x[:, :, None], x[:, None, :]) <= reach, 1))
-                    found.append(np.stack((key[part[g]] >> _KEY_BITS, np.minimum(x[g, a], x[g, b]), np.maximum(x[g, a], x[g, b]))))
-            if found:
-                seed, a, b = np.unique(np.concatenate(found, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.nulls(len(seed), pa.int64()), pa.array(a), pa.array(b)], ["seed", "key", "a", "b"])
+                    x, k = fp[part[:, None] + np.arange(n)], key[part]
+                    near = bit_distance(x[:, :, None], x[:, None, :]) <= reach
+                    near[:, np.arange(n), np.arange(n)] = False
+                    # the hub is one with most company, so that most of the others are near it
+                    hub = near.sum(2).argmax(1)
+                    add(k, x, near.any(2), near[np.arange(len(x)), hub], hub)
             for s, n in zip(start[size > bucket].tolist(), size[size > bucket].tolist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(key[s : s + n] >> _KEY_BITS), pa.array(key[s : s + n]), pa.array(fp[s : s + n]), pa.nulls(n, pa.int64())], ["seed", "key", "a", "b"])
+                x, hub = fp[s : s + n], int(key[s]) % n
+                near = bit_distance(x, np.full(n, x[hub])) <= reach
+                near[hub] = False
+                add(key[s : s + 1], x[None], None, near[None], np.array([hub]))
+            if pairs:
+                seed, a, b = np.unique(np.concatenate(pairs, 1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.nulls(len(seed), pa.int64()), pa.array(a), pa.array(b)], ["seed", "key", "a", "b"])
+                k, x = np.concatenate(lists, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(k >> _KEY_BITS), pa.array(k), pa.array(x), pa.nulls(len(k), pa.int64())], ["seed", "key", "a", "b"])
 
     return run
 
 
-def _candidates(star: bool, reach: int):
-    """Rows (list, node, n, fp, comp) sorted by list: (a, b) that may be similar by size and bits, with one node of the list, or else of different components."""
+def _candidates(star: bool, total: int, seeds: int):
+    """Rows (list, node, n, comp, f0, f1, ...) sorted by list: (a, b) that may be similar by size and bits, with one node of the list, or else of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n, fp, comp in _whole_keys(batches):
+        for key, node, n, comp, *fps in _whole_keys(batches):
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             a, b = [], []
             for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
@@ -118,11 +138,13 @@ def _candidates(star: bool, reach: int):
                 for x in range(first, past, step):
                     end = min(x + step, past)
                     m, k = n[x:end, None], n[None, lo:hi]
-                    good = (5 * np.minimum(m, k) >= 4 * np.maximum(m, k)) & (bit_distance(fp[x:end, None], fp[None, lo:hi]) <= reach)
+                    good = 5 * np.minimum(m, k) >= 4 * np.maximum(m, k)
                     good &= node[x:end, None] != node[None, lo:hi] if star else (node[x:end, None] < node[None, lo:hi]) & (comp[x:end, None] != comp[None, lo:hi])
                     f, g = np.nonzero(good)
-                    a.append(node[f + x])
-                    b.append(node[g + lo])
+                    f, g = f + x, g + lo
+                    close = sum(bit_distance(fp[f], fp[g]).astype(np.int64) for fp in fps) <= total
+                    a.append(node[f[close]])
+                    b.append(node[g[close]])
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
@@ -159,14 +181,15 @@ def _judged(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "similar-links")
 
 
-def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int = 13, bucket: int = BUCKET) -> DataFrame:
+def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int = 12, total: int = 44, bucket: int = BUCKET) -> DataFrame:
     """(row, component) of every row of ``docs`` (row, text), a written table with a long ``row`` that does not repeat.
 
     Two texts are linked if their sets of shingles of ``size`` words (ASCII letters folded) have a Jaccard similarity of
-    0.8 or more and one of their ``seeds`` fingerprints proposes them. Texts without words, null too, are linked. component
-    is the smallest row reachable. Texts with equal sets stand for one node. Fingerprints that meet in a large bucket, or
-    that are equal, are compared with one of them, then, as far as that has left them in different groups, with each other:
-    nothing is capped.
+    0.8 or more, one of their ``seeds`` fingerprints proposes them, being within ``reach`` bits, and all of them together
+    are within ``total`` bits. Texts without words, null too, are linked. component is the smallest row reachable. Texts with
+    equal sets stand for one node. Fingerprints that meet in a bucket, or that are equal, are compared with one of them;
+    then, as far as that has left them in different groups, with each other: nothing is capped, and a group of many near
+    copies costs a few pairs a member.
     """
     named = written(docs.select("row", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5")), "similar-rows")
     firsts = named.groupBy("text_md5").agg(F.min("row").alias("node"))
@@ -176,35 +199,41 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
     leads = written(prints.groupBy("same").agg(F.min(F.struct("node", "n", "fps")).alias("s")).select("same", "s.*"), "similar-nodes")
     equal = prints.join(leads.select("same", F.col("node").alias("lead")), "same").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
 
-    by_fp = leads.select("node", "n", F.posexplode("fps").alias("seed", "fp")).withColumn("seed", F.col("seed").cast("long"))
-    lead_fp = written(by_fp.groupBy("seed", "fp").agg(F.min(F.struct("node", "n")).alias("s"), F.count(F.lit(1)).alias("many")).select("seed", "fp", "s.*", "many"), "similar-fingerprints")
+    own = ["node", "n", "fps"]
+    by_fp = leads.select(*own, F.posexplode("fps").alias("seed", "fp")).withColumn("seed", F.col("seed").cast("long"))
+    lead_fp = written(by_fp.groupBy("seed", "fp").agg(F.min(F.struct(*own)).alias("s"), F.count(F.lit(1)).alias("many")).select("seed", "fp", "s.*", "many"), "similar-fingerprints")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = lead_fp.select("seed", "fp").mapInArrow(_emit_keys, "key long, fp long")
     met = written(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meetings(reach, bucket), "seed long, key long, a long, b long"), "similar-meetings")
 
-    side = lambda c: lead_fp.select("seed", F.col("fp").alias(c), F.col("node").alias(f"{c}_node"), F.col("n").alias(f"{c}_n"), F.col("many").alias(f"{c}_many"))
-    pairs = written(met.filter("key is null").select("seed", "a", "b").distinct().join(side("a"), ["seed", "a"]).join(side("b"), ["seed", "b"]), "similar-proposed")
-    close = pairs.filter(5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    # members of large buckets, and of fingerprints that several sets share
-    shared = lead_fp.filter("many > 1").select("seed", "fp")
-    every = by_fp.join(shared, ["seed", "fp"])
-    buckets = met.filter("key is not null").select("seed", F.col("key").alias("list"), F.col("a").alias("fp")).join(by_fp, ["seed", "fp"]).select("list", "node", "n", "fp")
-    lists = written(buckets.union(every.select(F.xxhash64("seed", "fp"), "node", "n", "fp")), "similar-lists")
+    def close(pairs: DataFrame) -> DataFrame:
+        """Of pairs with both sides' n and fps, those that may be similar by size and by all bits."""
+        bits = sum((F.bit_count(F.col("a_fps")[k].bitwiseXOR(F.col("b_fps")[k])) for k in range(seeds)), F.lit(0))
+        good = pairs.filter((5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")) & (bits <= total) & (F.col("a_node") != F.col("b_node")))
+        return good.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+    side = lambda of, c, *more: of.select("seed", F.col("fp").alias(c), *(F.col(o).alias(f"{c}_{o}") for o in (*own, *more)))
+    met_pairs = met.filter("key is null").select("seed", "a", "b").distinct()
+    pairs = written(met_pairs.join(side(lead_fp, "a", "many"), ["seed", "a"]).join(side(lead_fp, "b", "many"), ["seed", "b"]), "similar-proposed")
+    # members of buckets, and of fingerprints that several sets share
+    every = by_fp.join(lead_fp.filter("many > 1").select("seed", "fp"), ["seed", "fp"])
+    members = met.filter("key is not null").select("seed", F.col("key").alias("list"), F.col("a").alias("fp")).join(by_fp, ["seed", "fp"])
+    shared = every.withColumn("list", F.xxhash64("seed", "fp"))
 
     def listed(of: DataFrame, star: bool) -> DataFrame:
-        return of.select("list", "node", "n", "fp", "comp").repartition("list").sortWithinPartitions("list", "node").mapInArrow(_candidates(star, reach), "a long, b long")
+        rows = of.select("list", "node", "n", "comp", *(F.col("fps")[k].alias(f"f{k}") for k in range(seeds)))
+        return rows.repartition(parts, "list").sortWithinPartitions("list", "node").mapInArrow(_candidates(star, total, seeds), "a long, b long")
 
-    links = _judged(close.filter("a <> b").union(listed(lists.withColumn("comp", F.col("node")), True)), texts, size)
+    links = _judged(close(pairs).union(listed(shared.withColumn("comp", F.col("node")), True)), texts, size)
     groups = written(connected_components(links.union(equal)), "similar-groups")
-    if not lists.isEmpty():
-        comp = groups.withColumnRenamed("component", "comp")
-        apart = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # a fingerprint that several sets share proposed one of them above; the others are proposed here
-        told = every.join(comp, "node", "left").select("seed", "fp", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        other = lambda c: told.union(lead_fp.filter("many = 1").join(comp, "node", "left").select("seed", "fp", "node", "n", F.coalesce("comp", "node"))).select("seed", *(F.col(o).alias(f"{c}_{o}") for o in ("node", "n", "comp")), F.col("fp").alias(c))
-        wide = pairs.filter("a_many > 1 or b_many > 1").select("seed", "a", "b").join(other("a"), ["seed", "a"]).join(other("b"), ["seed", "b"])
-        wide = wide.filter((F.col("a_comp") != F.col("b_comp")) & (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")))
-        more = _judged(listed(apart, False).union(wide.select(F.least("a_node", "b_node"), F.greatest("a_node", "b_node"))), texts, size)
-        if not more.isEmpty():
-            groups = written(connected_components(links.union(equal).union(more)), "similar-groups")
+    # what the first round has left in different groups
+    comp = groups.withColumnRenamed("component", "comp")
+    grouped = lambda of: of.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lists = written(grouped(members.select("list", *own).union(shared.select("list", *own))), "similar-lists")
+    split = lists.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("list")
+    told = grouped(by_fp)
+    wide = pairs.filter("a_many > 1 or b_many > 1").select("seed", "a", "b").join(side(told, "a", "comp"), ["seed", "a"]).join(side(told, "b", "comp"), ["seed", "b"]).filter("a_comp <> b_comp")
+    more = _judged(listed(lists.join(split, "list"), False).union(close(wide)), texts, size)
+    if not more.isEmpty():
+        groups = written(connected_components(links.union(equal).union(more)), "similar-groups")
     return copies.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
