@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, mixing, sharding, similar
-from tidemark.llm.common import new_path, table, written
+from tidemark.llm.common import kept_only, new_path, scratch, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language has less than this share of the evidence has no language.
@@ -39,8 +39,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     SimHash with Golay keys proposes pairs, and five-word shingles with a Jaccard similarity of 0.8 or more link them."""
     rows = identified(docs)
-    named = rows.select("row", "doc_id").join(similar.similar_groups(rows.select("row", "text")), "row")
-    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept"))
+
+    def chosen() -> DataFrame:
+        named = rows.select("row", "doc_id").join(similar.similar_groups(rows.select("row", "text")), "row")
+        return named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept")).select("kept")
+
+    kept = kept_only(spark, chosen, "pipeline-kept")
     return rows.join(kept.hint("merge"), F.col("row") == F.col("kept")).select(*COLUMNS)
 
 
@@ -80,6 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
