@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import quotes as qf
 from tidemark.operators import dataset as ds
 from tidemark.operators import labels as lb
+from tidemark.operators.timejoin import asof_unbounded
 from tidemark.operators import windows as wn
 from tidemark.operators.timejoin import asof, range_join
 
@@ -62,10 +63,37 @@ def test_label_keeps_the_worst_reason(spark):
 
 
 def test_retries_end_at_the_policy(spark):
-    rows = [("a", "ok", None, 1), ("b", "bad", None, 1), ("c", "bad", "who_knows", 1), ("d", "bad", "bad_sigma", 1), ("e", "bad", "bad_stale_data", 2), ("f", "bad", "bad_stale_data", 3)]
+    rows = [("a", "ok", None, 1), ("b", "bad", None, 1), ("c", "bad", "who_knows", 1), ("d", "bad", "bad_sigma", 1), ("e", "bad", "bad_stale_data", 2), ("f", "bad", "bad_stale_data", 5), ("g", "bad", "bad_time_inconsistency", 0)]
     df = spark.createDataFrame(rows, "event_id string, label_quality string, reason_code string, retry_count int")
     got = {r.event_id: (r.worker_status, r.retry_count, r.terminal_reason_code) for r in ds.retry_classify(df, ds.retry_policy(spark), F.lit(0).cast("long")).collect()}
-    assert got == {"a": ("done", 1, None), "b": ("terminal", 2, "bad_labeler_exception"), "c": ("terminal", 2, "who_knows"), "d": ("terminal", 2, "bad_sigma"), "e": ("retry_wait", 3, None), "f": ("terminal", 4, "retry_exhausted:bad_stale_data")}
+    assert got == {"a": ("done", 1, None), "b": ("terminal", 2, "bad_labeler_exception"), "c": ("terminal", 2, "who_knows"), "d": ("terminal", 2, "bad_sigma"), "e": ("retry_wait", 3, None), "f": ("terminal", 6, "retry_exhausted:bad_stale_data"), "g": ("terminal", 1, "bad_time_inconsistency")}
+
+
+def test_policy_is_the_table_of_six_reasons(spark):
+    got = {r.reason_code: tuple(r)[1:] for r in ds.retry_policy(spark).collect()}
+    terminal = (False, True, 0, 0, 10)
+    assert got == {
+        "bad_invalid_book": terminal,
+        "bad_sigma": terminal,
+        "bad_time_inconsistency": terminal,
+        "bad_missing_quotes": (True, False, 3, 300, 50),
+        "bad_stale_data": (True, False, 5, 600, 50),
+        "bad_labeler_exception": (True, False, 3, 900, 50),
+    }
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 1000])
+def test_unbounded_asof_both_ways(spark, bucket):
+    rnd = random.Random(bucket)
+    ticks = [(i, rnd.choice("ab"), rnd.randint(0, 60) * 9, float(i)) for i in range(40)]
+    events = [(i, rnd.choice("abc"), rnd.randint(-20, 600)) for i in range(60)]
+    t, e = spark.createDataFrame(ticks, "tick_id long, symbol string, us long, v double"), spark.createDataFrame(events, "id long, symbol string, at long")
+    for forward in (False, True):
+        got = {r.id: (r.v, r.asof_lag_us) for r in asof_unbounded(e, t, "at", key="id", value=["v"], bucket_us=bucket, by="symbol", forward=forward, tie="tick_id").collect()}
+        for i, s, at in events:
+            near = [(u, k, v) for k, ts, u, v in ticks if ts == s and (u >= at if forward else u <= at)]
+            best = (min if forward else max)(near, default=None)
+            assert got[i] == ((None, None) if best is None else (best[2], abs(best[0] - at)))
 
 
 def test_whitelist_keeps_ok_and_drops_unknown(spark):

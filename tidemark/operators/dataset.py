@@ -9,12 +9,12 @@ from ..functions.quotes import dataset_bucket, trades_bucket
 
 #: Reason, retryable, terminal, retries, cooldown in seconds, priority.
 RETRY_POLICY = (
-    ("bad_missing_quotes", True, False, 3, 300, 1),
-    ("bad_stale_data", True, False, 3, 300, 2),
-    ("bad_time_inconsistency", True, False, 2, 600, 3),
-    ("bad_invalid_book", False, True, 0, 0, 4),
-    ("bad_sigma", False, True, 0, 0, 5),
-    ("bad_labeler_exception", True, False, 2, 900, 6),
+    ("bad_invalid_book", False, True, 0, 0, 10),
+    ("bad_sigma", False, True, 0, 0, 10),
+    ("bad_time_inconsistency", False, True, 0, 0, 10),
+    ("bad_missing_quotes", True, False, 3, 300, 50),
+    ("bad_stale_data", True, False, 5, 600, 50),
+    ("bad_labeler_exception", True, False, 3, 900, 50),
 )
 USABLE = ("degraded_low_density", "degraded_high_lag", "degraded_unstable_window")
 
@@ -55,7 +55,7 @@ def clean_view_asserts(clean: DataFrame) -> DataFrame:
 def retry_classify(labels: DataFrame, policy: DataFrame, now_us: Column) -> DataFrame:
     """``labels`` (event_id, label_quality, reason_code, retry_count) with the state that the next attempt sees."""
     p = policy.select(F.col("reason_code").alias("p_reason"), "retryable", "max_retries", "cooldown_seconds")
-    j = labels.join(F.broadcast(p), F.col("reason_code") == F.col("p_reason"), "left")
+    j = labels.join(p, F.col("reason_code") == F.col("p_reason"), "left")
     done, count = F.col("label_quality").isin("ok", "degraded"), F.col("retry_count") + 1
     none = F.coalesce(F.col("reason_code") == "", F.lit(True))
     waits = ~done & ~none & F.coalesce(F.col("retryable"), F.lit(False)) & (count <= F.col("max_retries"))
@@ -70,7 +70,7 @@ def pending_events(events: DataFrame, labels: DataFrame, policy: DataFrame, now_
     """Mature events never labelled, or waiting for a retry that is due and left. An event at exactly max_retries is never taken, though its state still says retry_wait."""
     lab = labels.select("event_id", "worker_status", "is_retryable", "retry_count", "next_retry_us", "quality_reason_code", F.lit(True).alias("labelled"))
     p = policy.select(F.col("reason_code").alias("p_reason"), "max_retries")
-    j = events.filter(F.col("us") < now_us - maturity_us).join(lab, "event_id", "left").join(F.broadcast(p), F.col("quality_reason_code") == F.col("p_reason"), "left")
+    j = events.filter(F.col("us") < now_us - maturity_us).join(lab, "event_id", "left").join(p, F.col("quality_reason_code") == F.col("p_reason"), "left")
     again = (F.col("worker_status") == "retry_wait") & F.col("is_retryable") & (F.col("next_retry_us") <= now_us) & (F.col("retry_count") < F.coalesce("max_retries", F.lit(0)))
     open_ = F.col("worker_status").isNull() | ~F.col("worker_status").isin("done", "terminal")
     return j.filter((F.col("labelled").isNull() | again) & open_).select("event_id", "symbol", "us", F.coalesce("retry_count", F.lit(0)).alias("retry_count"), "quality_reason_code")

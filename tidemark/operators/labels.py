@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quotes import mid, spread_bps, valid_book
-from .timejoin import range_join
+from .timejoin import asof_unbounded, range_join
 
 SECOND, MINUTE, HOUR = 1_000_000, 60_000_000, 3_600_000_000
 
@@ -36,11 +36,11 @@ class LabelParams:
     lag_ratio: float = 0.1
     barrier: float = 1.0
     barrier_horizon: int = 30
-    first_after_us: int = 24 * HOUR
+    bucket_us: int = 10 * MINUTE
 
 
 #: Scaled to a table with a tick every 20 minutes.
-FIXTURE = LabelParams(2 * HOUR, 40 * MINUTE, 20 * MINUTE, 3, 24 * HOUR, 30 * MINUTE, 20, 12 * MINUTE, (5, 15, 30, 60, 120), HOUR, 2 * HOUR, 3, 0.1, 1.0, 30, 720 * HOUR)
+FIXTURE = LabelParams(2 * HOUR, 40 * MINUTE, 20 * MINUTE, 3, 24 * HOUR, 30 * MINUTE, 20, 12 * MINUTE, (5, 15, 30, 60, 120), HOUR, 2 * HOUR, 3, 0.1, 1.0, 30, 72 * HOUR)
 
 
 def quoted(ticks: DataFrame) -> DataFrame:
@@ -141,8 +141,8 @@ def horizon_price(anchored: DataFrame, ticks: DataFrame, p: LabelParams = LabelP
     enough = lambda tag: F.coalesce(F.col(f"{tag}_n"), F.lit(0)) >= p.points
     # only events that need it look for the next tick
     open_ = joined.filter(~enough("f") & ~enough("s")).select("event_id", "horizon_min", "symbol", "th")
-    after = range_join(open_.withColumnRenamed("th", "us"), quoted(ticks), F.col("us"), F.col("us") + p.first_after_us, max(1, p.first_after_us // 8))
-    after = after.groupBy("event_id", "horizon_min").agg(F.min_by(F.struct("t_us", "t_mid", "t_spread"), F.struct("t_us", "t_tick_id")).alias("next"))
+    after = asof_unbounded(open_, quoted(ticks), "th", key=["event_id", "horizon_min"], value=["mid", "spread"], bucket_us=p.bucket_us, by="symbol", forward=True, tie="tick_id")
+    after = after.select("event_id", "horizon_min", F.struct((F.col("th") + F.col("asof_lag_us")).alias("t_us"), F.col("mid").alias("t_mid"), F.col("spread").alias("t_spread")).alias("next"))
     joined = joined.join(after, ["event_id", "horizon_min"], "left")
 
     pick = lambda name: F.when(enough("f"), F.col(f"f_{name}")).when(enough("s"), F.col(f"s_{name}"))

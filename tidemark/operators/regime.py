@@ -2,77 +2,115 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .windows import trailing
+from .spans import Trailing, over_spans
+from .windows import realised
 
 
 def rolling_ranks(rows: DataFrame, columns: list[str], width_us: int, *, least: int = 30, key: str = "tick_id", span_us: int | None = None) -> DataFrame:
     """(key, and for each column x the shares x_le and x_ge of the values in the trailing window that are not above, not below the row's).
 
     The window includes the row and those of the same time. Nulls and NaN are no values; a share is null for them and with fewer
-    than ``least`` values. A symbol's series is cut into spans of time (``span_us``, four windows by default), each
-    with the window before it copied in, so that a hot symbol is spread over tasks and a task holds one span.
+    than ``least`` values.
     """
-    span = span_us or 4 * width_us
-    at = F.expr(f"us div {span}")
-    # a row serves its own span and those whose first window reaches back to it
-    copies = rows.select(key, "symbol", "us", *columns, at.alias("_own"), F.explode(F.sequence(at, F.expr(f"(us + {width_us}) div {span}"))).alias("_span"))
-    schema = T.StructType([rows.schema[key], *(T.StructField(f"{c}_{s}", T.DoubleType()) for c in columns for s in ("le", "ge"))])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", kind="stable")
-        us, own = pdf["us"].to_numpy(), (pdf["_own"] == pdf["_span"]).to_numpy()
-        low, high = np.searchsorted(us, us - width_us, "left"), np.searchsorted(us, us, "right")
-        out = {key: pdf[key].to_numpy()}
+
+    def compute(t: Trailing) -> dict[str, np.ndarray]:
+        out = {}
         for c in columns:
-            x = pdf[c].to_numpy(np.float64, na_value=np.nan)
-            le, ge, held, a, b = np.full(len(x), np.nan), np.full(len(x), np.nan), [], 0, 0
-            for i in range(len(x)):
-                while b < high[i]:
-                    if x[b] == x[b]:
-                        insort(held, x[b])
-                    b += 1
-                while a < low[i]:
-                    if x[a] == x[a]:
-                        del held[bisect_left(held, x[a])]
-                    a += 1
-                if own[i] and x[i] == x[i] and len(held) >= least:
-                    le[i] = bisect_right(held, x[i]) / len(held)
-                    ge[i] = 1 - bisect_left(held, x[i]) / len(held)
-            out[f"{c}_le"], out[f"{c}_ge"] = le, ge
-        return pd.DataFrame(out)[own]
-
-    made = copies.groupBy("symbol", "_span").applyInPandas(run, schema)
-    return made.select(key, *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in schema.names[1:]))
+            out[f"{c}_le"] = t.share(t[c], width_us, least=least)
+            out[f"{c}_ge"] = 1 - t.share(t[c], width_us, equal=False, least=least)
+        return out
 
+    made = {f"{c}_{s}": "double" for c in columns for s in ("le", "ge")}
+    return over_spans(rows, columns, width_us, made, compute, key=key, span_us=span_us).drop("symbol", "us")
 
-def trend_shape(ticks: DataFrame, width_us: int, *, pieces: int = 15) -> DataFrame:
-    """(tick_id, persistence, efficiency) of the prices in the trailing window, from four of them on.
+
+def shape(t: Trailing, width_us: int, pieces: int = 15) -> dict[str, np.ndarray]:
+    """persistence and efficiency of the prices in each window, from four of them on.
 
     Persistence: of the moves over every n // ``pieces`` points, the share with the sign of the whole move, if there are
-    three. Efficiency: the whole move against the path, at most one. The array of a frame is as large as its window.
+    three. Efficiency: the whole move against the path, at most one.
     """
-    o = trailing(width_us)
-    told = ticks.select("tick_id", F.transform(F.array_sort(F.collect_list(F.struct("us", "tick_id", "price")).over(o)), lambda t: t["price"]).alias("p")).withColumn("n", F.size("p")).withColumn("step", F.greatest(F.lit(1), F.expr(f"cast(n div {pieces} as int)")))
-    moves = F.expr("transform(filter(sequence(0, greatest(n - 1, 0)), i -> i > 0 and i % step = 0 and p[i - step] > 0), i -> p[i] - p[i - step])")
-    told = told.withColumn("moves", moves).withColumn("whole", F.expr("p[n - 1] - p[0]")).withColumn("path", F.expr("aggregate(sequence(1, greatest(n - 1, 1)), 0D, (a, i) -> a + if(i < n, abs(p[i] - p[i - 1]), 0D))"))
-    same = F.expr("size(filter(moves, m -> (m >= 0) = (whole >= 0)))")
-    enough = F.col("n") >= 4
-    return told.select("tick_id", F.when(enough & (F.size("moves") >= 3), same / F.size("moves")).alias("persistence"), F.when(enough & (F.col("path") > 0), F.least(F.lit(1.0), F.abs("whole") / F.col("path"))).alias("efficiency"))
+    p, (low, high) = t["price"], t.bounds(width_us)
+    n = high - low
+    if not len(p):
+        return {"persistence": np.empty(0), "efficiency": np.empty(0)}
+    step, whole = np.maximum(1, n // pieces), p[high - 1] - p[low]
+    moves, same = np.zeros(len(p)), np.zeros(len(p))
+    for k in range(1, 2 * pieces + 1):
+        at = low + k * step
+        some = np.flatnonzero(at < high)
+        if not len(some):
+            break
+        before, now = p[at[some] - step[some]], p[at[some]]
+        good = before > 0
+        moves[some] += good
+        same[some] += good & ((now - before >= 0) == (whole[some] >= 0))
+    path = t.total(np.abs(np.diff(p, prepend=p[:1])), width_us, low + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return {
+            "persistence": np.where((n >= 4) & (moves >= 3), same / moves, np.nan),
+            "efficiency": np.where((n >= 4) & (path > 0), np.minimum(1.0, np.abs(whole) / path), np.nan),
+        }
+
+
+def trend_shape(ticks: DataFrame, width_us: int, *, pieces: int = 15) -> DataFrame:
+    """(tick_id, persistence, efficiency) of the prices in the trailing window, see ``shape``."""
+    return over_spans(ticks, ["price"], width_us, {"persistence": "double", "efficiency": "double"}, lambda t: shape(t, width_us, pieces)).drop("symbol", "us")
+
+
+def spread(t: Trailing, short_us: int, width_us: int, least: int = 5) -> dict[str, np.ndarray]:
+    """stability: one less the share of the window's spreads up to the short window's mean and one deviation; recovery: the share that is not below the row's."""
+    n, mean, sd = t.moments(t["spread"], short_us)
+    bound = np.where((n >= least) & (mean > 0), mean + np.nan_to_num(sd), np.nan)
+    return {"stability": 1 - t.share(t["spread"], width_us, bound), "recovery": 1 - t.share(t["spread"], width_us, equal=False)}
+
+
+def spread_dynamics(rows: DataFrame, short_us: int, width_us: int) -> DataFrame:
+    """(tick_id, stability, recovery) of ``rows`` (tick_id, symbol, us, spread), see ``spread``; null with fewer than 5 spreads in the short window or 30 in the other."""
+    return over_spans(rows, ["spread"], max(short_us, width_us), {"stability": "double", "recovery": "double"}, lambda t: spread(t, short_us, width_us)).drop("symbol", "us")
 
 
-def spread_bound(rows: DataFrame, spread: str, short_us: int, *, least: int = 5) -> Column:
-    """Mean plus one deviation of the spread in the short window (the bound that stability is measured against)."""
-    o = trailing(short_us)
-    mean = F.avg(spread).over(o)
-    return F.when((F.count(spread).over(o) >= least) & (mean > 0), mean + F.stddev_samp(spread).over(o))
+@dataclass(frozen=True)
+class FactParams:
+    """Widths of the trailing windows that facts are taken over."""
+
+    returns: tuple[int, int, int, int]
+    rv: tuple[int, int, int]
+    middle: int
+    rank: int
+
+
+def regime_facts(ticks: DataFrame, flow: DataFrame, p: FactParams) -> DataFrame:
+    """A snapshot at each of ``ticks`` (tick_id, symbol, us, price, spread, imbalance, trade_us, ...): its columns and the facts that ``regime_scores`` takes.
+
+    ``flow`` has the facts of ``trade_flow`` under the same tick_id. ``trade_us`` is null but for rows that are a message of
+    the trade feed. The lags of the two feeds are the ages of the row before and of the last trade message before.
+    """
+    names = ["ret_short", "ret_mid", "ret_long", "ret_day"]
+
+    def compute(t: Trailing) -> dict[str, np.ndarray]:
+        out, price = {}, t["price"]
+        for name, width in zip(names, p.returns, strict=True):
+            low, high = t.bounds(width)
+            first = price[low]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[name] = np.where((high - low >= 2) & (first > 0), (price - first) / first, np.nan)
+        out |= realised(t, dict(zip(("rv_short", "rv_mid", "rv_long"), p.rv, strict=True)), p.middle)
+        out |= shape(t, p.middle) | spread(t, p.middle, p.rank)
+        out["spread_z"] = t.zscore(t["spread"], p.rank)
+        return out
+
+    made = dict.fromkeys((*names, "rv_short", "rv_mid", "rv_long", "price_range", "rv_ratio", "persistence", "efficiency", "stability", "recovery", "spread_z"), "double")
+    facts = over_spans(ticks, ["price", "spread"], max(*p.returns, *p.rv, p.middle, p.rank), made, compute).drop("symbol", "us")
+    o = Window.partitionBy("symbol").orderBy("us", "tick_id")
+    lags = ticks.withColumns({"book_lag": F.col("us") - F.lag("us").over(o), "trade_lag": F.col("us") - F.last("trade_us", True).over(o.rowsBetween(Window.unboundedPreceding, -1))}).drop("trade_us")
+    return lags.join(facts, "tick_id").join(flow.select("tick_id", "n_trades", "quote_vol", "flow", "gap_ms", "rate", "intensity"), "tick_id")
 
 
 def mean_of(values: list[Column]) -> Column:
@@ -88,51 +126,50 @@ def anchored(anchors: list[Column], supports: list[Column]) -> tuple[Column, Col
     return F.coalesce((anchor + support) / 2, anchor), anchor, support
 
 
-def squashed(z: Column) -> Column:
-    return F.when(z.isNotNull(), F.tanh(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))))
-
-
 def unit(v: Column) -> Column:
     return (v + 1) / 2
 
 
-def rolling_z(x: Column, width_us: int, least: int = 30) -> Column:
-    o = trailing(width_us)
-    sd = F.stddev_samp(x).over(o)
-    return F.when((F.count(x).over(o) >= least) & (sd >= 1e-9), (x - F.avg(x).over(o)) / sd)
-
-
 SCORES = ("stress", "trend", "volatility", "liquidity", "activity")
+_RANKED = ("imbalance_size", "rv_short", "rv_mid", "rv_ratio", "price_range", "spread", "n_trades", "quote_vol", "intensity", "gap_ms", "rate")
+_SIZED = {"a": "ret_short", "b": "ret_mid", "s": "spread", "f": "flow", "l": "ret_long", "d": "ret_day"}
 
 
 def regime_scores(facts: DataFrame, width_us: int) -> DataFrame:
     """``facts`` with the five scores and their anchors and supports.
 
     ``facts``: tick_id, symbol, us, ret_short, ret_mid, ret_long, ret_day, spread, imbalance, flow, persistence, efficiency,
-    rv_short, rv_mid, rv_ratio, price_range, stability, n_trades, quote_vol, intensity, gap. Ranks and deviations are taken over
-    the trailing ``width_us``. Trend supports take the sign of the mean anchor; a score without anchors is null.
+    rv_short, rv_mid, rv_ratio, price_range, stability, recovery, n_trades, quote_vol, intensity, gap_ms, rate. Ranks and
+    deviations are taken over the trailing ``width_us``. Trend supports take the sign of the mean anchor; a score without
+    anchors is null.
     """
-    ranked = ["imbalance_size", "rv_short", "rv_mid", "rv_ratio", "price_range", "spread", "n_trades", "quote_vol", "intensity", "gap"]
-    rows = facts.withColumn("imbalance_size", F.abs("imbalance")).withColumns({c: F.col(c).cast("double") for c in ("n_trades", "intensity")})
-    told = rows.join(rolling_ranks(rows, ranked, width_us), "tick_id")
-    z = {n: squashed(rolling_z(c, width_us)) for n, c in {"a": F.abs("ret_short"), "b": F.abs("ret_mid"), "s": F.col("spread"), "f": F.abs("flow"), "l": F.col("ret_long"), "d": F.col("ret_day")}.items()}
-    told = told.withColumns({f"_z{n}": c for n, c in z.items()})
-    le, ge = (lambda c: F.col(f"{c}_le")), (lambda c: F.col(f"{c}_ge"))
+    rows = facts.withColumn("imbalance_size", F.abs("imbalance"))
+
+    def compute(t: Trailing) -> dict[str, np.ndarray]:
+        out = {f"_r_{c}": t.share(t[c], width_us) for c in _RANKED}
+        for n, c in _SIZED.items():
+            x = np.abs(t[c]) if n in "abf" else t[c]
+            out[f"_z{n}"] = np.tanh(np.clip(t.zscore(x, width_us), -3, 3))
+        return out
+
+    made = dict.fromkeys((*(f"_r_{c}" for c in _RANKED), *(f"_z{n}" for n in _SIZED)), "double")
+    told = rows.join(over_spans(rows, list(dict.fromkeys((*_RANKED, *_SIZED.values()))), width_us, made, compute).drop("symbol", "us"), "tick_id")
+    rank = lambda c: F.col(f"_r_{c}")
     lean = mean_of([F.col("_zl"), F.col("_zd")])
     sign = F.when(lean >= 0, 1.0).when(lean < 0, -1.0)
     parts = {
-        "stress": ([unit(F.col("_za")), unit(F.col("_zb")), unit(F.col("_zs"))], [le("imbalance_size"), unit(F.col("_zf"))]),
+        "stress": ([unit(F.col("_za")), unit(F.col("_zb")), unit(F.col("_zs"))], [rank("imbalance_size"), unit(F.col("_zf"))]),
         "trend": ([F.col("_zl"), F.col("_zd")], [sign * F.col("persistence"), sign * F.col("efficiency")]),
-        "volatility": ([le("rv_short"), le("rv_mid")], [le("rv_ratio"), le("price_range")]),
-        "liquidity": ([ge("spread"), F.col("stability")], [ge("spread"), 1 - le("imbalance_size")]),
-        "activity": ([le("n_trades"), le("quote_vol")], [le("intensity"), 1 - le("gap")]),
+        "volatility": ([rank("rv_short"), rank("rv_mid")], [rank("rv_ratio"), rank("price_range")]),
+        "liquidity": ([F.col("recovery"), F.col("stability")], [F.col("recovery"), 1 - rank("imbalance_size")]),
+        "activity": ([rank("n_trades"), rank("quote_vol")], [rank("intensity"), 1 - rank("gap_ms"), rank("rate")]),
     }
-    made: list[Column] = []
+    made_: list[Column] = []
     for name, (a, s) in parts.items():
         score, anchor, support = anchored(a, s)
         score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)) if name == "trend" else score
-        made += [F.when(anchor.isNotNull(), score).alias(f"{name}_score"), anchor.alias(f"{name}_anchor"), support.alias(f"{name}_support")]
-    return told.select(*facts.columns, *made)
+        made_ += [F.when(anchor.isNotNull(), score).alias(f"{name}_score"), anchor.alias(f"{name}_anchor"), support.alias(f"{name}_support")]
+    return told.select(*facts.columns, *made_)
 
 
 def tag(score: Column, low: float, high: float, names: tuple[str, str, str], stale: Column) -> Column:

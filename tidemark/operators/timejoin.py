@@ -6,7 +6,7 @@ Both sides get a time bucket; events are copied to the buckets that their window
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,21 +34,25 @@ def asof(events: DataFrame, ticks: DataFrame, at: str, tolerance_us: int, *, key
     return joined.select(*events.columns, *(F.col(f"_best.{c}").alias(f"asof_{c}") for c in value), lag.alias("asof_lag_us"))
 
 
-def asof_unbounded(events: DataFrame, series: DataFrame, at: str, *, key: str, value: list[str], bucket_us: int) -> DataFrame:
-    """Each event with the newest row of ``series`` (us, ...) not after it, however old, without a symbol to split by.
+def asof_unbounded(events: DataFrame, series: DataFrame, at: str, *, key: str | list[str], value: list[str], bucket_us: int, by: str | None = None, forward: bool = False, tie: str | None = None) -> DataFrame:
+    """Each event with the newest row of ``series`` (us, ...) not after it, or the first not before it, however far away.
 
-    The last row of each bucket is carried forward over the table of buckets alone; a row of the event's own bucket is
-    found by a join on the bucket.
+    ``by`` names a column that both sides must share, if any; ties in time go by ``tie``. The last row of each bucket is
+    carried forward (the first one back) over the table of buckets alone; a row of the event's own bucket is found by a
+    join on the bucket, so a bucket should hold a few hundred rows. Events without a row stay, with nulls.
     """
-    from pyspark.sql import Window
-
-    row = F.struct("us", *value)
+    keys, more = [key] if isinstance(key, str) else key, [by] if by else []
+    best = F.min if forward else F.max
+    row = F.struct("us", *([tie] if tie else []), *value)
     s = series.withColumn("_bucket", F.expr(f"us div {bucket_us}"))
     e = events.withColumn("_bucket", F.expr(f"{at} div {bucket_us}"))
-    ends = s.groupBy("_bucket").agg(F.max(row).alias("_end"))
+    ends = s.groupBy(*more, "_bucket").agg(best(row).alias("_end"))
     # one row for each bucket of time that has data: a table of the calendar's size, not of the data's
-    marks = ends.join(e.select("_bucket").distinct(), "_bucket", "full")
-    before = marks.select("_bucket", F.last("_end", True).over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    own = e.select(key, at, "_bucket").join(s.select("_bucket", row.alias("_row")), "_bucket").filter(f"_row.us <= {at}").groupBy(key).agg(F.max("_row").alias("_own"))
-    picked = e.join(before, "_bucket", "left").join(own, key, "left").withColumn("_best", F.coalesce("_own", "_before"))
-    return picked.select(*events.columns, *(F.col(f"_best.{c}").alias(c) for c in value), (F.col(at) - F.col("_best.us")).alias("asof_lag_us"))
+    marks = ends.join(e.select(*more, "_bucket").distinct(), [*more, "_bucket"], "full")
+    order = Window.partitionBy(*more).orderBy(F.desc("_bucket") if forward else "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    beyond = marks.select(*more, "_bucket", F.last("_end", True).over(order).alias("_beyond"))
+    near = e.select(*keys, *more, at, "_bucket").join(s.select(*more, "_bucket", row.alias("_row")), [*more, "_bucket"])
+    own = near.filter(f"_row.us >= {at}" if forward else f"_row.us <= {at}").groupBy(*keys).agg(best("_row").alias("_own"))
+    picked = e.join(beyond, [*more, "_bucket"], "left").join(own, keys, "left").withColumn("_best", F.coalesce("_own", "_beyond"))
+    lag = F.col("_best.us") - F.col(at) if forward else F.col(at) - F.col("_best.us")
+    return picked.select(*events.columns, *(F.col(f"_best.{c}").alias(c) for c in value), lag.alias("asof_lag_us"))

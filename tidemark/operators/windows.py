@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def trailing(width_us: int, by: str = "symbol", at: str = "us"):
-    """The rows of a series in the trailing window that ends with the current one."""
-    return Window.partitionBy(by).orderBy(at).rangeBetween(-width_us, 0)
+from .spans import Trailing, extremes, medians, over_spans
+from .stage import staged
 
 
 def latest_per_symbol(ticks: DataFrame) -> DataFrame:
@@ -23,27 +25,49 @@ def price_delta_pct(ticks: DataFrame) -> DataFrame:
 
 
 def rolling_returns(ticks: DataFrame, widths: dict[str, int]) -> DataFrame:
-    def one(w: int) -> Column:
-        o = trailing(w)
-        first = F.first("price").over(o)
-        return F.when((F.count(F.lit(1)).over(o) >= 2) & (first > 0), (F.col("price") - first) / first)
+    """(tick_id, and for each name the return from the first price of the trailing window); null with one price, or a first one of zero or less."""
 
-    return ticks.select("tick_id", *(one(w).alias(name) for name, w in widths.items()))
+    def compute(t: Trailing) -> dict[str, np.ndarray]:
+        out = {}
+        for name, width in widths.items():
+            low, high = t.bounds(width)
+            first = t["price"][low]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[name] = np.where((high - low >= 2) & (first > 0), (t["price"] - first) / first, np.nan)
+        return out
+
+    return over_spans(ticks, ["price"], max(widths.values()), dict.fromkeys(widths, "double"), compute).drop("symbol", "us")
 
 
 def rolling_zscore(ticks: DataFrame, width_us: int, least: int = 30) -> DataFrame:
-    o = trailing(width_us)
-    sd = F.stddev_samp("price").over(o)
-    z = F.when((F.count("price").over(o) >= least) & (sd >= 1e-9), (F.col("price") - F.avg("price").over(o)) / sd)
-    return ticks.select("tick_id", z.alias("z"), F.when(z.isNotNull(), F.tanh(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z)))).alias("norm"))
+    """(tick_id, z, norm): the price against the trailing window that includes it, and that squashed to (-1, 1)."""
+
+    def compute(t: Trailing) -> dict[str, np.ndarray]:
+        z = t.zscore(t["price"], width_us, least)
+        return {"z": z, "norm": np.tanh(np.clip(z, -3, 3))}
+
+    return over_spans(ticks, ["price"], width_us, {"z": "double", "norm": "double"}, compute).drop("symbol", "us")
 
 
 def trade_flow(trades: DataFrame, width_us: int) -> DataFrame:
-    """Trailing facts at each trade: count, quote volume, signed flow (a maker that buys counts as a sale), buy ratio by quantity."""
-    o, value = trailing(width_us), F.col("price") * F.col("qty")
-    signed = F.when(F.col("is_buyer_maker"), -value).otherwise(value)
-    bought = F.sum(F.when(~F.col("is_buyer_maker"), F.col("qty")).otherwise(0.0)).over(o)
-    return trades.select("trade_id", "symbol", F.count(F.lit(1)).over(o).alias("n_trades"), F.sum(value).over(o).alias("quote_vol"), F.sum(signed).over(o).alias("flow"), (bought / F.sum("qty").over(o)).alias("buy_ratio"))
+    """Trailing facts at each trade: count, quote volume, signed flow (a maker that buys counts as a sale), buy ratio by
+    quantity, median gap between trades, trades a second, and the same over a window twice as wide."""
+
+    def compute(t: Trailing) -> dict[str, np.ndarray]:
+        low, high = t.bounds(width_us)
+        value, sale = t["price"] * t["qty"], t["maker"] > 0
+        gap = np.diff(t.us, prepend=t.us[:1]) / 1000.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = t.total(np.where(sale, 0.0, t["qty"]), width_us) / t.total(t["qty"], width_us)
+        wide = t.bounds(2 * width_us)
+        return {
+            "n_trades": high - low, "quote_vol": t.total(value, width_us), "flow": t.total(np.where(sale, -value, value), width_us), "buy_ratio": ratio,
+            "gap_ms": medians(gap, np.minimum(low + 1, high), high), "rate": (high - low) / (width_us / 1e6), "intensity": (wide[1] - wide[0]) / (2 * width_us / 1e6),
+        }
+
+    made = {"n_trades": "long"} | dict.fromkeys(("quote_vol", "flow", "buy_ratio", "gap_ms", "rate", "intensity"), "double")
+    rows = trades.withColumn("maker", F.col("is_buyer_maker").cast("int"))
+    return over_spans(rows, ["price", "qty", "maker"], 2 * width_us, made, compute, key="trade_id").drop("us")
 
 
 def bars(ticks: DataFrame, width: str) -> DataFrame:
@@ -52,16 +76,6 @@ def bars(ticks: DataFrame, width: str) -> DataFrame:
     return ticks.groupBy("symbol", w.alias("w")).agg(F.min_by("price", t).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", t).alias("c"), F.sum("bid_qty").alias("v"), F.avg("price").alias("avg_price")).withColumn("open_us", F.unix_micros("w.start")).drop("w")
 
 
-def rule_pump_dump(bars: DataFrame, delta: float, vol_mult: float, least_notional: float) -> DataFrame:
-    """Bars whose move and volume (against the median of the last 20, zero counting as one) say pump or dump."""
-    last = Window.partitionBy("symbol").orderBy("open_us").rowsBetween(-19, 0)
-    med = F.percentile(F.col("v"), 0.5).over(last)
-    pct, notional = (F.col("c") - F.col("o")) / F.col("o") * 100, F.col("v") * (F.col("h") + F.col("l") + F.col("c")) / 3
-    found = bars.withColumn("pct", pct).withColumn("med", F.when(med == 0, 1.0).otherwise(med)).withColumn("notional", notional)
-    found = found.filter((F.abs("pct") >= delta) & (F.col("v") >= vol_mult * F.col("med")) & (F.col("notional") >= least_notional))
-    return found.select("symbol", "open_us", "pct", F.when(F.col("pct") >= 0, "pump").otherwise("dump").alias("rule"), "notional")
-
-
 def grid_asof(ticks: DataFrame, step_us: int, stale_us: int) -> DataFrame:
     """Each point of a regular grid with the newest tick not older than ``stale_us``; points without one are left out.
 
@@ -82,67 +96,105 @@ def state_transitions(rows: DataFrame, state: Column) -> DataFrame:
 
 
 def volume_percentile(rows: DataFrame, volume: str, p: float) -> DataFrame:
-    """Nearest-rank percentile over the whole market: one row."""
-    ranked = rows.select(F.col(volume).alias("v"), F.row_number().over(Window.orderBy(volume)).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    return ranked.filter(F.col("r") == F.greatest(F.lit(1), F.floor(F.col("n") * p / 100))).select(F.col("v").alias("cutoff"), "n")
+    """(cutoff, n): nearest-rank percentile over the whole market, one row; none without rows.
 
+    Values are counted, dealt by ranges, and only the range that holds the rank is looked at.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(F.col(volume).alias("v")).agg(F.count(F.lit(1)).alias("m")).repartitionByRange(parts, "v")
+    held = staged(counts.withColumn("part", F.spark_partition_id()), "percentile")
+    sizes = held.groupBy("part").agg(F.sum("m").alias("m"), F.min("v").alias("low"))
+    by_range = Window.orderBy("low")
+    total = F.sum("m").over(Window.partitionBy())
+    found = sizes.select("part", (F.sum("m").over(by_range) - F.col("m")).alias("before"), F.sum("m").over(by_range).alias("upto"), total.alias("n"))
+    rank = F.greatest(F.lit(1), F.floor(F.col("n") * p / 100))
+    one = found.withColumn("rank", rank).filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+    within = held.join(F.broadcast(one), "part").withColumn("at", F.col("before") + F.sum("m").over(Window.partitionBy("part").orderBy("v")))
+    return within.filter((F.col("at") >= F.col("rank")) & (F.col("at") - F.col("m") < F.col("rank"))).select(F.col("v").alias("cutoff"), "n")
 
-def cooldown_filter(firings: DataFrame, keys: list[str], cooldown_us: int, at: str = "us", tie: str = "tick_id") -> DataFrame:
-    """Keeps a firing if the last kept one of its key is at least ``cooldown_us`` before it; what is suppressed does not extend it."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, last = pdf.sort_values([at, tie]), [], None
-        for t in pdf[at]:
-            kept.append(last is None or t - last >= cooldown_us)
-            last = t if kept[-1] else last
-        return pdf[kept]
-
-    return firings.groupBy(*keys).applyInPandas(keep, firings.schema)
 
+def cooldown_filter(firings: DataFrame, keys: list[str], cooldown_us: int, at: str = "us", tie: str = "tick_id") -> DataFrame:
+    """Keeps a firing if the last kept one of its key is at least ``cooldown_us`` before it; what is suppressed does not extend it.
 
-def with_ema(rows: DataFrame, value: str, spans: tuple[int, ...], at: str = "us", tie: str = "tick_id") -> DataFrame:
-    """``rows`` with recursive moving averages, k = 2 / (span + 1), started at the first value of each symbol."""
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"ema{n}", T.DoubleType()) for n in spans)])
+    A key's rows pass through a task in order, with its last kept time as the only state. Rows with a null key make one key;
+    those without a time are left out.
+    """
+    names = firings.columns
+    rows = firings.filter(F.col(at).isNotNull()).withColumn("_key", F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in keys)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(dict.fromkeys([at, tie])))
-        return pdf.assign(**{f"ema{n}": pdf[value].ewm(span=n, adjust=False).mean() for n in spans})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            kept = []
+            for k, t in zip(b.column("_key").to_pylist(), b.column(at).to_pylist(), strict=True):
+                kept.append(k != key or t - last >= cooldown_us)
+                if kept[-1]:
+                    key, last = k, t
+            yield b.filter(pa.array(kept, pa.bool_())).select(names)
 
-    return rows.groupBy("symbol").applyInPandas(run, schema)
+    return rows.repartition("_key").sortWithinPartitions("_key", at, tie).mapInArrow(run, firings.schema)
 
 
-def ema(rows: DataFrame, value: str, spans: tuple[int, ...], at: str = "us", tie: str = "tick_id") -> DataFrame:
-    return with_ema(rows.select(tie, "symbol", at, value), value, spans, at, tie).select(tie, "symbol", *(f"ema{n}" for n in spans))
+def _averages(x: np.ndarray, start: float, span: int) -> np.ndarray:
+    """Recursive averages from ``start`` on; NaN changes nothing."""
+    known = ~np.isnan(x)
+    out = np.full(len(x), np.nan)
+    out[known] = pd.Series(np.concatenate(([start], x[known]))).ewm(span=span, adjust=False).mean().to_numpy()[1:]
+    filled = pd.Series(out).ffill().to_numpy()
+    return np.where(np.isnan(filled), start, filled)
 
 
-def _enough_volume(mult: float) -> Column:
-    """Volume against the median of the last 20 bars, zero counting as one."""
-    med = F.percentile(F.col("v"), 0.5).over(Window.partitionBy("symbol").orderBy("open_us").rowsBetween(-19, 0))
-    return F.col("v") >= mult * F.when(med == 0, 1.0).otherwise(med)
+def with_ema(rows: DataFrame, value: str, spans: tuple[int, ...], at: str = "us", tie: str = "tick_id", *, by: tuple[str, ...] = ("symbol",), block_us: int = 240 * 3_600_000_000) -> DataFrame:
+    """``rows`` with recursive moving averages, k = 2 / (span + 1), started at the first value of each series.
 
+    A series is cut into blocks of ``block_us``. A block of n values takes the average before it to (1 - k)**n of that plus
+    a sum of its own, so the averages at which blocks start follow from a table of blocks, and each block is one task's. Null
+    values change nothing, ties in time go by ``tie``, rows without a time are left out.
+    """
+    order = [(c, "ascending") for c in dict.fromkeys((at, tie))]
+    keyed = rows.filter(F.col(at).isNotNull()).withColumn("_block", F.expr(f"{at} div {block_us}"))
+    keys, columns = [rows.schema[k] for k in by], rows.columns
+    sums = T.StructType([*keys, T.StructField("_block", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_first", T.DoubleType()), *(T.StructField(f"_e{n}", T.DoubleType()) for n in spans)])
+
+    names = sums.names
+
+    def values(t: pa.Table) -> np.ndarray:
+        return t.column(value).cast(pa.float64()).to_numpy()
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        x = values(t)
+        x = x[~np.isnan(x)]
+        own = [_averages(x, 0.0, n)[-1] if len(x) else 0.0 for n in spans]
+        cols = [len(x), x[0] if len(x) else None, *own]
+        return pa.table([*(t.column(k).slice(0, 1) for k in (*by, "_block")), *(pa.array([c], pa.int64() if i == 0 else pa.float64()) for i, c in enumerate(cols))], names)
+
+    def chain(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_block")
+        first = [f for f in t.column("_first").to_pylist() if f is not None]
+        starts = []
+        for n in spans:
+            e, k, own = first[0] if first else np.nan, 2 / (n + 1), []
+            for m, add in zip(t.column("_n").to_pylist(), t.column(f"_e{n}").to_pylist(), strict=True):
+                own.append(e)
+                e = e * (1 - k) ** m + add
+            starts.append(pa.array(own, pa.float64()))
+        return pa.table([*(t.column(k) for k in (*by, "_block", "_n", "_first")), *starts], names)
+
+    begins = keyed.select(*by, "_block", *dict.fromkeys((at, tie, value))).groupBy(*by, "_block").applyInArrow(block, sums).groupBy(*by).applyInArrow(chain, sums)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"ema{n}", T.DoubleType()) for n in spans)])
 
-def rule_breakout(bars: DataFrame, lookback: int, buffer_pct: float, vol_mult: float, span: int) -> DataFrame:
-    """Bars that close beyond the extremes of the ``lookback`` bars before, on the same side of the moving average, on enough volume.
+    def apply(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        made = [pa.array(e := _averages(values(t), t.column(f"_e{n}")[0].as_py(), n), mask=np.isnan(e)) for n in spans]
+        return pa.table([*t.select(columns).columns, *made], [*columns, *(f"ema{n}" for n in spans)])
 
-    A symbol's first ``lookback`` + 4 bars say nothing.
-    """
-    o = Window.partitionBy("symbol").orderBy("open_us")
-    prior, e = o.rowsBetween(-lookback, -1), F.col(f"ema{span}")
-    told = with_ema(bars, "c", (span,), "open_us", "open_us").withColumns({"hi": F.max("h").over(prior), "lo": F.min("l").over(prior), "nth": F.row_number().over(o), "enough": _enough_volume(vol_mult)})
-    up = (F.col("c") > F.col("hi") * (1 + buffer_pct / 100)) & (F.col("c") > e)
-    down = (F.col("c") < F.col("lo") * (1 - buffer_pct / 100)) & (F.col("c") < e)
-    rule = F.when(up, "breakout_up").when(down, "breakdown_dn")
-    found = told.filter((F.col("nth") >= lookback + 5) & F.col("enough")).withColumn("rule", rule).filter("rule is not null")
-    return found.select("symbol", "open_us", "rule", F.when(F.col("rule") == "breakout_up", F.col("hi")).otherwise(F.col("lo")).alias("level"), e.alias("ema"))
+    return keyed.join(begins.drop("_n", "_first"), [*by, "_block"]).groupBy(*by, "_block").applyInArrow(apply, schema)
 
 
-def rule_ema_cross(bars: DataFrame, fast: int, slow: int, vol_mult: float) -> DataFrame:
-    """Bars at which the fast average passes the slow one, on enough volume."""
-    gap = F.col(f"ema{fast}") - F.col(f"ema{slow}")
-    told = with_ema(bars, "c", (fast, slow), "open_us", "open_us").withColumn("gap", gap)
-    told = told.withColumns({"before": F.lag("gap").over(Window.partitionBy("symbol").orderBy("open_us")), "enough": _enough_volume(vol_mult)})
-    rule = F.when((F.col("before") <= 0) & (F.col("gap") > 0), "cross_up").when((F.col("before") >= 0) & (F.col("gap") < 0), "cross_dn")
-    return told.filter("enough").withColumn("rule", rule).filter("rule is not null").select("symbol", "open_us", "rule", F.col(f"ema{fast}").alias("ema_fast"), F.col(f"ema{slow}").alias("ema_slow"))
+def ema(rows: DataFrame, value: str, spans: tuple[int, ...], at: str = "us", tie: str = "tick_id") -> DataFrame:
+    return with_ema(rows.select(tie, "symbol", at, value), value, spans, at, tie).select(tie, "symbol", *(f"ema{n}" for n in spans))
 
 
 def rolling_rv_range(ticks: DataFrame, short_us: int, mid_us: int, long_us: int) -> DataFrame:
@@ -150,20 +202,23 @@ def rolling_rv_range(ticks: DataFrame, short_us: int, mid_us: int, long_us: int)
 
     The return that enters a window from before it does not count, nor does one of prices that are not positive.
     """
-    prev = F.lag("price").over(Window.partitionBy("symbol").orderBy("us", "tick_id"))
-    told = ticks.withColumn("ret", F.when((F.col("price") > 0) & (prev > 0), F.log(F.col("price") / prev)))
-
-    def rv(width_us: int) -> Column:
-        o = trailing(width_us)
-        enters = F.min_by(F.struct("ret"), F.struct("us", "tick_id")).over(o)["ret"]
-        n = F.count("ret").over(o) - F.when(enters.isNull(), 0).otherwise(1)
-        s1 = F.sum("ret").over(o) - F.coalesce(enters, F.lit(0.0))
-        s2 = F.sum(F.col("ret") * F.col("ret")).over(o) - F.coalesce(enters * enters, F.lit(0.0))
-        return F.when(n >= 2, F.sqrt(F.greatest(F.lit(0.0), (s2 - s1 * s1 / n) / (n - 1))))
-
-    o = trailing(mid_us)
-    told = told.select("tick_id", rv(short_us).alias("rv_short"), rv(mid_us).alias("rv_mid"), rv(long_us).alias("rv_long"), F.when(F.count("price").over(o) >= 2, F.max("price").over(o) - F.min("price").over(o)).alias("price_range"))
-    return told.withColumn("rv_ratio", F.when(F.col("rv_long") > 0, F.col("rv_short") / F.col("rv_long")))
+
+    def compute(t: Trailing) -> dict[str, np.ndarray]:
+        return realised(t, {"rv_short": short_us, "rv_mid": mid_us, "rv_long": long_us}, mid_us)
+
+    made = dict.fromkeys(("rv_short", "rv_mid", "rv_long", "price_range", "rv_ratio"), "double")
+    return over_spans(ticks, ["price"], max(short_us, mid_us, long_us), made, compute).drop("symbol", "us")
+
+
+def realised(t: Trailing, widths: dict[str, int], range_us: int) -> dict[str, np.ndarray]:
+    p = t["price"]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ret = np.log(np.where(p > 0, p, np.nan) / np.concatenate(([np.nan], np.where(p > 0, p, np.nan)[:-1]))) if len(p) else p
+        out = {name: t.moments(ret, width, t.bounds(width)[0] + 1)[2] for name, width in widths.items()}
+        low, high = t.bounds(range_us)
+        out["price_range"] = np.where(high - low >= 2, extremes(p, low, high, np.fmax) - extremes(p, low, high, np.fmin), np.nan)
+        out["rv_ratio"] = np.where(out["rv_long"] > 0, out["rv_short"] / out["rv_long"], np.nan)
+    return out
 
 
 def downtrend(bars: DataFrame, since_us: int, least: int = 50, fast: int = 20, slow: int = 50) -> DataFrame:

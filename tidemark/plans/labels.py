@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import quotes as qf
 from ..operators import dataset as ds
 from ..operators import labels as lb
+from ..operators.stage import staged
 from ..operators.timejoin import asof, asof_unbounded
 from ..sources import market
 
@@ -14,16 +18,41 @@ P = lb.FIXTURE
 H = lb.HOUR
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles with so many digits; ``nudge`` moves shares off the exact halves that they often are."""
+    return df.select(*(F.round(F.col(c) + nudge if nudge else c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _anchor(s, d):
-    return lb.anchor_price(market.candidates(s, d), market.ticks(s, d), P)
+class Job:
+    """The label job over the market views: each part is made and written once, whatever number of parts reads it."""
+
+    def __init__(self, s: SparkSession, d: str):
+        self.candidates, self.ticks = market.candidates(s, d), market.ticks(s, d)
+
+    @cached_property
+    def anchor(self) -> DataFrame:
+        return staged(lb.anchor_price(self.candidates, self.ticks, P), "anchor")
+
+    @cached_property
+    def sigma(self) -> DataFrame:
+        return staged(lb.sigma_event(self.candidates, self.ticks, P), "sigma")
 
+    @cached_property
+    def anchored(self) -> DataFrame:
+        return self.anchor.filter("anchor_quality <> 'bad'").select("event_id", "symbol", "us", "p_anchor")
 
-def _anchored(s, d):
-    return _anchor(s, d).filter("anchor_quality <> 'bad'").select("event_id", "symbol", "us", "p_anchor")
+    @cached_property
+    def horizons(self) -> DataFrame:
+        priced = self.anchored.join(self.sigma.filter("sigma is not null").select("event_id"), "event_id")
+        return staged(lb.horizon_price(priced, self.ticks, P), "horizons")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return staged(lb.label_quality(self.anchor, self.sigma, self.horizons), "labels")
+
+
+def _anchor(s, d):
+    return lb.anchor_price(market.candidates(s, d), market.ticks(s, d), P)
 
 
 def _sigma(s, d):
@@ -31,7 +60,7 @@ def _sigma(s, d):
 
 
 def _horizons(s, d):
-    return lb.horizon_price(_anchored(s, d).join(_sigma(s, d).filter("sigma is not null").select("event_id"), "event_id"), market.ticks(s, d), P)
+    return Job(s, d).horizons
 
 
 def book_clean(s: SparkSession, d: str) -> DataFrame:
@@ -55,19 +84,21 @@ def markouts(s: SparkSession, d: str) -> DataFrame:
 
 
 def triple_barrier(s: SparkSession, d: str) -> DataFrame:
-    return lb.triple_barrier(_anchored(s, d), _sigma(s, d), _horizons(s, d), market.ticks(s, d), P)
+    job = Job(s, d)
+    return lb.triple_barrier(job.anchored, job.sigma, job.horizons, job.ticks, P)
 
 
 def _labels(s, d):
-    return lb.label_quality(_anchor(s, d), _sigma(s, d), _horizons(s, d))
+    return Job(s, d).labels
 
 
 def label_quality(s: SparkSession, d: str) -> DataFrame:
     return _labels(s, d)
 
 
-def _clean(s, d):
-    return ds.clean_dataset(market.candidates(s, d), market.features(s, d), _labels(s, d), _horizons(s, d))
+def _clean(s, d, job: Job | None = None):
+    job = job or Job(s, d)
+    return ds.clean_dataset(job.candidates, market.features(s, d), job.labels, job.horizons)
 
 
 def clean_dataset(s: SparkSession, d: str) -> DataFrame:
@@ -96,8 +127,8 @@ def null_profile(s: SparkSession, d: str) -> DataFrame:
 
 
 def dup_check(s: SparkSession, d: str) -> DataFrame:
-    c = _clean(s, d)
-    whole = _labels(s, d).agg(F.count(F.lit(1)).alias("labelled"))
+    job = Job(s, d)
+    c, whole = _clean(s, d, job), job.labels.agg(F.count(F.lit(1)).alias("labelled"))
     n = c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
     return n.crossJoin(whole).withColumn("duplicates", F.col("n") - F.col("ids"))
 
@@ -119,7 +150,7 @@ def _snapshots(s, d):
 
 def pit_regime_join(s: SparkSession, d: str) -> DataFrame:
     e = market.candidates(s, d).select("event_id", "us")
-    out = asof_unbounded(e.withColumnRenamed("us", "t"), _snapshots(s, d).filter("joinable"), "t", key="event_id", value=["k"], bucket_us=24 * H)
+    out = asof_unbounded(e.withColumnRenamed("us", "t"), _snapshots(s, d).filter("joinable"), "t", key="event_id", value=["k"], bucket_us=6 * H)
     return out.select("event_id", "k", (F.col("asof_lag_us") / 1000.0).alias("join_lag_ms"))
 
 
@@ -127,7 +158,7 @@ def _state(s, d):
     e = market.candidates(s, d).join(market.events(s, d).select(F.concat(F.lit("ev_"), F.col("event_id").cast("string")).alias("event_id"), "k"), "event_id")
     k = F.col("k")
     reason = F.element_at(F.array(*map(F.lit, [r for r, *_ in ds.RETRY_POLICY]), F.lit("bad_unknown"), F.lit(None)), k % 8 + 1)
-    return e.withColumn("label_quality", F.when(k % 3 == 0, "ok").when(k % 3 == 1, "degraded").otherwise("bad")).withColumn("reason_code", F.when(F.col("label_quality") == "bad", reason)).withColumn("retry_count", k % 5)
+    return e.withColumn("label_quality", F.when(k % 3 == 0, "ok").when(k % 3 == 1, "degraded").otherwise("bad")).withColumn("reason_code", F.when(F.col("label_quality") == "bad", reason)).withColumn("retry_count", k % 7)
 
 
 def retry_classify(s: SparkSession, d: str) -> DataFrame:
@@ -173,9 +204,11 @@ def dataset_regression_diff(s: SparkSession, d: str) -> DataFrame:
     return ds.regression_diff(a.select("event_id", "n_trades"), b.select("event_id", "n_trades"))
 
 
-_RANK = "CASE r " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(lb.REASONS)) + " END"
+_RANK = """CASE r WHEN 'bad_invalid_book' THEN 0 WHEN 'bad_missing_quotes' THEN 1 WHEN 'bad_time_inconsistency' THEN 2 WHEN 'bad_stale_data' THEN 3 WHEN 'bad_sigma' THEN 4 WHEN 'bad_labeler_exception' THEN 5
+  WHEN 'degraded_quote_skew' THEN 6 WHEN 'degraded_low_density' THEN 7 WHEN 'degraded_high_lag' THEN 8 WHEN 'degraded_wide_spread' THEN 9 WHEN 'degraded_unstable_window' THEN 10 END"""
 _QUALITY = "CASE WHEN {0} IS NULL THEN 'ok' WHEN starts_with({0}, 'bad') THEN 'bad' ELSE 'degraded' END"
-_POLICY = "policy(reason_code, retryable, is_terminal, max_retries, cooldown_seconds, priority) AS (VALUES " + ", ".join(str(r).replace("True", "true").replace("False", "false") for r in ds.RETRY_POLICY) + ")"
+_POLICY = """policy(reason_code, retryable, is_terminal, max_retries, cooldown_seconds, priority) AS (VALUES ('bad_invalid_book', false, true, 0, 0, 10), ('bad_sigma', false, true, 0, 0, 10), ('bad_time_inconsistency', false, true, 0, 0, 10),
+  ('bad_missing_quotes', true, false, 3, 300, 50), ('bad_stale_data', true, false, 5, 600, 50), ('bad_labeler_exception', true, false, 3, 900, 50))"""
 _W = f"""WITH {market.SQL},
 q AS (SELECT tick_id, symbol, us, CASE WHEN bid > 0 AND ask > 0 AND ask >= bid THEN (bid + ask) / 2 END AS mid,
              CASE WHEN bid > 0 AND ask > 0 AND ask >= bid THEN (ask - bid) / ((bid + ask) / 2) * 10000 END AS spread FROM ticks),
@@ -212,12 +245,12 @@ ranked AS (SELECT event_id, reason AS r, 1 AS early FROM anchor UNION ALL SELECT
 lab AS (SELECT event_id, arg_min(r, {_RANK}) FILTER (r IS NOT NULL) AS reason_code FROM ranked GROUP BY ALL),
 labels AS (SELECT event_id, {_QUALITY.format("reason_code")} AS label_quality, reason_code FROM lab),
 cl AS (SELECT c.event_id, c.symbol, n_trades, label_quality, reason_code, (p_h - p_anchor) / p_anchor AS ret_h, CASE WHEN p_h IS NOT NULL THEN (high - p_anchor) / p_anchor END AS mfe_h, CASE WHEN p_h IS NOT NULL THEN (low - p_anchor) / p_anchor END AS mae_h
-       FROM candidates c JOIN features USING (event_id) JOIN labels USING (event_id) JOIN hp USING (event_id) WHERE horizon_min = 30 AND (label_quality = 'ok' OR reason_code IN {ds.USABLE})),
+       FROM candidates c JOIN features USING (event_id) JOIN labels USING (event_id) JOIN hp USING (event_id) WHERE horizon_min = 30 AND (label_quality = 'ok' OR reason_code IN ('degraded_low_density', 'degraded_high_lag', 'degraded_unstable_window'))),
 clean AS (SELECT *, CASE WHEN label_quality = 'ok' THEN 'ok_only' WHEN reason_code = 'degraded_low_density' THEN 'degraded_low_density' ELSE 'other_degraded' END AS dataset_bucket,
                  CASE WHEN n_trades IS NULL THEN 'OUT_OF_RANGE' WHEN n_trades <= 5 THEN 'Q1_le_5' WHEN n_trades <= 9 THEN 'Q2_6_9' WHEN n_trades <= 19 THEN 'Q3_10_19' ELSE 'Q4_19_plus' END AS n_trades_bucket FROM cl),
 {_POLICY},
-st AS (SELECT c.*, k, CASE k % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'degraded' ELSE 'bad' END AS label_quality, k % 5 AS retry_count,
-              CASE WHEN k % 3 = 2 THEN ([{", ".join(repr(r[0]) for r in ds.RETRY_POLICY)}, 'bad_unknown', NULL])[k % 8 + 1] END AS reason_code FROM candidates c JOIN ev ON c.event_id = 'ev_' || ev.event_id),
+st AS (SELECT c.*, k, CASE k % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'degraded' ELSE 'bad' END AS label_quality, k % 7 AS retry_count,
+              CASE WHEN k % 3 = 2 THEN (['bad_invalid_book', 'bad_sigma', 'bad_time_inconsistency', 'bad_missing_quotes', 'bad_stale_data', 'bad_labeler_exception', 'bad_unknown', NULL])[k % 8 + 1] END AS reason_code FROM candidates c JOIN ev ON c.event_id = 'ev_' || ev.event_id),
 rc AS (SELECT st.event_id, k, st.reason_code, label_quality != 'bad' AS done, coalesce(label_quality = 'bad' AND retryable AND retry_count + 1 <= max_retries, false) AS waits, retryable, retry_count, us, cooldown_seconds FROM st LEFT JOIN policy USING (reason_code)),
 rcl AS (SELECT event_id, k, reason_code, CASE WHEN done THEN 'done' WHEN waits THEN 'retry_wait' ELSE 'terminal' END AS worker_status, NOT waits AS is_terminal, waits AS is_retryable, CASE WHEN done THEN retry_count ELSE retry_count + 1 END AS retry_count,
                CASE WHEN waits THEN us + cooldown_seconds * 1000000 END AS next_retry_us,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quotes as qf
@@ -12,7 +12,7 @@ from ..operators.labels import HOUR
 from ..sources import market
 from .labels import rounded
 
-WIDTH = 60 * HOUR
+WIDTH, NUDGE = 60 * HOUR, 1e-9
 
 
 def rolling_pct_rank(s, d):
@@ -23,30 +23,45 @@ def trend_shape(s, d):
     return rounded(rg.trend_shape(market.ticks(s, d), 15 * HOUR))
 
 
-def _facts(s, d) -> DataFrame:
-    """A snapshot at each tick; the age of the tick before stands for the lag of the book, that of the symbol's last large trade for the lag of trades."""
+def spread_dynamics(s, d):
+    return rounded(rg.spread_dynamics(_quoted(s, d), 15 * HOUR, WIDTH))
+
+
+def _quoted(s, d) -> DataFrame:
+    """Ticks with spread and imbalance; four in nine are taken for messages of the trade feed."""
     t = market.ticks(s, d).withColumns({"spread": qf.spread_bps(F.col("bid"), F.col("ask")), "imbalance": qf.book_imbalance(F.col("bid_qty"), F.col("ask_qty"))})
-    o = Window.partitionBy("symbol").orderBy("us", "tick_id")
-    bound = rg.spread_bound(t, "spread", 15 * HOUR)
-    before = o.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"bound": bound, "gap": F.col("us") - F.lag("us").over(o), "book_lag": F.col("us") - F.lag("us").over(o), "trade_lag": F.col("us") - F.max(F.when(F.col("k") % 9 > 3, F.col("us"))).over(before), "spread_z": rg.rolling_z(F.col("spread"), WIDTH)})
-    t = t.withColumn("intensity", F.count(F.lit(1)).over(wn.trailing(12 * HOUR)))
-    # the share of an hour's spreads up to the bound is the rank of the bound, not of a spread of the window
-    window = wn.trailing(WIDTH)
-    held = F.collect_list("spread").over(window)
-    t = t.withColumn("stability", F.when(F.col("bound").isNotNull() & (F.count("spread").over(window) >= 30), 1 - F.size(F.filter(held, lambda v: v <= F.col("bound"))) / F.size(held)))
-    returns = wn.rolling_returns(t, {"ret_short": HOUR, "ret_mid": 5 * HOUR, "ret_long": 15 * HOUR, "ret_day": WIDTH})
-    flow = wn.trade_flow(market.trades(s, d), 6 * HOUR).select(F.col("trade_id").alias("tick_id"), "n_trades", "quote_vol", "flow")
-    out = t.drop("ts", "k", "bound", "bid_qty", "ask_qty")
-    for more in (returns, wn.rolling_rv_range(t, 6 * HOUR, 15 * HOUR, WIDTH).drop("rv_long"), flow, rg.trend_shape(t, 15 * HOUR)):
-        out = out.join(more, "tick_id")
-    return out
+    return t.withColumn("trade_us", F.when(F.col("k") % 9 > 4, F.col("us"))).select("tick_id", "symbol", "us", "price", "bid", "ask", "spread", "imbalance", "trade_us")
+
+
+def _facts(s, d) -> DataFrame:
+    flow = wn.trade_flow(market.trades(s, d), 6 * HOUR).withColumnRenamed("trade_id", "tick_id")
+    return rg.regime_facts(_quoted(s, d), flow, rg.FactParams((HOUR, 5 * HOUR, 15 * HOUR, WIDTH), (6 * HOUR, 15 * HOUR, WIDTH), 15 * HOUR, WIDTH))
+
+
+def regime_scores(s, d):
+    told = rg.regime_scores(_facts(s, d), WIDTH)
+    return rounded(told.select("tick_id", *(f"{n}_{p}" for n in rg.SCORES for p in ("score", "anchor", "support"))), 4, NUDGE)
+
+
+def _healthy(s, d):
+    return rg.regime_health(rg.regime_scores(_facts(s, d), WIDTH), "trade_lag", "book_lag", soft_us=HOUR, hard_us=4 * HOUR)
+
+
+def _tagged() -> list:
+    return [c.alias(f"{n}_tag") for n, c in rg.regime_tags(F.col("health") == "stale").items()]
 
 
 def regime_snapshots(s, d):
-    told = rg.regime_health(rg.regime_scores(_facts(s, d), WIDTH), "trade_lag", "book_lag", soft_us=HOUR, hard_us=4 * HOUR)
-    tags = rg.regime_tags(F.col("health") == "stale")
-    return rounded(told.select("tick_id", "symbol", "us", *(f"{n}_{p}" for n in rg.SCORES for p in ("score", "anchor", "support")), *(c.alias(f"{n}_tag") for n, c in tags.items()), "freshness", "completeness", "validity", "health", "observable", "joinable", "missing", "reasons"), 4)
+    told = _healthy(s, d).select("tick_id", "symbol", "us", *(f"{n}_{p}" for n in rg.SCORES for p in ("score", "anchor", "support")), *_tagged(), "freshness", "completeness", "validity", "health", "observable", "joinable", "missing", "reasons")
+    return rounded(told, 4, NUDGE)
+
+
+def regime_tags(s, d):
+    return _healthy(s, d).select("tick_id", *_tagged())
+
+
+def regime_health(s, d):
+    return _healthy(s, d).select("tick_id", "freshness", "completeness", "validity", "health", "missing", "reasons")
 
 
 def latest_scores(s, d):
@@ -62,6 +77,96 @@ def _rank(c: str) -> str:
     return ", ".join(f"round(CASE WHEN {c} IS NOT NULL AND len({c}s) >= 30 THEN len(list_filter({c}s, lambda v: v {op} {c})) / len({c}s)::DOUBLE END, 6) AS {c}_{name}" for op, name in (("<=", "le"), (">=", "ge")))
 
 
+def _share(x: str, rows: str, op: str = "<=", than: str | None = None) -> str:
+    """The share of a window's values of ``rows`` that stand in ``op`` to a bound."""
+    than = than or x
+    return f"CASE WHEN {than} IS NOT NULL AND len({rows}) >= 30 THEN len(list_filter({rows}, lambda v: v {op} {than})) / len({rows})::DOUBLE END"
+
+
+def _values(x: str, hours: int) -> str:
+    return f"list_filter(list({x}) {_OVER.format(hours * HOUR)}, lambda v: v IS NOT NULL)"
+
+
+def _z(x: str) -> str:
+    o = _OVER.format(WIDTH)
+    return f"CASE WHEN count({x}) {o} >= 30 AND stddev_samp({x}) {o} >= 1e-9 THEN ({x} - avg({x}) {o}) / stddev_samp({x}) {o} END"
+
+
+def _mean(*parts: str) -> str:
+    return f"list_avg(list_filter([{', '.join(parts)}], lambda v: v IS NOT NULL))"
+
+
+def _ret(hours: int) -> str:
+    o = _OVER.format(hours * HOUR)
+    return f"CASE WHEN count(*) {o} >= 2 THEN (price - first(price) {o}) / first(price) {o} END"
+
+
+def _rv(hours: int) -> str:
+    return f"list_aggregate((list(lr) {_OVER.format(hours * HOUR)})[2:], 'stddev_samp')"
+
+
+_BY = "(PARTITION BY symbol ORDER BY us, tick_id)"
+_FACTS = f"""WITH {market.SQL},
+q AS (SELECT tick_id, symbol, us, price, bid, ask, CASE WHEN bid > 0 AND ask >= bid THEN (ask - bid) / ((bid + ask) / 2) * 10000 END AS spread, (bid_qty - ask_qty) / (bid_qty + ask_qty) AS imbalance,
+  CASE WHEN k % 9 > 4 THEN us END AS trade_us, ln(price / lag(price) OVER {_BY}) AS lr, us - lag(us) OVER {_BY} AS book_lag FROM ticks),
+w AS (SELECT *, us - max(trade_us) OVER (PARTITION BY symbol ORDER BY us, tick_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trade_lag, {_ret(1)} AS ret_short, {_ret(5)} AS ret_mid, {_ret(15)} AS ret_long, {_ret(60)} AS ret_day,
+  {_rv(6)} AS rv_short, {_rv(15)} AS rv_mid, {_rv(60)} AS rv_long, CASE WHEN count(*) {_OVER.format(15 * HOUR)} >= 2 THEN max(price) {_OVER.format(15 * HOUR)} - min(price) {_OVER.format(15 * HOUR)} END AS price_range,
+  list(price) {_OVER.format(15 * HOUR)} AS p, {_values("spread", 15)} AS near, {_values("spread", 60)} AS spreads, {_z("spread")} AS spread_z FROM q),
+sp AS (SELECT * REPLACE (len(p) AS p), p AS ps, 1 - {_share("spread", "spreads", "<=", "bound")} AS stability, {_share("spread", "spreads", ">=")} AS recovery
+  FROM (SELECT *, CASE WHEN len(near) >= 5 AND list_avg(near) > 0 THEN list_avg(near) + list_aggregate(near, 'stddev_samp') END AS bound FROM w)),
+sh AS (SELECT *, CASE WHEN rv_long > 0 THEN rv_short / rv_long END AS rv_ratio, CASE WHEN p >= 4 AND len(moves) >= 3 THEN len(list_filter(moves, lambda x: (x >= 0) = (ps[-1] - ps[1] >= 0))) / len(moves)::DOUBLE END AS persistence, CASE WHEN p >= 4 AND path > 0 THEN least(1, abs(ps[-1] - ps[1]) / path) END AS efficiency
+  FROM (SELECT *, list_transform(list_filter(range(1, p), lambda i: i % greatest(1, p // 15) = 0), lambda i: ps[i + 1] - ps[i + 1 - greatest(1, p // 15)]) AS moves, list_sum(list_transform(range(1, p), lambda i: abs(ps[i + 1] - ps[i]))) AS path FROM sp)),
+fl AS (SELECT trade_id AS tick_id, count(*) {_OVER.format(6 * HOUR)} AS n_trades, sum(price * qty) {_OVER.format(6 * HOUR)} AS quote_vol, sum(CASE WHEN is_buyer_maker THEN -price * qty ELSE price * qty END) {_OVER.format(6 * HOUR)} AS flow,
+  list_aggregate((list(gap) {_OVER.format(6 * HOUR)})[2:], 'median') AS gap_ms, count(*) {_OVER.format(12 * HOUR)} AS intensity FROM (SELECT *, (us - lag(us) OVER (PARTITION BY symbol ORDER BY us, trade_id)) / 1000.0 AS gap FROM trades)),
+facts AS (SELECT * FROM sh JOIN fl USING (tick_id)) """
+_RANKS = {"imbalance": "abs(imbalance)", "rv_short": "rv_short", "rv_mid": "rv_mid", "rv_ratio": "rv_ratio", "price_range": "price_range", "n_trades": "n_trades", "quote_vol": "quote_vol", "intensity": "intensity", "gap_ms": "gap_ms"}
+_ZS = {"a": "abs(ret_short)", "b": "abs(ret_mid)", "s": "spread", "f": "abs(flow)", "l": "ret_long", "d": "ret_day"}
+_PARTS = {
+    "stress": (("(za + 1) / 2", "(zb + 1) / 2", "(zs + 1) / 2"), ("r_imbalance", "(zf + 1) / 2")),
+    "trend": (("zl", "zd"), ("lean * persistence", "lean * efficiency")),
+    "volatility": (("r_rv_short", "r_rv_mid"), ("r_rv_ratio", "r_price_range")),
+    "liquidity": (("recovery", "stability"), ("recovery", "1 - r_imbalance")),
+    # trades a second rank as their number does
+    "activity": (("r_n_trades", "r_quote_vol"), ("r_intensity", "1 - r_gap_ms", "r_n_trades")),
+}
+_SCORED = (
+    _FACTS
+    + f""", lists AS (SELECT *, {", ".join(f"{_values(x, 60)} AS l_{n}" for n, x in _RANKS.items())}, {", ".join(f"tanh(greatest(-3, least(3, {_z(x)}))) + CASE WHEN {_z(x)} IS NULL THEN NULL ELSE 0 END AS z{n}" for n, x in _ZS.items())} FROM facts),
+ranks AS (SELECT *, {", ".join(f"{_share(x, f'l_{n}')} AS r_{n}" for n, x in _RANKS.items())}, CASE WHEN {_mean("zl", "zd")} >= 0 THEN 1.0 WHEN {_mean("zl", "zd")} < 0 THEN -1.0 END AS lean FROM lists),
+halves AS (SELECT *, {", ".join(f"{_mean(*a)} AS {n}_anchor, CASE WHEN {_mean(*a)} IS NOT NULL THEN {_mean(*b)} END AS {n}_support" for n, (a, b) in _PARTS.items())} FROM ranks),
+scored AS (SELECT *, {", ".join(f"{_mean(f'{n}_anchor', f'{n}_support')} AS {n}_score" for n in _PARTS)} FROM halves) """
+)
+_ROUNDED = ", ".join(f"round({n}_{p} + {NUDGE}, 4) AS {n}_{p}" for n in _PARTS for p in ("score", "anchor", "support"))
+
+
+def _feed(lag: str) -> str:
+    return f"CASE WHEN {lag} IS NULL THEN 'missing' WHEN {lag} <= {HOUR} THEN 'live' WHEN {lag} <= {4 * HOUR} THEN 'delayed' ELSE 'frozen' END"
+
+
+def _there(*names: str) -> str:
+    return " AND ".join(f"{n} IS NOT NULL" for n in names)
+
+
+_SNAPSHOTS = (
+    _SCORED
+    + f""", feeds AS (SELECT *, {_feed("trade_lag")} AS trade, {_feed("book_lag")} AS book, {_there("ret_short", "ret_mid", "ret_long", "ret_day", "rv_short", "rv_mid", "spread")} AS critical,
+  {_there("persistence", "efficiency", "rv_ratio", "stability", "imbalance", "intensity")} AS optional, coalesce(bid > ask, false) OR coalesce(spread < 0, false) OR NOT coalesce(price > 0, false) AS bad FROM scored),
+told AS (SELECT *, CASE WHEN trade IN ('missing', 'frozen') OR book IN ('missing', 'frozen') THEN 'stale' WHEN trade = 'live' AND book = 'live' THEN 'fresh' ELSE 'delayed' END AS freshness,
+  CASE WHEN critical AND optional THEN 'complete' WHEN critical THEN 'partial' ELSE 'insufficient' END AS completeness, CASE WHEN bad THEN 'invalid' ELSE 'valid' END AS validity,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in ("ret_short", "ret_mid", "ret_long", "ret_day", "rv_short", "rv_mid", "spread"))}], lambda x: x IS NOT NULL), ',') AS missing,
+  array_to_string(list_sort(list_filter([CASE WHEN trade != 'live' THEN 'trade_feed_' || trade END, CASE WHEN book != 'live' THEN 'book_feed_' || book END, CASE WHEN NOT critical THEN 'critical_feature_missing' END, CASE WHEN critical AND NOT optional THEN 'optional_feature_missing' END, CASE WHEN bad THEN 'invalid_value_detected' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM feeds),
+healthy AS (SELECT *, CASE WHEN freshness = 'stale' OR validity = 'invalid' OR completeness = 'insufficient' THEN 'stale' WHEN freshness = 'fresh' AND completeness = 'complete' THEN 'fresh' ELSE 'degraded' END AS health FROM told) """
+)
+
+
+def _tag(name: str, low: float, high: float, words: tuple[str, str, str], strict: bool = False) -> str:
+    x = f"{name}_score"
+    return f"CASE WHEN health = 'stale' OR {x} IS NULL THEN NULL WHEN {x} {'>' if strict else '>='} {high} THEN '{words[2]}' WHEN {x} < {low} THEN '{words[0]}' ELSE '{words[1]}' END AS {name}_tag"
+
+
+_LEVELS = ("low", "medium", "high")
+_TAGS = ", ".join([_tag("stress", 0.30, 0.70, _LEVELS), _tag("trend", -0.20, 0.20, ("down", "neutral", "up"), True), *(_tag(n, 0.33, 0.67, _LEVELS) for n in ("volatility", "liquidity", "activity"))])
+
 ORACLES = {
     "rolling_pct_rank": f"""WITH {market.SQL}, q AS (SELECT *, CASE WHEN bid > 0 AND ask >= bid THEN (ask - bid) / ((bid + ask) / 2) * 10000 END AS spread FROM ticks)
       SELECT tick_id, {_rank("price")}, {_rank("spread")} FROM (SELECT tick_id, price, spread, list(price) {_OVER.format(WIDTH)} AS prices, list_filter(list(spread) {_OVER.format(WIDTH)}, lambda v: v IS NOT NULL) AS spreads FROM q)""",
@@ -69,8 +174,12 @@ ORACLES = {
       m AS (SELECT *, len(p) AS n, greatest(1, len(p) // 15) AS step, p[-1] - p[1] AS whole FROM f),
       g AS (SELECT *, list_transform(list_filter(range(1, n), lambda i: i % step = 0 AND p[i + 1 - step] > 0), lambda i: p[i + 1] - p[i + 1 - step]) AS moves, list_sum(list_transform(range(1, n), lambda i: abs(p[i + 1] - p[i]))) AS path FROM m)
       SELECT tick_id, round(CASE WHEN n >= 4 AND len(moves) >= 3 THEN len(list_filter(moves, lambda x: (x >= 0) = (whole >= 0))) / len(moves)::DOUBLE END, 6) AS persistence, round(CASE WHEN n >= 4 AND path > 0 THEN least(1, abs(whole) / path) END, 6) AS efficiency FROM g""",
-    "regime_snapshots": None,
-    "latest_scores": None,
+    "spread_dynamics": _FACTS + "SELECT tick_id, round(stability, 6) AS stability, round(recovery, 6) AS recovery FROM sp",
+    "regime_scores": _SCORED + f"SELECT tick_id, {_ROUNDED} FROM scored",
+    "regime_snapshots": _SNAPSHOTS + f"SELECT tick_id, symbol, us, {_ROUNDED}, {_TAGS}, freshness, completeness, validity, health, validity != 'invalid' AS observable, health != 'stale' AND validity = 'valid' AS joinable, missing, reasons FROM healthy",
+    "latest_scores": _SNAPSHOTS + "SELECT symbol, us, " + ", ".join(f"round({n}_score + {NUDGE}, 4) AS {n}_score" for n in _PARTS) + ", health FROM healthy QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY us DESC, tick_id DESC) = 1",
+    "regime_tags": _SNAPSHOTS + f"SELECT tick_id, {_TAGS} FROM healthy",
+    "regime_health": _SNAPSHOTS + "SELECT tick_id, freshness, completeness, validity, health, missing, reasons FROM healthy",
 }
 
 

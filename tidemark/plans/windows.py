@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quotes as qf
+from ..operators import rules as rl
 from ..operators import windows as wn
 from ..operators.labels import HOUR
 from ..sources import market
@@ -39,7 +43,8 @@ def bars_15m(s, d):
 
 
 def rule_pump_dump(s, d):
-    return rounded(wn.rule_pump_dump(wn.bars(market.ticks(s, d), D6), 2.0, 1.0, 1000.0))
+    pump, dump = {"delta_pct": 2.0, "vol_mult": 1.0, "min_notional": 1000.0}, {"delta_pct": -3.0, "vol_mult": 0.8, "min_notional": 4000.0}
+    return rounded(rl.rule_pump_dump(wn.bars(market.ticks(s, d), D6), pump, dump), 3)
 
 
 def grid_asof(s, d):
@@ -116,11 +121,44 @@ def ema(s, d):
 
 
 def rule_breakout(s, d):
-    return rounded(wn.rule_breakout(wn.bars(market.ticks(s, d), "1 hour"), 32, 0.2, 1.0, 20), 4)
+    up, down = {"buffer_pct": 0.2, "vol_mult": 1.0, "ema_confirm": 1.0, "min_notional": 500.0}, {"buffer_pct": 0.1, "vol_mult": 1.2, "ema_confirm": 0.0, "min_notional": 800.0}
+    return rounded(rl.rule_breakout(wn.bars(market.ticks(s, d), "1 hour"), up, down), 4)
 
 
 def rule_ema_cross(s, d):
-    return rounded(wn.rule_ema_cross(wn.bars(market.ticks(s, d), D6), 9, 21, 1.0), 4)
+    return rounded(rl.rule_ema_cross(wn.bars(market.ticks(s, d), D6), {"vol_mult": 1.0, "min_notional": 2000.0}, rl.RuleParams(fast=9, slow=21)), 4)
+
+
+#: Widths of bars that stand for the time frames: ticks are far apart here, and so is the notional of a bar.
+FRAMES = {"15m": ("1 hour", HOUR), "30m": ("3 hours", 3 * HOUR), "1h": ("6 hours", 6 * HOUR)}
+SCAN = rl.RuleParams().with_notional(0.01)
+
+
+def _framed(s, d):
+    t = market.ticks(s, d)
+    return reduce(DataFrame.unionByName, (wn.bars(t, width).withColumn("timeframe", F.lit(f)) for f, (width, _) in FRAMES.items()))
+
+
+def rule_scan(s, d):
+    return rounded(rl.rule_scan(_framed(s, d), rl.params_overlay(s, SCAN), SCAN).select("timeframe", "symbol", "open_us", "rule", "price", "notional"), 4)
+
+
+def params_overlay(s, d):
+    """The thresholds that each bar of each time frame is held against."""
+    p, bars = F.col("params"), _framed(s, d)
+    names = ("pump.delta_pct", "dump.delta_pct", "bo_up.vol_mult", "bo_dn.buffer_pct", "cross.min_notional", "frame.late_filter_pct")
+    return bars.join(rl.params_overlay(s, SCAN), "timeframe").groupBy("timeframe", "symbol").agg(F.count(F.lit(1)).alias("n"), *(F.max(F.element_at(p, F.lit(n))).alias(n.replace(".", "_")) for n in names))
+
+
+def bar_notional(s, d):
+    return rounded(rl.bar_notional(wn.bars(market.ticks(s, d), D6), F.lit(5.0)).select("symbol", "open_us", "notional", "pct"))
+
+
+def alert_format(s, d):
+    t = market.ticks(s, d)
+    extras = F.to_json(F.struct(F.col("k").alias("k"), (F.col("k") % 3 == 0).alias("early")))
+    price = F.when(F.col("k") % 4 == 0, F.col("price") * 10000).when(F.col("k") % 4 == 1, F.col("k") / 1000000.0).otherwise(F.col("price"))
+    return t.select("tick_id", rl.alert_format("TS", F.when(F.col("k") % 2 == 0, "pump").otherwise("dump"), F.col("symbol"), F.lit("15m"), price, extras).alias("line"))
 
 
 def rolling_rv_range(s, d):
@@ -156,10 +194,10 @@ ORACLES = {
     "price_delta_pct": f"SELECT tick_id, symbol, us, round(price, 6) AS price, round(delta_pct, 6) AS delta_pct FROM ({_DELTA})",
     "rolling_returns": f"SELECT tick_id, {_RET} FROM ticks",
     "rolling_zscore": f"""SELECT tick_id, round(z, 6) AS z, round(tanh(greatest(-3, least(3, z))) + CASE WHEN z IS NULL THEN NULL ELSE 0 END, 6) AS norm FROM (SELECT tick_id, CASE WHEN count(price) {_Z} >= 30 AND stddev_samp(price) {_Z} >= 1e-9 THEN (price - avg(price) {_Z}) / stddev_samp(price) {_Z} END AS z FROM ticks)""",
-    "trade_flow": f"SELECT trade_id, symbol, count(*) {_F} AS n_trades, round(sum(price * qty) {_F}, 6) AS quote_vol, round(sum(CASE WHEN is_buyer_maker THEN -price * qty ELSE price * qty END) {_F}, 6) AS flow, round(sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) {_F} / sum(qty) {_F}, 6) AS buy_ratio FROM trades",
+    "trade_flow": f"SELECT trade_id, symbol, count(*) {_F} AS n_trades, round(sum(price * qty) {_F}, 6) AS quote_vol, round(sum(CASE WHEN is_buyer_maker THEN -price * qty ELSE price * qty END) {_F}, 6) AS flow, round(sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) {_F} / sum(qty) {_F}, 6) AS buy_ratio, round(list_aggregate((list(gap) {_F})[2:], 'median'), 6) AS gap_ms, round(count(*) {_F} / 21600, 6) AS rate, round(count(*) {_OVER.format(12 * HOUR)} / 43200, 6) AS intensity FROM (SELECT *, (us - lag(us) OVER (PARTITION BY symbol ORDER BY us, trade_id)) / 1000.0 AS gap FROM trades)",
     "bars_15m": f"SELECT symbol, open_us, round(o, 6) AS o, round(h, 6) AS h, round(l, 6) AS l, round(c, 6) AS c, round(v, 6) AS v, round(avg_price, 6) AS avg_price FROM ({_BAR.format(w=HOUR // 4)})",
-    "rule_pump_dump": f"""SELECT symbol, open_us, round(pct, 6) AS pct, CASE WHEN pct >= 0 THEN 'pump' ELSE 'dump' END AS rule, round(notional, 6) AS notional FROM (
-        SELECT *, (c - o) / o * 100 AS pct, v * (h + l + c) / 3 AS notional, quantile_cont(v, 0.5) OVER (PARTITION BY symbol ORDER BY open_us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS med FROM ({_BAR.format(w=6 * HOUR)})) WHERE abs(pct) >= 2 AND v >= CASE WHEN med = 0 THEN 1 ELSE med END AND notional >= 1000""",
+    "rule_pump_dump": f"""SELECT symbol, open_us, round(pct, 3) AS pct, CASE WHEN up THEN 'pump' ELSE 'dump' END AS rule, round(notional, 3) AS notional FROM (
+        SELECT *, pct >= 2 AND v >= m AND notional >= 1000 AS up, pct <= -3 AND v >= 0.8 * m AND notional >= 4000 AS down FROM (SELECT *, (c - o) / o * 100 AS pct, v * (h + l + c) / 3 AS notional, CASE WHEN med = 0 THEN 1 ELSE med END AS m FROM b)) WHERE rn >= 37 AND (up OR down)""",
     "grid_asof": f"""SELECT symbol, tick_id, round(price, 6) AS price, grid_us, (grid_us - us) / 1000.0 AS age_ms FROM (SELECT g.symbol, grid_us, t.tick_id, t.price, t.us FROM (SELECT symbol, unnest(range(min(us) // {HOUR} * {HOUR}, max(us) + 1, {HOUR})) AS grid_us FROM ticks GROUP BY symbol) g
         ASOF JOIN ticks t ON t.symbol = g.symbol AND t.us <= g.grid_us) WHERE grid_us - us <= {6 * HOUR}""",
     "state_transitions": f"""SELECT symbol, tick_id, state, prev FROM (SELECT *, lag(state) OVER {_ORDER} AS prev, row_number() OVER {_ORDER} AS rn FROM (SELECT *, CASE WHEN bid IS NULL THEN NULL WHEN price >= 105 THEN 'hot' ELSE 'cold' END AS state FROM ticks)) WHERE rn = 1 OR state IS DISTINCT FROM prev""",
@@ -175,10 +213,26 @@ ORACLES = {
     "constraint_violations": "SELECT tick_id, array_to_string(list_filter([CASE WHEN NOT ask >= bid THEN 'book_order' END, CASE WHEN NOT k < 90 THEN 'k_small' END, CASE WHEN NOT bid > 0 THEN 'bid_positive' END], lambda x: x IS NOT NULL), ',') AS violated FROM ticks",
     "attempt_sequence": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS INT) AS attempt_n, greatest(0, (k - 10) * 100) AS duration_ms FROM ev",
     "cooldown_filter": f"""SELECT tick_id, symbol, us FROM c""",
-    "ema": None,
-    "rule_breakout": "SELECT symbol, open_us, rule, round(CASE WHEN rule = 'breakout_up' THEN hi ELSE lo END, 4) AS level, round(e1, 4) AS ema FROM (SELECT *, CASE WHEN c > hi * 1.002::DOUBLE AND c > e1 THEN 'breakout_up' WHEN c < lo * 0.998::DOUBLE AND c < e1 THEN 'breakdown_dn' END AS rule FROM b JOIN e USING (symbol, rn)) WHERE rn >= 37 AND v >= CASE WHEN med = 0 THEN 1 ELSE med END AND rule IS NOT NULL",
+    "ema": """SELECT tick_id, symbol, round(e1, 6) AS ema20, round(e2, 6) AS ema50 FROM (SELECT symbol, unnest(list(tick_id ORDER BY us, tick_id)) AS tick_id, unnest(list(price ORDER BY us, tick_id)) AS price, unnest(range(1, count(*) + 1)) AS rn FROM ticks GROUP BY symbol) JOIN e USING (symbol, rn)""",
+    "rule_breakout": """SELECT symbol, open_us, rule, round(CASE WHEN rule = 'bo_up' THEN hi ELSE lo END, 4) AS level, round(e1, 4) AS ema FROM (SELECT *,
+        CASE WHEN c > hi * 1.002::DOUBLE AND c > e1 AND v >= m AND notional >= 500 THEN 'bo_up' WHEN c < lo * 0.999::DOUBLE AND v >= 1.2 * m AND notional >= 800 THEN 'bo_dn' END AS rule
+        FROM (SELECT *, CASE WHEN med = 0 THEN 1 ELSE med END AS m, v * (h + l + c) / 3 AS notional FROM b JOIN e USING (symbol, rn))) WHERE rn >= 37 AND rule IS NOT NULL""",
     "rule_ema_cross": f"""SELECT symbol, open_us, rule, round(e1, 4) AS ema_fast, round(e2, 4) AS ema_slow FROM (SELECT *, CASE WHEN before <= 0 AND e1 > e2 THEN 'cross_up' WHEN before >= 0 AND e1 < e2 THEN 'cross_dn' END AS rule
-        FROM (SELECT *, lag(e1 - e2) OVER (PARTITION BY symbol ORDER BY rn) AS before FROM b JOIN e USING (symbol, rn))) WHERE rule IS NOT NULL AND v >= CASE WHEN med = 0 THEN 1 ELSE med END""",
+        FROM (SELECT *, lag(e1 - e2) OVER (PARTITION BY symbol ORDER BY rn) AS before FROM b JOIN e USING (symbol, rn))) WHERE rn >= 37 AND rule IS NOT NULL AND v >= CASE WHEN med = 0 THEN 1 ELSE med END AND v * (h + l + c) / 3 >= 2000""",
+    "rule_scan": """SELECT timeframe, symbol, open_us, unnest(list_filter([
+          CASE WHEN pct >= pump AND v >= pump_v * m AND notional >= pump_n THEN 'pump' END, CASE WHEN pct <= -pump AND v >= pump_v * m AND notional >= pump_n THEN 'dump' END,
+          CASE WHEN c > hi * 1.002::DOUBLE AND c > e1 AND v >= bo_v * m AND notional >= bo_n THEN 'bo_up' END, CASE WHEN c < lo * 0.998::DOUBLE AND c < e1 AND v >= bo_v * m AND notional >= bo_n THEN 'bo_dn' END,
+          CASE WHEN before <= 0 AND e2 > e1 AND v >= cr_v * m AND notional >= cr_n THEN 'cross_up' END, CASE WHEN before >= 0 AND e2 < e1 AND v >= cr_v * m AND notional >= cr_n THEN 'cross_dn' END,
+          CASE WHEN early AND pct >= 2.5 AND v >= 1.8 * m AND notional >= 500 THEN 'pump_early' END, CASE WHEN early AND c > hi * 1.002::DOUBLE AND c > e1 AND v >= 1.8 * m AND notional >= 500 THEN 'bo_up_early' END], lambda x: x IS NOT NULL)) AS rule,
+        round(c, 4) AS price, round(notional, 4) AS notional
+      FROM (SELECT *, (c - o) / o * 100 AS pct, v * (h + l + c) / 3 AS notional, CASE WHEN med = 0 THEN 1 ELSE med END AS m, lag(e2 - e1) OVER (PARTITION BY timeframe, symbol ORDER BY rn) AS before FROM b JOIN e USING (timeframe, symbol, rn))
+      JOIN (VALUES ('15m', 1.4, 2.6, 800, 2.2, 1200, 2.0, 1000, true, NULL), ('30m', 2.2, 2.2, 1200, 2.0, 1500, 1.8, 1500, true, NULL), ('1h', 3.2, 2.0, 1500, 1.8, 2000, 2.0, 1000, false, 5.0)) p(timeframe, pump, pump_v, pump_n, bo_v, bo_n, cr_v, cr_n, early, late) USING (timeframe)
+      WHERE rn >= 37 AND (late IS NULL OR abs(pct) < late)""",
+    "params_overlay": f"""SELECT b.timeframe, symbol, count(*) AS n, any_value(a) AS pump_delta_pct, any_value(-a) AS dump_delta_pct, any_value(v) AS bo_up_vol_mult, 0.2::DOUBLE AS bo_dn_buffer_pct, any_value(x) AS cross_min_notional, any_value(z) AS frame_late_filter_pct
+      FROM (SELECT '15m' AS timeframe, symbol, us // {HOUR} AS w FROM ticks UNION SELECT '30m', symbol, us // {3 * HOUR} FROM ticks UNION SELECT '1h', symbol, us // {6 * HOUR} FROM ticks) b
+      JOIN (VALUES ('15m', 1.4::DOUBLE, 2.2::DOUBLE, 1000::DOUBLE, NULL::DOUBLE), ('30m', 2.2, 2.0, 1500, NULL), ('1h', 3.2, 1.8, 1000, 5.0)) p(timeframe, a, v, x, z) ON p.timeframe = b.timeframe GROUP BY b.timeframe, symbol""",
+    "bar_notional": f"SELECT symbol, open_us, round(v * (h + l + c) / 3, 6) AS notional, round((c - o) / o * 100, 6) AS pct FROM ({_BAR.format(w=6 * HOUR)}) WHERE abs((c - o) / o * 100) < 5",
+    "alert_format": """SELECT tick_id, '[TS] ' || CASE WHEN k % 2 = 0 THEN 'PUMP' ELSE 'DUMP' END || ' | ' || symbol || ' 15m @ ' || printf('%.6g', CASE WHEN k % 4 = 0 THEN price * 10000 WHEN k % 4 = 1 THEN k / 1000000.0::DOUBLE ELSE price END) || ' | {"k":' || k || ',"early":' || CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END || '}' AS line FROM ticks""",
     "rolling_rv_range": f"""SELECT tick_id, round(a, 6) AS rv_short, round(b, 6) AS rv_mid, round(c, 6) AS rv_long, round(r, 6) AS price_range, round(CASE WHEN c > 0 THEN a / c END, 6) AS rv_ratio FROM (SELECT tick_id, {_RV.format(_F)} AS a, {_RV.format(_M)} AS b, {_RV.format(_Z)} AS c, CASE WHEN count(*) {_M} >= 2 THEN max(price) {_M} - min(price) {_M} END AS r
         FROM (SELECT *, CASE WHEN price > 0 AND lag(price) OVER {_ORDER} > 0 THEN ln(price / lag(price) OVER {_ORDER}) END AS ret FROM ticks))""",
     "stream_bars": f"SELECT symbol, open_us, round(avg(price), 6) AS avg_price, count(*) AS n FROM (SELECT *, us // {6 * HOUR} * {6 * HOUR} AS open_us FROM ticks) WHERE open_us + {6 * HOUR} <= {_OUT} GROUP BY ALL",
@@ -200,7 +254,16 @@ def _averaged(width: int, first: int, second: int) -> str:
 e AS (SELECT symbol, rn, c AS e1, c AS e2 FROM b WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, {step} FROM e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn + 1) """
 
 
-_BEFORE = {"cooldown_filter": _COOL, "rule_breakout": _averaged(HOUR, 20, 20), "rule_ema_cross": _averaged(6 * HOUR, 9, 21)}
+def _framed_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS timeframe, * FROM ({_BAR.format(w=w)})" for f, (_, w) in FRAMES.items())
+    over = "OVER (PARTITION BY timeframe, symbol ORDER BY open_us {})"
+    return f"""WITH RECURSIVE {market.SQL}, b AS (SELECT *, row_number() {over.format("")} AS rn, quantile_cont(v, 0.5) {over.format("ROWS BETWEEN 19 PRECEDING AND CURRENT ROW")} AS med, max(h) {over.format("ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING")} AS hi, min(l) {over.format("ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING")} AS lo FROM ({rows})),
+e AS (SELECT timeframe, symbol, rn, c AS e1, c AS e2 FROM b WHERE rn = 1 UNION ALL SELECT b.timeframe, b.symbol, b.rn, e1 + (b.c - e1) * 2 / 21::DOUBLE, e2 + (b.c - e2) * 2 / 10::DOUBLE FROM e JOIN b ON b.timeframe = e.timeframe AND b.symbol = e.symbol AND b.rn = e.rn + 1) """
+
+
+_EMA = f"""WITH RECURSIVE {market.SQL}, b AS (SELECT symbol, price AS c, row_number() OVER (PARTITION BY symbol ORDER BY us, tick_id) AS rn FROM ticks),
+e AS (SELECT symbol, rn, c AS e1, c AS e2 FROM b WHERE rn = 1 UNION ALL SELECT b.symbol, b.rn, e1 + (b.c - e1) * 2 / 21::DOUBLE, e2 + (b.c - e2) * 2 / 51::DOUBLE FROM e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn + 1) """
+_BEFORE = {"ema": _EMA, "cooldown_filter": _COOL, "rule_pump_dump": _averaged(6 * HOUR, 20, 20), "rule_breakout": _averaged(HOUR, 20, 20), "rule_ema_cross": _averaged(6 * HOUR, 9, 21), "rule_scan": _framed_sql()}
 
 
 def queries():
