@@ -6,8 +6,9 @@ symbol's rows pass through a task in batches and are never gathered.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import Any
 
 import pandas as pd
@@ -115,29 +116,47 @@ class Move:
         return None
 
 
+_STATES = "tick_id long, symbol string, us long, state string, noise double, start_price double, peak double, cusum double, cusum_pass boolean, build_us long, confirm_us long, trigger_price double, ended string"
+
+
+def _step(m: Move, row, rules: MoveRules) -> tuple:
+    before, price, us = m.last, row.price, row.us
+    ended, confirm = m.tick(price, us, rules), None
+    if before and (price - before) / before * 100 >= rules.jump_pct:
+        if m.trigger_us is None:
+            m.build_us = us - m.start_us if m.state == "building" else None
+            m.state, m.trigger_us, m.trigger_price = "triggered", us, price
+        else:
+            confirm = us - m.trigger_us
+    out = (row.tick_id, row.symbol, us, "confirming" if confirm is not None else m.state, m.noise, m.start or None, m.peak or None, m.cusum, m.cusum >= rules.alarm, m.build_us, confirm, m.trigger_price or None, ended)
+    if confirm is not None:
+        m.rest(price, us)
+        out = (*out[:-1], "done")
+    return out
+
+
+def _priced(ticks: DataFrame) -> DataFrame:
+    return ticks.filter("price is not null and not isnan(price)").select("tick_id", "symbol", "us", "price")
+
+
 def move_states(ticks: DataFrame, rules: MoveRules = MoveRules()) -> DataFrame:  # noqa: B008
     """Each tick (tick_id, symbol, us, price) with the state after it, the move it belongs to, and why a move ended at it.
 
     A rise of ``jump_pct`` from the tick before triggers: a building move has then taken ``build_us``, one that was never
     declared none (null). The next such rise confirms it and ends it as ``done``. Ticks without a price are left out.
     """
+    return in_order(_priced(ticks), "symbol", ["us", "tick_id"], Move, lambda m, row: _step(m, row, rules), _STATES)
+
+
+def stream_move_states(ticks: DataFrame, rules: MoveRules = MoveRules()) -> DataFrame:  # noqa: B008
+    """``move_states`` of a stream: a symbol's move is kept between batches as JSON. Within a batch ticks are taken in order of (us, tick_id); one that comes in a later batch than a newer one is taken then."""
+    names = [f.split()[0] for f in _STATES.split(", ")]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        m = Move(**json.loads(state.get[0])) if state.exists else Move()
+        rows = pd.concat(list(frames)).sort_values(["us", "tick_id"])
+        out = [_step(m, row, rules) for row in rows.itertuples(index=False)]
+        state.update((json.dumps(asdict(m)),))
+        yield pd.DataFrame(out, columns=names)
 
-    def step(m: Move, row) -> tuple:
-        before, price, us = m.last, row.price, row.us
-        ended, confirm = m.tick(price, us, rules), None
-        if before and (price - before) / before * 100 >= rules.jump_pct:
-            if m.trigger_us is None:
-                m.build_us = us - m.start_us if m.state == "building" else None
-                m.state, m.trigger_us, m.trigger_price = "triggered", us, price
-            else:
-                confirm = us - m.trigger_us
-        out = (row.tick_id, row.symbol, us, "confirming" if confirm is not None else m.state, m.noise, m.start or None, m.peak or None, m.cusum, m.cusum >= rules.alarm, m.build_us, confirm, m.trigger_price or None, ended)
-        if confirm is not None:
-            m.rest(price, us)
-            out = (*out[:-1], "done")
-        return out
-
-    schema = "tick_id long, symbol string, us long, state string, noise double, start_price double, peak double, cusum double, cusum_pass boolean, build_us long, confirm_us long, trigger_price double, ended string"
-    rows = ticks.filter("price is not null and not isnan(price)").select("tick_id", "symbol", "us", "price")
-    made = in_order(rows, "symbol", ["us", "tick_id"], Move, step, schema)
-    return made
+    return _priced(ticks).groupBy("symbol").applyInPandasWithState(run, _STATES, "move string", "append", "NoTimeout")

@@ -43,7 +43,7 @@ def asof_unbounded(events: DataFrame, series: DataFrame, at: str, *, key: str |
     """
     keys, more = [key] if isinstance(key, str) else key, [by] if by else []
     best = F.min if forward else F.max
-    row = F.struct("us", *([tie] if tie else []), *value)
+    row = F.struct("us", *([tie] if tie and tie not in value else []), *value)
     s = series.withColumn("_bucket", F.expr(f"us div {bucket_us}"))
     e = events.withColumn("_bucket", F.expr(f"{at} div {bucket_us}"))
     ends = s.groupBy(*more, "_bucket").agg(best(row).alias("_end"))

@@ -74,3 +74,15 @@ def trading_universe(instruments: DataFrame, tickers: DataFrame, caps: DataFrame
 def universe_semi_join(rows: DataFrame, universe: DataFrame) -> DataFrame:
     """Rows whose symbol is in the universe; an empty universe filters nothing."""
     return rows if universe.isEmpty() else rows.join(universe.select("symbol"), "symbol", "left_semi").select(*rows.columns)
+
+
+def signature(universe: DataFrame, prefix: int = 3) -> DataFrame:
+    """(prefixes, symbols, signature): a digest that tells two universes (symbol) apart.
+
+    The sorted symbols of each prefix have a digest, and the sorted prefixes' digests have one, so no task holds more than a
+    prefix's symbols or the digests of all prefixes.
+    """
+    joined = lambda c: F.sha2(F.array_join(c, ","), 256)
+    parts = universe.groupBy(F.substring("symbol", 1, prefix).alias("p")).agg(joined(F.array_sort(F.collect_list("symbol"))).alias("h"), F.count(F.lit(1)).alias("n"))
+    whole = joined(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]))
+    return parts.agg(F.count(F.lit(1)).alias("prefixes"), F.sum("n").alias("symbols"), whole.alias("signature"))

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under ``spark.checkpoint.dir`` where it is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..operators.audit import delay_status
+from ..operators.stage import shared_path
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +18,29 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_available(stream: DataFrame) -> DataFrame:
     """Runs a stream over what there is and returns what it appended. Windows still open at the end are not in it."""
-    at = _folder(stream.sparkSession)
+    at = shared_path(stream.sparkSession, "stream")
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def run_into(stream: DataFrame, write: Callable[[DataFrame, int], None]) -> None:
+    """Runs a stream over what there is, handing each batch to ``write``."""
+    at = shared_path(stream.sparkSession, "stream")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def late_data(events: DataFrame, delay_us: Column, width: str, hard: str) -> DataFrame:
+    """(open_us, status, n): live, late and stale messages of each window; what comes later than ``hard`` after its time is not waited for."""
+    told = events.withColumn("status", delay_status(delay_us)).withWatermark("ts", hard).groupBy(F.window("ts", width), "status").agg(F.count(F.lit(1)).alias("n"))
+    return told.select(F.unix_micros("window.start").alias("open_us"), "status", "n")
+
+
+def alert_dedup(alerts: DataFrame, message: Column, within: str) -> DataFrame:
+    """``alerts`` (ts, ...) without those whose message came before, for ``within`` after it: the batch form is ``cooldown_filter`` by message."""
+    marked = alerts.withColumn("_message", F.md5(message)).withWatermark("ts", within)
+    return marked.dropDuplicatesWithinWatermark(["_message"]).drop("_message")
+
+
 def stream_bars(events: DataFrame, width: str, late: str) -> DataFrame:
     bars = events.withWatermark("ts", late).groupBy(F.col("event_type").alias("symbol"), F.window("ts", width)).agg(F.avg("price").alias("avg_price"), F.count(F.lit(1)).alias("n"))
     return bars.select("symbol", F.unix_micros("window.start").alias("open_us"), "avg_price", "n")
