@@ -84,3 +84,27 @@ def test_documents(spark):
     low = {k: min(x for x in low if low[x] == v and x >= 0) for k, v in low.items()}
     assert got == sorted((i or -1, f"{fp[i or -1]:016x}", low[i or -1]) for i, _ in rows)
     assert simhash.op9_simhash(spark, df.limit(0)).collect() == []
+
+
+def test_all_hashes_at_once_are_xxh64():
+    rnd = random.Random(7)
+    raw = bytes(rnd.randrange(256) for _ in range(3000))
+    start = np.array([rnd.randrange(2000) for _ in range(600)])
+    size = np.array([rnd.choice([0, 1, 3, 4, 5, 7, 8, 12, 24, 31, 32, 33, 63, 64, 96, 257, 900]) for _ in start])
+    want = [xxhash.xxh64_intdigest(raw[a : a + n], 42) for a, n in zip(start.tolist(), size.tolist())]
+    assert simhash.xxh64(raw, start, size, 42).tolist() == want
+    texts = ["a b c d e", "", None, " x ", "A B\tC  d", "w " * 500]
+    for at_once in (1, 40, 1 << 22):
+        got = simhash.hashes_of(texts, 4, 42, at_once)
+        assert [h.tolist() for h in got] == [simhash.shingle_hashes(t, 4, 42).tolist() for t in texts]
+    assert [len(h) for h in got] == [2, 0, 0, 1, 1, 497]
+
+
+def test_keys_meet_within_four_bits():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(-(2**62), 2**62, 400)
+    for n in range(5):
+        flips = np.array([sum(1 << int(i) for i in rng.choice(64, n, replace=False)) for _ in fps], np.uint64)
+        near = (fps.view(np.uint64) ^ flips).view(np.int64)
+        keys = [{i: set(k[at == i].tolist()) for i in range(len(fps))} for k, at in (simhash.bucket_keys(fps), simhash.bucket_keys(near))]
+        assert all(keys[0][i] & keys[1][i] for i in range(len(fps)))

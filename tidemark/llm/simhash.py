@@ -5,9 +5,10 @@ Golay code of that length is perfect: every vector lies within 3 bits of exactly
 vectors at most 2 bits apart, some vector between them is at most 1 bit from either, so the codeword nearest to it lies
 within 4 bits of both. A segment's keys are the codewords within 4 bits, one or six of them.
 
-If two fingerprints differ in at most 4 bits, the segment with most differences has at least 2 of them or there are
-none, so the other two have at most 2 in sum: the pair of keys of those two segments meets. Fingerprints are joined on
-such pairs and verified in full.
+Two fingerprints that differ in at most 4 bits meet at a key of one of two kinds. If some segment has no difference, one
+of the other two has at most 2: that pair of segments makes a key, the first as it is and the second by its codewords.
+If every segment has a difference, none has more than 2, and the codewords of all three make a key. Keys have 33 to 36
+bits, so buckets stay small up to billions of fingerprints. Fingerprints are joined on keys and verified in full.
 """
 
 from __future__ import annotations
@@ -17,9 +18,7 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,20 +30,101 @@ GOLAY = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints under one key that are compared pair by pair; beyond it they meet at the fingerprints between them.
 BUCKET = 4096
+#: Fingerprints of a bucket whose bits are compared all with all at once.
+_TOGETHER = 64
+#: Shingles that are hashed at once, few enough for their arrays to stay in cache.
+_SHINGLES = 1 << 14
+#: A-Z to lower case.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def xxh64(raw: bytes, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of the stretches ``raw[start : start + size]``, all at once; short ones, as shingles are, cost least."""
+    padded = np.frombuffer(raw + bytes(8), np.uint8)
+    wide = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    half = np.ndarray(len(padded) - 3, "<u4", padded, strides=(1,))
+    seed, n = np.uint64(seed), size.astype(np.uint64)
+    mix = lambda acc, lane: _rotated(acc + lane * _P2, 31) * _P1
+    h, at, left = np.full(len(start), seed + _P5), start.copy(), size.copy()
+    long = np.flatnonzero(size >= 32)
+    if len(long):
+        acc = [np.full(len(long), s) for s in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+        stripes, live = size[long] // 32, np.arange(len(long))
+        for k in range(int(stripes.max())):
+            live = live[stripes[live] > k]
+            for i in range(4):
+                acc[i][live] = mix(acc[i][live], wide[start[long[live]] + 32 * k + 8 * i])
+        v = sum((_rotated(x, r) for x, r in zip(acc, (1, 7, 12, 18), strict=True)), np.zeros(len(long), np.uint64))
+        for x in acc:
+            v = (v ^ mix(np.zeros(len(x), np.uint64), x)) * _P1 + _P4
+        h[long] = v
+        at[long] += stripes * 32
+        left[long] -= stripes * 32
+    h += n
+    for k in range(3):
+        some = np.flatnonzero(left >= 8 * (k + 1))
+        if not len(some):
+            break
+        lane = mix(np.zeros(len(some), np.uint64), wide[at[some] + 8 * k])
+        h[some] = _rotated(h[some] ^ lane, 27) * _P1 + _P4
+    at, left = at + left // 8 * 8, left % 8
+    some = np.flatnonzero(left >= 4)
+    h[some] = _rotated(h[some] ^ half[at[some]].astype(np.uint64) * _P1, 23) * _P2 + _P3
+    at, left = at + left // 4 * 4, left % 4
+    for k in range(3):
+        some = np.flatnonzero(left > k)
+        h[some] = _rotated(h[some] ^ padded[at[some] + k].astype(np.uint64) * _P5, 11) * _P1
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
-    """The hash of every shingle, in order and with repeats; fewer words than ``shingle`` are one shingle, none are no shingle."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1])).tolist()
-    ends = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends))  # noqa: B905
+    """The XXH64 of every shingle, in order and with repeats; fewer words than ``shingle`` are one shingle, none are no shingle."""
+    return hashes_of([text], shingle, seed)[0]
+
+
+def hashes_of(texts: list[str | None], shingle: int, seed: int, at_once: int = 1 << 22) -> list[np.ndarray]:
+    """``shingle_hashes`` of several texts; those of about ``at_once`` bytes together are hashed in one go, and so are the pieces of longer ones."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def flush() -> None:
+        whole = b" ".join(held)
+        raw = np.frombuffer(whole, np.uint8)
+        begin = np.cumsum([0] + [len(t) + 1 for t in held])
+        gap = np.flatnonzero(raw == 32)
+        start, end = np.concatenate(([0], gap + 1)), np.append(gap, len(raw))
+        first = np.searchsorted(start, begin[:-1])
+        count = np.diff(np.append(first, len(start)))
+        # a text without words holds one empty word here
+        count = np.where(np.diff(begin) == 1, 0, count)
+        many = np.where(count > 0, np.maximum(1, count - shingle + 1), 0)
+        of = np.repeat(np.arange(len(held)), many)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        lo = first[of] + nth
+        hi = np.minimum(lo + shingle, first[of] + count[of]) - 1
+        h = np.concatenate([xxh64(whole, start[lo[i : i + _SHINGLES]], end[hi[i : i + _SHINGLES]] - start[lo[i : i + _SHINGLES]], seed) for i in range(0, len(lo), _SHINGLES)] or [np.empty(0, np.uint64)])
+        out.extend(np.split(h, np.cumsum(many)[:-1]))
+
+    size = 0
+    for text in texts:
+        held.append(b" ".join(text.encode("utf-8", "surrogatepass").translate(_LOWER).split()) if text else b"")
+        size += len(held[-1]) + 1
+        if size >= at_once:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return out
 
 
 def folded(h: np.ndarray) -> int:
@@ -64,7 +144,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64)
+            fps = np.array([folded(h) for h in hashes_of(b.column(1).to_pylist(), shingle, seed)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -97,18 +177,38 @@ def segment_keys(segment: np.ndarray) -> np.ndarray:
     return np.where(errors >= 0, (segment[:, None] ^ errors) >> 11, -1)
 
 
-def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index into fps) of every pair of segments and of their codewords."""
+def _segments(fps: np.ndarray) -> list[np.ndarray]:
     u = fps.view(np.uint64)
-    keys = [segment_keys((u >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int32)) for at, n in SEGMENTS]
-    out_key, out_at = [], []
-    for p, (a, b) in enumerate(combinations(range(3), 2)):
-        both = (keys[a][:, :, None].astype(np.int64) << 12) | keys[b][:, None, :]
-        good = (keys[a][:, :, None] >= 0) & (keys[b][:, None, :] >= 0)
-        at = np.nonzero(good)
-        out_key.append(both[good] | (p << 24))
-        out_at.append(at[0])
-    return np.concatenate(out_key), np.concatenate(out_at)
+    return [(u >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+
+
+def _crossed(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, row) of every combination of the rows' numbers of 12 bits, -1 being none."""
+    out, good = parts[0], parts[0] >= 0
+    for p in parts[1:]:
+        out = (out[:, :, None] << 12 | np.maximum(p, 0)[:, None, :]).reshape(len(out), -1)
+        good = (good[:, :, None] & (p >= 0)[:, None, :]).reshape(len(good), -1)
+    return out[good], np.nonzero(good)[0]
+
+
+def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key of 26 bits, index into fps) of every pair of segments and of their codewords: a looser meeting than that of ``bucket_keys``."""
+    near = [segment_keys(x).astype(np.int64) for x in _segments(fps)]
+    made = [(key | p << 24, at) for p, (a, b) in enumerate(combinations(near, 2)) for key, at in [_crossed(a, b)]]
+    return np.concatenate([k for k, _ in made]), np.concatenate([at for _, at in made])
+
+
+def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index into fps) such that fingerprints at most 4 bits apart share one: a segment as it is beside the codewords of another, and the codewords of all three."""
+    own = _segments(fps)
+    near = [segment_keys(x).astype(np.int64) for x in own]
+    made = []
+    for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
+        good = near[j] >= 0
+        made.append(((own[i][:, None] << 12 | np.maximum(near[j], 0))[good] | kind << 36, np.nonzero(good)[0]))
+    key, at = _crossed(*near)
+    made.append((key | 6 << 36, at))
+    return np.concatenate([k for k, _ in made]), np.concatenate([at for _, at in made])
 
 
 def bit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,13 +235,29 @@ def _link_buckets(radius: int):
     def one(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.concatenate((start, [len(key)])))
-        a, b = [], []
-        two = start[size == 2]  # most buckets with company
-        close = bit_distance(fp[two], fp[two + 1]) <= radius
-        a.append(fp[two[close]])
-        b.append(fp[two[close] + 1])
-        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for x, y in forest(fp[s : s + n], radius):
+        none = np.empty(0, np.int64)
+        a, b = [none], [none]
+        left = start[size > _TOGETHER].tolist()
+        for n in np.unique(size[(size > 1) & (size <= _TOGETHER)]).tolist():
+            of = start[size == n]
+            for i in range(0, len(of), max(1, (1 << 22) // (n * n))):
+                part = of[i : i + max(1, (1 << 22) // (n * n))]
+                x = fp[part[:, None] + np.arange(n)]
+                near = bit_distance(x[:, :, None], x[:, None, :]) <= radius
+                near[:, np.arange(n), np.arange(n)] = False
+                rows, hub = np.arange(len(x)), near.sum(2).argmax(1)
+                by_hub = near[rows, hub]
+                # mostly all that have company have that of the hub
+                apart = near.any(2) & ~by_hub
+                apart[rows, hub] = False
+                apart = apart.any(1)
+                g, at = np.nonzero(by_hub & ~apart[:, None])
+                a.append(x[g, hub[g]])
+                b.append(x[g, at])
+                left += part[apart].tolist()
+        sizes = dict(zip(start.tolist(), size.tolist(), strict=True))
+        for s in left:
+            for x, y in forest(fp[s : s + sizes[s]], radius):
                 a.append(x)
                 b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -224,5 +340,10 @@ def near_duplicate_groups(docs: DataFrame, *, shingle: int = 4, bucket: int = BU
 
 
 def op9_simhash(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The fingerprint and group of every row of ``docs`` (doc_id, text).
+
+    Null and word-free texts have fingerprint zero and are linked like any other; repeated rows and ids appear as often as they
+    come; a null id names a group only if it has no other. Without documents there is no row. Other columns are left out.
+    """
     out = near_duplicate_groups(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

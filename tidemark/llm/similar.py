@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import connected_components
-from .simhash import bit_distance, bucket_keys, folded, shingle_hashes
+from .simhash import bit_distance, folded, hashes_of, pair_keys
 from .textbytes import mixed
 
 #: Bits of a Golay pair key; the number of the fingerprint stands above them.
@@ -27,9 +27,9 @@ _KEY_BITS = 26
 BUCKET = 64
 
 
-def _set_of(text: str | None, size: int) -> np.ndarray:
+def sets_of(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted hashes of the different shingles; fewer words than ``size`` are one shingle, none are no shingle."""
-    return np.unique(shingle_hashes(text, size, 42))
+    return [np.unique(h) for h in hashes_of(texts, size, 42)]
 
 
 def prints_of(hashes: np.ndarray, seeds: int) -> list[int]:
@@ -40,8 +40,7 @@ def _prints(size: int, seeds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, same, fps = [], [], []
-            for t in b.column("text"):
-                s = _set_of(t.as_py(), size)
+            for s in sets_of(b.column("text").to_pylist(), size):
                 n.append(len(s))
                 same.append(blake2b(s.tobytes(), digest_size=16).digest())
                 fps.append(prints_of(s, seeds))
@@ -55,7 +54,7 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seed, fps = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seed", "fp"))
         for i in range(0, len(fps), 20_000):
-            key, at = bucket_keys(fps[i : i + 20_000])
+            key, at = pair_keys(fps[i : i + 20_000])
             yield pa.RecordBatch.from_arrays([pa.array(key | seed[i : i + 20_000][at] << _KEY_BITS), pa.array(fps[i : i + 20_000][at])], ["key", "fp"])
 
 
@@ -156,7 +155,7 @@ def _candidates(star: bool, total: int, seeds: int):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [_set_of(t.as_py(), size).view(np.int64) for t in b.column("text")]
+            keys = [s.view(np.int64) for s in sets_of(b.column("text").to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
     return run
