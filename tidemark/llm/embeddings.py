@@ -124,6 +124,20 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(u, v, sim)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of unit vectors link. A product of matrices may differ from ``_cosine`` in the last bits, so what is that near the threshold is judged by the latter, as links are."""
+    s = x @ y.T
+    close = s >= threshold
+    i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
+    close[i, j] = _cosine(x[i], y[j]) >= threshold
+    return close
+
+
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the unit vectors of each row."""
+    return (x * y).sum(1)
+
+
 def _block_counts(threshold: float):
     """Rows (comp, x, y, mine, node, weight, dim, vec) sorted by (comp, x, y): for each vector of a pair of blocks, the vectors of the other that it links to."""
 
@@ -135,7 +149,7 @@ def _block_counts(threshold: float):
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 rows = _unit(flat[starts[a] : starts[b]].reshape(b - a, -1))
                 p, q = (np.flatnonzero(mine[a:b] == k) for k in (x[a], y[a]))
-                close = rows[p] @ rows[q].T >= threshold
+                close = _linked(rows[p], rows[q], threshold)
                 out.append((node[a + p], close @ weight[a + q] - (weight[a + p] if x[a] == y[a] else 0), close.sum(1) - (x[a] == y[a])))
                 if x[a] != y[a]:
                     out.append((node[a + q], close.T @ weight[a + p], close.sum(0)))
@@ -153,7 +167,7 @@ def _brute(queries, threshold: float):
                 at = np.flatnonzero(grp == g)
                 if len(at):
                     x = _unit(_vectors(b.column("vec").take(pa.array(at)), q.shape[1]))
-                    close = (q @ x.T >= threshold) & (q_node[:, None] != node[at])
+                    close = _linked(q, x, threshold) & (q_node[:, None] != node[at])
                     out.append((q_node, close.sum(1)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))], ["node", "want"])
@@ -195,7 +209,7 @@ def descend(nodes: DataFrame, threshold: float, *, k: int, tables: int, rounds:
     return lists, reduce(DataFrame.union, links)
 
 
-def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, k: int = 8, tables: int = 8, rounds: int = 4, settled: float = 0.02, block: int = 1024, audit: int = 512, least_links: int = 1000, audits: int = 32, attempts: int = 5, least_recall: float = 0.95, seed: int = 3) -> tuple[DataFrame, float]:
+def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, k: int = 8, tables: int = 8, rounds: int = 4, settled: float = 0.02, block: int = 4096, audit: int = 512, least_links: int = 1000, audits: int = 32, attempts: int = 5, least_recall: float = 0.95, seed: int = 3) -> tuple[DataFrame, float]:
     """((vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label), recall audited).
 
     Only vectors with equal, non-null labels and equal dimensions are compared. A vector that is null, empty, zero, or
@@ -243,7 +257,9 @@ def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, k: in
         full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least")).filter((F.col("n") >= size) & (F.col("least") >= threshold - 1e-9))
         wide = comps.join(full.select(F.col("u").alias("node")), "node", "left_semi").select("component").distinct()
         members = comps.join(wide, "component", "left_semi")
-        blocks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+        # each vector is copied once for each block of its component: few blocks, but enough of them for several tasks
+        size_ = F.count(F.lit(1))
+        blocks = members.groupBy("component").agg(F.greatest(F.ceil(size_ / block), F.least(F.lit(8), F.ceil(size_ / 256))).alias("blocks"))
         placed = members.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).join(nodes, "node")
         copied = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
             F.col("component").alias("comp"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "weight", "dim", "vec"
@@ -278,7 +294,7 @@ def _judge(threshold: float):
             keep = []
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                s = (_unit(_vectors(x.take(pa.array(at)), int(dim))) * _unit(_vectors(y.take(pa.array(at)), int(dim)))).sum(1)
+                s = _cosine(_unit(_vectors(x.take(pa.array(at)), int(dim))), _unit(_vectors(y.take(pa.array(at)), int(dim))))
                 keep.append(at[s >= threshold])
             keep = pa.array(np.concatenate(keep) if keep else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], ["a", "b"])
@@ -287,4 +303,10 @@ def _judge(threshold: float):
 
 
 def op10_embeddings(spark: SparkSession, vectors: DataFrame) -> DataFrame:
+    """Links and group of every row of ``vectors`` (vec_id, embedding, label), see ``near_duplicate_vectors``.
+
+    A vector that is null, empty or zero, or holds a null or non-finite component, and one without a label, links with nothing
+    and is kept. Repeated rows link with each other; a null id names a group only if it has no other. Without vectors there is
+    no row. Other columns are left out.
+    """
     return near_duplicate_vectors(vectors)[0]

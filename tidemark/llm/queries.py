@@ -1,4 +1,8 @@
-"""The queries of this subpackage and, where SQL can express them, the SQL for the same rows."""
+"""The queries of this subpackage and, where SQL can express them, the SQL for the same rows.
+
+Each takes a whole table and gives what its operator states for nulls, ties, repeats and empty tables. Those that write
+intermediate tables write their rows too and delete the others.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, embeddings, langid, mixing, quality, sharding, simhash, substrings, warc
-from .common import table
+from .common import kept_only, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.op1_mixing(spark, table(spark, sf_dir, "documents"))
+    return kept_only(spark, lambda: mixing.op1_mixing(spark, table(spark, sf_dir, "documents")), "op1_mixing")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +27,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.op4_warc(spark, table(spark, sf_dir, "pages"))
+    return kept_only(spark, lambda: warc.op4_warc(spark, table(spark, sf_dir, "pages")), "op4_warc")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,15 +43,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.op8_query(spark, sf_dir)
+    return kept_only(spark, lambda: substrings.op8_query(spark, sf_dir), "op8_substrings")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.op9_simhash(spark, table(spark, sf_dir, "documents"))
+    return kept_only(spark, lambda: simhash.op9_simhash(spark, table(spark, sf_dir, "documents")), "op9_simhash")
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.op10_embeddings(spark, table(spark, sf_dir, "embeddings"))
+    return kept_only(spark, lambda: embeddings.op10_embeddings(spark, table(spark, sf_dir, "embeddings")), "op10_embeddings")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,12 +51,13 @@ def xxh64(raw: bytes, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndar
     padded = np.frombuffer(raw + bytes(8), np.uint8)
     wide = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
     half = np.ndarray(len(padded) - 3, "<u4", padded, strides=(1,))
-    seed, n = np.uint64(seed), size.astype(np.uint64)
+    n = size.astype(np.uint64)
+    plus = lambda *x: np.uint64((seed + sum(map(int, x))) % (1 << 64))
     mix = lambda acc, lane: _rotated(acc + lane * _P2, 31) * _P1
-    h, at, left = np.full(len(start), seed + _P5), start.copy(), size.copy()
+    h, at, left = np.full(len(start), plus(_P5)), start.copy(), size.copy()
     long = np.flatnonzero(size >= 32)
     if len(long):
-        acc = [np.full(len(long), s) for s in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+        acc = [np.full(len(long), s) for s in (plus(_P1, _P2), plus(_P2), plus(), plus(-int(_P1)))]
         stripes, live = size[long] // 32, np.arange(len(long))
         for k in range(int(stripes.max())):
             live = live[stripes[live] > k]

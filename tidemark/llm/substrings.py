@@ -343,6 +343,10 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
 
 
 def op8_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with the words it has, those that go, and the digest of what is kept, see ``dedup_substrings``.
+
+    A null text has no words and the digest of an empty one. Without documents there is no row.
+    """
     out = dedup_substrings(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
