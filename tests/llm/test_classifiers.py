@@ -58,6 +58,63 @@ def test_languages_of_held_out_documents(spark):
     assert langid.op2_language(spark, df.limit(0)).collect() == []
 
 
+def test_languages_are_those_of_a_plain_count(spark):
+    """Each text's n-grams looked up one by one in the sets that the filters hold, and shares compared."""
+    rows, _ = corpus(150)
+    df = spark.createDataFrame(rows, SCHEMA)
+    m = langid.learned(df)
+    odd = [(200, "A" + "é" * 300 + " the of", None, None, ""), (201, "the", None, None, ""), (201, "the", None, None, ""), (202, "x " * 300_000, None, None, "")]
+    out = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(spark.createDataFrame(rows + odd, SCHEMA).repartition(3), m).collect())
+
+    def plain(text):
+        raw = "".join(c for c in text.lower()).encode()
+        folded = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in raw)
+        grams = [int.from_bytes(folded[i : i + langid.GRAM], "big") for i in range(len(folded) - langid.GRAM + 1)]
+        shares = []
+        for k in range(len(m.langs)):
+            hit = [all(int(m.table[int(at[0]), k // 64]) >> k % 64 & 1 for at in langid.rows_of(np.array([g], np.uint64), len(m.table))) for g in dict.fromkeys(grams)]
+            known = dict(zip(dict.fromkeys(grams), hit, strict=True))
+            n = sum(known[g] for g in grams)
+            fp = m.false_positive[k]
+            shares.append(max(0.0, n - len(grams) * fp) / (1 - min(fp, 0.999)) / m.coverage[k])
+        if not sum(shares):
+            return m.langs[m.prior], 0.0
+        return m.langs[shares.index(max(shares))], round(max(shares) / sum(shares), 9)
+
+    assert out == sorted((i, *plain(t)) for i, t, *_ in rows + odd)
+
+
+def test_a_document_is_one_bag_and_its_score_that_of_a_plain_pass(spark):
+    rnd = random.Random(6)
+    texts = [sentence(rnd, "aa", 40), "Ä1. " * 700_000, "x", sentence(rnd, "cc", 900)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0, 1, 0]), pa.array(texts)], ["quality", "text"])
+    bags = [np.array(x, np.float64).reshape(-1, quality.FEATURES) for b in quality._bags(iter([batch])) for x in b.column("x").to_pylist()]
+    assert [len(b) for b in bags] == [-(-len(t.encode()) // quality.PASSAGE) for t in texts]
+    m = quality.GatedAttention.fit(bags, np.array([1.0, 0, 1, 0]), epochs=3, batch=4)
+    got = [r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).orderBy("doc_id").collect()]
+    E, e, V, U, w, c, b = m.params
+    for x, score in zip(bags, got, strict=True):
+        h = np.maximum(0, (x - m.mean) / m.scale @ E + e)
+        a = np.exp((np.tanh(h @ V) / (1 + np.exp(-(h @ U)))) @ w)
+        z = (a[:, None] * h).sum(0) / a.sum()
+        assert abs(score - (1 / (1 + np.exp(-(z @ c + b))))[0]) < 1e-4
+
+
+def test_fitting_sample_is_bounded(spark):
+    rnd = random.Random(9)
+    docs = [(i, sentence(rnd, "aa", rnd.randint(5, 200))) for i in range(200)] + [(200, "z" * 50_000), (3, "again"), (None, "t"), (201, None)]
+    labels = [(i, i % 2) for i in range(202)] + [(None, 1), (5, None), (4, 1)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int")
+    taken = quality.fitting_sample(d, lab, docs_per_label=60, longest=5_000, fit_bytes=20_000).collect()
+    size = {}
+    for i, t in docs:
+        size[i] = min(size.get(i, 1 << 60), len((t or "").encode()))
+    for y in (0, 1):
+        assert 0 < sum(size[r.doc_id] for r in taken if r.quality == y) <= 10_000
+    assert len({r.doc_id for r in taken}) == len(taken) and not {200, 201, None} & {r.doc_id for r in taken}
+    assert sorted(map(str, taken)) == sorted(map(str, quality.fitting_sample(d.repartition(2), lab, docs_per_label=60, longest=5_000, fit_bytes=20_000).collect()))
+
+
 def test_gradient_is_right_enough_to_learn_one_bad_passage():
     rng = np.random.default_rng(3)
     bags, labels = [], []

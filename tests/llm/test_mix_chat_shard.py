@@ -139,6 +139,34 @@ def test_chat_merges_runs_of_a_role(spark):
     assert [out.formatted[s["from"] : s["to"]] for s in out.loss_spans] == ["c", "c"]
 
 
+def test_a_long_conversation_and_none(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    turns = [(["user", "assistant", "assistant"][i % 3], f"\\{i} ### é" if i % 5 else "") for i in range(4000)]
+    out = chat.op5_chat(spark, spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], schema).repartition(4)).collect()
+    assert {r.conv_id: tuple(r)[1:5] for r in out}[1] == by_hand(turns)
+    assert [r.conv_id for r in chat.op5_chat(spark, spark.createDataFrame([], schema)).collect()] == [-7]
+
+
+@pytest.mark.parametrize("lot", [40, 100_000])
+def test_a_hot_key_is_cut_into_lots(spark, lot):
+    rows = [(None, f"text {i}") for i in range(900)] + [(i, f"text {i}") for i in range(600)] + [(None, "same")] * 200
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    out = sharding.ring_shards(df, "k", 7, ties=("t",), lot=lot).collect()
+    assert Counter((r.k, r.t) for r in out) == Counter(rows)
+    n = Counter(r.shard for r in out)
+    assert max(n.values()) - min(n.values()) <= 1
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(n[s])) for s in n)
+    again = sharding.ring_shards(df.repartition(5), "k", 7, ties=("t",), lot=lot).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
+def test_one_more_shard_without_slack(spark):
+    df = spark.range(10_000).withColumnRenamed("id", "k")
+    old, new = ({r.k: r.shard for r in sharding.ring_shards(df, "k", n).collect()} for n in (16, 17))
+    # one in seventeen must move
+    assert sum(old[k] != new[k] for k in old) < 0.2 * 10_000
+
+
 def test_shards_differ_by_one_and_slots_have_no_gap(spark):
     rows = [(i, "same" if i % 3 == 0 else f"t{i}", None) for i in range(1003)] + [(None, None, None), (5, "t5", None), (5, "t5", None)]
     out = sharding.op6_sharding(spark, docs(spark, rows).withColumn("shard", F.lit("clash"))).collect()

@@ -108,3 +108,11 @@ def test_keys_meet_within_four_bits():
         near = (fps.view(np.uint64) ^ flips).view(np.int64)
         keys = [{i: set(k[at == i].tolist()) for i in range(len(fps))} for k, at in (simhash.bucket_keys(fps), simhash.bucket_keys(near))]
         assert all(keys[0][i] & keys[1][i] for i in range(len(fps)))
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    text = " ".join(f"Word{i % 977}x{i % 31}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text + " more"), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.fp & (1 << 64) - 1) for r in simhash.fingerprints(df).collect())
+    assert got[1:] == [(1, fingerprint_by_hand(text))] * 2 + [(2, 0)]
+    assert got[0] == (0, fingerprint_by_hand(text + " more"))
