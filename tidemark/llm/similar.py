@@ -104,8 +104,8 @@ def _meetings(reach: int, bucket: int):
                     x, k = fp[part[:, None] + np.arange(n)], key[part]
                     near = bit_distance(x[:, :, None], x[:, None, :]) <= reach
                     near[:, np.arange(n), np.arange(n)] = False
-                    # the hub is one with most company, so that most of the others are near it
-                    hub = near.sum(2).argmax(1)
+                    # the hub is one with most company, and of these the same in many buckets: so most others are near it, and pairs repeat
+                    hub = (near.sum(2) + mixed(x.view(np.uint64)) / 2.0**65).argmax(1)
                     add(k, x, near.any(2), near[np.arange(len(x)), hub], hub)
             for s, n in zip(start[size > bucket].tolist(), size[size > bucket].tolist(), strict=True):
                 x, hub = fp[s : s + n], int(key[s]) % n
@@ -223,16 +223,27 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
         rows = of.select("list", "node", "n", "comp", *(F.col("fps")[k].alias(f"f{k}") for k in range(seeds)))
         return rows.repartition(parts, "list").sortWithinPartitions("list", "node").mapInArrow(_candidates(star, total, seeds), "a long, b long")
 
-    links = _judged(close(pairs).union(listed(shared.withColumn("comp", F.col("node")), True)), texts, size)
-    groups = written(connected_components(links.union(equal)), "similar-groups")
-    # what the first round has left in different groups
+    # a group of near copies has many pairs a member: first each node with the smallest that it met, then what is still apart
+    proposed = written(close(pairs).union(listed(shared.withColumn("comp", F.col("node")), True)).distinct(), "similar-candidates")
+    links = _judged(proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size).union(equal)
+    groups = written(connected_components(links), "similar-groups")
+
+    def still_apart(of: DataFrame, groups: DataFrame) -> DataFrame:
+        comp = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
+        told = of.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+        return told.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
+
+    links = links.union(_judged(still_apart(proposed, groups), texts, size))
+    groups = written(connected_components(links), "similar-groups")
+    # lists whose members are not all in one group
     comp = groups.withColumnRenamed("component", "comp")
     grouped = lambda of: of.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lists = written(grouped(members.select("list", *own).union(shared.select("list", *own))), "similar-lists")
     split = lists.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("list")
     told = grouped(by_fp)
     wide = pairs.filter("a_many > 1 or b_many > 1").select("seed", "a", "b").join(side(told, "a", "comp"), ["seed", "a"]).join(side(told, "b", "comp"), ["seed", "b"]).filter("a_comp <> b_comp")
-    more = _judged(listed(lists.join(split, "list"), False).union(close(wide)), texts, size)
+    more = listed(lists.join(split, "list"), False).union(close(wide)).distinct().join(proposed, ["a", "b"], "left_anti")
+    more = _judged(more, texts, size)
     if not more.isEmpty():
-        groups = written(connected_components(links.union(equal).union(more)), "similar-groups")
+        groups = written(connected_components(links.union(more)), "similar-groups")
     return copies.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
