@@ -303,9 +303,9 @@ ORACLES = {
     "alert_dedup": "SELECT tick_id, us FROM c",
     "stream_idempotent_sink": "SELECT event_id, event_type AS symbol FROM ev WHERE event_id % 20 = 3",
     "pump_fast_detect": None,
-    "stream_move_states": None,
+    "stream_move_states": mk._MOVES + mk.ORACLES["move_state_machine"],
 }
-_OWN = ("symbol_list_source", "base_symbol", "universe_signature", "outcome_status_join")
+_OWN = ("symbol_list_source", "base_symbol", "universe_signature", "outcome_status_join", "stream_move_states")
 _DEDUP = f"""WITH RECURSIVE {market.SQL}, hot AS (SELECT tick_id, us, symbol || '|' || k % 4 AS m FROM ticks),
 c AS (SELECT * FROM hot QUALIFY row_number() OVER (PARTITION BY m ORDER BY us, tick_id) = 1
   UNION ALL SELECT h.* FROM c, LATERAL (SELECT * FROM hot WHERE hot.m = c.m AND hot.us >= c.us + {12 * HOUR} ORDER BY us, tick_id LIMIT 1) h) """

@@ -157,13 +157,31 @@ ORACLES = {
     "downtrend": f"WITH {market.SQL}, {_BARS}, "
     + f"""b AS (SELECT symbol, list(price ORDER BY us) AS cs FROM bars WHERE us >= ((SELECT max(us) FROM ticks) - {14 * DAY}) // {HOUR} * {HOUR} GROUP BY symbol)
       SELECT symbol, len(cs) AS n, len(cs) >= 50 AND fast < slow AND cs[-1] < slow AS downtrend FROM (SELECT *, list_reduce(cs, lambda a, x: a + (x - a) * 2 / 21::DOUBLE) AS fast, list_reduce(cs, lambda a, x: a + (x - a) * 2 / 51::DOUBLE) AS slow FROM b)""",
-    "move_state_machine": None,
+    "move_state_machine": """SELECT tick_id, symbol, us, shown AS state, round(noise, 6) AS noise, round(nullif(o_start, 0), 6) AS start_price, round(nullif(o_peak, 0), 6) AS peak, round(o_cusum, 6) AS cusum, o_cusum >= 2 AS cusum_pass, o_build AS build_us, confirm AS confirm_us, round(o_price, 6) AS trigger_price, ended FROM m""",
 }
 
 
+#: The state of a symbol after each tick, from that after the tick before: gates, what the tick does to the move, what the jump does.
+_MOVES = f"""WITH RECURSIVE {market.SQL}, t AS (SELECT tick_id, symbol, us, price AS p, row_number() OVER (PARTITION BY symbol ORDER BY us, tick_id) AS rn FROM ticks),
+m AS (SELECT symbol, rn, tick_id, us, 'idle' AS shown, p * 0.0001::DOUBLE * 0.9::DOUBLE AS noise, NULL::VARCHAR AS ended, NULL::BIGINT AS confirm, 0::DOUBLE AS o_start, 0::DOUBLE AS o_peak, 0::DOUBLE AS o_cusum, NULL::BIGINT AS o_build, NULL::DOUBLE AS o_price,
+    'idle' AS st, p AS last, p AS low, us AS low_us, 0::DOUBLE AS start, 0::BIGINT AS start_us, 0::DOUBLE AS peak, 0 AS stalled, 0::DOUBLE AS cusum, NULL::BIGINT AS trig_us, NULL::DOUBLE AS trig_price, NULL::BIGINT AS build FROM t WHERE rn = 1
+  UNION ALL
+  SELECT symbol, rn, tick_id, us, CASE WHEN jump AND trig_us IS NOT NULL THEN 'confirming' WHEN jump THEN 'triggered' ELSE st2 END, n, CASE WHEN jump AND trig_us IS NOT NULL THEN 'done' ELSE ended2 END, CASE WHEN jump THEN us - trig_us END,
+    start2, peak2, cusum2, CASE WHEN jump AND trig_us IS NULL THEN CASE WHEN st2 = 'building' THEN us - start_us2 END ELSE build END, CASE WHEN jump AND trig_us IS NULL THEN p ELSE trig_price END,
+    CASE WHEN jump AND trig_us IS NOT NULL THEN 'idle' WHEN jump THEN 'triggered' ELSE st2 END, p, CASE WHEN jump AND trig_us IS NOT NULL THEN p ELSE low2 END, CASE WHEN jump AND trig_us IS NOT NULL THEN us ELSE low_us2 END,
+    CASE WHEN jump AND trig_us IS NOT NULL THEN 0 ELSE start2 END, CASE WHEN jump AND trig_us IS NOT NULL THEN 0 ELSE start_us2 END, CASE WHEN jump AND trig_us IS NOT NULL THEN 0 ELSE peak2 END, CASE WHEN jump AND trig_us IS NOT NULL THEN 0 ELSE stalled2 END, CASE WHEN jump AND trig_us IS NOT NULL THEN 0 ELSE cusum2 END,
+    CASE WHEN jump AND trig_us IS NULL THEN us WHEN jump THEN NULL ELSE trig_us END, CASE WHEN jump AND trig_us IS NULL THEN p WHEN jump THEN NULL ELSE trig_price END, CASE WHEN jump AND trig_us IS NULL AND st2 = 'building' THEN us - start_us2 WHEN jump THEN NULL ELSE build END
+  FROM (SELECT *, CASE WHEN declares THEN 'building' WHEN ended2 IS NOT NULL THEN 'idle' ELSE st END AS st2, CASE WHEN ended2 IS NOT NULL THEN p ELSE lo END AS low2, CASE WHEN ended2 IS NOT NULL THEN us ELSE lo_us END AS low_us2,
+      CASE WHEN declares THEN lo WHEN ended2 IS NOT NULL THEN 0 ELSE start END AS start2, CASE WHEN declares THEN lo_us WHEN ended2 IS NOT NULL THEN 0 ELSE start_us END AS start_us2, CASE WHEN declares THEN p WHEN ended2 IS NOT NULL THEN 0 WHEN st = 'building' THEN greatest(peak, p) ELSE peak END AS peak2,
+      CASE WHEN declares OR ended2 IS NOT NULL THEN 0 WHEN st = 'building' THEN stalled + 1 ELSE stalled END AS stalled2, CASE WHEN declares OR ended2 IS NOT NULL THEN 0 WHEN st = 'building' THEN greatest(0, cusum + (p - start) / greatest(n, 1e-12) - 1) ELSE cusum END AS cusum2
+    FROM (SELECT *, st = 'idle' AND 2.5::DOUBLE * n > 0 AND p - lo > 2.5::DOUBLE * n AS declares, CASE WHEN st = 'building' AND 1.5::DOUBLE * n > 0 AND greatest(peak, p) - p > 1.5::DOUBLE * n THEN 'retrace' WHEN st = 'building' AND stalled >= 3 THEN 'lateral' END AS ended2, (p - last) / last * 100 >= 2 AS jump
+      FROM (SELECT t.*, m.noise + 0.1::DOUBLE * (abs(t.p - m.last) - m.noise) AS n, CASE WHEN st = 'idle' AND t.p <= low THEN t.p ELSE low END AS lo, CASE WHEN st = 'idle' AND t.p <= low THEN t.us ELSE low_us END AS lo_us, st, last, start, start_us, peak, stalled, cusum, trig_us, trig_price, build
+        FROM m JOIN t ON t.symbol = m.symbol AND t.rn = m.rn + 1)))) """
+
+
 def queries():
     return {name: globals()[name] for name in ORACLES}
 
 
 def oracle_sql():
-    return {name: sql for name, sql in ORACLES.items() if sql}
+    return {name: (_MOVES if name == "move_state_machine" else "") + sql for name, sql in ORACLES.items()}
