@@ -76,6 +76,18 @@ def pending_events(events: DataFrame, labels: DataFrame, policy: DataFrame, now_
     return j.filter((F.col("labelled").isNull() | again) & open_).select("event_id", "symbol", "us", F.coalesce("retry_count", F.lit(0)).alias("retry_count"), "quality_reason_code")
 
 
+def orphans(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key ``owners`` lacks; those with a null key have no owner."""
+    return rows.join(owners.select(key), key, "left_anti")
+
+
+def overdue_retries(labels: DataFrame, policy: DataFrame, now_us: int, n: int = 20) -> DataFrame:
+    """The ``n`` labels in retry_wait whose time came first, of those whose time has come."""
+    p = policy.select(F.col("reason_code").alias("quality_reason_code"), "max_retries")
+    due = labels.filter((F.col("worker_status") == "retry_wait") & (F.col("next_retry_us") <= now_us)).join(p, "quality_reason_code")
+    return due.orderBy("next_retry_us", "event_id").limit(n).select("event_id", "quality_reason_code", "retry_count", "next_retry_us", "max_retries")
+
+
 def upsert_latest(target: DataFrame, batch: DataFrame, key: str, owned: list[str]) -> DataFrame:
     """``target`` with the columns ``owned`` taken from ``batch`` where it has the key; other columns survive, new keys are added."""
     t, b = target.withColumn("_in", F.lit(True)), batch.select(key, *(F.col(c).alias(f"_{c}") for c in batch.columns if c != key), F.lit(True).alias("_new"))

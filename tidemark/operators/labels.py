@@ -123,20 +123,30 @@ def horizon_price(anchored: DataFrame, ticks: DataFrame, p: LabelParams = LabelP
     # a short horizon's symmetric window may begin before t
     back = max(0, max((p.short_us if h <= 15 else p.long_us) - h * p.minute_us for h in p.horizons))
     near = range_join(anchored.select("event_id", "symbol", "us", "p_anchor"), quoted(ticks).filter("mid is not null"), F.col("us") - back, F.col("us") + reach, max(1, reach // 10))
-    rows = near.withColumn("horizon_min", F.explode(F.array(*map(F.lit, p.horizons)))).withColumn("th", F.col("us") + F.col("horizon_min").cast("long") * p.minute_us).withColumn("d", F.when(F.col("horizon_min") <= 15, p.short_us).otherwise(p.long_us))
     t, m = F.col("t_us"), F.col("t_mid")
-    fwd, sym, scan = t.between(F.col("th"), F.col("th") + F.col("d")), t.between(F.col("th") - F.col("d"), F.col("th") + F.col("d")), t.between(F.col("us"), F.col("th"))
-    rows = rows.filter(sym | scan)
+    width = lambda h: p.short_us if h <= 15 else p.long_us
+    # a tick goes to the horizons whose windows hold it, and as a high and low to the first horizon that it comes before
+    windows = F.array_compact(F.array(*(F.when(F.abs(t - F.col("us") - h * p.minute_us) <= width(h), F.lit(h)) for h in p.horizons)))
+    rows = near.withColumn("horizon_min", F.explode(windows)).withColumn("th", F.col("us") + F.col("horizon_min").cast("long") * p.minute_us)
+    everything = F.lit(True)
+    fwd = t >= F.col("th")
 
     def stats(inside: Column, tag: str) -> list[Column]:
         x = lambda c: F.when(inside, c)
         s = x(F.col("t_spread"))
         return [
-            F.count(x(m)).alias(f"{tag}_n"), F.median(x(m)).alias(f"{tag}_p"), F.min(x(F.abs(t - F.col("th")))).alias(f"{tag}_lag"), (F.max(x(t)) - F.min(x(t))).alias(f"{tag}_span"),
-            F.median(s).alias(f"{tag}_spread"), F.avg(s).alias(f"{tag}_mean"), F.stddev_samp(s).alias(f"{tag}_sd"), (F.percentile(x(m), 0.75) - F.percentile(x(m), 0.25)).alias(f"{tag}_iqr"),
+            F.count(x(m)).alias(f"{tag}_n"), F.percentile(x(m), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{tag}_q"), F.min(x(F.abs(t - F.col("th")))).alias(f"{tag}_lag"), (F.max(x(t)) - F.min(x(t))).alias(f"{tag}_span"),
+            F.median(s).alias(f"{tag}_spread"), F.avg(s).alias(f"{tag}_mean"), F.stddev_samp(s).alias(f"{tag}_sd"),
         ]
 
-    got = rows.groupBy("event_id", "horizon_min").agg(*stats(fwd, "f"), *stats(sym, "s"), F.max(F.when(scan, m)).alias("high"), F.min(F.when(scan, m)).alias("low"))
+    got = rows.groupBy("event_id", "horizon_min").agg(*stats(fwd, "f"), *stats(everything, "s"))
+    for tag in "fs":
+        got = got.withColumns({f"{tag}_p": F.col(f"{tag}_q")[1], f"{tag}_iqr": F.col(f"{tag}_q")[2] - F.col(f"{tag}_q")[0]}).drop(f"{tag}_q")
+    first = F.coalesce(*(F.when(t <= F.col("us") + h * p.minute_us, F.lit(h)) for h in sorted(p.horizons)))
+    parts = near.filter(t >= F.col("us")).withColumn("horizon_min", first).filter("horizon_min is not null").groupBy("event_id", "horizon_min").agg(F.max(m).alias("part_high"), F.min(m).alias("part_low"))
+    upto = Window.partitionBy("event_id").orderBy("horizon_min")
+    scanned = grid.select("event_id", "horizon_min").join(parts, ["event_id", "horizon_min"], "left").select("event_id", "horizon_min", F.max("part_high").over(upto).alias("high"), F.min("part_low").over(upto).alias("low"))
+    got = scanned.join(got, ["event_id", "horizon_min"], "left")
     joined = grid.join(got, ["event_id", "horizon_min"], "left")
     enough = lambda tag: F.coalesce(F.col(f"{tag}_n"), F.lit(0)) >= p.points
     # only events that need it look for the next tick

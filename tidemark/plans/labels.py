@@ -118,7 +118,21 @@ def quality_ratio(s: SparkSession, d: str) -> DataFrame:
 
 
 def orphan_audit(s: SparkSession, d: str) -> DataFrame:
-    return market.candidates(s, d).join(market.features(s, d), "event_id", "left_anti").select("event_id", "symbol")
+    return ds.orphans(market.candidates(s, d), market.features(s, d), "event_id").select("event_id", "symbol")
+
+
+def orphan_attempts(s: SparkSession, d: str) -> DataFrame:
+    """Attempts at labels of events that have none."""
+    attempts = market.events(s, d).filter("event_id % 10 = 3").select(F.concat(F.lit("ev_"), F.col("event_id").cast("string")).alias("event_id"), "us")
+    return ds.orphans(attempts, market.candidates(s, d), "event_id")
+
+
+def overdue_retries(s: SparkSession, d: str) -> DataFrame:
+    """The twenty retries that have waited longest beyond their time."""
+    state = _state(s, d)
+    got = ds.retry_classify(state, ds.retry_policy(s), F.col("us")).join(state.select("event_id", F.col("reason_code").alias("quality_reason_code")), "event_id")
+    now = market.candidates(s, d).agg(F.max("us")).first()[0] or 0
+    return ds.overdue_retries(got, ds.retry_policy(s), now)
 
 
 def null_profile(s: SparkSession, d: str) -> DataFrame:
@@ -278,6 +292,8 @@ ORACLES = {
     "clean_view_asserts": "SELECT count(*) - count(DISTINCT event_id) AS duplicates, 0::BIGINT AS unknown, count(*) FILTER (dataset_bucket = 'ok_only') AS ok_rows, 0::BIGINT AS downweight_wrong, 0::BIGINT AS sweet_spot_wrong, 0::BIGINT AS unusable, count(*) FILTER (dataset_bucket = 'ok_only') > 0 AND count(*) = count(DISTINCT event_id) AS passed FROM clean",
     "quality_ratio": "SELECT label_quality, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS ratio FROM labels GROUP BY ALL",
     "orphan_audit": "SELECT event_id, symbol FROM candidates ANTI JOIN features USING (event_id)",
+    "orphan_attempts": "SELECT 'ev_' || event_id AS event_id, us FROM ev WHERE event_id % 10 = 3 AND event_id % 20 <> 3",
+    "overdue_retries": "SELECT event_id, reason_code AS quality_reason_code, retry_count, next_retry_us, max_retries FROM rcl JOIN policy USING (reason_code) WHERE worker_status = 'retry_wait' AND next_retry_us <= (SELECT max(us) FROM candidates) ORDER BY next_retry_us, event_id LIMIT 20",
     "null_profile": "SELECT horizon_min, count(*) AS n, count(*) FILTER (p_h IS NULL) AS null_ret, count(*) FILTER (points = 0) AS no_points, count(*) FILTER (fa) AS first_after FROM hp GROUP BY ALL",
     "dup_check": "SELECT count(*) AS n, count(DISTINCT event_id) AS ids, (SELECT count(*) FROM labels) AS labelled, count(*) - count(DISTINCT event_id) AS duplicates FROM clean",
     "asof_backward": _ASOF.format(arg="arg_max", lag=f"c.us + {H} - max(t.us)", low="c.us", high=f"c.us + {H}"),
