@@ -302,7 +302,8 @@ ORACLES = {
     "universe_signature": f"WITH {listings.SQL}, {mk._REASONS} SELECT count(*)::BIGINT AS prefixes, sum(n)::BIGINT AS symbols, sha256(string_agg(h, ',' ORDER BY p)) AS signature FROM (SELECT substr(symbol, 1, 3) AS p, count(*) AS n, sha256(string_agg(symbol, ',' ORDER BY symbol)) AS h FROM judged WHERE reason = 'accepted' GROUP BY p)",
     "alert_dedup": "SELECT tick_id, us FROM c",
     "stream_idempotent_sink": "SELECT event_id, event_type AS symbol FROM ev WHERE event_id % 20 = 3",
-    "pump_fast_detect": None,
+    "pump_fast_detect": """SELECT tick_id, symbol, us, kind, decision, reason AS rejection_reason, round(last, 4) AS price, round(delta, 4) AS delta_pct, round(o_trigger, 4) AS trigger_price, round(stage, 4) AS stage_pct, round(o_build / 1000.0, 4) AS build_ms, round(o_confirm / 1000.0, 4) AS confirm_ms,
+      round(o_rel, 4) AS rel_vol, round(o_ratio, 4) AS confirm_ratio, o_n AS n_trades, round(nullif(o_start, 0), 4) AS move_start_price, round(nullif(o_peak, 0), 4) AS peak, round(nullif(o_noise, 0), 4) AS noise FROM m WHERE kind IS NOT NULL""",
     "stream_move_states": mk._MOVES + mk.ORACLES["move_state_machine"],
 }
 _OWN = ("symbol_list_source", "base_symbol", "universe_signature", "outcome_status_join", "stream_move_states")
@@ -311,10 +312,33 @@ c AS (SELECT * FROM hot QUALIFY row_number() OVER (PARTITION BY m ORDER BY us, t
   UNION ALL SELECT h.* FROM c, LATERAL (SELECT * FROM hot WHERE hot.m = c.m AND hot.us >= c.us + {12 * HOUR} ORDER BY us, tick_id LIMIT 1) h) """
 
 
+#: What is known of a symbol after each tick that is seen, from what was known before it; a row before the first knows nothing.
+_DETECT = f"""WITH RECURSIVE {market.SQL}, hb AS (SELECT symbol, list(c ORDER BY w) AS cs FROM (SELECT symbol, us // {HOUR} AS w, arg_max(price, us) AS c FROM ticks GROUP BY ALL) GROUP BY symbol),
+falling AS (SELECT symbol FROM (SELECT symbol, cs, list_reduce(cs, lambda a, x: a + (x - a) * 2 / 21::DOUBLE) AS fast, list_reduce(cs, lambda a, x: a + (x - a) * 2 / 51::DOUBLE) AS slow FROM hb) WHERE symbol = 'view' AND len(cs) >= 50 AND fast < slow AND cs[-1] < slow),
+fl AS (SELECT trade_id, count(*) {_F6} AS n_trades, sum(price * qty) {_F6} AS quote_vol, sum(CASE WHEN is_buyer_maker THEN 0 ELSE qty END) {_F6} / sum(qty) {_F6} AS ratio FROM trades),
+g AS (SELECT tick_id, t.symbol, us, price AS p, k % 50 != 0 AS live, (hour(ts) + 20) % 24 < 8 OR (hour(ts) + 20) % 24 > 22 AS blocked, t.symbol IN (SELECT symbol FROM falling) AS down, n_trades, ratio, quote_vol / ((300000 + k * 10) / 2880.0::DOUBLE) AS rel,
+  row_number() OVER (PARTITION BY t.symbol ORDER BY us, tick_id) AS rn FROM ticks t JOIN fl ON trade_id = tick_id WHERE t.symbol <> 'error'),
+m AS (SELECT DISTINCT symbol, 0::BIGINT AS rn, NULL::BIGINT AS tick_id, NULL::BIGINT AS us, NULL::VARCHAR AS kind, NULL::VARCHAR AS decision, NULL::VARCHAR AS reason, NULL::DOUBLE AS delta, NULL::DOUBLE AS o_trigger, NULL::DOUBLE AS stage, NULL::BIGINT AS o_build, NULL::BIGINT AS o_confirm, NULL::DOUBLE AS o_rel, NULL::DOUBLE AS o_ratio, NULL::BIGINT AS o_n,
+    NULL::DOUBLE AS o_start, NULL::DOUBLE AS o_peak, NULL::DOUBLE AS o_noise, 'idle' AS st, 0::DOUBLE AS noise, NULL::DOUBLE AS seen, 0::DOUBLE AS low, 0::BIGINT AS low_us, 0::DOUBLE AS start, 0::BIGINT AS start_us, 0::DOUBLE AS nas, 0::DOUBLE AS peak, 0 AS stalled, NULL::BIGINT AS trig, NULL::BIGINT AS build, NULL::DOUBLE AS last, NULL::DOUBLE AS tprice, NULL::BIGINT AS alerted FROM g
+  UNION ALL
+  SELECT symbol, rn, tick_id, us, CASE WHEN rise AND blocked THEN 'near_miss' WHEN gate THEN 'alert' END, CASE WHEN rise AND blocked THEN 'blocked' WHEN gate AND stage3 > 4 THEN 'rejected' WHEN gate THEN 'passed' END, CASE WHEN rise AND blocked THEN 'operator_sleep' WHEN gate AND stage3 > 4 THEN 'late_entry' END, round(delta2, 3),
+    CASE WHEN gate THEN tp END, CASE WHEN gate THEN stage3 END, CASE WHEN gate THEN build3 END, CASE WHEN gate THEN us - trig3 END, CASE WHEN gate THEN rel END, CASE WHEN gate THEN ratio END, CASE WHEN gate THEN n_trades END, CASE WHEN gate THEN start2 END, CASE WHEN gate THEN peak2 END, CASE WHEN gate THEN nas2 END,
+    CASE WHEN conf THEN 'idle' ELSE st3 END, n, CASE WHEN live THEN p ELSE seen END, CASE WHEN conf THEN p ELSE low2 END, CASE WHEN conf THEN us ELSE low_us2 END, CASE WHEN conf THEN 0 ELSE start2 END, CASE WHEN conf THEN 0 ELSE start_us2 END, CASE WHEN conf THEN 0 ELSE nas2 END, CASE WHEN conf THEN 0 ELSE peak2 END, CASE WHEN conf THEN 0 ELSE stalled2 END,
+    CASE WHEN NOT conf THEN trig3 END, CASE WHEN NOT conf THEN build3 END, p, CASE WHEN NOT conf THEN tp END, CASE WHEN gate AND stage3 <= 4 THEN us ELSE alerted END
+  FROM (SELECT *, conf AND NOT (alerted IS NOT NULL AND us - alerted < {12 * HOUR}) AND rel >= 1 AS gate, round((p - tp) / tp * 100, 3) AS stage3
+    FROM (SELECT *, CASE WHEN go AND trig IS NULL THEN us ELSE trig END AS trig3, CASE WHEN go AND trig IS NULL THEN CASE WHEN st2 = 'building' THEN us - start_us2 END ELSE build END AS build3, CASE WHEN go AND trig IS NULL THEN 'triggered' ELSE st2 END AS st3, CASE WHEN go THEN coalesce(tprice, p) ELSE tprice END AS tp,
+        go AND coalesce(n_trades >= 3 AND ratio >= 0.55, false) AS conf
+      FROM (SELECT *, rise AND NOT blocked AS go, CASE WHEN declares THEN 'building' WHEN ends THEN 'idle' ELSE st END AS st2, CASE WHEN ends THEN p ELSE lo END AS low2, CASE WHEN ends THEN us ELSE lo_us END AS low_us2, CASE WHEN declares THEN lo WHEN ends THEN 0 ELSE start END AS start2, CASE WHEN declares THEN lo_us WHEN ends THEN 0 ELSE start_us END AS start_us2,
+          CASE WHEN declares THEN n WHEN ends THEN 0 ELSE nas END AS nas2, CASE WHEN declares THEN p WHEN ends THEN 0 WHEN live AND st = 'building' THEN greatest(peak, p) ELSE peak END AS peak2, CASE WHEN declares OR ends THEN 0 WHEN live AND st = 'building' THEN stalled + 1 ELSE stalled END AS stalled2
+        FROM (SELECT *, live AND st = 'idle' AND 2.5::DOUBLE * n > 0 AND p - lo > 2.5::DOUBLE * n AS declares, live AND st = 'building' AND ((1.5::DOUBLE * n > 0 AND greatest(peak, p) - p > 1.5::DOUBLE * n) OR stalled >= 3) AS ends, (p - last) / last * 100 AS delta2, live AND coalesce((p - last) / last * 100 >= 2, false) AND NOT down AS rise
+          FROM (SELECT g.*, CASE WHEN NOT live THEN noise WHEN seen IS NULL THEN p * 0.0001::DOUBLE * 0.9::DOUBLE ELSE noise + 0.1::DOUBLE * (abs(p - seen) - noise) END AS n, CASE WHEN live AND (seen IS NULL OR (st = 'idle' AND p <= low)) THEN p ELSE low END AS lo, CASE WHEN live AND (seen IS NULL OR (st = 'idle' AND p <= low)) THEN g.us ELSE low_us END AS lo_us,
+              st, seen, noise, start, start_us, nas, peak, stalled, trig, build, last, tprice, alerted FROM m JOIN g ON g.symbol = m.symbol AND g.rn = m.rn + 1)))))) """
+
+
 def queries():
     return {name: globals()[name] for name in ORACLES}
 
 
 def oracle_sql():
     found = {name: sql if name in _OWN else f"WITH {market.SQL} {sql}" for name, sql in ORACLES.items() if sql}
-    return found | {"alert_dedup": _DEDUP + ORACLES["alert_dedup"], "horizon_quality": lb._W + f"SELECT CAST(horizon_min AS INT) AS horizon_min, {lb._QUALITY.format('reason')} AS quality_flag, reason AS reason_code, count(*) AS n FROM hp GROUP BY ALL"}
+    return found | {"pump_fast_detect": _DETECT + ORACLES["pump_fast_detect"], "alert_dedup": _DEDUP + ORACLES["alert_dedup"], "horizon_quality": lb._W + f"SELECT CAST(horizon_min AS INT) AS horizon_min, {lb._QUALITY.format('reason')} AS quality_flag, reason AS reason_code, count(*) AS n FROM hp GROUP BY ALL"}
