@@ -61,7 +61,8 @@ def pump_fast_detect(ticks: DataFrame, flow: DataFrame, p: DetectParams = Detect
     buy_ratio, quote_vol) has the trades before it. Ticks that are blocked or not watched, or have no price above zero, are not
     seen at all; those below the day's volume only move the price before. A rise in a downtrend is passed over. A rise opens
     a candidate or prolongs it; it is confirmed by a rise with enough trades on the buyers' side, if not within the cooldown
-    of the last alert and with enough relative volume.
+    of the last alert and with enough relative volume. Trades count by their time alone, whether or not the candidate was
+    open when they came, and a trigger price stays until a candidate is confirmed.
     """
     r = rules or MoveRules(jump_pct=p.pump_pct)
 

@@ -108,7 +108,8 @@ def rule_scan(bars: DataFrame, params: DataFrame, p: RuleParams = RuleParams(),
 
     ``bars`` is (timeframe, symbol, open_us, o, h, l, c, v), ``params`` comes from ``params_overlay``; bars of a time frame
     that it lacks fire nothing. A series' first ``lookback`` + 4 bars say nothing, and neither does a bar that has moved as
-    far as its frame's late filter. Early rules run in frames that enable them. Bars with a null volume fire nothing.
+    far as its frame's late filter. Early rules run in frames that enable them. Bars with a null volume fire nothing. Averages
+    start at a series' first bar, however long ago. A rule's cooldown is ``cooldown_filter`` over the result.
     """
     told = _facts(bars, p, ("timeframe", "symbol")).filter(F.col("nth") >= p.lookback + 5)
     if last_only:
