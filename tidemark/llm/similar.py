@@ -171,11 +171,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _judged(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs with a Jaccard similarity of 0.8 or more; sets are made of the texts that have a pair, and of no others."""
+def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with a Jaccard similarity of 0.8 or more."""
     pairs = written(pairs.distinct(), "similar-pairs")
-    some = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    sets = written(texts.join(some, F.col("node") == F.col("c"), "left_semi").mapInArrow(_sets(size), "node long, keys array<long>"), "similar-sets")
     x, y = (sets.select(F.col("node").alias(to), F.col("keys").alias(name)) for to, name in (("a", "x"), ("b", "y")))
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "similar-links")
 
@@ -190,13 +188,9 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
     then, as far as that has left them in different groups, with each other: nothing is capped, and a group of many near
     copies costs a few pairs a member.
     """
-    named = written(docs.select("row", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5")), "similar-rows")
-    firsts = named.groupBy("text_md5").agg(F.min("row").alias("node"))
-    copies = written(named.join(firsts, "text_md5").select("row", "node"), "similar-copies")
-    texts = docs.join(copies.filter("row <> node").select(F.col("row").alias("c")), F.col("row") == F.col("c"), "left_anti").select(F.col("row").alias("node"), "text")
-    prints = written(texts.mapInArrow(_prints(size, seeds), "node long, n long, same binary, fps array<long>"), "similar-prints")
+    prints = written(docs.select(F.col("row").alias("node"), "text").mapInArrow(_prints(size, seeds), "node long, n long, same binary, fps array<long>"), "similar-prints")
     leads = written(prints.groupBy("same").agg(F.min(F.struct("node", "n", "fps")).alias("s")).select("same", "s.*"), "similar-nodes")
-    equal = prints.join(leads.select("same", F.col("node").alias("lead")), "same").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    copies = written(prints.select("same", F.col("node").alias("row")).join(leads.select("same", "node"), "same").select("row", "node"), "similar-copies")
 
     own = ["node", "n", "fps"]
     by_fp = leads.select(*own, F.posexplode("fps").alias("seed", "fp")).withColumn("seed", F.col("seed").cast("long"))
@@ -225,7 +219,10 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
 
     # a group of near copies has many pairs a member: first each node with the smallest that it met, then what is still apart
     proposed = written(close(pairs).union(listed(shared.withColumn("comp", F.col("node")), True)).distinct(), "similar-candidates")
-    links = _judged(proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size).union(equal)
+    met_nodes = proposed.select("a").union(proposed.select("b")).union(members.select("node")).union(shared.select("node")).distinct().select(F.col("a").alias("met"))
+    texts = docs.select(F.col("row").alias("node"), "text").join(met_nodes.hint("merge"), F.col("node") == F.col("met"), "left_semi")
+    sets = written(texts.mapInArrow(_sets(size), "node long, keys array<long>"), "similar-sets")
+    links = _judged(proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
     groups = written(connected_components(links), "similar-groups")
 
     def still_apart(of: DataFrame, groups: DataFrame) -> DataFrame:
@@ -233,17 +230,16 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
         told = of.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
         return told.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
 
-    links = links.union(_judged(still_apart(proposed, groups), texts, size))
+    links = links.union(_judged(still_apart(proposed, groups), sets))
     groups = written(connected_components(links), "similar-groups")
-    # lists whose members are not all in one group
+    # lists whose members are not all in one group are looked at in full, others passed over
     comp = groups.withColumnRenamed("component", "comp")
     grouped = lambda of: of.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lists = written(grouped(members.select("list", *own).union(shared.select("list", *own))), "similar-lists")
-    split = lists.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("list")
+    lists = grouped(members.select("list", *own).union(shared.select("list", *own)))
     told = grouped(by_fp)
     wide = pairs.filter("a_many > 1 or b_many > 1").select("seed", "a", "b").join(side(told, "a", "comp"), ["seed", "a"]).join(side(told, "b", "comp"), ["seed", "b"]).filter("a_comp <> b_comp")
-    more = listed(lists.join(split, "list"), False).union(close(wide)).distinct().join(proposed, ["a", "b"], "left_anti")
-    more = _judged(more, texts, size)
+    more = written(listed(lists, False).union(close(wide)).distinct().join(proposed, ["a", "b"], "left_anti"), "similar-more")
     if not more.isEmpty():
-        groups = written(connected_components(links.union(more)), "similar-groups")
+        links = links.union(_judged(more, sets))
+        groups = written(connected_components(links), "similar-groups")
     return copies.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
