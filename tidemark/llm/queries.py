@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, langid, mixing, quality, sharding, simhash, substrings, warc
+from . import chat, decontaminate, embeddings, langid, mixing, ppm, quality, sharding, simhash, substrings, warc
 from .common import kept_only, table
 
 
@@ -54,8 +54,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_only(spark, lambda: embeddings.op10_embeddings(spark, table(spark, sf_dir, "embeddings")), "op10_embeddings")
 
 
+def op12_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_only(spark, lambda: ppm.op12_ppm(spark, table(spark, sf_dir, "documents")), "op12_ppm")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op7_quality, op8_substrings, op9_simhash, op10_embeddings)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op7_quality, op8_substrings, op9_simhash, op10_embeddings, op12_ppm)}
 
 
 def oracle_sql() -> dict[str, str]:
