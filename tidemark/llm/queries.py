@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, langid, mixing, ppm, quality, sharding, simhash, substrings, warc
+from . import chat, decontaminate, embeddings, langid, mixing, ppm, quality, ranked, sharding, simhash, substrings, warc
 from .common import kept_only, table
 
 
@@ -58,9 +58,13 @@ def op12_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_only(spark, lambda: ppm.op12_ppm(spark, table(spark, sf_dir, "documents")), "op12_ppm")
 
 
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_only(spark, lambda: ranked.op13_query(spark, sf_dir), "op13_ranked")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op7_quality, op8_substrings, op9_simhash, op10_embeddings, op12_ppm)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op7_quality, op8_substrings, op9_simhash, op10_embeddings, op12_ppm, op13_ranked)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op8_substrings": substrings.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op8_substrings": substrings.ORACLE, "op13_ranked": ranked.ORACLE}
