@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, langid, mixing, ppm, quality, ranked, sharding, simhash, substrings, warc
+from . import chat, decontaminate, embeddings, langid, mixing, ppm, quality, ranked, sharding, simhash, substrings, trie, warc
 from .common import kept_only, table
 
 
@@ -54,6 +54,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_only(spark, lambda: embeddings.op10_embeddings(spark, table(spark, sf_dir, "embeddings")), "op10_embeddings")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_only(spark, lambda: trie.op11_trie(spark, table(spark, sf_dir, "conversations")), "op11_trie")
+
+
 def op12_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_only(spark, lambda: ppm.op12_ppm(spark, table(spark, sf_dir, "documents")), "op12_ppm")
 
@@ -63,8 +67,8 @@ def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op7_quality, op8_substrings, op9_simhash, op10_embeddings, op12_ppm, op13_ranked)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_decontaminate, op4_warc, op5_chat, op6_sharding, op7_quality, op8_substrings, op9_simhash, op10_embeddings, op11_trie, op12_ppm, op13_ranked)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op8_substrings": substrings.ORACLE, "op13_ranked": ranked.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op8_substrings": substrings.ORACLE, "op11_trie": trie.ORACLE, "op13_ranked": ranked.ORACLE}
