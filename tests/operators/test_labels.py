@@ -49,7 +49,7 @@ def test_anchor_window_is_half_open_and_reasons_are_ordered(spark):
     s = 1_000_000
     ticks = [(1, "a", 7 * s, 1.0, 3.0, 0.0), (2, "a", 9 * s, 3.0, 5.0, 0.0), (3, "a", 9 * s + 500_000, 5.0, 7.0, 0.0), (4, "a", 10 * s, 90.0, 91.0, 0.0), (5, "b", 9 * s, 2.0, 1.0, 0.0)]
     events = spark.createDataFrame([("in", "a", 10 * s), ("bad", "b", 10 * s), ("none", "c", 10 * s), ("one", "a", 8 * s)], EVENT)
-    got = {r.event_id: r for r in lb.anchor_price(events, spark.createDataFrame(ticks, TICK), p).collect()}
+    got = {r.event_id: r for r in lb.anchor_price(events, lb.label_index(spark.createDataFrame(ticks, TICK), p), p).collect()}
     assert (got["in"].p_anchor, got["in"].anchor_points, got["in"].anchor_lag_ms, got["in"].anchor_quality) == (4.0, 3, 500.0, "ok")
     assert [got[e].anchor_reason for e in ("bad", "none", "one")] == ["bad_invalid_book", "bad_missing_quotes", "degraded_low_density"]
 
@@ -101,11 +101,31 @@ def test_whitelist_keeps_ok_and_drops_unknown(spark):
     events = spark.createDataFrame([(i, "a", 1) for i in ids], EVENT)
     features = spark.createDataFrame([(i, n) for i, n in zip(ids, (None, 6, 5, 20), strict=True)], "event_id string, n_trades int")
     labels = spark.createDataFrame([("ok", "ok", None), ("deg", "degraded", "degraded_low_density"), ("null", "degraded", None), ("bad", "bad", "bad_sigma")], "event_id string, label_quality string, reason_code string")
-    marks = spark.createDataFrame([(i, 30, 0.1, 0.2, -0.1) for i in ids], "event_id string, horizon_min int, ret_h double, mfe_h double, mae_h double")
-    clean = ds.clean_dataset(events, features, labels, marks)
-    got = {r.event_id: (r.dataset_bucket, r.n_trades_bucket, r.needs_downweight, r.is_n_trades_sweet_spot) for r in clean.collect()}
-    assert got == {"ok": ("ok_only", "OUT_OF_RANGE", False, False), "deg": ("degraded_low_density", "Q2_6_9", True, True)}
+    labels = labels.selectExpr("*", "0.1d AS sigma", "1.0d AS anchor_lag_ms", "2.0d AS coverage_ms")
+    marks = spark.createDataFrame([(i, h, 0.1, 0.2, -0.1, 0.0, 3) for i in ids for h in (5, 30)], "event_id string, horizon_min int, ret_h double, mfe_h double, mae_h double, forward_lag_ratio double, points_used int")
+    barrier = spark.createDataFrame([("ok", -1, False)], "event_id string, tb_label int, good_event boolean")
+    clean = ds.clean_dataset(events, features, labels, marks, barrier)
+    got = {r.event_id: (r.dataset_bucket, r.n_trades_bucket, r.needs_downweight, r.is_n_trades_sweet_spot, r.good_event) for r in clean.collect()}
+    assert got == {"ok": ("ok_only", "OUT_OF_RANGE", False, False, False), "deg": ("degraded_low_density", "Q2_6_9", True, True, None)}
     assert ds.clean_view_asserts(clean).first().passed
+    # a positive return is no good event
+    assert {r.dataset_bucket: (r.n, r.good_rate) for r in ds.bucket_profile(clean).collect()} == {"ok_only": (1, 0.0), "degraded_low_density": (1, 0.0)}
+
+
+@pytest.mark.parametrize(
+    "fault, counter",
+    [
+        ({"needs_downweight": "NOT needs_downweight"}, ("low_not_downweight", "downweight_not_low")), ({"is_n_trades_sweet_spot": "NOT is_n_trades_sweet_spot"}, ("sweet_bucket_not_flag", "sweet_flag_not_bucket")), ({"is_usable": "NULL"}, ("unusable",)),
+        ({"dataset_bucket": "'other_unknown'"}, ("unknown",)), ({"label_quality": "'degraded'"}, ("ok_bucket_other_label",)), ({"reason_code": "'degraded_high_lag'"}, ("low_bucket_other_reason",)), ({"dataset_bucket": "'other_degraded'"}, ("other_bucket_other_reason",)),
+    ],
+)
+def test_each_fault_of_the_clean_view_is_counted(spark, fault, counter):
+    names = ["event_id", "label_quality", "reason_code", "dataset_bucket", "n_trades_bucket", "needs_downweight", "is_n_trades_sweet_spot", "is_usable"]
+    good = spark.createDataFrame([("a", "ok", None, "ok_only", "Q2_6_9", False, True, True), ("b", "degraded", "degraded_low_density", "degraded_low_density", "Q1_le_5", True, False, True)], ", ".join(f"{n} {'boolean' if i > 4 else 'string'}" for i, n in enumerate(names)))
+    assert ds.clean_view_asserts(good).first().passed
+    told = ds.clean_view_asserts(good.withColumns({c: F.expr(x) for c, x in fault.items()})).first()
+    assert not told.passed and all(told[c] == (2 if c in ("unknown", "unusable") else 1) for c in counter)
+    assert not ds.clean_view_asserts(good.union(good)).first().passed and not ds.clean_view_asserts(good.filter("label_quality <> 'ok'")).first().passed
 
 
 def test_upsert_changes_owned_columns_only(spark):

@@ -23,33 +23,68 @@ def retry_policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RETRY_POLICY, "reason_code string, retryable boolean, is_terminal boolean, max_retries int, cooldown_seconds int, priority int")
 
 
-def clean_dataset(events: DataFrame, features: DataFrame, labels: DataFrame, markouts: DataFrame, horizon: int = 30) -> DataFrame:
-    """One row for each event with features, a usable label and a markout at the horizon. The whitelist keeps ok labels, whose reason is null."""
+#: Columns of the clean dataset that labels, barrier and markout bring.
+LABEL_FACTS = ("sigma", "anchor_lag_ms", "coverage_ms")
+MARKOUT_FACTS = ("ret_h", "mfe_h", "mae_h", "forward_lag_ratio", "points_used")
+
+
+def clean_dataset(events: DataFrame, features: DataFrame, labels: DataFrame, markouts: DataFrame, barrier: DataFrame, horizon: int = 30) -> DataFrame:
+    """One row for each event with features, a usable label and a markout at the horizon. The whitelist keeps ok labels, whose reason is null.
+
+    ``labels`` has LABEL_FACTS as well; ``barrier`` (event_id, tb_label, good_event) may lack an event, whose two are null then.
+    """
     usable = labels.filter((F.col("label_quality") == "ok") | F.col("reason_code").isin(*USABLE))
-    at = markouts.filter(F.col("horizon_min") == horizon).select("event_id", "ret_h", "mfe_h", "mae_h")
+    at = markouts.filter(F.col("horizon_min") == horizon).select("event_id", *MARKOUT_FACTS)
     joined = events.select("event_id", "symbol", "us").join(features, "event_id").join(usable, "event_id").join(at, "event_id")
+    joined = joined.join(barrier.select("event_id", "tb_label", "good_event"), "event_id", "left")
     based = joined.withColumn("dataset_bucket", dataset_bucket(F.col("label_quality"), F.col("reason_code"))).withColumn("n_trades_bucket", trades_bucket(F.col("n_trades")))
-    return based.withColumn("needs_downweight", F.col("dataset_bucket") == "degraded_low_density").withColumn("is_n_trades_sweet_spot", F.col("n_trades_bucket").isin("Q2_6_9", "Q3_10_19")).withColumn("is_usable", F.lit(True))
+    return based.withColumn("needs_downweight", F.col("dataset_bucket") == "degraded_low_density").withColumn("is_n_trades_sweet_spot", F.col("n_trades_bucket").isin(*SWEET_SPOT)).withColumn("is_usable", F.lit(True))
+
+
+#: Trades buckets that are the sweet spot, and all in their order.
+SWEET_SPOT = ("Q2_6_9", "Q3_10_19")
+TRADES_ORDER = ("Q1_le_5", "Q2_6_9", "Q3_10_19", "Q4_19_plus", "OUT_OF_RANGE")
+#: Dataset buckets in their order.
+BUCKET_ORDER = ("ok_only", "other_degraded", "degraded_low_density", "other_unknown")
+
+
+def good_rate(good: Column) -> Column:
+    """The share of good events; null counts as none."""
+    return F.avg(F.when(good, 1.0).otherwise(0.0))
 
 
 def bucket_profile(clean: DataFrame) -> DataFrame:
-    """Per bucket: rows, share of good events (null counts as none), mean return and best return."""
-    return clean.groupBy("dataset_bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("ret_h") > 0, 1.0).otherwise(0.0)).alias("good_rate"), F.avg("ret_h").alias("avg_ret"), F.avg("mfe_h").alias("avg_mfe"), F.count_if(F.col("is_n_trades_sweet_spot")).alias("n_sweet")
-    )
+    """Per bucket, with its place in order: rows, share of good events by the barrier, mean return and best return, rows to be weighted down and rows of the sweet spot."""
+    told = clean.groupBy("dataset_bucket").agg(
+        F.count(F.lit(1)).alias("n"), good_rate(F.col("good_event")).alias("good_rate"), F.avg("ret_h").alias("avg_ret"), F.avg("mfe_h").alias("avg_mfe"),
+        F.count_if("needs_downweight").alias("n_downweight"), F.count_if("is_n_trades_sweet_spot").alias("n_sweet"),
+    )
+    return told.withColumn("place", F.array_position(F.array(*map(F.lit, BUCKET_ORDER)), F.col("dataset_bucket")))
+
+
+def trades_profile(clean: DataFrame) -> DataFrame:
+    """Per bucket of trades, with its place in order: rows, share of good events and mean return."""
+    told = clean.groupBy("n_trades_bucket").agg(F.count(F.lit(1)).alias("n"), good_rate(F.col("good_event")).alias("good_rate"), F.avg("ret_h").alias("avg_ret"))
+    return told.withColumn("place", F.array_position(F.array(*map(F.lit, TRADES_ORDER)), F.col("n_trades_bucket")))
 
 
 def clean_view_asserts(clean: DataFrame) -> DataFrame:
-    """One row of counters, each zero or positive as the view promises, and whether all hold."""
-    n = clean.agg(
-        (F.count(F.lit(1)) - F.countDistinct("event_id")).alias("duplicates"),
-        F.count_if(F.col("dataset_bucket") == "other_unknown").alias("unknown"),
-        F.count_if(F.col("dataset_bucket") == "ok_only").alias("ok_rows"),
-        F.count_if(F.col("needs_downweight") != (F.col("dataset_bucket") == "degraded_low_density")).alias("downweight_wrong"),
-        F.count_if(F.col("is_n_trades_sweet_spot") != F.coalesce(F.col("n_trades").between(6, 19), F.lit(False))).alias("sweet_spot_wrong"),
-        F.count_if(~F.col("is_usable")).alias("unusable"),
-    )
-    return n.withColumn("passed", (F.col("duplicates") + F.col("unknown") + F.col("downweight_wrong") + F.col("sweet_spot_wrong") + F.col("unusable") == 0) & (F.col("ok_rows") > 0))
+    """One row of counters, each zero or positive as the view promises, and whether all hold. What is unknown is never counted as wrong."""
+    bucket, trades, low = F.col("dataset_bucket"), F.col("n_trades_bucket").isin(*SWEET_SPOT), F.col("dataset_bucket") == "degraded_low_density"
+    must_be_zero = {
+        "duplicates": F.count(F.lit(1)) - F.countDistinct("event_id"),
+        "unknown": F.count_if(bucket == "other_unknown"),
+        "low_not_downweight": F.count_if(low & ~F.col("needs_downweight")),
+        "downweight_not_low": F.count_if(~low & F.col("needs_downweight")),
+        "sweet_bucket_not_flag": F.count_if(trades & ~F.col("is_n_trades_sweet_spot")),
+        "sweet_flag_not_bucket": F.count_if(~trades & F.col("is_n_trades_sweet_spot")),
+        "unusable": F.count_if(~F.coalesce("is_usable", F.lit(False))),
+        "ok_bucket_other_label": F.count_if((bucket == "ok_only") & (F.col("label_quality") != "ok")),
+        "low_bucket_other_reason": F.count_if(low & (F.col("reason_code") != "degraded_low_density")),
+        "other_bucket_other_reason": F.count_if((bucket == "other_degraded") & ~F.col("reason_code").isin("degraded_high_lag", "degraded_unstable_window")),
+    }
+    n = clean.agg(*(c.alias(name) for name, c in must_be_zero.items()), F.count_if(F.col("label_quality") == "ok").alias("ok_rows"))
+    return n.withColumn("passed", (sum((F.col(c) for c in must_be_zero), F.lit(0)) == 0) & (F.col("ok_rows") > 0))
 
 
 def retry_classify(labels: DataFrame, policy: DataFrame, now_us: Column) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quotes import mid, spread_bps, valid_book
-from .timejoin import asof_unbounded, range_join
+from .intervals import interval_reach, interval_stats, step_returns, tick_index
+from .timejoin import asof_unbounded
 
 SECOND, MINUTE, HOUR = 1_000_000, 60_000_000, 3_600_000_000
 
@@ -34,13 +35,20 @@ class LabelParams:
     long_us: int = 30 * SECOND
     points: int = 3
     lag_ratio: float = 0.1
+    iqr_bps: float = 50.0
     barrier: float = 1.0
     barrier_horizon: int = 30
     bucket_us: int = 10 * MINUTE
+    span_us: int = 40 * MINUTE
 
+    @property
+    def ahead_us(self) -> int:
+        """The longest of the windows whose ticks are looked at together."""
+        return max(self.anchor_us, self.sigma_us, 2 * self.short_us, 2 * self.long_us)
 
-#: Scaled to a table with a tick every 20 minutes.
-FIXTURE = LabelParams(2 * HOUR, 40 * MINUTE, 20 * MINUTE, 3, 24 * HOUR, 30 * MINUTE, 20, 12 * MINUTE, (5, 15, 30, 60, 120), HOUR, 2 * HOUR, 3, 0.1, 1.0, 30, 72 * HOUR)
+
+#: Scaled to a table with a tick every 20 minutes, whose prices differ by a tenth.
+FIXTURE = LabelParams(2 * HOUR, 40 * MINUTE, 20 * MINUTE, 3, 24 * HOUR, 30 * MINUTE, 20, 12 * MINUTE, (5, 15, 30, 60, 120), HOUR, 4 * HOUR, 3, 0.1, 2000.0, 1.0, 30, 72 * HOUR, 24 * HOUR)
 
 
 def quoted(ticks: DataFrame) -> DataFrame:
@@ -53,24 +61,19 @@ def book_clean(ticks: DataFrame) -> DataFrame:
     return ticks.filter(valid_book(b, a)).select("tick_id", "symbol", "us", mid(b, a).alias("mid"), spread_bps(b, a).alias("spread_bps"))
 
 
-def anchor_price(events: DataFrame, ticks: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
+def label_index(ticks: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
+    """The index of ``ticks`` that all labels are answered from; write it where several are made."""
+    return tick_index(quoted(ticks), p.span_us, p.ahead_us)
+
+
+def anchor_price(events: DataFrame, index: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
     """(event_id, p_anchor, anchor_points, anchor_lag_ms, coverage_ms, spread, spread_z, anchor_quality, anchor_reason) from the quotes in [t - window, t)."""
-    near = range_join(events, quoted(ticks), F.col("us") - p.anchor_us, F.col("us") - 1, p.anchor_us)
-    ok = F.col("t_mid").isNotNull()
-    stats = near.groupBy("event_id", "us").agg(
-        F.count(F.lit(1)).alias("raw"),
-        F.count("t_mid").alias("n"),
-        F.median("t_mid").alias("p_anchor"),
-        F.max(F.when(ok, F.col("t_us"))).alias("last"),
-        F.min(F.when(ok, F.col("t_us"))).alias("first"),
-        F.median("t_spread").alias("spread"),
-        F.avg("t_spread").alias("mean"),
-        F.stddev_samp("t_spread").alias("sd"),
-    )
-    n, lag, cover = F.coalesce("n", F.lit(0)), (F.col("us") - F.col("last")) / 1000.0, (F.col("last") - F.col("first")) / 1000.0
-    z = F.when(F.col("sd") > 0, (F.col("spread") - F.col("mean")) / F.col("sd"))
+    us = F.col("us")
+    got = interval_stats(index, events.select("event_id", "symbol", F.col("symbol").alias("of"), "us"), us - p.anchor_us, us - 1, us, p.span_us)
+    n, lag, cover = F.col("n"), (us - F.col("last_us")) / 1000.0, (F.col("last_us") - F.col("first_us")) / 1000.0
+    z = F.when(F.col("spread_sd") > 0, (F.col("spread_q50") - F.col("spread_mean")) / F.col("spread_sd"))
     reason = (
-        F.when(F.coalesce("raw", F.lit(0)) == 0, "bad_missing_quotes")
+        F.when(F.col("raw") == 0, "bad_missing_quotes")
         .when(n == 0, "bad_invalid_book")
         .when(lag > p.anchor_lag_us * 3 / 1000.0, "bad_stale_data")
         .when(n < p.anchor_points, "degraded_low_density")
@@ -78,77 +81,36 @@ def anchor_price(events: DataFrame, ticks: DataFrame, p: LabelParams = LabelPara
         .when(cover < p.anchor_coverage_us / 1000.0, "degraded_unstable_window")
         .when(z > 3, "degraded_wide_spread")
     )
-    out = events.select("event_id", "symbol", "us").join(stats.drop("us"), "event_id", "left")
-    return out.select("event_id", "symbol", "us", "p_anchor", n.alias("anchor_points"), lag.alias("anchor_lag_ms"), cover.alias("coverage_ms"), "spread", z.alias("spread_z"), quality_of(reason).alias("anchor_quality"), reason.alias("anchor_reason"))
+    return got.select("event_id", F.col("of").alias("symbol"), "us", F.col("mid_q50").alias("p_anchor"), n.alias("anchor_points"), lag.alias("anchor_lag_ms"), cover.alias("coverage_ms"), F.col("spread_q50").alias("spread"), z.alias("spread_z"), quality_of(reason).alias("anchor_quality"), reason.alias("anchor_reason"))
 
 
 def quality_of(reason: Column) -> Column:
     return F.when(reason.isNull(), "ok").when(reason.startswith("bad"), "bad").otherwise("degraded")
 
 
-def sigma_event(events: DataFrame, ticks: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
-    """(event_id, sigma, sigma_obs, sigma_quality, sigma_reason): deviation of log returns of mids on a grid before t.
+def sigma_event(events: DataFrame, index: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
+    """(event_id, sigma, sigma_obs, sigma_quality, sigma_reason): deviation of log returns of mids on a grid before t; the last valid mid of a step counts, one missing step is filled."""
+    got = step_returns(index, events.select("event_id", "symbol", "us"), F.col("us"), p.sigma_us, p.sigma_step_us, p.span_us)
+    ok = F.coalesce((F.col("raw") >= 2) & (F.col("sd") > 1e-10), F.lit(False))
+    reason = F.when(~ok, "bad_sigma").when(F.col("n") < p.sigma_obs, "degraded_low_density")
+    return got.select("event_id", F.when(ok, F.col("sd")).alias("sigma"), F.when(F.col("raw") >= 2, F.col("n")).otherwise(F.lit(0)).alias("sigma_obs"), quality_of(reason).alias("sigma_quality"), reason.alias("sigma_reason"))
 
-    The last valid mid of a slot counts, one missing slot is filled, and returns link neighbours on that grid. Without
-    making the grid: slots s1 < s2 with a gap of 1 or 2 give the return ln(m2 / m1), a gap of 2 or more gives a zero
-    return as well (the fill), and so does a last slot that is not the grid's last.
-    """
-    slots = p.sigma_us // p.sigma_step_us
-    slot = F.expr(f"(t_us - (us - {p.sigma_us})) div {p.sigma_step_us}")
-    near = range_join(events, quoted(ticks), F.col("us") - p.sigma_us, F.col("us") - 1, max(p.sigma_us // 10, p.sigma_step_us))
-    by_slot = near.withColumn("slot", slot).groupBy("event_id", "slot").agg(F.count(F.lit(1)).alias("raw"), F.max_by(F.when(F.col("t_mid").isNotNull(), F.col("t_mid")), F.when(F.col("t_mid").isNotNull(), F.struct("t_us", "t_tick_id"))).alias("m"))
-    raw = by_slot.groupBy("event_id").agg(F.sum("raw").alias("raw"))
-    order = Window.partitionBy("event_id").orderBy("slot")
-    known = by_slot.filter(F.col("m").isNotNull() & (F.col("slot") < slots)).select("event_id", "slot", "m", F.lag("slot").over(order).alias("s1"), F.lag("m").over(order).alias("m1"), F.lead("slot").over(order).alias("s2"))
-    gap = F.col("slot") - F.col("s1")
-    r = F.when(gap <= 2, F.ln(F.col("m") / F.col("m1")))
-    zeros = F.when(gap >= 2, 1).otherwise(0) + F.when(F.col("s2").isNull() & (F.col("slot") < slots - 1), 1).otherwise(0)
-    sums = known.select("event_id", r.alias("r"), zeros.alias("z")).groupBy("event_id").agg((F.count("r") + F.sum("z")).alias("n"), F.coalesce(F.sum("r"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)).alias("ss"))
-    var = F.greatest(F.lit(0.0), (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))
-    sd = F.when(F.col("n") >= 2, F.sqrt(var))
-    ok = (F.coalesce("raw", F.lit(0)) >= 2) & (sd > 1e-10)
-    reason = F.when(~F.coalesce(ok, F.lit(False)), "bad_sigma").when(F.col("n") < p.sigma_obs, "degraded_low_density")
-    out = events.select("event_id").join(raw, "event_id", "left").join(sums, "event_id", "left")
-    return out.select("event_id", F.when(ok, sd).alias("sigma"), F.when(F.coalesce("raw", F.lit(0)) >= 2, F.coalesce("n", F.lit(0))).otherwise(0).alias("sigma_obs"), quality_of(reason).alias("sigma_quality"), reason.alias("sigma_reason"))
-
-
-def horizon_price(anchored: DataFrame, ticks: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
+
+def horizon_price(anchored: DataFrame, index: DataFrame, ticks: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
     """One row for each event of ``anchored`` (event_id, symbol, us, p_anchor) and horizon, with price, method, statistics, quality, and the best and worst return up to it.
 
-    Median of [t + h, t + h + d] if it has enough valid quotes, else of [t + h - d, t + h + d], else the very next tick if
-    its book is valid. All windows come from one range join over [t, t + longest + d].
+    Median of [t + h, t + h + d] if it has enough valid quotes, else of [t + h - d, t + h + d], else the very next tick of
+    ``ticks`` if its book is valid. Both windows and the way to the horizon are questions to the index: a few rows for each event and horizon.
     """
     grid = anchored.withColumn("horizon_min", F.explode(F.array(*map(F.lit, p.horizons)))).withColumn("th", F.col("us") + F.col("horizon_min").cast("long") * p.minute_us).withColumn("d", F.when(F.col("horizon_min") <= 15, p.short_us).otherwise(p.long_us))
-    reach = max(p.horizons) * p.minute_us + max(p.short_us, p.long_us)
-    # a short horizon's symmetric window may begin before t
-    back = max(0, max((p.short_us if h <= 15 else p.long_us) - h * p.minute_us for h in p.horizons))
-    near = range_join(anchored.select("event_id", "symbol", "us", "p_anchor"), quoted(ticks).filter("mid is not null"), F.col("us") - back, F.col("us") + reach, max(1, reach // 10))
-    t, m = F.col("t_us"), F.col("t_mid")
-    width = lambda h: p.short_us if h <= 15 else p.long_us
-    # a tick goes to the horizons whose windows hold it, and as a high and low to the first horizon that it comes before
-    windows = F.array_compact(F.array(*(F.when(F.abs(t - F.col("us") - h * p.minute_us) <= width(h), F.lit(h)) for h in p.horizons)))
-    rows = near.withColumn("horizon_min", F.explode(windows)).withColumn("th", F.col("us") + F.col("horizon_min").cast("long") * p.minute_us)
-    everything = F.lit(True)
-    fwd = t >= F.col("th")
-
-    def stats(inside: Column, tag: str) -> list[Column]:
-        x = lambda c: F.when(inside, c)
-        s = x(F.col("t_spread"))
-        return [
-            F.count(x(m)).alias(f"{tag}_n"), F.percentile(x(m), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{tag}_q"), F.min(x(F.abs(t - F.col("th")))).alias(f"{tag}_lag"), (F.max(x(t)) - F.min(x(t))).alias(f"{tag}_span"),
-            F.median(s).alias(f"{tag}_spread"), F.avg(s).alias(f"{tag}_mean"), F.stddev_samp(s).alias(f"{tag}_sd"),
-        ]
-
-    got = rows.groupBy("event_id", "horizon_min").agg(*stats(fwd, "f"), *stats(everything, "s"))
-    for tag in "fs":
-        got = got.withColumns({f"{tag}_p": F.col(f"{tag}_q")[1], f"{tag}_iqr": F.col(f"{tag}_q")[2] - F.col(f"{tag}_q")[0]}).drop(f"{tag}_q")
-    first = F.coalesce(*(F.when(t <= F.col("us") + h * p.minute_us, F.lit(h)) for h in sorted(p.horizons)))
-    parts = near.filter(t >= F.col("us")).withColumn("horizon_min", first).filter("horizon_min is not null").groupBy("event_id", "horizon_min").agg(F.max(m).alias("part_high"), F.min(m).alias("part_low"))
-    upto = Window.partitionBy("event_id").orderBy("horizon_min")
-    scanned = grid.select("event_id", "horizon_min").join(parts, ["event_id", "horizon_min"], "left").select("event_id", "horizon_min", F.max("part_high").over(upto).alias("high"), F.min("part_low").over(upto).alias("low"))
-    got = scanned.join(got, ["event_id", "horizon_min"], "left")
-    joined = grid.join(got, ["event_id", "horizon_min"], "left")
-    enough = lambda tag: F.coalesce(F.col(f"{tag}_n"), F.lit(0)) >= p.points
+    key = ["event_id", "horizon_min"]
+    windows = grid.select(*key, "symbol", "th", "d", F.explode(F.array(F.lit("f"), F.lit("s"))).alias("tag"))
+    stats = interval_stats(index, windows, F.col("th") - F.when(F.col("tag") == "s", F.col("d")).otherwise(0), F.col("th") + F.col("d"), F.col("th"), p.span_us)
+    parts = {"n": F.col("n"), "p": F.col("mid_q50"), "iqr": F.col("mid_q75") - F.col("mid_q25"), "lag": F.col("near_us"), "span": F.col("last_us") - F.col("first_us"), "spread": F.col("spread_q50"), "mean": F.col("spread_mean"), "sd": F.col("spread_sd")}
+    got = stats.groupBy(*key).agg(*(F.max(F.when(F.col("tag") == tag, c)).alias(f"{tag}_{name}") for tag in "fs" for name, c in parts.items()))
+    way = interval_reach(index, grid, key, F.col("us"), F.col("th"), F.lit(None).cast("double"), F.lit(None).cast("double"), p.span_us).select(*key, "high", "low")
+    joined = grid.join(got, key).join(way, key)
+    enough = lambda tag: F.col(f"{tag}_n") >= p.points
     # only events that need it look for the next tick
     open_ = joined.filter(~enough("f") & ~enough("s")).select("event_id", "horizon_min", "symbol", "th")
     after = asof_unbounded(open_, quoted(ticks), "th", key=["event_id", "horizon_min"], value=["mid", "spread"], bucket_us=p.bucket_us, by="symbol", forward=True, tie="tick_id")
@@ -174,7 +136,7 @@ def horizon_price(anchored: DataFrame, ticks: DataFrame, p: LabelParams = LabelP
         .when(n < p.points, "degraded_low_density")
         .when(ratio > p.lag_ratio, "degraded_high_lag")
         .when(z > 3, "degraded_wide_spread")
-        .when(iqr > 50, "degraded_unstable_window")
+        .when(iqr > p.iqr_bps, "degraded_unstable_window")
     )
     p0 = F.col("p_anchor")
     held = price.isNotNull() & (p0 > 0)
@@ -185,18 +147,17 @@ def horizon_price(anchored: DataFrame, ticks: DataFrame, p: LabelParams = LabelP
     )
 
 
-def triple_barrier(anchored: DataFrame, sigma: DataFrame, horizons: DataFrame, ticks: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
-    """(event_id, tb_label, first_touch, time_to_barrier_ms): the first valid mid at or beyond p0 * (1 ± k sigma) within the barrier's horizon; the upper one is looked at first."""
+def triple_barrier(anchored: DataFrame, sigma: DataFrame, horizons: DataFrame, index: DataFrame, p: LabelParams = LabelParams()) -> DataFrame:
+    """(event_id, tb_label, good_event, first_touch, time_to_barrier_ms): the first valid mid at or beyond p0 * (1 ± k sigma) within the barrier's horizon; the upper one is looked at first.
+
+    An event is good if the upper barrier is touched first, and not good if the lower one is, or none; without a price at the horizon none is touched."""
     usable = horizons.filter(F.col("horizon_min") == p.barrier_horizon).select("event_id", F.col("p_h").isNotNull().alias("has"))
     e = anchored.join(sigma.select("event_id", "sigma"), "event_id").join(usable, "event_id", "left").filter("p_anchor > 0 and sigma is not null")
     up, down = F.col("p_anchor") * (1 + p.barrier * F.col("sigma")), F.col("p_anchor") * (1 - p.barrier * F.col("sigma"))
-    wide = p.barrier_horizon * p.minute_us
-    near = range_join(e.filter("has").select("event_id", "symbol", "us", up.alias("up"), down.alias("down")), quoted(ticks).filter("mid is not null"), F.col("us"), F.col("us") + wide, max(1, wide // 4))
-    touch = near.filter((F.col("t_mid") >= F.col("up")) | (F.col("t_mid") <= F.col("down")))
-    side = F.when(F.col("t_mid") >= F.col("up"), 1).otherwise(-1)
-    first = touch.groupBy("event_id").agg(F.min_by(F.struct(side.alias("side"), (F.col("t_us") - F.col("us")).alias("after")), F.struct("t_us", "t_tick_id")).alias("x"))
-    label = F.coalesce("x.side", F.lit(0))
-    return e.select("event_id").join(first, "event_id", "left").select("event_id", label.alias("tb_label"), F.when(label == 1, "upper").when(label == -1, "lower").otherwise("vertical").alias("first_touch"), F.expr("x.after div 1000").alias("time_to_barrier_ms"))
+    touch = interval_reach(index, e.filter("has"), ["event_id", "us"], F.col("us"), F.col("us") + p.barrier_horizon * p.minute_us, up, down, p.span_us)
+    label = F.coalesce("side", F.lit(0))
+    told = e.select("event_id").join(touch, "event_id", "left")
+    return told.select("event_id", label.alias("tb_label"), (label == 1).alias("good_event"), F.when(label == 1, "upper").when(label == -1, "lower").otherwise("vertical").alias("first_touch"), F.expr("(touch_us - us) div 1000").alias("time_to_barrier_ms"))
 
 
 def label_quality(anchor: DataFrame, sigma: DataFrame, horizons: DataFrame) -> DataFrame:

@@ -27,15 +27,19 @@ class Job:
     """The label job over the market views: each part is made and written once, whatever number of parts reads it."""
 
     def __init__(self, s: SparkSession, d: str):
-        self.candidates, self.ticks = market.candidates(s, d), market.ticks(s, d)
+        self.candidates, self.ticks, self.features = market.candidates(s, d), market.ticks(s, d), market.features(s, d)
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return staged(lb.label_index(self.ticks, P), "ticks")
 
     @cached_property
     def anchor(self) -> DataFrame:
-        return staged(lb.anchor_price(self.candidates, self.ticks, P), "anchor")
+        return staged(lb.anchor_price(self.candidates, self.index, P), "anchor")
 
     @cached_property
     def sigma(self) -> DataFrame:
-        return staged(lb.sigma_event(self.candidates, self.ticks, P), "sigma")
+        return staged(lb.sigma_event(self.candidates, self.index, P), "sigma")
 
     @cached_property
     def anchored(self) -> DataFrame:
@@ -44,19 +48,27 @@ class Job:
     @cached_property
     def horizons(self) -> DataFrame:
         priced = self.anchored.join(self.sigma.filter("sigma is not null").select("event_id"), "event_id")
-        return staged(lb.horizon_price(priced, self.ticks, P), "horizons")
+        return staged(lb.horizon_price(priced, self.index, self.ticks, P), "horizons")
 
     @cached_property
     def labels(self) -> DataFrame:
         return staged(lb.label_quality(self.anchor, self.sigma, self.horizons), "labels")
 
+    @cached_property
+    def barrier(self) -> DataFrame:
+        return lb.triple_barrier(self.anchored, self.sigma, self.horizons, self.index, P)
+
+    def clean(self) -> DataFrame:
+        facts = self.labels.join(self.sigma.select("event_id", "sigma"), "event_id").join(self.anchor.select("event_id", "anchor_lag_ms", "coverage_ms"), "event_id")
+        return ds.clean_dataset(self.candidates, self.features, facts, self.horizons, self.barrier)
+
 
 def _anchor(s, d):
-    return lb.anchor_price(market.candidates(s, d), market.ticks(s, d), P)
+    return Job(s, d).anchor
 
 
 def _sigma(s, d):
-    return lb.sigma_event(market.candidates(s, d), market.ticks(s, d), P)
+    return Job(s, d).sigma
 
 
 def _horizons(s, d):
@@ -84,8 +96,7 @@ def markouts(s: SparkSession, d: str) -> DataFrame:
 
 
 def triple_barrier(s: SparkSession, d: str) -> DataFrame:
-    job = Job(s, d)
-    return lb.triple_barrier(job.anchored, job.sigma, job.horizons, job.ticks, P)
+    return Job(s, d).barrier
 
 
 def _labels(s, d):
@@ -96,23 +107,40 @@ def label_quality(s: SparkSession, d: str) -> DataFrame:
     return _labels(s, d)
 
 
-def _clean(s, d, job: Job | None = None):
-    job = job or Job(s, d)
-    return ds.clean_dataset(job.candidates, market.features(s, d), job.labels, job.horizons)
+def _clean(s, d):
+    return Job(s, d).clean()
+
+
+CLEAN = "event_id symbol n_trades label_quality reason_code tb_label good_event sigma anchor_lag_ms coverage_ms ret_h mfe_h mae_h forward_lag_ratio points_used dataset_bucket n_trades_bucket needs_downweight is_n_trades_sweet_spot is_usable".split()
 
 
 def clean_dataset(s: SparkSession, d: str) -> DataFrame:
-    return rounded(_clean(s, d).select("event_id", "symbol", "n_trades", "label_quality", "reason_code", "ret_h", "mfe_h", "mae_h", "dataset_bucket", "n_trades_bucket", "needs_downweight", "is_n_trades_sweet_spot"))
+    return rounded(_clean(s, d).select(*CLEAN))
 
 
 def bucket_profile(s: SparkSession, d: str) -> DataFrame:
     return rounded(ds.bucket_profile(_clean(s, d)))
 
 
+def trades_profile(s: SparkSession, d: str) -> DataFrame:
+    return rounded(ds.trades_profile(_clean(s, d)))
+
+
 def clean_view_asserts(s: SparkSession, d: str) -> DataFrame:
     return ds.clean_view_asserts(_clean(s, d))
 
 
+def clean_view_asserts_broken(s: SparkSession, d: str) -> DataFrame:
+    """The same counters over a copy with faults: an event twice, buckets, flags and labels that disagree."""
+    c = Job(s, d).clean()
+    k = F.substring("event_id", 4, 20).cast("long") % 7
+    broken = c.withColumns({
+        "needs_downweight": F.when(k == 0, ~F.col("needs_downweight")).otherwise(F.col("needs_downweight")), "is_n_trades_sweet_spot": F.when(k == 1, ~F.col("is_n_trades_sweet_spot")).otherwise(F.col("is_n_trades_sweet_spot")),
+        "dataset_bucket": F.when(k == 2, "ok_only").when((k == 6) & (F.col("reason_code") == "degraded_low_density"), "other_degraded").when((k == 6) & (F.col("tb_label") == 1), "degraded_low_density").when(k == 6, "other_unknown").otherwise(F.col("dataset_bucket")), "is_usable": F.when(k != 4, F.col("is_usable")),
+    })
+    return ds.clean_view_asserts(broken.union(broken.filter(k == 5)))
+
+
 def quality_ratio(s: SparkSession, d: str) -> DataFrame:
     return rounded(ds.quality_ratio(_labels(s, d)))
 
@@ -142,7 +170,7 @@ def null_profile(s: SparkSession, d: str) -> DataFrame:
 
 def dup_check(s: SparkSession, d: str) -> DataFrame:
     job = Job(s, d)
-    c, whole = _clean(s, d, job), job.labels.agg(F.count(F.lit(1)).alias("labelled"))
+    c, whole = job.clean(), job.labels.agg(F.count(F.lit(1)).alias("labelled"))
     n = c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
     return n.crossJoin(whole).withColumn("duplicates", F.col("n") - F.col("ids"))
 
@@ -254,12 +282,15 @@ hp0 AS (SELECT eh.*, b.kind, b.n AS bn, b.p AS bp, b.lag AS blag, b.span AS bspa
 hp1 AS (SELECT *, CASE WHEN fa THEN m ELSE bp END AS p_h, CASE WHEN fa THEN 1 ELSE coalesce(bn, 0) END AS points, CASE WHEN fa THEN nat - th ELSE blag END AS lag,
                CASE WHEN fa THEN 1.0::DOUBLE ELSE blag / win END AS ratio, CASE WHEN fa THEN nat - th ELSE bspan END AS span, CASE WHEN fa THEN sp ELSE bspread END AS spr FROM hp0),
 hp AS (SELECT *, CASE WHEN points = 0 THEN 'bad_missing_quotes' WHEN fa THEN 'degraded_low_density' WHEN ratio > 0.5 THEN 'bad_stale_data' WHEN span < win * 0.5 THEN 'degraded_unstable_window'
-              WHEN ratio > 0.1 THEN 'degraded_high_lag' WHEN z > 3 THEN 'degraded_wide_spread' WHEN iqr > 50 THEN 'degraded_unstable_window' END AS reason FROM hp1),
+              WHEN ratio > 0.1 THEN 'degraded_high_lag' WHEN z > 3 THEN 'degraded_wide_spread' WHEN iqr > {P.iqr_bps} THEN 'degraded_unstable_window' END AS reason FROM hp1),
 ranked AS (SELECT event_id, reason AS r, 1 AS early FROM anchor UNION ALL SELECT event_id, reason, 1 FROM sigma UNION ALL SELECT event_id, reason, 0 FROM hp),
 lab AS (SELECT event_id, arg_min(r, {_RANK}) FILTER (r IS NOT NULL) AS reason_code FROM ranked GROUP BY ALL),
 labels AS (SELECT event_id, {_QUALITY.format("reason_code")} AS label_quality, reason_code FROM lab),
-cl AS (SELECT c.event_id, c.symbol, n_trades, label_quality, reason_code, (p_h - p_anchor) / p_anchor AS ret_h, CASE WHEN p_h IS NOT NULL THEN (high - p_anchor) / p_anchor END AS mfe_h, CASE WHEN p_h IS NOT NULL THEN (low - p_anchor) / p_anchor END AS mae_h
-       FROM candidates c JOIN features USING (event_id) JOIN labels USING (event_id) JOIN hp USING (event_id) WHERE horizon_min = 30 AND (label_quality = 'ok' OR reason_code IN ('degraded_low_density', 'degraded_high_lag', 'degraded_unstable_window'))),
+tb AS (SELECT eh.event_id, coalesce(any_value(side), 0) AS tb_label, coalesce(any_value(side), 0) = 1 AS good_event, CASE coalesce(any_value(side), 0) WHEN 1 THEN 'upper' WHEN -1 THEN 'lower' ELSE 'vertical' END AS first_touch, any_value(after) // 1000 AS time_to_barrier_ms
+        FROM eh LEFT JOIN (SELECT eh.event_id, arg_min(CASE WHEN mid >= eh.p_anchor * (1 + sigma) THEN 1 ELSE -1 END, q.us) AS side, min(q.us) - any_value(eh.us) AS after FROM eh JOIN sigma USING (event_id) JOIN hp USING (event_id, horizon_min)
+          JOIN q ON q.symbol = eh.symbol AND q.us BETWEEN eh.us AND eh.th WHERE horizon_min = 30 AND p_h IS NOT NULL AND (mid >= eh.p_anchor * (1 + sigma) OR mid <= eh.p_anchor * (1 - sigma)) GROUP BY ALL) USING (event_id) WHERE horizon_min = 30 GROUP BY eh.event_id),
+cl AS (SELECT c.event_id, c.symbol, tb_label, good_event, sigma, anchor.lag AS anchor_lag_ms, anchor.cover AS coverage_ms, ratio AS forward_lag_ratio, points AS points_used, n_trades, label_quality, reason_code, (p_h - hp.p_anchor) / hp.p_anchor AS ret_h, CASE WHEN p_h IS NOT NULL THEN (high - hp.p_anchor) / hp.p_anchor END AS mfe_h, CASE WHEN p_h IS NOT NULL THEN (low - hp.p_anchor) / hp.p_anchor END AS mae_h
+       FROM candidates c JOIN features USING (event_id) JOIN labels USING (event_id) JOIN hp USING (event_id) JOIN sigma USING (event_id) JOIN anchor USING (event_id) LEFT JOIN tb USING (event_id) WHERE horizon_min = 30 AND (label_quality = 'ok' OR reason_code IN ('degraded_low_density', 'degraded_high_lag', 'degraded_unstable_window'))),
 clean AS (SELECT *, CASE WHEN label_quality = 'ok' THEN 'ok_only' WHEN reason_code = 'degraded_low_density' THEN 'degraded_low_density' ELSE 'other_degraded' END AS dataset_bucket,
                  CASE WHEN n_trades IS NULL THEN 'OUT_OF_RANGE' WHEN n_trades <= 5 THEN 'Q1_le_5' WHEN n_trades <= 9 THEN 'Q2_6_9' WHEN n_trades <= 19 THEN 'Q3_10_19' ELSE 'Q4_19_plus' END AS n_trades_bucket FROM cl),
 {_POLICY},
@@ -276,6 +307,16 @@ bat AS (SELECT event_id, 99 AS n_trades, -1.0::DOUBLE AS stage_pct, noise FROM f
 _ASOF = """SELECT c.event_id, round({arg}(price, t.us), 6) AS asof_price, CASE WHEN count(t.us) > 0 THEN {lag} END AS asof_lag_us
 FROM candidates c LEFT JOIN ticks t ON c.symbol = t.symbol AND t.us BETWEEN {low} AND {high} GROUP BY c.event_id, c.us"""
 
+_ASSERTS = """, flagged AS (SELECT *, dataset_bucket = 'degraded_low_density' AS dw, n_trades_bucket IN ('Q2_6_9', 'Q3_10_19') AS sweet, true AS usable, CAST(substr(event_id, 4) AS BIGINT) % 7 AS k FROM clean),
+broken AS (SELECT * REPLACE (CASE WHEN k = 0 THEN NOT dw ELSE dw END AS dw, CASE WHEN k = 1 THEN NOT sweet ELSE sweet END AS sweet, CASE WHEN k = 2 THEN 'ok_only' WHEN k = 6 AND reason_code = 'degraded_low_density' THEN 'other_degraded' WHEN k = 6 AND tb_label = 1 THEN 'degraded_low_density' WHEN k = 6 THEN 'other_unknown' ELSE dataset_bucket END AS dataset_bucket, CASE WHEN k <> 4 THEN usable END AS usable) FROM flagged),
+told AS (SELECT count(*) - count(DISTINCT event_id) AS duplicates, count(*) FILTER (dataset_bucket = 'other_unknown') AS "unknown",
+  count(*) FILTER (dataset_bucket = 'degraded_low_density' AND NOT dw) AS low_not_downweight, count(*) FILTER (dataset_bucket <> 'degraded_low_density' AND dw) AS downweight_not_low,
+  count(*) FILTER (n_trades_bucket IN ('Q2_6_9', 'Q3_10_19') AND NOT sweet) AS sweet_bucket_not_flag, count(*) FILTER (n_trades_bucket NOT IN ('Q2_6_9', 'Q3_10_19') AND sweet) AS sweet_flag_not_bucket,
+  count(*) FILTER (usable IS DISTINCT FROM true) AS unusable, count(*) FILTER (dataset_bucket = 'ok_only' AND label_quality <> 'ok') AS ok_bucket_other_label,
+  count(*) FILTER (dataset_bucket = 'degraded_low_density' AND reason_code <> 'degraded_low_density') AS low_bucket_other_reason,
+  count(*) FILTER (dataset_bucket = 'other_degraded' AND reason_code NOT IN ('degraded_high_lag', 'degraded_unstable_window')) AS other_bucket_other_reason, count(*) FILTER (label_quality = 'ok') AS ok_rows FROM {rows})
+SELECT *, duplicates + "unknown" + low_not_downweight + downweight_not_low + sweet_bucket_not_flag + sweet_flag_not_bucket + unusable + ok_bucket_other_label + low_bucket_other_reason + other_bucket_other_reason = 0 AND ok_rows > 0 AS passed FROM told"""
+
 ORACLES = {
     "book_clean": "SELECT tick_id, symbol, us, round(mid, 6) AS mid, round(spread, 6) AS spread_bps FROM q WHERE mid IS NOT NULL",
     "anchor_price": f"SELECT event_id, round(p_anchor, 6) AS p_anchor, n AS anchor_points, round(lag, 6) AS anchor_lag_ms, round(cover, 6) AS coverage_ms, round(spread, 6) AS spread, round(z, 6) AS spread_z, {_QUALITY.format('reason')} AS anchor_quality, reason AS anchor_reason FROM anchor",
@@ -283,13 +324,16 @@ ORACLES = {
     "horizon_price": f"""SELECT event_id, horizon_min, round(p_h, 6) AS p_h, CASE WHEN kind = 1 THEN 'median_forward' WHEN kind = 2 THEN 'median_symmetric' WHEN fa THEN 'first_after' END AS sampling_method, CAST(points AS INT) AS points_used,
         round(lag / 1000.0, 6) AS forward_lag_ms, round(ratio, 6) AS forward_lag_ratio, round(span / 1000.0, 6) AS window_span_ms, round(spr, 6) AS spread_bps, round(z, 6) AS spread_z, round(iqr, 6) AS mid_iqr_bps, {_QUALITY.format('reason')} AS quality_flag, reason AS reason_code FROM hp""",
     "markouts": "SELECT event_id, horizon_min, round((p_h - p_anchor) / p_anchor, 6) AS ret_h, round(CASE WHEN p_h IS NOT NULL THEN (high - p_anchor) / p_anchor END, 6) AS mfe_h, round(CASE WHEN p_h IS NOT NULL THEN (low - p_anchor) / p_anchor END, 6) AS mae_h FROM hp",
-    "triple_barrier": f"""SELECT eh.event_id, coalesce(any_value(side), 0) AS tb_label, CASE coalesce(any_value(side), 0) WHEN 1 THEN 'upper' WHEN -1 THEN 'lower' ELSE 'vertical' END AS first_touch, any_value(after) // 1000 AS time_to_barrier_ms
-        FROM eh LEFT JOIN (SELECT eh.event_id, arg_min(CASE WHEN mid >= eh.p_anchor * (1 + sigma) THEN 1 ELSE -1 END, q.us) AS side, min(q.us) - any_value(eh.us) AS after FROM eh JOIN sigma USING (event_id) JOIN hp USING (event_id, horizon_min)
-          JOIN q ON q.symbol = eh.symbol AND q.us BETWEEN eh.us AND eh.th WHERE horizon_min = 30 AND p_h IS NOT NULL AND (mid >= eh.p_anchor * (1 + sigma) OR mid <= eh.p_anchor * (1 - sigma)) GROUP BY ALL) USING (event_id) WHERE horizon_min = 30 GROUP BY eh.event_id""",
+    "triple_barrier": "SELECT * FROM tb",
     "label_quality": "SELECT * FROM labels",
-    "clean_dataset": "SELECT event_id, symbol, n_trades, label_quality, reason_code, round(ret_h, 6) AS ret_h, round(mfe_h, 6) AS mfe_h, round(mae_h, 6) AS mae_h, dataset_bucket, n_trades_bucket, dataset_bucket = 'degraded_low_density' AS needs_downweight, n_trades_bucket IN ('Q2_6_9', 'Q3_10_19') AS is_n_trades_sweet_spot FROM clean",
-    "bucket_profile": "SELECT dataset_bucket, count(*) AS n, round(avg(CASE WHEN ret_h > 0 THEN 1.0 ELSE 0.0 END), 6) AS good_rate, round(avg(ret_h), 6) AS avg_ret, round(avg(mfe_h), 6) AS avg_mfe, count(*) FILTER (n_trades BETWEEN 6 AND 19) AS n_sweet FROM clean GROUP BY ALL",
-    "clean_view_asserts": "SELECT count(*) - count(DISTINCT event_id) AS duplicates, 0::BIGINT AS unknown, count(*) FILTER (dataset_bucket = 'ok_only') AS ok_rows, 0::BIGINT AS downweight_wrong, 0::BIGINT AS sweet_spot_wrong, 0::BIGINT AS unusable, count(*) FILTER (dataset_bucket = 'ok_only') > 0 AND count(*) = count(DISTINCT event_id) AS passed FROM clean",
+    "clean_dataset": """SELECT event_id, symbol, n_trades, label_quality, reason_code, tb_label, good_event, round(sigma, 6) AS sigma, round(anchor_lag_ms, 6) AS anchor_lag_ms, round(coverage_ms, 6) AS coverage_ms, round(ret_h, 6) AS ret_h, round(mfe_h, 6) AS mfe_h,
+        round(mae_h, 6) AS mae_h, round(forward_lag_ratio, 6) AS forward_lag_ratio, CAST(points_used AS INT) AS points_used, dataset_bucket, n_trades_bucket, dataset_bucket = 'degraded_low_density' AS needs_downweight, n_trades_bucket IN ('Q2_6_9', 'Q3_10_19') AS is_n_trades_sweet_spot, true AS is_usable FROM clean""",
+    "bucket_profile": """SELECT dataset_bucket, count(*) AS n, round(avg(CASE WHEN good_event IS TRUE THEN 1.0 ELSE 0.0 END), 6) AS good_rate, round(avg(ret_h), 6) AS avg_ret, round(avg(mfe_h), 6) AS avg_mfe, count(*) FILTER (dataset_bucket = 'degraded_low_density') AS n_downweight,
+        count(*) FILTER (n_trades BETWEEN 6 AND 19) AS n_sweet, CASE dataset_bucket WHEN 'ok_only' THEN 1 WHEN 'other_degraded' THEN 2 WHEN 'degraded_low_density' THEN 3 ELSE 4 END AS place FROM clean GROUP BY ALL""",
+    "trades_profile": """SELECT n_trades_bucket, count(*) AS n, round(avg(CASE WHEN good_event IS TRUE THEN 1.0 ELSE 0.0 END), 6) AS good_rate, round(avg(ret_h), 6) AS avg_ret,
+        CASE n_trades_bucket WHEN 'Q1_le_5' THEN 1 WHEN 'Q2_6_9' THEN 2 WHEN 'Q3_10_19' THEN 3 WHEN 'Q4_19_plus' THEN 4 ELSE 5 END AS place FROM clean GROUP BY ALL""",
+    "clean_view_asserts": _ASSERTS.format(rows="flagged"),
+    "clean_view_asserts_broken": _ASSERTS.format(rows="(SELECT * FROM broken UNION ALL SELECT * FROM broken WHERE k = 5)"),
     "quality_ratio": "SELECT label_quality, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS ratio FROM labels GROUP BY ALL",
     "orphan_audit": "SELECT event_id, symbol FROM candidates ANTI JOIN features USING (event_id)",
     "orphan_attempts": "SELECT 'ev_' || event_id AS event_id, us FROM ev WHERE event_id % 10 = 3 AND event_id % 20 <> 3",
