@@ -71,9 +71,9 @@ def test_scores_equal_a_plain_trie(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, 1, 2.0) for i, t in ROWS], "doc_id long, text string, block long, score double").repartition(3)
     _same([tuple(r) for r in ppm.op12_ppm(spark, docs).collect()], want)
     assert any(r[1] for r in want) and any(not r[1] for r in want)
-    # blocks of a few texts each, forked workers see the smaller size
-    monkeypatch.setattr(ppm, "BLOCK_BYTES", 40)
-    _same([tuple(r) for r in ppm.op12_ppm(spark, docs.coalesce(1)).collect()], want)
+    # blocks of a few texts each, and grams of a bucket that several tasks take
+    monkeypatch.setattr(ppm, "SALTED", 3)
+    _same([tuple(r) for r in ppm.op12_ppm(spark, docs.coalesce(1), block_bytes=40).collect()], want)
 
 
 def test_probabilities_after_a_context_sum_to_one(spark):

@@ -167,16 +167,19 @@ class Lookup:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, held = TaskContext.get().partitionId() << 24, 0
-    for b in batches:
-        made = []
-        for n in b.column("size").to_pylist():
-            if held and held + n > BLOCK_BYTES:
-                block, held = block + 1, 0
-            held += n + 1
-            made.append(block)
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64()), *b.columns], ["block", *b.schema.names])
+def _blocks(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 24, 0
+        for b in batches:
+            made = []
+            for n in b.column("size").to_pylist():
+                if held and held + n > block_bytes:
+                    block, held = block + 1, 0
+                held += n + 1
+                made.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.int64()), *b.columns], ["block", *b.schema.names])
+
+    return run
 
 
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -389,7 +392,7 @@ def _kept_in_place(df: DataFrame, key: str, parts: int) -> DataFrame:
     return kept
 
 
-def scored(docs: DataFrame, trains, held_out, *, order: int = ORDER) -> DataFrame:
+def scored(docs: DataFrame, trains, held_out, *, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text), learned from those where ``trains`` holds.
 
     ``score`` is log10 of the model's probability of the text and its end, ``base_score`` that of its tokens by their counts
@@ -402,7 +405,7 @@ def scored(docs: DataFrame, trains, held_out, *, order: int = ORDER) -> DataFram
     id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = docs.select("doc_id", "text", F.coalesce(trains, F.lit(False)).alias("trains"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    rows = _kept_in_place(marked.mapInArrow(_blocks, f"block long, doc_id {id_type}, text string, trains boolean, held_out boolean, size long"), "block", parts)
+    rows = _kept_in_place(marked.mapInArrow(_blocks(block_bytes), f"block long, doc_id {id_type}, text string, trains boolean, held_out boolean, size long"), "block", parts)
     size, blocks = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("block")).first()
     # a block has a row for every bucket, so buckets grow with the root of the text
     buckets, salts = max(64, 4 * ceil(sqrt(size / (1 << 20)))), max(1, blocks // SALTED)
@@ -423,11 +426,11 @@ def scored(docs: DataFrame, trains, held_out, *, order: int = ORDER) -> DataFram
     return rows.select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scores(order, buckets, n, kinds), schema)
 
 
-def op12_ppm(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def op12_ppm(spark: SparkSession, docs: DataFrame, **bounds) -> DataFrame:
     """The scores of every document, learned from those whose crc32 of the id as text modulo 10 is not 0.
 
     A null id neither trains nor is held out. Null and empty texts are scored by their end alone; without documents there is
     no row. Repeated rows and ids appear and train as often as they come.
     """
     bucket = id_bucket("doc_id", 10)
-    return scored(docs, bucket != 0, bucket == 0)
+    return scored(docs, bucket != 0, bucket == 0, **bounds)

@@ -118,29 +118,33 @@ def rebuilt(turns: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
 # ---- sequences and who has them
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (p1, p2, len, conv_id) in order: runs of one sequence's ids, comma-joined, of at most CHUNK bytes or so."""
+def _chunks(chunk: int):
+    """Rows (p1, p2, len, conv_id) in order: runs of one sequence's ids, comma-joined, of about ``chunk`` bytes at most."""
     names = ["p1", "p2", "len", "first", "n", "ids"]
-    now, ids, size = None, [], 0
-    made: list[tuple] = []
 
-    def close() -> None:
-        if ids:
-            made.append((*now, ids[0], len(ids), ",".join(map(str, ids))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, size = None, [], 0
+        made: list[tuple] = []
 
-    for b in batches:
-        for *key, conv in zip(*(b.column(c).to_pylist() for c in ("p1", "p2", "len", "conv_id")), strict=True):
-            if key != now or size >= CHUNK:
-                close()
-                now, ids, size = key, [], 0
-            ids.append(conv)
-            size += len(str(conv)) + 1
+        def close() -> None:
+            if ids:
+                made.append((*now, ids[0], len(ids), ",".join(map(str, ids))))
+
+        for b in batches:
+            for *key, conv in zip(*(b.column(c).to_pylist() for c in ("p1", "p2", "len", "conv_id")), strict=True):
+                if key != now or size >= chunk:
+                    close()
+                    now, ids, size = key, [], 0
+                ids.append(conv)
+                size += len(str(conv)) + 1
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names)
+                made = []
+        close()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names)
-            made = []
-    close()
-    if made:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names)
+
+    return run
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +169,7 @@ def sequences(turns: DataFrame, convs: DataFrame, parts: int) -> DataFrame:
     """(seq, p1, p2, len, n, sha): each different sequence by its smallest conversation, how many have it and the digest of their ids."""
     none = F.lit(0).cast("long")
     ends = turns.filter("depth = len").select("conv_id", "len", "p1", "p2").union(convs.filter("len = 0").select("conv_id", "len", none, none))
-    runs = ends.repartitionByRange(parts, "p1", "p2", "len", "conv_id").sortWithinPartitions("p1", "p2", "len", "conv_id").select("p1", "p2", "len", "conv_id").mapInArrow(_chunks, "p1 long, p2 long, len long, first long, n long, ids string")
+    runs = ends.repartitionByRange(parts, "p1", "p2", "len", "conv_id").sortWithinPartitions("p1", "p2", "len", "conv_id").select("p1", "p2", "len", "conv_id").mapInArrow(_chunks(CHUNK), "p1 long, p2 long, len long, first long, n long, ids string")
     return runs.repartition(parts, "p1", "p2").sortWithinPartitions("p1", "p2", "len", "first").mapInArrow(_sequences, "seq long, p1 long, p2 long, len long, n long, sha string")
 
 
