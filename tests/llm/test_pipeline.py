@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as cp
 from tidemark.llm import mixing, similar, simhash
+from tidemark.llm.common import written
 
 WORDS = {"en": "the and of with that this from have".split(), "de": "der die das und nicht ein mit auch".split()}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,8 +110,8 @@ def test_rows_are_told_apart_where_ids_are_not(spark, sf_dir):
     assert got == want
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_near_dedup_is_brute_force_jaccard(spark, bucket):
+@pytest.mark.parametrize("bucket, together", [(64, 4096), (2, 4096), (64, 3)])
+def test_near_dedup_is_brute_force_jaccard(spark, bucket, together):
     rnd, texts = random.Random(3), [None, "", " \n", "one two", "One  two"]
     passage = " ".join(f"p{k}" for k in range(30))
     for i in range(25):
@@ -134,6 +135,32 @@ def test_near_dedup_is_brute_force_jaccard(spark, bucket):
     want = {i for i, x in enumerate(low) if i == x}
     assert len(want) < len(texts) - 30
     docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
-    # with many fingerprints of each set no link is missed; a bucket of two takes the other way for larger groups
-    got = {r.row: r.component for r in similar.similar_groups(docs, seeds=6, reach=24, total=384, bucket=bucket).collect()}
+    # with many fingerprints of each set no link is missed; small bounds take the other ways for larger groups
+    got = {r.row: r.component for r in similar.similar_groups(docs, seeds=6, reach=24, total=384, bucket=bucket, together=together).collect()}
     assert {i for i, c in got.items() if i == c} == want and got == dict(enumerate(low))
+
+
+def test_a_large_group_of_near_copies_meets_in_blocks(spark):
+    """Copies that each differ from one text at several places, so that most pairs of them are no link."""
+    rnd = random.Random(8)
+    base, texts = [f"b{rnd.randint(0, 400)}" for _ in range(140)], []
+    for _ in range(220):
+        near = list(base)
+        for _ in range(rnd.randint(0, 7)):
+            near[rnd.randrange(len(near))] = f"x{rnd.randint(0, 99999)}"
+        texts.append(" ".join(near))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    low, changed = list(range(len(sets))), True
+    link = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in link:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    assert 5 < len(set(low)) < 150
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3), "test")
+    groups = written(similar.similar_groups(docs, seeds=6, reach=24, total=384, together=20, block=8), "test")
+    assert {r.row: r.component for r in groups.collect()} == dict(enumerate(low))
+    found, every = similar.measured_recall(docs, groups, sample=50)
+    assert found == every > 100

@@ -4,6 +4,10 @@ Each set of shingles has several fingerprints, made of differently mixed hashes
 at pairs of Golay codewords as in ``simhash``; those at most ``reach`` bits apart are candidates, and every candidate pair
 is judged by its sets. At a similarity of 0.8 a bit differs with a chance of 0.15, so some pairs never meet: the recall is
 measured, not certain, and grows with the number of fingerprints.
+
+What meets is looked at with one hub first, then where that has left a list's members apart. Where many of these are
+near each other, as in a large group of texts that differ from each other at many places, their sets meet in blocks and
+the similarity is found there: rows are members times blocks, never pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +28,11 @@ from .textbytes import mixed
 #: Bits of a Golay pair key; the number of the fingerprint stands above them.
 _KEY_BITS = 26
 #: Fingerprints under one key whose bits are all compared at once; beyond it, those with one of them.
-BUCKET = 64
+BUCKET = 2048
+#: Members of a list that are compared by their bits in one task, and candidate pairs for each member that are made; beyond either, sets meet in blocks.
+TOGETHER, PAIRS = 4096, 4
+#: Members of a group, outside its largest part, whose sets one task holds while those of all members pass.
+BLOCK = 256
 
 
 def sets_of(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -121,19 +129,25 @@ def _meetings(reach: int, bucket: int):
     return run
 
 
-def _candidates(star: bool, total: int, seeds: int):
-    """Rows (list, node, n, comp, f0, f1, ...) sorted by list: (a, b) that may be similar by size and bits, with one node of the list, or else of different components."""
+def _candidates(star: bool, total: int, seeds: int, together: int):
+    """Rows (list, node, n, comp, f0, f1, ...) sorted by list: (a, b) that may be similar by size and bits, with one node of the list, or else of different components.
+
+    Of a list that is too long for the latter, or has too many such pairs, the nodes that have any, each as (node, null, list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, n, comp, *fps in _whole_keys(batches):
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            a, b = [], []
+            a, b, dense = [], [], []
             for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
                 if not star and (comp[lo:hi] == comp[lo]).all():
                     continue
+                if not star and hi - lo > together:
+                    dense.append(np.arange(lo, hi))
+                    continue
                 # lists of the same nodes have different hubs
                 hub = lo + int(key[lo]) % (hi - lo)
                 first, past, step = (hub, hub + 1, 1) if star else (lo, hi, max(1, (1 << 20) // (hi - lo)))
+                x_of, y_of = [], []
                 for x in range(first, past, step):
                     end = min(x + step, past)
                     m, k = n[x:end, None], n[None, lo:hi]
@@ -142,16 +156,73 @@ def _candidates(star: bool, total: int, seeds: int):
                     f, g = np.nonzero(good)
                     f, g = f + x, g + lo
                     close = sum(bit_distance(fp[f], fp[g]).astype(np.int64) for fp in fps) <= total
-                    a.append(node[f[close]])
-                    b.append(node[g[close]])
+                    x_of.append(f[close])
+                    y_of.append(g[close])
+                f, g = np.concatenate(x_of), np.concatenate(y_of)
+                if not star and len(f) > PAIRS * (hi - lo):
+                    dense.append(np.unique(np.concatenate((f, g))))
+                else:
+                    a.append(node[f])
+                    b.append(node[g])
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["a", "b", "list"])
+            if dense:
+                at = np.concatenate(dense)
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(key[at])], ["a", "b", "list"])
 
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, holds, node, comp, keys) sorted by block, those that it holds first: links (a, b) of similarity 0.8 or more between what a block holds and all that pass, as many as join different components there."""
+    now, held, head = None, [], {}
+
+    def root(c: int) -> int:
+        while head.get(c, c) != c:
+            c = head[c]
+        return c
+
+    for batch in batches:
+        a, b = [], []
+        passing: list[tuple[int, int, np.ndarray]] = []
+
+        def meet() -> None:
+            """Counts the shared keys of all held with all passing, by the keys of the held."""
+            if not held or not passing:
+                return
+            keys = np.concatenate([k for _, _, k in held])
+            owner = np.repeat(np.arange(len(held)), [len(k) for _, _, k in held])
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+            theirs = np.concatenate([k for _, _, k in passing])
+            who = np.repeat(np.arange(len(passing)), [len(k) for _, _, k in passing])
+            lo, hi = np.searchsorted(keys, theirs, "left"), np.searchsorted(keys, theirs, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(np.repeat(who, n) * len(held) + owner[at], minlength=len(passing) * len(held)).reshape(len(passing), len(held))
+            sizes = np.array([len(k) for _, _, k in held])[None] + np.array([len(k) for _, _, k in passing])[:, None]
+            for y, x in zip(*np.nonzero(5 * both >= 4 * (sizes - both)), strict=True):
+                (m, c, _), (o, d, _) = held[x], passing[y]
+                if (r := root(c)) != (q := root(d)):
+                    head[r] = q
+                    a.append(m)
+                    b.append(o)
+
+        for block, holds, node, comp, keys in zip(*(batch.column(c) for c in ("block", "holds", "node", "comp", "keys")), strict=True):
+            if block.as_py() != now:
+                meet()
+                now, held, head, passing = block.as_py(), [], {}, []
+            (held if holds.as_py() else passing).append((node.as_py(), comp.as_py(), keys.values.to_numpy()))
+            if len(passing) == BLOCK:
+                meet()
+                passing = []
+        meet()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,7 +249,24 @@ def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "similar-links")
 
 
-def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int = 12, total: int = 44, bucket: int = BUCKET) -> DataFrame:
+def _joined_in_blocks(dense: DataFrame, grouped, sets: DataFrame, parts: int, block: int) -> DataFrame:
+    """Links (a, b) between the members of lists (node, list) that are ``grouped`` apart: lists that share members are one group, and each block of those outside its largest component meets all of the group."""
+    if dense.isEmpty():
+        return dense.selectExpr("node AS a", "node AS b").limit(0)
+    lead = dense.groupBy("list").agg(F.min("node").alias("lead"))
+    whole = connected_components(dense.join(lead, "list").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    told = written(grouped(whole.withColumnRenamed("component", "group")), "similar-dense")
+    largest = told.groupBy("group", "comp").count().groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
+    small = told.join(largest, "group").filter("comp <> most")
+    # blocks are numbered by a hash: their sizes are near BLOCK
+    sizes = small.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    held = small.join(sizes, "group").select("group", F.pmod(F.xxhash64("node"), "blocks").alias("at"), F.lit(True).alias("holds"), "node", "comp")
+    passing = told.join(sizes, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at"), F.lit(False).alias("holds"), "node", "comp")
+    rows = held.union(passing).withColumn("block", F.xxhash64("group", "at")).join(sets, "node").select("block", "holds", "node", "comp", "keys")
+    return written(rows.repartition(parts, "block").sortWithinPartitions("block", F.desc("holds")).mapInArrow(_blocks, "a long, b long"), "similar-block-links")
+
+
+def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int = 12, total: int = 44, bucket: int = BUCKET, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
     """(row, component) of every row of ``docs`` (row, text), a written table with a long ``row`` that does not repeat.
 
     Two texts are linked if their sets of shingles of ``size`` words (ASCII letters folded) have a Jaccard similarity of
@@ -186,7 +274,7 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
     are within ``total`` bits. Texts without words, null too, are linked. component is the smallest row reachable. Texts with
     equal sets stand for one node. Fingerprints that meet in a bucket, or that are equal, are compared with one of them;
     then, as far as that has left them in different groups, with each other: nothing is capped, and a group of many near
-    copies costs a few pairs a member.
+    copies costs a few rows a member for each block of members that stay outside its largest part.
     """
     prints = written(docs.select(F.col("row").alias("node"), "text").mapInArrow(_prints(size, seeds), "node long, n long, same binary, fps array<long>"), "similar-prints")
     leads = written(prints.groupBy("same").agg(F.min(F.struct("node", "n", "fps")).alias("s")).select("same", "s.*"), "similar-nodes")
@@ -215,10 +303,10 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
 
     def listed(of: DataFrame, star: bool) -> DataFrame:
         rows = of.select("list", "node", "n", "comp", *(F.col("fps")[k].alias(f"f{k}") for k in range(seeds)))
-        return rows.repartition(parts, "list").sortWithinPartitions("list", "node").mapInArrow(_candidates(star, total, seeds), "a long, b long")
+        return rows.repartition(parts, "list").sortWithinPartitions("list", "node").mapInArrow(_candidates(star, total, seeds, together), "a long, b long, list long")
 
     # a group of near copies has many pairs a member: first each node with the smallest that it met, then what is still apart
-    proposed = written(close(pairs).union(listed(shared.withColumn("comp", F.col("node")), True)).distinct(), "similar-candidates")
+    proposed = written(close(pairs).union(listed(shared.withColumn("comp", F.col("node")), True).select("a", "b")).distinct(), "similar-candidates")
     met_nodes = proposed.select("a").union(proposed.select("b")).union(members.select("node")).union(shared.select("node")).distinct().select(F.col("a").alias("met"))
     texts = docs.select(F.col("row").alias("node"), "text").join(met_nodes.hint("merge"), F.col("node") == F.col("met"), "left_semi")
     sets = written(texts.mapInArrow(_sets(size), "node long, keys array<long>"), "similar-sets")
@@ -232,14 +320,46 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
 
     links = links.union(_judged(still_apart(proposed, groups), sets))
     groups = written(connected_components(links), "similar-groups")
-    # lists whose members are not all in one group are looked at in full, others passed over
-    comp = groups.withColumnRenamed("component", "comp")
-    grouped = lambda of: of.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lists = grouped(members.select("list", *own).union(shared.select("list", *own)))
-    told = grouped(by_fp)
-    wide = pairs.filter("a_many > 1 or b_many > 1").select("seed", "a", "b").join(side(told, "a", "comp"), ["seed", "a"]).join(side(told, "b", "comp"), ["seed", "b"]).filter("a_comp <> b_comp")
-    more = written(listed(lists, False).union(close(wide)).distinct().join(proposed, ["a", "b"], "left_anti"), "similar-more")
-    if not more.isEmpty():
-        links = links.union(_judged(more, sets))
-        groups = written(connected_components(links), "similar-groups")
+    # lists whose members are not all in one group are looked at in full, others passed over; what two shared fingerprints have is a list too
+    grouped = lambda of: of.join(groups.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    wide = pairs.filter("a_many > 1 or b_many > 1").select("seed", F.xxhash64(F.lit("wide"), "seed", "a", "b").alias("list"), F.explode(F.array("a", "b")).alias("fp"))
+    lists = grouped(members.select("list", *own).union(shared.select("list", *own)).union(wide.join(by_fp, ["seed", "fp"]).select("list", *own)))
+    more = written(listed(lists, False), "similar-more")
+    some = more.filter("b is not null").select("a", "b").distinct().join(proposed, ["a", "b"], "left_anti")
+    links = links.union(_judged(some, sets)).union(_joined_in_blocks(more.filter("b is null").select(F.col("a").alias("node"), "list"), grouped, sets, parts, block))
+    groups = written(connected_components(links), "similar-groups")
     return copies.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+
+
+def measured_recall(docs: DataFrame, groups: DataFrame, *, size: int = 5, sample: int = 500) -> tuple[int, int]:
+    """(pairs in one group, all pairs) of texts with a similarity of 0.8 or more: about ``sample`` texts against all, by their sets alone.
+
+    ``docs`` (row, text) and ``groups`` (row, component) are written tables. The sample, a share of the rows by hash, is broadcast; equal sets are no pair.
+    """
+    spark = docs.sparkSession
+    share = max(1, docs.count() // sample)
+    drawn = docs.filter(F.pmod(F.xxhash64(F.lit("audit"), "row"), F.lit(share)) == 0).select("row", "text").collect()
+    held = [(r.row, s) for r, s in zip(drawn, sets_of([r.text for r in drawn], size), strict=True) if len(s)]
+    if not held:
+        return 0, 0
+    keys, owner = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+    order = np.argsort(keys, kind="stable")
+    index = spark.sparkContext.broadcast((keys[order], owner[order], np.array([len(s) for _, s in held]), np.array([r for r, _ in held])))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owner, sizes, rows = index.value
+        for b in batches:
+            x, y = [], []
+            for row, s in zip(b.column("row").to_pylist(), sets_of(b.column("text").to_pylist(), size), strict=True):
+                lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+                n = hi - lo
+                both = np.bincount(owner[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())], minlength=len(rows)) if n.any() else np.zeros(len(rows), np.int64)
+                alike = (5 * both >= 4 * (sizes + len(s) - both)) & (both > 0) & ~((both == sizes) & (both == len(s)))
+                x += rows[alike].tolist()
+                y += [row] * int(alike.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    pairs = docs.select("row", "text").mapInArrow(near, "a long, b long")
+    side = lambda c: groups.select(F.col("row").alias(c), F.col("component").alias(f"{c}_group"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").agg(F.count_if(F.col("a_group") == F.col("b_group")), F.count(F.lit(1))).first()
+    return found[0], found[1]
