@@ -135,12 +135,6 @@ def test_upsert_changes_owned_columns_only(spark):
     assert sorted(map(tuple, ds.insert_if_absent(t, b.union(b), "id").collect())) == [(1, "x", 5), (2, "y", 6), (3, "z", 1)]
 
 
-def test_cooldown_counts_from_the_last_kept(spark):
-    rows = [(i, "a", t) for i, t in enumerate([0, 5, 9, 10, 19, 20, 31])]
-    got = wn.cooldown_filter(spark.createDataFrame(rows, "tick_id int, symbol string, us long"), ["symbol"], 10).collect()
-    assert sorted(r.us for r in got) == [0, 10, 20, 31]
-
-
 def test_ema_is_the_recursion(spark):
     values = [3.0, 1.0, 4.0, 1.0, 5.0]
     got = wn.ema(spark.createDataFrame([(i, "a", i, v) for i, v in enumerate(values)], "tick_id long, symbol string, us long, price double"), "price", (3,)).collect()

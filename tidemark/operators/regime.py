@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .edges import with_neighbours
 from .spans import Trailing, over_spans
 from .windows import realised
 
@@ -108,8 +109,7 @@ def regime_facts(ticks: DataFrame, flow: DataFrame, p: FactParams) -> DataFrame:
 
     made = dict.fromkeys((*names, "rv_short", "rv_mid", "rv_long", "price_range", "rv_ratio", "persistence", "efficiency", "stability", "recovery", "spread_z"), "double")
     facts = over_spans(ticks, ["price", "spread"], max(*p.returns, *p.rv, p.middle, p.rank), made, compute).drop("symbol", "us")
-    o = Window.partitionBy("symbol").orderBy("us", "tick_id")
-    lags = ticks.withColumns({"book_lag": F.col("us") - F.lag("us").over(o), "trade_lag": F.col("us") - F.last("trade_us", True).over(o.rowsBetween(Window.unboundedPreceding, -1))}).drop("trade_us")
+    lags = with_neighbours(ticks, {"book_lag": F.col("us")}, known={"trade_lag": F.col("trade_us")}).withColumns({c: F.col("us") - F.col(c) for c in ("book_lag", "trade_lag")}).drop("trade_us")
     return lags.join(facts, "tick_id").join(flow.select("tick_id", "n_trades", "quote_vol", "flow", "gap_ms", "rate", "intensity"), "tick_id")
 
 

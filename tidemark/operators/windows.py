@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,17 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .edges import DAY, with_neighbours
 from .spans import Trailing, extremes, medians, over_spans
 from .stage import staged
 
 
-def latest_per_symbol(ticks: DataFrame) -> DataFrame:
-    return ticks.groupBy("symbol").agg(F.max_by(F.struct("tick_id", "us", "price"), F.struct("us", "tick_id")).alias("t")).select("symbol", "t.*")
+def latest_per_symbol(ticks: DataFrame, now_us: int | None = None, fresh_us: int = 10_000_000) -> DataFrame:
+    """Each symbol's newest tick, ties by the larger tick_id; with ``now_us`` only one of the ``fresh_us`` up to then, so that a silent symbol has no row."""
+    rows = ticks if now_us is None else ticks.filter((F.col("us") <= now_us) & (F.col("us") >= now_us - fresh_us))
+    return rows.groupBy("symbol").agg(F.max_by(F.struct("tick_id", "us", "price"), F.struct("us", "tick_id")).alias("t")).select("symbol", "t.*")
 
 
-def price_delta_pct(ticks: DataFrame) -> DataFrame:
-    prev = F.lag("price").over(Window.partitionBy("symbol").orderBy("us", "tick_id"))
-    return ticks.select("tick_id", "symbol", "us", "price", F.when(prev != 0, (F.col("price") - prev) / prev * 100).alias("delta_pct"))
+def price_delta_pct(ticks: DataFrame, *, block_us: int = 3 * DAY) -> DataFrame:
+    seen = with_neighbours(ticks.select("tick_id", "symbol", "us", "price"), {"prev": F.col("price")}, block_us=block_us)
+    return seen.select("tick_id", "symbol", "us", "price", F.when(F.col("prev") != 0, (F.col("price") - F.col("prev")) / F.col("prev") * 100).alias("delta_pct"))
 
 
 def rolling_returns(ticks: DataFrame, widths: dict[str, int]) -> DataFrame:
@@ -76,22 +77,22 @@ def bars(ticks: DataFrame, width: str) -> DataFrame:
     return ticks.groupBy("symbol", w.alias("w")).agg(F.min_by("price", t).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", t).alias("c"), F.sum("bid_qty").alias("v"), F.avg("price").alias("avg_price")).withColumn("open_us", F.unix_micros("w.start")).drop("w")
 
 
-def grid_asof(ticks: DataFrame, step_us: int, stale_us: int) -> DataFrame:
-    """Each point of a regular grid with the newest tick not older than ``stale_us``; points without one are left out.
+def grid_asof(ticks: DataFrame, step_us: int, stale_us: int, values: tuple[str, ...] = ("price",), *, block_us: int = 3 * DAY) -> DataFrame:
+    """Each point of a regular grid with ``values`` of the newest tick not older than ``stale_us``; points without one are left out.
 
     A tick serves the points from its own time on until the next tick or until it is stale, so points come from ticks
     without a join.
     """
-    nxt = F.lead("us").over(Window.partitionBy("symbol").orderBy("us", "tick_id"))
-    end = F.least(F.coalesce(nxt - 1, F.max("us").over(Window.partitionBy("symbol"))), F.col("us") + stale_us)
-    spans = ticks.select("symbol", "tick_id", "us", "price", F.expr(f"ceil(us / {step_us})").cast("long").alias("a"), F.floor(end / step_us).alias("b")).filter("a <= b")
-    points = spans.select("symbol", "tick_id", "price", F.explode(F.sequence("a", "b")).alias("point"), "us")
-    return points.select("symbol", "tick_id", "price", (F.col("point") * step_us).alias("grid_us"), "us").withColumn("age_ms", (F.col("grid_us") - F.col("us")) / 1000.0).drop("us")
+    rows = with_neighbours(ticks.select("symbol", "tick_id", "us", *values), {"next_us": F.col("us")}, block_us=block_us, forward=True)
+    end = F.least(F.coalesce(F.col("next_us") - 1, F.col("us")), F.col("us") + stale_us)
+    spans = rows.select("symbol", "tick_id", "us", *values, F.expr(f"ceil(us / {step_us})").cast("long").alias("a"), F.floor(end / step_us).alias("b")).filter("a <= b")
+    points = spans.select("symbol", "tick_id", *values, F.explode(F.sequence("a", "b")).alias("point"), "us")
+    return points.select("symbol", "tick_id", *values, (F.col("point") * step_us).alias("grid_us"), "us").withColumn("age_ms", (F.col("grid_us") - F.col("us")) / 1000.0).drop("us")
 
 
-def state_transitions(rows: DataFrame, state: Column) -> DataFrame:
-    o = Window.partitionBy("symbol").orderBy("us", "tick_id")
-    marked = rows.withColumn("state", state).withColumn("prev", F.lag("state").over(o)).withColumn("first", F.row_number().over(o) == 1)
+def state_transitions(rows: DataFrame, state: Column, *, block_us: int = 3 * DAY) -> DataFrame:
+    """The rows whose state is not that of the row before them; a series' first row is one."""
+    marked = with_neighbours(rows.withColumn("state", state).select("symbol", "tick_id", "us", "state"), {"prev": F.col("state")}, alone="first", block_us=block_us)
     return marked.filter(F.col("first") | ~F.col("state").eqNullSafe(F.col("prev"))).select("symbol", "tick_id", "state", "prev")
 
 
@@ -114,28 +115,6 @@ def volume_percentile(rows: DataFrame, volume: str, p: float) -> DataFrame:
     return within.filter((F.col("at") >= F.col("rank")) & (F.col("at") - F.col("m") < F.col("rank"))).select(F.col("v").alias("cutoff"), "n")
 
 
-def cooldown_filter(firings: DataFrame, keys: list[str], cooldown_us: int, at: str = "us", tie: str = "tick_id") -> DataFrame:
-    """Keeps a firing if the last kept one of its key is at least ``cooldown_us`` before it; what is suppressed does not extend it.
-
-    A key's rows pass through a task in order, with its last kept time as the only state. Rows with a null key make one key;
-    those without a time are left out.
-    """
-    names = firings.columns
-    rows = firings.filter(F.col(at).isNotNull()).withColumn("_key", F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in keys)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
-        for b in batches:
-            kept = []
-            for k, t in zip(b.column("_key").to_pylist(), b.column(at).to_pylist(), strict=True):
-                kept.append(k != key or t - last >= cooldown_us)
-                if kept[-1]:
-                    key, last = k, t
-            yield b.filter(pa.array(kept, pa.bool_())).select(names)
-
-    return rows.repartition("_key").sortWithinPartitions("_key", at, tie).mapInArrow(run, firings.schema)
-
-
 def _averages(x: np.ndarray, start: float, span: int) -> np.ndarray:
     """Recursive averages from ``start`` on; NaN changes nothing."""
     known = ~np.isnan(x)

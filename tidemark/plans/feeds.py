@@ -13,6 +13,7 @@ from ..operators import moves as mv
 from ..operators import sinks as sk
 from ..operators import universe as un
 from ..operators import windows as wn
+from ..operators.cooldown import cooldown_filter
 from ..operators.labels import HOUR
 from ..operators.stage import shared_path
 from ..operators.timejoin import asof, asof_unbounded, range_join
@@ -225,7 +226,7 @@ def universe_signature(s, d):
 def alert_dedup(s, d):
     """Messages, unless the same was kept in the twelve hours before."""
     t = market.ticks(s, d).select("tick_id", "us", F.md5(F.concat_ws("|", "symbol", (F.col("k") % 4).cast("string"))).alias("message"))
-    return wn.cooldown_filter(t, ["message"], 12 * HOUR).select("tick_id", "us")
+    return cooldown_filter(t, ["message"], 12 * HOUR).select("tick_id", "us")
 
 
 def stream_idempotent_sink(s, d):
