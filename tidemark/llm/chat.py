@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: In this order when escaping; a backslash of the text goes first, and comes back last.
 ESCAPES = (("\\", "\\s"), ("###", "\\h"), ("</turn>", "\\t"), ("<more/>", "\\m"))
+#: Code points of the pieces that a formatted text is cut into for reading its spans.
+PIECE = 256
 #: Roles end at the first colon, so theirs are escaped too.
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 
@@ -103,7 +105,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.transform("loss_spans", lambda s: unescaped(F.substr("formatted", s["from"] + 1, s["to"] - s["from"])))
+    # a place in a text is found by walking to it, so the text is cut into pieces once and a span takes those it lies in;
+    # the pieces are bound by a lambda, for an expression within one would be made anew for each span
+    pieces = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    first = lambda s: F.floor(s["from"] / PIECE).cast("int")
+    held = lambda p, s: F.array_join(F.slice(p, first(s) + 1, F.floor((F.greatest(s["to"], s["from"] + 1) - 1) / PIECE).cast("int") - first(s) + 1), "")
+    loss = F.transform(F.array(pieces), lambda p: F.transform("loss_spans", lambda s: unescaped(F.substr(held(p, s), s["from"] % PIECE + 1, s["to"] - s["from"]))))[0]
     return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_texts"))
 
 
