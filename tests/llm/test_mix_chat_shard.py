@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -147,6 +148,36 @@ def test_a_long_conversation_and_none(spark):
     assert [r.conv_id for r in chat.op5_chat(spark, spark.createDataFrame([], schema)).collect()] == [-7]
 
 
+def test_reading_a_conversation_is_linear(spark):
+    def seconds(n):
+        rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('word ###', 17) AS text")
+        began = time.time()
+        got = chat.op5_chat(spark, rows).filter("conv_id = 1").first()
+        assert got.loss_chars == n // 2 * 136 and got.n_turns == n
+        return time.time() - began
+
+    seconds(1000)
+    short, long = min(seconds(5000) for _ in range(2)), seconds(20_000)
+    assert long < 10 and long < 6 * short + 2
+
+
+def test_equal_rows_are_counted_not_gathered(spark):
+    """A third of all rows are one row, with a null id and text."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "if(id % 3 = 0, null, concat('t', id)) AS text", "id % 2 AS slot", "'x' AS size")
+    placed = sharding.ring_shards(rows.select("doc_id", "text"), "doc_id", 7, ties=("text",), lot=50)
+    got = placed.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((r.doc_id, r.text) for r in rows.select("doc_id", "text").collect()), key=str)
+    by_shard = defaultdict(list)
+    for r in got:
+        by_shard[r.shard].append(r.slot)
+    assert sorted(map(len, by_shard.values())) == [428] * 3 + [429] * 4
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    # stacks of 50, not a row for each
+    stacks = sharding._stacked(rows.select("doc_id", "text"), ["doc_id", "text"], 50)
+    assert [tuple(r) for r in stacks.filter("doc_id is null").selectExpr("count(*)", "sum(_ring_m)", "max(_ring_m)").collect()] == [(20, 1000, 50)]
+    assert sharding.op6_sharding(spark, rows).selectExpr("count(*)", "count(distinct shard, slot)").first() == (3000, 3000)
+
+
 @pytest.mark.parametrize("lot", [40, 100_000])
 def test_a_hot_key_is_cut_into_lots(spark, lot):
     rows = [(None, f"text {i}") for i in range(900)] + [(i, f"text {i}") for i in range(600)] + [(None, "same")] * 200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,20 @@ def bounded_placement(arcs: DataFrame, shards: int, slack: float) -> DataFrame:
     )
 
 
+def _stacked(df: DataFrame, same: list[str], lot: int) -> DataFrame:
+    """``df`` with ``_ring_m``, how many equal rows a row stands for, and ``_ring_stack``, a number that tells such rows apart: 1 and 0, but where over ``lot`` rows share ``same``."""
+    one = lambda rows: rows.withColumns({"_ring_m": F.lit(1).cast("long"), "_ring_stack": F.lit(0).cast("long")})
+    # at most one in ``lot`` of the rows
+    hot = df.groupBy(*same).agg(F.count(F.lit(1)).alias("_ring_m")).filter(F.col("_ring_m") > lot).select(*(F.col(c).alias(f"_ring_same_{i}") for i, c in enumerate(same)))
+    if hot.isEmpty():
+        return one(df)
+    on = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_ring_same_{i}")) for i, c in enumerate(same)))
+    counted = df.join(hot, on, "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_ring_all"))
+    stacks = counted.withColumn("_ring_stack", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_ring_all") - 1) / lot))))
+    stacks = stacks.withColumn("_ring_m", F.least(F.lit(lot), F.col("_ring_all") - F.col("_ring_stack") * lot).cast("long")).drop("_ring_all")
+    return one(df.join(hot, on, "left_anti")).unionByName(stacks)
+
+
 def ring_shards(df: DataFrame, key: str, shards: int, *, vnodes: int = 64, slack: float = 0.0, seed: int = 7, ties: tuple[str, ...] = (), lot: int = LOT) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), balanced by rows.
 
@@ -85,25 +101,29 @@ def ring_shards(df: DataFrame, key: str, shards: int, *, vnodes: int = 64, slack
 
     Only counts by ring piece (their number is fixed by the parameters) meet in one place. Rows are ranked within their
     piece, in the order of ring position, key and ``ties``; a piece of over ``lot`` rows, as a much repeated key makes it, is
-    cut by a hash of key and ``ties`` into lots of about that many rows, which follow one another.
+    cut by a hash of key and ``ties`` into lots of about that many rows, which follow one another. Rows that are equal in all columns
+    are interchangeable: where over ``lot`` rows share key and ``ties``, equal ones are counted, and stand as one row
+    for every ``lot`` of them until all have their places. Columns must be such that Spark can group by them.
     """
     spark = df.sparkSession
+    copies = _stacked(df.drop("shard", "slot"), [key, *ties], lot)
     pieces = ring_pieces(spark, shards, vnodes, seed).select(*(F.col(c).alias(f"_ring_{c}") for c in ("piece", "bucket", "lo", "hi", "arc")))
     at = (F.col("_ring_bucket") == F.shiftright("_ring_pos", RING_BITS - PIECE_BITS)) & F.col("_ring_pos").between(F.col("_ring_lo"), F.col("_ring_hi"))
-    keyed = df.drop("shard", "slot").withColumn("_ring_pos", _position(F.lit(seed), F.col(key)))
+    keyed = copies.withColumn("_ring_pos", _position(F.lit(seed), F.col(key)))
     found = keyed.join(F.broadcast(pieces), (F.shiftright("_ring_pos", RING_BITS - PIECE_BITS) == F.col("_ring_bucket")) & at)
 
-    counts = found.groupBy("_ring_piece", "_ring_arc").agg(F.count(F.lit(1)).alias("_ring_n"))
+    counts = found.groupBy("_ring_piece", "_ring_arc").agg(F.sum("_ring_m").alias("_ring_n"))
     lots = counts.select("_ring_piece", F.ceil(F.col("_ring_n") / lot).alias("_ring_lots"))
-    found = found.join(F.broadcast(lots), "_ring_piece").withColumn("_ring_lot", F.pmod(F.xxhash64(key, *ties), "_ring_lots"))
-    by_lot = found.groupBy("_ring_piece", "_ring_arc", "_ring_lot").agg(F.count(F.lit(1)).alias("_ring_n"))
+    found = found.join(F.broadcast(lots), "_ring_piece").withColumn("_ring_lot", F.pmod(F.xxhash64(key, *ties, "_ring_stack"), "_ring_lots"))
+    by_lot = found.groupBy("_ring_piece", "_ring_arc", "_ring_lot").agg(F.sum("_ring_m").alias("_ring_n"))
     in_arc = Window.partitionBy("_ring_arc").orderBy("_ring_piece", "_ring_lot").rowsBetween(Window.unboundedPreceding, -1)
     before = by_lot.select("_ring_piece", "_ring_lot", F.coalesce(F.sum("_ring_n").over(in_arc), F.lit(0)).alias("_ring_before"))
     arcs = _walks(spark, shards, vnodes, seed).join(F.broadcast(counts.groupBy(F.col("_ring_arc").alias("arc")).agg(F.sum("_ring_n").alias("n"))), "arc")
     parts = bounded_placement(arcs.select("arc", "n", "walk"), shards, slack).select(*(F.col(c).alias(f"_ring_p_{c}") for c in ("arc", "first", "past", "shard", "slot")))
 
-    in_lot = Window.partitionBy("_ring_piece", "_ring_lot").orderBy("_ring_pos", key, *ties)
-    ranked = found.withColumn("_ring_rank", F.row_number().over(in_lot) - 1).join(before, ["_ring_piece", "_ring_lot"]).withColumn("_ring_rank", F.col("_ring_rank") + F.col("_ring_before"))
+    in_lot = Window.partitionBy("_ring_piece", "_ring_lot").orderBy("_ring_pos", key, *ties, "_ring_stack").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = found.withColumn("_ring_rank", F.sum("_ring_m").over(in_lot) - F.col("_ring_m")).join(before, ["_ring_piece", "_ring_lot"])
+    ranked = ranked.withColumn("_ring_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ring_m") - 1))).withColumn("_ring_rank", F.col("_ring_rank") + F.col("_ring_copy") + F.col("_ring_before"))
     placed = ranked.join(F.broadcast(parts), (F.col("_ring_arc") == F.col("_ring_p_arc")) & (F.col("_ring_rank") >= F.col("_ring_p_first")) & (F.col("_ring_rank") < F.col("_ring_p_past")))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
     return placed.select(*kept, F.col("_ring_p_shard").alias("shard"), (F.col("_ring_p_slot") + F.col("_ring_rank") - F.col("_ring_p_first")).alias("slot"))
