@@ -63,6 +63,29 @@ def test_archives_are_bounded_and_read_by_offset(spark, archive_bytes, part_byte
     assert sorted(map(tuple, got), key=str) == by_hand(rows_of())
 
 
+def test_records_are_valid_warc(spark):
+    """Mandatory headers of WARC/1.1, and bodies that are HTTP responses."""
+    _, archives, index = archived(spark, rows_of(20))
+    heads = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type", "WARC-Target-URI", "WARC-Payload-Digest"}
+    kinds = set()
+    for name in {r.archive for r in index.collect()}:
+        whole = gzip.decompress(b"".join(warc.archive_bytes(archives, name)))
+        for headers, record in warc.normalise_stream(iter([gzip.compress(whole)])):
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and heads <= set(headers)
+            size = int(headers["Content-Length"])
+            body = record[-4 - size : -4]
+            kinds.add(headers["WARC-Type"])
+            if headers["WARC-Type"] == "revisit":
+                assert size == 0 and headers["WARC-Profile"].endswith("identical-payload-digest") and "WARC-Refers-To" in headers
+            else:
+                head, _, payload = body.partition(b"\r\n\r\n")
+                assert head.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(payload)}".encode() in head.split(b"\r\n")
+                assert headers["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+    assert kinds == {"response", "revisit"}
+    urls = {r.page_id: r.url for r in warc.read_archives(archives, index).select("page_id", "url").collect()}
+    assert urls[100] is None and urls[3] == "http://x/3"
+
+
 @pytest.mark.parametrize("wrong", ["offset + 1", "offset - 1"])
 def test_a_wrong_offset_fails(spark, wrong):
     _, archives, index = archived(spark, rows_of(5))

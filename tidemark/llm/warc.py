@@ -6,6 +6,9 @@
    whole members: laid end to end they are a valid .warc.gz (``archive_bytes`` gives them). The sidecar index has a row
    for each record (archive, part, offset, length, record id, type, url).
 3. Reading takes each record by its index entry: the archive's bytes from offset on, length of them, parsed alone.
+
+A response's body is an HTTP response, a status line and headers before the payload, as WARC/1.1 asks for; pages come without
+theirs, so these say HTML in UTF-8 and its length. A revisit has no body; its digest is that of the payload that it revisits.
 """
 
 from __future__ import annotations
@@ -45,19 +48,31 @@ def record_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return joined.select("page_id", "payload_bytes", "payload_digest", F.when(F.col("low") != F.col("page_id"), F.col("low")).alias("refers_to"))
 
 
-def _record(url: Column) -> Column:
+#: The profile of a revisit whose payload is the same.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: When pages were fetched, where nothing says when.
+FETCHED = "1970-01-01T00:00:00Z"
+#: Stands for a record's target where a page has none.
+NO_TARGET = "urn:page:"
+
+
+def _record(url: Column, date: str) -> Column:
     """A record without its last line end, which the sink adds."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     # a header value is one line
     safe = F.regexp_replace(url, "[\\x00-\\x20\\x7F]", "%20")
     revisit = F.col("refers_to").isNotNull()
-    body = F.when(revisit, F.lit("")).otherwise(F.coalesce("html", F.lit("")))
+    html = F.coalesce("html", F.lit(""))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html)
+    body, number = F.when(revisit, F.lit("")).otherwise(http), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
-        F.when(url.isNull(), "").otherwise(line("WARC-Target-URI", safe)),
-        F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))).otherwise(""),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), number, F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.when(url.isNull(), F.concat(F.lit(NO_TARGET), number)).otherwise(safe)),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(SAME_PAYLOAD)), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))).otherwise(""),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         line("Content-Length", F.octet_length(body).cast("string")),
@@ -84,13 +99,13 @@ def _numbered(archive_bytes: int):
     return run
 
 
-def write_raw(pages: DataFrame, types: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_raw(pages: DataFrame, types: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, date: str = FETCHED) -> None:
     """Raw archives under ``path``: gzip files, each one whole-file stream of at most ``archive_bytes`` of records (or one record).
 
     Rows are dealt by page_id and digest, so each page meets its type with one shuffle of the texts.
     """
     records = pages.select("page_id", "url", "html").join(types.distinct(), F.col("page_id").eqNullSafe(F.col("t_page_id")) & (F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256) == F.col("payload_digest")))
-    dealt = records.select(_record(F.col("url")).alias("value")).mapInArrow(_numbered(archive_bytes), "value string, archive int")
+    dealt = records.select(_record(F.col("url"), date).alias("value")).mapInArrow(_numbered(archive_bytes), "value string, archive int")
     dealt.write.partitionBy("archive").option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
@@ -103,6 +118,11 @@ def _urn(value: str | None) -> int | None:
     return int(number) if number else None
 
 
+def _url(headers: dict[str, str]) -> str | None:
+    target = headers["WARC-Target-URI"]
+    return None if target.startswith(NO_TARGET) else target
+
+
 def normalise_stream(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, record) for each record of a gzip stream (of any number of members), inflating as it goes."""
     inflate, held = zlib.decompressobj(31), bytearray()
@@ -145,7 +165,7 @@ def _normalise(level: int, part_bytes: int):
                     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
                     member = pack.compress(record) + pack.flush()
                     members.append(member)
-                    entries.append({"offset": offset, "length": len(member), "page_id": _urn(headers["WARC-Record-ID"]), "record_type": headers["WARC-Type"], "url": headers.get("WARC-Target-URI")})
+                    entries.append({"offset": offset, "length": len(member), "page_id": _urn(headers["WARC-Record-ID"]), "record_type": headers["WARC-Type"], "url": _url(headers)})
                     offset += len(member)
                     if offset - begin >= part_bytes:
                         yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((archive, part, begin, b"".join(members), entries), kinds, strict=True)], names)
@@ -194,12 +214,12 @@ def read_archives(archives: DataFrame, index: DataFrame) -> DataFrame:
                     if len(found) != 1:
                         raise ValueError(f"{len(found)} records at offset {w['offset']}, length {w['length']}")
                     headers, record = found[0]
-                    size = int(headers["Content-Length"])
-                    payload = record[len(record) - 4 - size : -4]
+                    body = record[len(record) - 4 - int(headers["Content-Length"]) : -4]
                     own = headers["WARC-Type"] == "response"
+                    payload = body[body.index(b"\r\n\r\n") + 4 :] if own else b""
                     digest = hashlib.sha256(payload).hexdigest() if own else headers["WARC-Payload-Digest"].removeprefix("sha256:")
                     full = len(payload) if own else int(headers["X-Payload-Length"])
-                    rows.append((_urn(headers["WARC-Record-ID"]), full, digest, headers["WARC-Type"], _urn(headers.get("WARC-Refers-To")), headers.get("WARC-Target-URI"), payload if own else None))
+                    rows.append((_urn(headers["WARC-Record-ID"]), full, digest, headers["WARC-Type"], _urn(headers.get("WARC-Refers-To")), _url(headers), payload if own else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
