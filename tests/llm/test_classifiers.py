@@ -84,6 +84,18 @@ def test_languages_are_those_of_a_plain_count(spark):
     assert out == sorted((i, *plain(t)) for i, t, *_ in rows + odd)
 
 
+def test_languages_of_one_repeated_text_are_learned(spark):
+    """Three languages of a single text each beside one of many: all are told, whatever the hash of their texts."""
+    words = ["alpha beta gamma delta epsilon", "uno dos tres cuatro cinco seis", "ichi ni san yon go roku nana"]
+    rows = [(4 * i + k % 2, f"w{i % 97} zz{i % 89} qq{i % 83} yy{i % 79}", "yy") for k, i in enumerate(range(4000))]
+    for j, text in enumerate(words):
+        rows += [(4 * (10_000 * (j + 1) + i) + i % 2, text, f"l{j}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.select("text", "lang", docs.doc_id.alias("row")), docs_per_lang=100)
+    told = langid.predict(spark.createDataFrame([(w, f"l{j}") for j, w in enumerate(words)] + [("w1 zz2 qq3 yy4", "yy")], "text string, want string"), model).collect()
+    assert all(r.lang_pred == r.want and r.score > 0.3 for r in told)
+
+
 def test_a_document_is_one_bag_and_its_score_that_of_a_plain_pass(spark):
     rnd = random.Random(6)
     texts = [sentence(rnd, "aa", 40), "Ä1. " * 700_000, "x", sentence(rnd, "cc", 900)]

@@ -103,13 +103,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(train: DataFrame, *, docs_per_lang: int = 1500, floor: int = 18, most_grams: int = 1 << 22, rival: float = 0.5) -> LanguageFilters:
-    """Filters learned from ``train`` (text, lang), of which about ``docs_per_lang`` documents of each language are used, chosen by a hash of the text.
+    """Filters learned from ``train`` (text, lang, and row if it has that), of which about ``docs_per_lang`` documents of each language are used, chosen by a hash of row and text.
+
+    ``row`` tells rows of one text apart, so that of a text that repeats as many rows are used as of others, and a
+    language of few texts is learned from these; equal rows of one text are used all or not at all. It is no input of the filters.
 
     A language's filter gets the n-grams that make up at least 2**-floor of its own (so 2**floor of them at most), occur
     five times, and are at least ``rival`` times as frequent as in any other language, for texts hold passages of others.
     With many languages the floor rises, so that all of them together have ``most_grams`` n-grams at most.
     """
     train = train.filter("lang is not null and text is not null")
+    draw = F.xxhash64(*(c for c in ("row", "text") if c in train.columns))
     sizes = sorted((r.lang, r.n) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     langs = [lang for lang, _ in sizes]
     if not langs:
@@ -117,7 +121,7 @@ def fit(train: DataFrame, *, docs_per_lang: int = 1500, floor: int = 18, most_gr
     floor = min(floor, (most_grams // len(langs)).bit_length() - 1)
     known = F.create_map(*(F.lit(x) for i, (lang, n) in enumerate(sizes) for x in (lang, i)))
     share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, int(min(1, docs_per_lang / n) * 1_000_000))))
-    taken = train.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")]).select(known[F.col("lang")].cast("long").alias("l"), "text")
+    taken = train.filter(F.pmod(draw, F.lit(1_000_000)) < share[F.col("lang")]).select(known[F.col("lang")].cast("long").alias("l"), "text")
     counts = written(taken.mapInArrow(_count, "l long, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     totals = {r.l: r.n for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.create_map(*(F.lit(x) for i in range(len(langs)) for x in (i, float(max(1, totals.get(i, 0))))))[F.col("l")]
@@ -159,7 +163,7 @@ def predict(docs: DataFrame, model: LanguageFilters, *, with_text: bool = False)
 
 def learned(docs: DataFrame) -> LanguageFilters:
     """Filters from the documents whose id's remainder by 4 is not 2."""
-    return fit(docs.filter(id_bucket("doc_id", 4) != 2).select("text", "lang"))
+    return fit(docs.filter(id_bucket("doc_id", 4) != 2).select("text", "lang", F.col("doc_id").alias("row")))
 
 
 def op2_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
