@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,16 +160,29 @@ def test_detection_gates(spark):
 
 
 def test_states_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    """Ticks come shuffled over batches; a last one, far ahead, moves the watermark past all others."""
     rnd, price, rows = random.Random(2), 100.0, []
     for i in range(400):
         price = max(1.0, price * (1 + rnd.gauss(0, 0.01)))
-        rows.append((i, rnd.choice("ab"), i * 1000, price if i % 37 else None))
+        rows.append((i, rnd.choice("ab"), i * 100_000, price if i % 37 else None))
     schema = "tick_id long, symbol string, us long, price double"
-    for k in range(4):
-        spark.createDataFrame(rows[k * 100 : (k + 1) * 100], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    stamped = lambda part: spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("us")).coalesce(1)
+    mixed = sorted(rows, key=lambda r: r[0] + rnd.uniform(-60, 60))  # up to 12 seconds late
+    for k in range(8):
+        stamped(mixed[k * 50 : (k + 1) * 50]).write.parquet(f"{tmp_path}/in/{k}")
+        time.sleep(0.02)  # files are taken in order of their times
+    stamped([(1000, "z", 10**9, 1.0)]).write.parquet(f"{tmp_path}/in/end")
+    stream = spark.readStream.schema(schema + ", ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     want = sorted(map(str, mv.move_states(spark.createDataFrame(rows, schema)).collect()))
-    assert sorted(map(str, jobs.run_available(mv.stream_move_states(stream)).collect())) == want
+    assert len(want) > 300 and sorted(map(str, jobs.run_available(mv.stream_move_states(stream, "13 seconds")).collect())) == want
+
+
+def test_late_messages_are_a_table_of_their_own(spark, tmp_path):
+    rows = [(i, "2024-01-01 00:00:00", i * 1_000_000) for i in range(20)]
+    spark.createDataFrame(rows, "id long, t string, delay long").withColumn("ts", F.to_timestamp("t")).drop("t").coalesce(1).write.parquet(f"{tmp_path}/in")
+    live, late = jobs.split_late(spark.readStream.schema("id long, delay long, ts timestamp").parquet(f"{tmp_path}/in"), F.col("delay"))
+    assert [r.id for r in live.orderBy("id").collect()] == [0, 1, 2, 3]
+    assert [(r.id, r.status, r.delay_ms) for r in late.orderBy("id").collect()] == [(i, "late" if i <= 15 else "stale", i * 1000.0) for i in range(4, 20)]
 
 
 def test_messages_once_in_a_while(spark, tmp_path):

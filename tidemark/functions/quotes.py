@@ -77,11 +77,6 @@ def event_id_hash(*parts: Column) -> Column:
     return F.concat(F.lit("ev_"), F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p, F.lit("none")) for p in parts)), 256), 1, 32))
 
 
-def violations(rules: dict[str, Column]) -> Column:
-    """Names of the rules that are false; a rule that is null passes."""
-    return F.array_compact(F.array(*(F.when(~rule, F.lit(name)) for name, rule in rules.items())))
-
-
 #: Hours of the day (UTC) of each market regime; other hours are low_activity.
 REGIME_HOURS = {"aggressive": (14, 15, 16, 17), "normal": (8, 9, 10, 11, 12, 13), "caution": (18, 19), "pause": (20, 21, 22)}
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.quotes import violations
+from ..functions.constraints import violations
 
 
 def table_completeness(spark: SparkSession, tables: dict[str, DataFrame | None], may_be_empty: set[str]) -> DataFrame:

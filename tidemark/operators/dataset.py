@@ -136,10 +136,47 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, key: str) -> DataFrame
     return target.unionByName(batch.dropDuplicates([key]).join(target.select(key), key, "left_anti"))
 
 
-def regression_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows only in one of two runs, with the side and how often."""
-    side = lambda x, y, name: x.exceptAll(y).groupBy(*x.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(name))
-    return side(a, b, "only_a").union(side(b, a, "only_b"))
+#: Key ranges of the digests that two runs are compared by, and the digests that one node of the tree has below it.
+LEAVES, FAN = 4096, 64
+
+
+def range_digests(rows: DataFrame, keys: list[str], leaves: int = LEAVES) -> DataFrame:
+    """(node, leaf, digest, n): an order-free digest of the rows of each range of key hashes, the same for the same bag of rows. A row's digest is of its columns in the order of their names."""
+    columns = sorted(rows.columns)
+    row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    # exact sums of two halves tell bags apart, where equal rows would cancel each other in exclusive ones
+    half = lambda i: F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    leaf = F.pmod(F.xxhash64(*keys), F.lit(leaves)).cast("int")
+    told = rows.select(leaf.alias("leaf"), half(0).alias("a"), half(1).alias("b")).groupBy("leaf").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    return told.select((F.col("leaf") / FAN).cast("int").alias("node"), "leaf", F.concat_ws("-", "a", "b").alias("digest"), "n")
+
+
+def differing_leaves(a: DataFrame, b: DataFrame, keys: list[str], leaves: int = LEAVES) -> list[int]:
+    """Key ranges whose bags of rows differ: nodes of FAN ranges first, then the ranges of those that differ. At most ``leaves`` numbers."""
+    x, y = range_digests(a, keys, leaves), range_digests(b, keys, leaves)
+    both = x.select("node", "leaf", F.col("digest").alias("d"), "n").join(y.select("node", "leaf", F.col("digest").alias("e"), F.col("n").alias("m")), ["node", "leaf"], "full")
+    nodes = both.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "d", "n"))).alias("l"), F.sort_array(F.collect_list(F.struct("leaf", F.col("e").alias("d"), F.col("m").alias("n")))).alias("r"), F.collect_list(F.when(~(F.col("d").eqNullSafe(F.col("e")) & F.col("n").eqNullSafe(F.col("m"))), F.col("leaf"))).alias("other"))
+    return sorted(leaf for r in nodes.filter(~F.col("l").eqNullSafe(F.col("r"))).select("other").collect() for leaf in r.other)
+
+
+def regression_diff(a: DataFrame, b: DataFrame, keys: list[str], *, leaves: int = LEAVES) -> DataFrame:
+    """Rows only in one of two runs, with the side and how often.
+
+    Runs are compared by digests of key ranges, which costs no shuffle of rows; rows of ranges that differ alone are compared one by one. Columns
+    must be the same, in any order; rows with a null key are compared too.
+    """
+    b = b.select(*(F.col(f"`{c}`") for c in a.columns))
+    other = differing_leaves(a, b, keys, leaves)
+    leaf = F.pmod(F.xxhash64(*keys), F.lit(leaves)).cast("int")
+    # a set of numbers as bits, so that the filter stays short whatever their number
+    bits = [0] * (-(-leaves // 63))
+    for x in other:
+        bits[x // 63] |= 1 << x % 63
+    wanted = F.array(*(F.lit(x).cast("long") for x in bits))
+    some = lambda rows: rows.filter(F.expr("true") if len(other) == leaves else F.getbit(F.get(wanted, (leaf / 63).cast("int")), (leaf % 63).cast("int")) == 1)
+    sided = some(a).withColumn("_w", F.lit(1)).union(some(b).withColumn("_w", F.lit(-1)))
+    net = sided.groupBy(*(F.col(f"`{c}`") for c in a.columns)).agg(F.sum("_w").alias("_w")).filter("_w <> 0")
+    return net.select(*(F.col(f"`{c}`") for c in a.columns), F.abs("_w").cast("long").alias("n"), F.when(F.col("_w") > 0, "only_a").otherwise("only_b").alias("side"))
 
 
 def quality_ratio(labels: DataFrame) -> DataFrame:

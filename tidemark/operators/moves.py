@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -119,6 +119,13 @@ class Move:
 _STATES = "tick_id long, symbol string, us long, state string, noise double, start_price double, peak double, cusum double, cusum_pass boolean, build_us long, confirm_us long, trigger_price double, ended string"
 
 
+class Tick(NamedTuple):
+    tick_id: int
+    symbol: str
+    us: int
+    price: float
+
+
 def _step(m: Move, row, rules: MoveRules) -> tuple:
     before, price, us = m.last, row.price, row.us
     ended, confirm = m.tick(price, us, rules), None
@@ -148,15 +155,29 @@ def move_states(ticks: DataFrame, rules: MoveRules = MoveRules()) -> DataFrame:
     return in_order(_priced(ticks), "symbol", ["us", "tick_id"], Move, lambda m, row: _step(m, row, rules), _STATES)
 
 
-def stream_move_states(ticks: DataFrame, rules: MoveRules = MoveRules()) -> DataFrame:  # noqa: B008
-    """``move_states`` of a stream: a symbol's move is kept between batches as JSON. Within a batch ticks are taken in order of (us, tick_id); one that comes in a later batch than a newer one is taken then."""
+def stream_move_states(ticks: DataFrame, late: str, rules: MoveRules = MoveRules()) -> DataFrame:  # noqa: B008
+    """``move_states`` of a stream (tick_id, symbol, ts, us, price), whatever the batches that ticks come in.
+
+    A symbol's ticks wait in its state until the watermark, ``late`` behind the newest tick, has passed them, and are then taken in order of
+    (us, tick_id), in the batch that moved it or by a timer; so the state is a move and the ticks of that time. A tick that comes later still is dropped,
+    as the watermark drops it; ticks that the watermark has not passed when the stream ends are not in the result.
+    """
     names = [f.split()[0] for f in _STATES.split(", ")]
+    columns = ["us", "tick_id", "price"]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        m = Move(**json.loads(state.get[0])) if state.exists else Move()
-        rows = pd.concat(list(frames)).sort_values(["us", "tick_id"])
-        out = [_step(m, row, rules) for row in rows.itertuples(index=False)]
-        state.update((json.dumps(asdict(m)),))
+        m, held = (Move(**json.loads(state.get[0])), json.loads(state.get[1])) if state.exists else (Move(), [])
+        for f in frames:
+            held += f[columns].to_numpy(object).tolist()
+        held.sort(key=lambda t: (t[0], t[1]))
+        passed = state.getCurrentWatermarkMs()
+        n = next((i for i, t in enumerate(held) if t[0] >= passed * 1000), len(held))
+        out = [_step(m, Tick(i, key[0], us, price), rules) for us, i, price in held[:n]]
+        held = held[n:]
+        state.update((json.dumps(asdict(m)), json.dumps(held)))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0] // 1000, passed) + 1)
         yield pd.DataFrame(out, columns=names)
 
-    return _priced(ticks).groupBy("symbol").applyInPandasWithState(run, _STATES, "move string", "append", "NoTimeout")
+    priced = ticks.filter("price is not null and not isnan(price)").select("tick_id", "symbol", "ts", "us", "price").withWatermark("ts", late)
+    return priced.groupBy("symbol").applyInPandasWithState(run, _STATES, "move string, held string", "append", "EventTimeTimeout")

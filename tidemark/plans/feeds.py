@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constraints as cs
 from ..functions import quotes as qf
 from ..functions import records as rc
 from ..operators import audit as au
@@ -258,9 +259,74 @@ def pump_fast_detect(s, d):
 
 
 def stream_move_states(s, d):
-    """The state machine on the stream; its rows are those of the batch form."""
-    stream = jobs.event_stream(s, d).select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("symbol"), F.unix_micros("ts").alias("us"), "price")
-    return rounded(jobs.run_available(mv.stream_move_states(stream)))
+    """The state machine on the stream; its rows are those of the batch form up to the watermark."""
+    stream = jobs.event_stream(s, d).select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("symbol"), "ts", F.unix_micros("ts").alias("us"), "price")
+    return rounded(jobs.run_available(mv.stream_move_states(stream, "1 hour")))
+
+
+#: Checks and rows for them: every check is broken by some rows and null in others, told by the tick's number.
+_PLANTED = {
+    "regime": (cs.REGIME_SNAPSHOT, {"window_order": {"window_start_us": ("1", "3"), "window_end_us": ("2", "2")}, "book_order": {"btc_bid_price": ("1.0", "9.0"), "btc_ask_price": ("2.0", "2.0")}, "missing_features_list": {"missing_features_list": ("'[]'", "'{}'")}, "degradation_reasons": {"degradation_reasons": ("'[]'", "'none'")}}),
+    "label": (cs.LABEL, {"terminal_reason_code": {"terminal_reason_code": ("'bad_sigma'", "repeat('x', 201)")}}),
+    "markout": (cs.MARKOUT, {}),
+}
+
+
+def _planted_columns(name: str) -> dict[str, str]:
+    """SQL text of each column of the table, the same for Spark and DuckDB."""
+    checks, other = _PLANTED[name]
+    cases: dict[str, tuple[str, list[str]]] = {}
+    for i, (rule, text) in enumerate(checks.items()):
+        inside = text.split("(")[1].split(",")[0].rstrip(")") if " IN (" in text else None
+        own = {rule: (inside, "'other'" if inside.startswith("'") else "77") if inside else ("0.5", "1.5") if "<= 1" in text else ("1.0", "0.0") if text.endswith("> 0") else ("0.0", "-1.0")}
+        for column, (good, bad) in other.get(rule, own).items():
+            told = cases.setdefault(column, (good, []))[1]
+            told += [f"WHEN tick_id % 211 = {i} THEN {bad}", f"WHEN tick_id % 211 = {i + 100} THEN NULL"]
+    return {c: f"CASE {' '.join(w)} ELSE {good} END" for c, (good, w) in cases.items()}
+
+
+def _planted(s, d, name: str) -> DataFrame:
+    return market.ticks(s, d).select("tick_id", *(F.expr(x).alias(c) for c, x in _planted_columns(name).items()))
+
+
+def _violations(name: str):
+    def query(s, d):
+        return _planted(s, d, name).select("tick_id", F.array_join(cs.violated(_PLANTED[name][0]), ",").alias("violated")).filter("violated <> ''")
+
+    return query
+
+
+constraint_violations, label_violations, markout_violations = map(_violations, _PLANTED)
+
+
+def quarantine(s, d):
+    """Rows that pass and rows that break each check, as counted in the pass that wrote them apart, and as the tables hold them."""
+    path = shared_path(s, "checked")
+    n = sk.write_checked(_planted(s, d, "label"), cs.LABEL, path)
+    held = {r.quarantined: r["count"] for r in s.read.parquet(path).groupBy("quarantined").count().collect()}
+    rows = [*n.items(), ("held_good", held.get("false", 0)), ("held_quarantined", held.get("true", 0))]
+    return s.createDataFrame(rows, "what string, n long")
+
+
+def late_side_table(s, d):
+    """As a stream: late and stale messages as rows with their delay."""
+    stream = jobs.event_stream(s, d).withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int")).select("event_id", "ts", "k")
+    _, late = jobs.split_late(stream, _delay())
+    return late.select("event_id", "status", "delay_ms")
+
+
+def stream_batch_ledger(s, d):
+    """Candidates of the stream, each batch of which comes twice, once after a writer that died, in a table that is never read to write it."""
+    ledger = sk.BatchLedger(s, shared_path(s, "ledger"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        ledger.stage(batch, number)
+        ledger.write(batch, number)
+        ledger.write(batch, number)
+
+    stream = jobs.event_stream(s, d).filter("event_id % 20 = 3").select("event_id", "event_type")
+    jobs.run_into(stream, write)
+    return ledger.read(stream.schema).select("event_id", F.col("event_type").alias("symbol"))
 
 
 _BAR6 = f"SELECT symbol, us // {6 * HOUR} * {6 * HOUR} AS open_us, arg_min(price, us) AS o, max(price) AS h, min(price) AS l, arg_max(price, us) AS c, sum(bid_qty) AS v FROM ticks GROUP BY ALL"
@@ -268,6 +334,23 @@ _F6 = f"OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {6 * HOUR} PRECEDING
 _DELAY = "k * CASE WHEN k % 4 = 0 THEN 1000000 ELSE 100000 END"
 _P = lb.P
 
+
+
+def _planted_sql(name: str) -> str:
+    return f"(SELECT tick_id, {', '.join(f'{x} AS {c}' for c, x in _planted_columns(name).items())} FROM ticks)"
+
+
+def _violated_sql(name: str) -> str:
+    told = ", ".join(f"CASE WHEN NOT ({text}) THEN '{rule}' END" for rule, text in _PLANTED[name][0].items())
+    return f"SELECT * FROM (SELECT tick_id, array_to_string(list_filter([{told}], lambda x: x IS NOT NULL), ',') AS violated FROM {_planted_sql(name)}) WHERE violated <> ''"
+
+
+def _quarantine_sql() -> str:
+    bad = " OR ".join(f"coalesce(NOT ({t}), false)" for t in cs.LABEL.values())
+    counts = {"rows": "count(*)", "quarantined": f"count(*) FILTER ({bad})"} | {n: f"count(*) FILTER (NOT ({t}))" for n, t in cs.LABEL.items()} | {"held_good": f"count(*) FILTER (NOT ({bad}))", "held_quarantined": f"count(*) FILTER ({bad})"}
+    return " UNION ALL ".join(f"SELECT '{n}' AS what, {c} AS n FROM {_planted_sql('label')}" for n, c in counts.items())
+
+
 ORACLES = {
     "tick_snapshot_source": "SELECT event_id, event_type, value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAYS",
     "trade_json_parse": """SELECT trade_id, CASE WHEN r IS NULL THEN us // 1000 END AS trade_ms, CASE WHEN r IS NULL THEN round(price, 6) END AS price, CASE WHEN r IS NULL THEN qty END AS qty, CASE WHEN r IS NULL THEN is_buyer_maker END AS is_buyer_maker, r AS rejected
@@ -305,7 +388,11 @@ ORACLES = {
     "stream_idempotent_sink": "SELECT event_id, event_type AS symbol FROM ev WHERE event_id % 20 = 3",
     "pump_fast_detect": """SELECT tick_id, symbol, us, kind, decision, reason AS rejection_reason, round(last, 4) AS price, round(delta, 4) AS delta_pct, round(o_trigger, 4) AS trigger_price, round(stage, 4) AS stage_pct, round(o_build / 1000.0, 4) AS build_ms, round(o_confirm / 1000.0, 4) AS confirm_ms,
       round(o_rel, 4) AS rel_vol, round(o_ratio, 4) AS confirm_ratio, o_n AS n_trades, round(nullif(o_start, 0), 4) AS move_start_price, round(nullif(o_peak, 0), 4) AS peak, round(nullif(o_noise, 0), 4) AS noise FROM m WHERE kind IS NOT NULL""",
-    "stream_move_states": mk._MOVES + mk.ORACLES["move_state_machine"],
+    "stream_move_states": mk._MOVES + f"SELECT * FROM ({mk.ORACLES['move_state_machine']}) WHERE us < (SELECT max(us) FROM ticks) // 1000 * 1000 - {HOUR}",
+    **{q: _violated_sql(t) for q, t in (("constraint_violations", "regime"), ("label_violations", "label"), ("markout_violations", "markout"))},
+    "quarantine": _quarantine_sql(),
+    "late_side_table": f"SELECT event_id, CASE WHEN delay <= 15000000 THEN 'late' ELSE 'stale' END AS status, delay / 1000.0 AS delay_ms FROM (SELECT *, {_DELAY} AS delay FROM ev) WHERE delay > 3000000",
+    "stream_batch_ledger": "SELECT event_id, event_type AS symbol FROM ev WHERE event_id % 20 = 3",
 }
 _OWN = ("symbol_list_source", "base_symbol", "universe_signature", "outcome_status_join", "stream_move_states")
 _DEDUP = f"""WITH RECURSIVE {market.SQL}, hot AS (SELECT tick_id, us, symbol || '|' || k % 4 AS m FROM ticks),

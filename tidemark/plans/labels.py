@@ -243,7 +243,7 @@ def insert_if_absent(s: SparkSession, d: str) -> DataFrame:
 
 def dataset_regression_diff(s: SparkSession, d: str) -> DataFrame:
     a, b = _versions(s, d)
-    return ds.regression_diff(a.select("event_id", "n_trades"), b.select("event_id", "n_trades"))
+    return ds.regression_diff(a.select("event_id", "n_trades"), b.select("event_id", "n_trades"), ["event_id"])
 
 
 _RANK = """CASE r WHEN 'bad_invalid_book' THEN 0 WHEN 'bad_missing_quotes' THEN 1 WHEN 'bad_time_inconsistency' THEN 2 WHEN 'bad_stale_data' THEN 3 WHEN 'bad_sigma' THEN 4 WHEN 'bad_labeler_exception' THEN 5

@@ -103,11 +103,6 @@ def event_id_hash(s, d):
     return t.select("tick_id", qf.event_id_hash(F.col("symbol"), F.when(F.col("k") % 5 != 0, F.col("us").cast("string")), F.lit("v1")).alias("hash"))
 
 
-def constraint_violations(s, d):
-    rules = {"book_order": F.col("ask") >= F.col("bid"), "k_small": F.col("k") < 90, "bid_positive": F.col("bid") > 0}
-    return market.ticks(s, d).select("tick_id", F.array_join(qf.violations(rules), ",").alias("violated"))
-
-
 def attempt_sequence(s, d):
     from pyspark.sql import Window
 
@@ -214,7 +209,6 @@ ORACLES = {
     "feature_quality_mask": "SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN n_trades IS NULL THEN 'n_trades=missing_critical' END, CASE WHEN stage_pct IS NULL THEN 'stage_pct=missing_optional' END, CASE WHEN noise IS NULL THEN 'noise=missing_optional' END], lambda x: x IS NOT NULL)), ',') AS mask, CAST((n_trades IS NULL)::INT + (stage_pct IS NULL)::INT + (noise IS NULL)::INT AS INT) AS missing, n_trades IS NULL AS is_degraded FROM features",
     "signal_expand": "SELECT event_id, h AS horizon_min, us + h * 60000000::BIGINT AS due_us, 'pending' AS status FROM candidates, (VALUES (5), (15), (30), (60), (120)) v(h)",
     "event_id_hash": "SELECT tick_id, 'ev_' || substr(sha256(symbol || '|' || CASE WHEN k % 5 != 0 THEN CAST(us AS VARCHAR) ELSE 'none' END || '|v1'), 1, 32) AS hash FROM ticks",
-    "constraint_violations": "SELECT tick_id, array_to_string(list_filter([CASE WHEN NOT ask >= bid THEN 'book_order' END, CASE WHEN NOT k < 90 THEN 'k_small' END, CASE WHEN NOT bid > 0 THEN 'bid_positive' END], lambda x: x IS NOT NULL), ',') AS violated FROM ticks",
     "attempt_sequence": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS INT) AS attempt_n, greatest(0, (k - 10) * 100) AS duration_ms FROM ev",
     "cooldown_filter": f"""SELECT tick_id, symbol, us FROM c""",
     "ema": """SELECT tick_id, symbol, round(e1, 6) AS ema20, round(e2, 6) AS ema50 FROM (SELECT symbol, unnest(list(tick_id ORDER BY us, tick_id)) AS tick_id, unnest(list(price ORDER BY us, tick_id)) AS price, unnest(range(1, count(*) + 1)) AS rn FROM ticks GROUP BY symbol) JOIN e USING (symbol, rn)""",

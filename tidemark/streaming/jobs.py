@@ -35,6 +35,17 @@ def late_data(events: DataFrame, delay_us: Column, width: str, hard: str) -> Dat
     return told.select(F.unix_micros("window.start").alias("open_us"), "status", "n")
 
 
+def split_late(events: DataFrame, delay_us: Column) -> tuple[DataFrame, DataFrame]:
+    """(live, late) rows of a stream run over what there is, with status and delay_ms: what came too late to count is a table of its own, not a gap.
+
+    One stream writes both, by status, so each message is in exactly one, once, whatever is run again."""
+    told = events.withColumns({"status": delay_status(delay_us), "delay_ms": delay_us / 1000.0})
+    at = shared_path(events.sparkSession, "late")
+    told.writeStream.format("parquet").partitionBy("status").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    held = events.sparkSession.read.schema(told.schema).parquet(f"{at}/out")
+    return held.filter("status = 'live'"), held.filter("status <> 'live'")
+
+
 def alert_dedup(alerts: DataFrame, message: Column, within: str) -> DataFrame:
     """``alerts`` (ts, ...) without those whose message came before, for ``within`` after it: the batch form is ``cooldown_filter`` by message."""
     marked = alerts.withColumn("_message", F.md5(message)).withWatermark("ts", within)
