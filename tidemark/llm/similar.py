@@ -132,7 +132,7 @@ def _meetings(reach: int, bucket: int):
 def _candidates(star: bool, total: int, seeds: int, together: int):
     """Rows (list, node, n, comp, f0, f1, ...) sorted by list: (a, b) that may be similar by size and bits, with one node of the list, or else of different components.
 
-    Of a list that is too long for the latter, or has too many such pairs, the nodes that have any, each as (node, null, list)."""
+    Of a list that is too long for the latter, or has too many such pairs, the components that have any, each as (component, null, list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, n, comp, *fps in _whole_keys(batches):
@@ -142,7 +142,7 @@ def _candidates(star: bool, total: int, seeds: int, together: int):
                 if not star and (comp[lo:hi] == comp[lo]).all():
                     continue
                 if not star and hi - lo > together:
-                    dense.append(np.arange(lo, hi))
+                    dense.append((key[lo], np.unique(comp[lo:hi])))
                     continue
                 # lists of the same nodes have different hubs
                 hub = lo + int(key[lo]) % (hi - lo)
@@ -160,7 +160,7 @@ def _candidates(star: bool, total: int, seeds: int, together: int):
                     y_of.append(g[close])
                 f, g = np.concatenate(x_of), np.concatenate(y_of)
                 if not star and len(f) > PAIRS * (hi - lo):
-                    dense.append(np.unique(np.concatenate((f, g))))
+                    dense.append((key[lo], np.unique(comp[np.concatenate((f, g))])))
                 else:
                     a.append(node[f])
                     b.append(node[g])
@@ -169,8 +169,8 @@ def _candidates(star: bool, total: int, seeds: int, together: int):
                 pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["a", "b", "list"])
             if dense:
-                at = np.concatenate(dense)
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(key[at])], ["a", "b", "list"])
+                parts = np.concatenate([c for _, c in dense])
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.nulls(len(parts), pa.int64()), pa.array(np.repeat([k for k, _ in dense], [len(c) for _, c in dense]))], ["a", "b", "list"])
 
     return run
 
@@ -249,13 +249,13 @@ def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "similar-links")
 
 
-def _joined_in_blocks(dense: DataFrame, grouped, sets: DataFrame, parts: int, block: int) -> DataFrame:
-    """Links (a, b) between the members of lists (node, list) that are ``grouped`` apart: lists that share members are one group, and each block of those outside its largest component meets all of the group."""
+def _joined_in_blocks(dense: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, block: int) -> DataFrame:
+    """Links (a, b) between the ``nodes`` (node, comp) of components that lists (comp, list) hold: lists that share a component are one group, and each block of those outside its largest component meets all of the group."""
     if dense.isEmpty():
-        return dense.selectExpr("node AS a", "node AS b").limit(0)
-    lead = dense.groupBy("list").agg(F.min("node").alias("lead"))
-    whole = connected_components(dense.join(lead, "list").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    told = written(grouped(whole.withColumnRenamed("component", "group")), "similar-dense")
+        return dense.selectExpr("comp AS a", "comp AS b").limit(0)
+    lead = dense.groupBy("list").agg(F.min("comp").alias("lead"))
+    whole = connected_components(dense.join(lead, "list").select(F.col("comp").alias("a"), F.col("lead").alias("b")))
+    told = written(nodes.join(whole.select(F.col("node").alias("comp"), F.col("component").alias("group")), "comp").select("group", "comp", "node"), "similar-dense")
     largest = told.groupBy("group", "comp").count().groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
     small = told.join(largest, "group").filter("comp <> most")
     # blocks are numbered by a hash: their sizes are near BLOCK
@@ -326,7 +326,7 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
     lists = grouped(members.select("list", *own).union(shared.select("list", *own)).union(wide.join(by_fp, ["seed", "fp"]).select("list", *own)))
     more = written(listed(lists, False), "similar-more")
     some = more.filter("b is not null").select("a", "b").distinct().join(proposed, ["a", "b"], "left_anti")
-    links = links.union(_judged(some, sets)).union(_joined_in_blocks(more.filter("b is null").select(F.col("a").alias("node"), "list"), grouped, sets, parts, block))
+    links = links.union(_judged(some, sets)).union(_joined_in_blocks(more.filter("b is null").select(F.col("a").alias("comp"), "list"), grouped(sets.select("node")), sets, parts, block))
     groups = written(connected_components(links), "similar-groups")
     return copies.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
 
