@@ -6,12 +6,15 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import quotes as qf
 from tidemark.functions import records as rc
 from tidemark.operators import audit as au
+from tidemark.operators import dataset as ds
 from tidemark.operators import detect as dt
 from tidemark.operators import moves as mv
 from tidemark.operators import sinks as sk
 from tidemark.operators import universe as un
+from tidemark.operators import windows as wn
 from tidemark.sources import feeds
 from tidemark.streaming import jobs
 
@@ -190,3 +193,35 @@ def test_messages_once_in_a_while(spark, tmp_path):
     spark.createDataFrame(rows, "m string, t string").withColumn("ts", F.to_timestamp("t")).drop("t").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("m string, ts timestamp").parquet(f"{tmp_path}/in")
     assert sorted(r.m for r in jobs.run_available(jobs.alert_dedup(stream, F.col("m"), "5 seconds")).collect()) == ["a", "b"]
+
+
+def test_attempts_are_numbered_on(spark):
+    new = [("a", 50, 40, "ok", None, "m" * 501), ("a", 10, 2_000, "odd", "E" * 101, "m" * 500), ("b", 5, 5_005, None, "E" * 100, None)]
+    got = ds.numbered_attempts(spark.createDataFrame(new, "event_id string, started_us long, finished_us long, result_quality string, error_class string, error_message string"), spark.createDataFrame([("a", 3), ("a", 7), ("c", 9)], "event_id string, attempt_n int"))
+    got = {(r.event_id, r.attempt_n): r for r in got.collect()}
+    assert set(got) == {("a", 8), ("a", 9), ("b", 1)}
+    assert (got["a", 8].duration_ms, got["a", 8].result_quality, got["a", 8].error_class, len(got["a", 8].error_message)) == (1, None, "E" * 97 + "...", 500)
+    assert (got["a", 9].duration_ms, got["a", 9].error_message) == (0, "m" * 497 + "...") and (got["b", 1].duration_ms, got["b", 1].error_class) == (5, "E" * 100)
+
+
+def test_movers_pass_volume_move_and_bias(spark):
+    rows = [(1, "a", 0.5, 60_000.0, 40_000.0), (2, "b", -0.9, 60_000.0, 40_000.0), (3, "c", 5.0, 49_999.0, 49_000.0), (4, "d", 0.29, 60_000.0, 60_000.0), (5, "e", 2.0, 60_000.0, 30_000.0), (6, "f", 2.0, None, None), (7, "g", None, 60_000.0, 60_000.0), (8, "h", 0.9, 60_000.0, 50_000.0)]
+    got = wn.top_movers(spark.createDataFrame(rows, "tick_id long, symbol string, delta_pct double, vol_24h double, buy_vol double"), 2).collect()
+    assert [(r.tick_id, r.side) for r in got] == [(2, "DUMP"), (8, "PUMP")]
+
+
+def test_ids_have_iso_times(spark):
+
+    df = spark.createDataFrame([("S", "2024-01-01 00:00:11.172425", "2024-01-01 00:00:12"), ("S", None, "2024-01-01 00:00:12.5")], "s string, a string, b string").select("s", F.to_timestamp("a").alias("a"), F.to_timestamp("b").alias("b"))
+    got = [r.h for r in df.select(qf.candidate_id(F.col("s"), F.col("a"), F.col("b"), F.lit("v1"), F.lit("cfg")).alias("h")).collect()]
+    want = ["S|2024-01-01T00:00:11.172425+00:00|2024-01-01T00:00:12+00:00|v1|cfg", "S|none|2024-01-01T00:00:12.500000+00:00|v1|cfg"]
+    assert got == ["ev_" + hashlib.sha256(w.encode()).hexdigest()[:32] for w in want]
+
+
+def test_all_features_are_masked(spark):
+    names = (*qf.CRITICAL, *qf.OPTIONAL)
+    mask, missing, degraded = qf.feature_quality()
+    df = spark.createDataFrame([tuple([1.0] * 11), tuple([None] * 11), (*[1.0] * 3, *[None] * 8)], ", ".join(f"{n} double" for n in names)).select(mask.alias("m"), missing.alias("n"), degraded.alias("d"))
+    a, b, c = df.collect()
+    assert (a.m, a.n, a.d) == ({}, 0, False) and (b.n, b.d) == (11, True) and (c.n, c.d) == (8, False)
+    assert b.m["rel_vol"] == "missing_critical" and b.m["stage_pct"] == "missing_optional"

@@ -83,7 +83,27 @@ def test_rows_of_a_key_keep_their_state_over_batches(spark):
             seen.append(row.id)
             return (row.key, len(seen), seen[-2] if len(seen) > 1 else -1)
 
-        got = sorted(map(tuple, mv.in_order(df, "key", ["id"], list, step, "key long, n long, before long").collect()))
+        got = sorted(map(tuple, mv.in_order(df, "key", ["id"], lambda _: [], step, "key long, n long, before long").collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted((i % 3, i // 3 + 1, i - 3 if i >= 3 else -1) for i in range(100))
+
+
+def test_a_seed_sets_the_noise_that_a_symbol_begins_with(spark):
+    rnd, rows = random.Random(9), []
+    for i in range(200):
+        rows.append((i, "abc"[i % 3], i * 1000, 100 + rnd.gauss(0, 1)))
+    ticks = spark.createDataFrame(rows, "tick_id long, symbol string, us long, price double")
+    cut = 90_000
+    seeds = mv.noise_seed(ticks.filter("symbol <> 'c'"), cut, cut)
+    got = {r.tick_id: r for r in mv.move_states(ticks.filter(f"us > {cut}"), seeds=seeds).collect()}
+    held = {r.symbol: r for r in seeds.collect()}
+    assert set(held) == {"a", "b"}
+    for s in "abc":
+        m = mv.Move(noise=held[s].seed, last=held[s].seed_price, low=held[s].seed_price, low_us=held[s].seed_us) if s in held else mv.Move()
+        for i, symbol, us, price in rows:
+            if symbol == s and us > cut:
+                state = mv._step(m, mv.Tick(i, s, us, price), mv.MoveRules())
+                assert (got[i].state, got[i].noise) == (state[3], state[4])
+    # a seed below the floor is lifted to it
+    assert mv.seeded(spark.createDataFrame([(1e-9, 100.0, 5)], "seed double, seed_price double, seed_us long").first()).noise == 100.0 * mv.FLOOR

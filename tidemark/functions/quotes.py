@@ -68,6 +68,28 @@ def quality_mask(critical: list[str], optional: list[str]) -> Column:
     return F.map_from_entries(F.array_compact(F.array(*parts)))
 
 
+#: Features whose lack degrades an event, and those whose lack is only told.
+CRITICAL = ("delta_pct", "rel_vol", "confirm_ratio")
+OPTIONAL = ("stage_pct", "t_build_ms", "t_confirm_ms", "move_start_price", "n_trades", "utc_hour", "market_regime", "operator_window")
+
+
+def feature_quality(critical: tuple[str, ...] = CRITICAL, optional: tuple[str, ...] = OPTIONAL) -> tuple[Column, Column, Column]:
+    """(mask, number of missing features, whether the event is degraded)."""
+    missing = lambda names: sum((F.col(c).isNull().cast("int") for c in names), F.lit(0))
+    return quality_mask(list(critical), list(optional)), missing((*critical, *optional)), missing(critical) > 0
+
+
+def iso_utc(ts: Column) -> Column:
+    """A time as ISO text in UTC, with microseconds if it has any."""
+    us = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    return F.concat(F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.when(us > 0, F.concat(F.lit("."), F.lpad(us.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
+def candidate_id(symbol: Column, trigger: Column, confirm: Column, version: Column, config: Column) -> Column:
+    """The id of a candidate: a hash of symbol, times in ISO text, version and configuration hash; no trigger is the word none."""
+    return event_id_hash(symbol, iso_utc(trigger), iso_utc(confirm), version, config)
+
+
 def base_symbol(symbol: Column, quote: str = "USDT") -> Column:
     return F.lower(F.regexp_replace(symbol, f"{quote}$", ""))
 

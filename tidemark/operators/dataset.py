@@ -101,6 +101,25 @@ def retry_classify(labels: DataFrame, policy: DataFrame, now_us: Column) -> Data
     )
 
 
+def numbered_attempts(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Attempts (event_id, started_us, finished_us, result_quality, error_class, error_message) to store beside ``stored`` (event_id, attempt_n): numbered on from an event's last, in order of their start.
+
+    A clock that went back gives no duration; a quality that is none is null; a message of over 500 characters, and a class of over 100, is cut and ends in three dots.
+    Of attempts of one event that start at once, that which finishes first comes first. Only the largest number of each event that has a new attempt is looked up.
+    """
+    last = stored.join(new.select("event_id").distinct(), "event_id", "left_semi").groupBy("event_id").agg(F.max("attempt_n").alias("_last"))
+    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(F.col(c)).alias(c)
+    order = Window.partitionBy("event_id").orderBy("started_us", "finished_us", "error_class", "error_message")
+    numbered = new.join(last, "event_id", "left").withColumn("attempt_n", (F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).cast("int"))
+    quality = F.when(F.col("result_quality").isin("ok", "degraded", "bad"), F.col("result_quality")).alias("result_quality")
+    return numbered.select("event_id", "attempt_n", "started_us", F.greatest(F.lit(0).cast("long"), F.expr("(finished_us - started_us) div 1000")).alias("duration_ms"), quality, cut("error_class", 100), cut("error_message", 500))
+
+
+def oldest_pending(pending: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` events of ``pending_events`` that were confirmed first, ties by event_id."""
+    return pending.orderBy("us", "event_id").limit(n)
+
+
 def pending_events(events: DataFrame, labels: DataFrame, policy: DataFrame, now_us: int, maturity_us: int) -> DataFrame:
     """Mature events never labelled, or waiting for a retry that is due and left. An event at exactly max_retries is never taken, though its state still says retry_wait."""
     lab = labels.select("event_id", "worker_status", "is_retryable", "retry_count", "next_retry_us", "quality_reason_code", F.lit(True).alias("labelled"))

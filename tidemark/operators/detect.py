@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quotes import relative_volume
-from .moves import Move, MoveRules, in_order
+from .moves import in_order, Move, MoveRules, seeded, with_seeds
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ _OUT = (
 )
 
 
-def pump_fast_detect(ticks: DataFrame, flow: DataFrame, p: DetectParams = DetectParams(), rules: MoveRules | None = None) -> DataFrame:  # noqa: B008
+def pump_fast_detect(ticks: DataFrame, flow: DataFrame, p: DetectParams = DetectParams(), rules: MoveRules | None = None, seeds: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Candidates that were confirmed (kind alert; decision passed, or rejected with the reason of the entry gate) and, with ``near_miss``, rises while blocked.
 
     ``ticks`` (tick_id, symbol, us, price, vol_24h, blocked, watched, downtrend) has the gates of each tick: ``blocked`` by the
@@ -62,7 +62,7 @@ def pump_fast_detect(ticks: DataFrame, flow: DataFrame, p: DetectParams = Detect
     seen at all; those below the day's volume only move the price before. A rise in a downtrend is passed over. A rise opens
     a candidate or prolongs it; it is confirmed by a rise with enough trades on the buyers' side, if not within the cooldown
     of the last alert and with enough relative volume. Trades count by their time alone, whether or not the candidate was
-    open when they came, and a trigger price stays until a candidate is confirmed.
+    open when they came, and a trigger price stays until a candidate is confirmed. ``seeds``, as ``move_states`` takes them, set the noise that a symbol begins with.
     """
     r = rules or MoveRules(jump_pct=p.pump_pct)
 
@@ -113,4 +113,4 @@ def pump_fast_detect(ticks: DataFrame, flow: DataFrame, p: DetectParams = Detect
     seen = ticks.filter(F.coalesce("watched", F.lit(True)) & (F.col("price") > 0) & (F.lit(p.near_miss) | ~F.coalesce("blocked", F.lit(False))))
     rows = seen.join(flow.select("tick_id", F.col("n_trades").cast("double").alias("n_trades"), "buy_ratio", "quote_vol"), "tick_id", "left").withColumns({"rel_vol": rel, "rel_reason": reason})
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("blocked", "downtrend")}
-    return in_order(rows.withColumns(flags).drop("watched"), "symbol", ["us", "tick_id"], Watch, step, _OUT)
+    return in_order(with_seeds(rows.withColumns(flags).drop("watched"), seeds), "symbol", ["us", "tick_id"], lambda row: Watch(move=seeded(row)), step, _OUT)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 DECAY, FLOOR = 0.10, 0.0001
 
 
-def in_order(rows: DataFrame, key: str, order: list[str], begin: Callable[[], Any], step: Callable[[Any, Any], tuple | None], schema: str) -> DataFrame:
-    """``step(state, row)`` for the rows of each key in order; what it returns, unless None, is a row of the result."""
+def in_order(rows: DataFrame, key: str, order: list[str], begin: Callable[[Any], Any], step: Callable[[Any, Any], tuple | None], schema: str) -> DataFrame:
+    """``step(state, row)`` for the rows of each key in order, from ``begin`` of the key's first row on; what it returns, unless None, is a row of the result."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,7 +30,7 @@ def in_order(rows: DataFrame, key: str, order: list[str], begin: Callable[[], An
             for row in batch.itertuples(index=False):
                 k = getattr(row, key)
                 if state is None or k != at:
-                    at, state = k, begin()
+                    at, state = k, begin(row)
                 made = step(state, row)
                 if made is not None:
                     out.append(made)
@@ -40,19 +40,19 @@ def in_order(rows: DataFrame, key: str, order: list[str], begin: Callable[[], An
 
 
 def noise_seed(ticks: DataFrame, now_us: int, width_us: int, least: int = 15) -> DataFrame:
-    """(symbol, n, seed) from the moves other than zero in the window up to ``now_us``: their decayed mean from ``least`` of them on, else their median; never below the floor at the last price.
+    """(symbol, n, seed, seed_price, seed_us), the last two being the last tick's, from the moves other than zero in the window up to ``now_us``: their decayed mean from ``least`` of them on, else their median; never below the floor at the last price.
 
     The decayed mean is a sum of weights that fall with the rank from the end, so it needs no array of the moves.
     """
     o = Window.partitionBy("symbol").orderBy("us", "tick_id")
     recent = ticks.filter(F.col("us").between(now_us - width_us, now_us)).withColumn("move", F.abs(F.col("price") - F.lag("price").over(o)))
-    last = recent.groupBy("symbol").agg(F.max_by("price", F.struct("us", "tick_id")).alias("price"))
+    last = recent.groupBy("symbol").agg(F.max_by("price", F.struct("us", "tick_id")).alias("price"), F.max("us").alias("seed_us"))
     moves = recent.filter("move > 0").withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("us"), F.desc("tick_id"))) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     weight = F.pow(F.lit(1 - DECAY), F.col("back")) * F.when(F.col("back") == F.col("n") - 1, 1.0).otherwise(DECAY)
     seeds = moves.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("move") * weight).alias("decayed"), F.median("move").alias("middle"))
     floor = F.col("price") * FLOOR
     seed = F.when(F.col("n") >= least, F.col("decayed")).otherwise(F.col("middle"))
-    return last.join(seeds, "symbol", "left").select("symbol", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.greatest(F.coalesce(seed, floor), floor).alias("seed"))
+    return last.join(seeds, "symbol", "left").select("symbol", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.greatest(F.coalesce(seed, floor), floor).alias("seed"), F.col("price").alias("seed_price"), "seed_us")
 
 
 @dataclass(frozen=True)
@@ -142,17 +142,35 @@ def _step(m: Move, row, rules: MoveRules) -> tuple:
     return out
 
 
-def _priced(ticks: DataFrame) -> DataFrame:
-    return ticks.filter("price is not null and not isnan(price)").select("tick_id", "symbol", "us", "price")
+#: What a seed brings to a symbol's first row.
+SEED = ("seed", "seed_price", "seed_us")
 
 
-def move_states(ticks: DataFrame, rules: MoveRules = MoveRules()) -> DataFrame:  # noqa: B008
+def with_seeds(ticks: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """``ticks`` with the seed of their symbol, nulls without one. ``seeds`` has one row for each symbol."""
+    if seeds is None:
+        return ticks.withColumns({"seed": F.lit(None).cast("double"), "seed_price": F.lit(None).cast("double"), "seed_us": F.lit(None).cast("long")})
+    return ticks.join(seeds.select("symbol", *SEED), "symbol", "left")
+
+
+def seeded(row) -> Move:
+    """The move that a symbol begins with: at rest at the seed's price with its noise, which is never below the floor; without a seed one that its first price sets."""
+    if row.seed_price is None or row.seed_price != row.seed_price:
+        return Move()
+    floor = row.seed_price * FLOOR
+    noise = max(row.seed, floor) if row.seed is not None and row.seed > 0 else floor
+    return Move(noise=noise, last=row.seed_price, low=row.seed_price, low_us=int(row.seed_us))
+
+
+def move_states(ticks: DataFrame, rules: MoveRules = MoveRules(), seeds: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Each tick (tick_id, symbol, us, price) with the state after it, the move it belongs to, and why a move ended at it.
 
     A rise of ``jump_pct`` from the tick before triggers: a building move has then taken ``build_us``, one that was never
-    declared none (null). The next such rise confirms it and ends it as ``done``. Ticks without a price are left out.
+    declared none (null). The next such rise confirms it and ends it as ``done``. Ticks without a price are left out. ``seeds`` (symbol, seed,
+    seed_price, seed_us), as ``noise_seed`` makes them from ticks before these, set what a symbol begins with.
     """
-    return in_order(_priced(ticks), "symbol", ["us", "tick_id"], Move, lambda m, row: _step(m, row, rules), _STATES)
+    priced = ticks.filter("price is not null and not isnan(price)").select("tick_id", "symbol", "us", "price")
+    return in_order(with_seeds(priced, seeds), "symbol", ["us", "tick_id"], seeded, lambda m, row: _step(m, row, rules), _STATES)
 
 
 def stream_move_states(ticks: DataFrame, late: str, rules: MoveRules = MoveRules()) -> DataFrame:  # noqa: B008

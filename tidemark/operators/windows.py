@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quotes import buy_vol_ratio
 from .edges import DAY, with_neighbours
 from .spans import Trailing, extremes, medians, over_spans
 from .stage import staged
@@ -25,6 +26,13 @@ def price_delta_pct(ticks: DataFrame, *, block_us: int = 3 * DAY) -> DataFrame:
     return seen.select("tick_id", "symbol", "us", "price", F.when(F.col("prev") != 0, (F.col("price") - F.col("prev")) / F.col("prev") * 100).alias("delta_pct"))
 
 
+def top_movers(rows: DataFrame, n: int = 5, *, least_volume: float = 50_000.0, least_pct: float = 0.3, least_ratio: float = 0.55) -> DataFrame:
+    """The ``n`` largest moves, either way, of ``rows`` (tick_id, symbol, delta_pct, vol_24h, buy_vol) with enough volume of the day and buyers' share; ties by tick_id. A day without volume, or a null one, counts as none."""
+    share = buy_vol_ratio(F.coalesce("buy_vol", F.lit(0.0)), F.coalesce("vol_24h", F.lit(0.0)))
+    kept = rows.filter((F.coalesce("vol_24h", F.lit(0.0)) >= least_volume) & (F.abs("delta_pct") >= least_pct)).withColumn("buy_ratio", share).filter(F.col("buy_ratio") >= least_ratio)
+    return kept.orderBy(F.desc(F.abs("delta_pct")), "tick_id").limit(n).select("tick_id", "symbol", "delta_pct", "buy_ratio", F.when(F.col("delta_pct") > 0, "PUMP").otherwise("DUMP").alias("side"))
+
+
 def rolling_returns(ticks: DataFrame, widths: dict[str, int]) -> DataFrame:
     """(tick_id, and for each name the return from the first price of the trailing window); null with one price, or a first one of zero or less."""
 

@@ -253,9 +253,35 @@ def _flow_before(s, d) -> DataFrame:
     return found.select(F.col("of").alias("tick_id"), F.col("asof_n_trades").alias("n_trades"), F.col("asof_buy_ratio").alias("buy_ratio"), F.col("asof_quote_vol").alias("quote_vol"))
 
 
+_DETECTION = {"pump_pct": 2.0, "ttl_us": DAY, "cooldown_us": 12 * HOUR, "rel_volume": 1.0}
+
+
 def pump_fast_detect(s, d):
-    p = dt.DetectParams(pump_pct=2.0, ttl_us=DAY, cooldown_us=12 * HOUR, rel_volume=1.0, near_miss=True)
-    return rounded(dt.pump_fast_detect(_gated(s, d), _flow_before(s, d), p), 4)
+    """With the rises that were seen while blocked."""
+    return rounded(dt.pump_fast_detect(_gated(s, d), _flow_before(s, d), dt.DetectParams(**_DETECTION, near_miss=True)), 4)
+
+
+def pump_fast_alerts(s, d):
+    """As the detection runs by default: what is blocked is not seen."""
+    return rounded(dt.pump_fast_detect(_gated(s, d), _flow_before(s, d), dt.DetectParams(**_DETECTION)), 4)
+
+
+def _seeded_from(s, d) -> tuple[DataFrame, DataFrame]:
+    """Seeds from the first ten days, and the ticks after them."""
+    t = market.ticks(s, d)
+    begin = (t.agg(F.min("us")).first()[0] or 0) + 10 * DAY
+    return mv.noise_seed(t, begin, 5 * DAY), t.filter(F.col("us") > begin)
+
+
+def seeded_move_states(s, d):
+    seeds, ticks = _seeded_from(s, d)
+    return rounded(mv.move_states(ticks, seeds=seeds))
+
+
+def seeded_detection(s, d):
+    seeds, ticks = _seeded_from(s, d)
+    gated = _gated(s, d).join(ticks.select("tick_id"), "tick_id", "left_semi")
+    return rounded(dt.pump_fast_detect(gated, _flow_before(s, d), dt.DetectParams(**_DETECTION), seeds=seeds), 4)
 
 
 def stream_move_states(s, d):
@@ -386,6 +412,10 @@ ORACLES = {
     "universe_signature": f"WITH {listings.SQL}, {mk._REASONS} SELECT count(*)::BIGINT AS prefixes, sum(n)::BIGINT AS symbols, sha256(string_agg(h, ',' ORDER BY p)) AS signature FROM (SELECT substr(symbol, 1, 3) AS p, count(*) AS n, sha256(string_agg(symbol, ',' ORDER BY symbol)) AS h FROM judged WHERE reason = 'accepted' GROUP BY p)",
     "alert_dedup": "SELECT tick_id, us FROM c",
     "stream_idempotent_sink": "SELECT event_id, event_type AS symbol FROM ev WHERE event_id % 20 = 3",
+    # tested against a plain loop: the recursion from a seed has no SQL
+    "seeded_move_states": None,
+    "seeded_detection": None,
+    "pump_fast_alerts": None,
     "pump_fast_detect": """SELECT tick_id, symbol, us, kind, decision, reason AS rejection_reason, round(last, 4) AS price, round(delta, 4) AS delta_pct, round(o_trigger, 4) AS trigger_price, round(stage, 4) AS stage_pct, round(o_build / 1000.0, 4) AS build_ms, round(o_confirm / 1000.0, 4) AS confirm_ms,
       round(o_rel, 4) AS rel_vol, round(o_ratio, 4) AS confirm_ratio, o_n AS n_trades, round(nullif(o_start, 0), 4) AS move_start_price, round(nullif(o_peak, 0), 4) AS peak, round(nullif(o_noise, 0), 4) AS noise FROM m WHERE kind IS NOT NULL""",
     "stream_move_states": mk._MOVES + f"SELECT * FROM ({mk.ORACLES['move_state_machine']}) WHERE us < (SELECT max(us) FROM ticks) // 1000 * 1000 - {HOUR}",
@@ -429,4 +459,4 @@ def queries():
 
 def oracle_sql():
     found = {name: sql if name in _OWN else f"WITH {market.SQL} {sql}" for name, sql in ORACLES.items() if sql}
-    return found | {"pump_fast_detect": _DETECT + ORACLES["pump_fast_detect"], "alert_dedup": _DEDUP + ORACLES["alert_dedup"], "horizon_quality": lb._W + f"SELECT CAST(horizon_min AS INT) AS horizon_min, {lb._QUALITY.format('reason')} AS quality_flag, reason AS reason_code, count(*) AS n FROM hp GROUP BY ALL"}
+    return found | {"pump_fast_detect": _DETECT + ORACLES["pump_fast_detect"], "pump_fast_alerts": _DETECT.replace("WHERE t.symbol <> 'error')", "WHERE t.symbol <> 'error' AND (hour(ts) + 20) % 24 BETWEEN 8 AND 22)") + ORACLES["pump_fast_detect"], "alert_dedup": _DEDUP + ORACLES["alert_dedup"], "horizon_quality": lb._W + f"SELECT CAST(horizon_min AS INT) AS horizon_min, {lb._QUALITY.format('reason')} AS quality_flag, reason AS reason_code, count(*) AS n FROM hp GROUP BY ALL"}

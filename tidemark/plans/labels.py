@@ -207,17 +207,20 @@ def retry_classify(s: SparkSession, d: str) -> DataFrame:
     return ds.retry_classify(_state(s, d), ds.retry_policy(s), F.col("us"))
 
 
-def pending_events(s: SparkSession, d: str) -> DataFrame:
+def _pending(s: SparkSession, d: str) -> DataFrame:
     state = _state(s, d)
     got = ds.retry_classify(state, ds.retry_policy(s), F.col("us")).join(state.select("event_id", F.col("reason_code").alias("quality_reason_code"), "k"), "event_id").filter("k % 4 <> 0")
     e = market.candidates(s, d)
     now = e.agg(F.max("us")).first()[0] or 0
-    return ds.pending_events(e, got, ds.retry_policy(s), now, 24 * H).select("event_id", "symbol", "retry_count", "quality_reason_code")
+    return ds.pending_events(e, got, ds.retry_policy(s), now, 24 * H)
+
+
+def pending_events(s: SparkSession, d: str) -> DataFrame:
+    return _pending(s, d).select("event_id", "symbol", "retry_count", "quality_reason_code")
 
 
 def oldest_pending_topk(s: SparkSession, d: str) -> DataFrame:
-    state = market.candidates(s, d).join(market.features(s, d), "event_id", "left_anti")
-    return state.orderBy("us", "event_id").limit(50).select("event_id", "us")
+    return ds.oldest_pending(_pending(s, d)).select("event_id", "us", "retry_count", "quality_reason_code")
 
 
 def retry_health(s: SparkSession, d: str) -> DataFrame:
@@ -346,7 +349,8 @@ ORACLES = {
     "retry_classify": "SELECT * EXCLUDE (k, reason_code) FROM rcl",
     "pending_events": f"""SELECT c.event_id, c.symbol, coalesce(r.retry_count, 0) AS retry_count, r.reason_code AS quality_reason_code FROM candidates c LEFT JOIN (SELECT * FROM rcl WHERE k % 4 != 0) r USING (event_id) LEFT JOIN policy p ON p.reason_code = r.reason_code
         WHERE c.us < (SELECT max(us) FROM candidates) - {24 * H} AND (r.event_id IS NULL OR (worker_status = 'retry_wait' AND is_retryable AND next_retry_us <= (SELECT max(us) FROM candidates) AND r.retry_count < coalesce(max_retries, 0)))""",
-    "oldest_pending_topk": "SELECT event_id, us FROM candidates ANTI JOIN features USING (event_id) ORDER BY us, event_id LIMIT 50",
+    "oldest_pending_topk": f"""SELECT c.event_id, c.us, coalesce(r.retry_count, 0) AS retry_count, r.reason_code AS quality_reason_code FROM candidates c LEFT JOIN (SELECT * FROM rcl WHERE k % 4 != 0) r USING (event_id) LEFT JOIN policy p ON p.reason_code = r.reason_code
+        WHERE c.us < (SELECT max(us) FROM candidates) - {24 * H} AND (r.event_id IS NULL OR (worker_status = 'retry_wait' AND is_retryable AND next_retry_us <= (SELECT max(us) FROM candidates) AND r.retry_count < coalesce(max_retries, 0))) ORDER BY c.us, c.event_id LIMIT 50""",
     "retry_health": "SELECT worker_status, count(*) AS n, round(avg(retry_count), 6) AS avg_retries FROM rcl GROUP BY ALL",
     "upsert_latest": "SELECT event_id, CASE WHEN b.event_id IS NOT NULL THEN b.n_trades ELSE t.n_trades END AS n_trades, CASE WHEN t.event_id IS NULL THEN b.stage_pct ELSE t.stage_pct END AS stage_pct, CASE WHEN b.event_id IS NOT NULL THEN b.noise ELSE t.noise END AS noise FROM tgt t FULL JOIN bat b USING (event_id)",
     "insert_if_absent": "SELECT * FROM tgt UNION ALL SELECT * FROM bat ANTI JOIN tgt USING (event_id)",

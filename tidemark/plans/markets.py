@@ -95,7 +95,7 @@ def due_jobs_topk(s, d):
 
 
 def noise_seed(s, d):
-    return rounded(mv.noise_seed(market.ticks(s, d), _now(s, d), 5 * DAY))
+    return rounded(mv.noise_seed(market.ticks(s, d), _now(s, d), 5 * DAY).select("symbol", "n", "seed"))
 
 
 def downtrend(s, d):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quotes as qf
+from ..functions import records as rc
+from ..operators import dataset as ds
 from ..operators import rules as rl
 from ..operators import windows as wn
 from ..operators.cooldown import cooldown_filter as keep_distance
@@ -64,8 +66,11 @@ def volume_percentile(s, d):
 
 
 def top_movers(s, d):
-    moved = wn.price_delta_pct(market.ticks(s, d)).filter("delta_pct is not null")
-    return rounded(moved.orderBy(F.desc(F.abs("delta_pct")), "tick_id").limit(5).select("tick_id", "symbol", "delta_pct", F.when(F.col("delta_pct") > 0, "PUMP").otherwise("DUMP").alias("side")))
+    """The five largest moves; a tick's quantities stand for the volumes of the day, some of which are null or zero."""
+    t = market.ticks(s, d)
+    volume = F.when(F.col("k") % 11 != 0, (F.col("ask_qty") - 1) * 10_000)
+    told = wn.price_delta_pct(t).join(t.select("tick_id", volume.alias("vol_24h"), (F.col("bid_qty") * 5_000).alias("buy_vol")), "tick_id")
+    return rounded(wn.top_movers(told))
 
 
 def book_imbalance(s, d):
@@ -88,9 +93,11 @@ def outcome_pct(s, d):
 
 
 def feature_quality_mask(s, d):
-    mask = qf.quality_mask(["n_trades"], ["stage_pct", "noise"])
-    f = market.features(s, d).withColumn("mask", mask)
-    return f.select("event_id", F.array_join(F.array_sort(F.transform(F.map_entries("mask"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("mask"), F.size("mask").alias("missing"), F.col("n_trades").isNull().alias("is_degraded"))
+    """The mask of all features, each of which some ticks lack."""
+    lacking = {c: F.when(F.col("tick_id") % (7 + 2 * i) != i, F.lit(1.0)).alias(c) for i, c in enumerate((*qf.CRITICAL, *qf.OPTIONAL))}
+    mask, missing, degraded = qf.feature_quality()
+    f = market.ticks(s, d).select("tick_id", *lacking.values()).withColumns({"mask": mask, "missing": missing, "is_degraded": degraded})
+    return f.select("tick_id", F.array_join(F.array_sort(F.transform(F.map_entries("mask"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("mask"), "missing", "is_degraded")
 
 
 def signal_expand(s, d):
@@ -99,15 +106,23 @@ def signal_expand(s, d):
 
 
 def event_id_hash(s, d):
+    """Ids of all ticks taken as candidates; some have no trigger, some confirm on a whole second."""
     t = market.ticks(s, d)
-    return t.select("tick_id", qf.event_id_hash(F.col("symbol"), F.when(F.col("k") % 5 != 0, F.col("us").cast("string")), F.lit("v1")).alias("hash"))
+    confirm = F.when(F.col("k") % 7 == 0, F.date_trunc("second", "ts")).otherwise(F.col("ts"))
+    config = rc.config_hash(F.create_map(F.lit("k"), (F.col("k") % 3).cast("string")))
+    return t.select("tick_id", qf.candidate_id(F.col("symbol"), F.when(F.col("k") % 5 != 0, F.col("ts")), confirm, F.lit("v1"), config).alias("hash"))
 
 
 def attempt_sequence(s, d):
-    from pyspark.sql import Window
-
-    e = market.events(s, d)
-    return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")).alias("attempt_n"), F.greatest(F.lit(0), (F.col("k") - 10) * 100).alias("duration_ms"))
+    """Attempts to label a user's events: the older half of the table is stored, the others are numbered on."""
+    e = market.events(s, d).withColumn("owner", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    half = F.lit((e.agg(F.max("event_id")).first()[0] or 0) // 2)
+    stored = e.filter(F.col("event_id") < half).groupBy(F.col("owner").alias("event_id")).agg(F.count(F.lit(1)).alias("attempt_n"))
+    word = lambda n, x: F.when(F.col("k") % n == 0, F.concat(F.lit(x), F.repeat(F.lit("x"), F.col("k") * 7)))
+    new = e.filter(F.col("event_id") >= half).select(
+        F.col("owner").alias("event_id"), F.col("us").alias("started_us"), (F.col("us") + (F.col("k") - 10) * 100_000).alias("finished_us"), F.when(F.col("k") % 4 == 0, "ok").when(F.col("k") % 4 == 1, "bad").otherwise("who_knows").alias("result_quality"), word(2, "E").alias("error_class"), word(3, "m").alias("error_message")
+    )
+    return ds.numbered_attempts(new, stored)
 
 
 def cooldown_filter(s, d):
@@ -120,7 +135,7 @@ def ema(s, d):
 
 
 def rule_breakout(s, d):
-    up, down = {"buffer_pct": 0.2, "vol_mult": 1.0, "ema_confirm": 1.0, "min_notional": 500.0}, {"buffer_pct": 0.1, "vol_mult": 1.2, "ema_confirm": 0.0, "min_notional": 800.0}
+    up, down = {"buffer_pct": 0.2, "vol_mult": 1.0, "ema_confirm": 1.0, "min_notional": 500.0}, {"buffer_pct": 0.0, "vol_mult": 0.5, "ema_confirm": 0.0, "min_notional": 300.0}
     return rounded(rl.rule_breakout(wn.bars(market.ticks(s, d), "1 hour"), up, down), 4)
 
 
@@ -201,19 +216,26 @@ ORACLES = {
         ASOF JOIN ticks t ON t.symbol = g.symbol AND t.us <= g.grid_us) WHERE grid_us - us <= {6 * HOUR}""",
     "state_transitions": f"""SELECT symbol, tick_id, state, prev FROM (SELECT *, lag(state) OVER {_ORDER} AS prev, row_number() OVER {_ORDER} AS rn FROM (SELECT *, CASE WHEN bid IS NULL THEN NULL WHEN price >= 105 THEN 'hot' ELSE 'cold' END AS state FROM ticks)) WHERE rn = 1 OR state IS DISTINCT FROM prev""",
     "volume_percentile": "SELECT round(v, 6) AS cutoff, n FROM (SELECT price * qty AS v, row_number() OVER (ORDER BY price * qty) AS r, count(*) OVER () AS n FROM trades) WHERE r = greatest(1, floor(n * 30 / 100))",
-    "top_movers": f"SELECT tick_id, symbol, round(delta_pct, 6) AS delta_pct, CASE WHEN delta_pct > 0 THEN 'PUMP' ELSE 'DUMP' END AS side FROM ({_DELTA}) WHERE delta_pct IS NOT NULL ORDER BY abs(delta_pct) DESC, tick_id LIMIT 5",
+    "top_movers": f"""SELECT tick_id, symbol, round(delta_pct, 6) AS delta_pct, round(ratio, 6) AS buy_ratio, CASE WHEN delta_pct > 0 THEN 'PUMP' ELSE 'DUMP' END AS side FROM (
+        SELECT *, CASE WHEN vol > 0 THEN buy / vol ELSE 0.5 END AS ratio FROM ({_DELTA}) JOIN (SELECT tick_id, CASE WHEN k % 11 != 0 THEN (ask_qty - 1) * 10000 ELSE 0 END AS vol, bid_qty * 5000 AS buy FROM ticks) USING (tick_id))
+      WHERE vol >= 50000 AND abs(delta_pct) >= 0.3 AND ratio >= 0.55 ORDER BY abs(delta_pct) DESC, tick_id LIMIT 5""",
     "book_imbalance": "SELECT tick_id, round((bid_qty - ask_qty) / (bid_qty + ask_qty), 6) AS imbalance FROM ticks",
     "relative_volume": "SELECT tick_id, CASE WHEN now IS NOT NULL AND day IS NOT NULL THEN round(now / (day / 2880), 6) END AS rel, CASE WHEN now IS NULL THEN 'no_vol_now' WHEN day IS NULL THEN 'no_base' WHEN now / (day / 2880) < 1 THEN 'low_rel_volume' ELSE 'ok' END AS reason FROM (SELECT tick_id, CASE WHEN k % 6 != 0 THEN bid_qty * 10 END AS now, CASE WHEN k % 7 != 0 THEN ask_qty * 20000 END AS day FROM ticks)",
     "entry_gate": "SELECT tick_id, CASE WHEN k % 9 != 0 THEN round((price * (1 + (k % 90) / 1000.0::DOUBLE) - price) / price * 100, 3) END AS stage_pct, CASE WHEN k % 9 = 0 THEN 'invalid_confirm_price' WHEN round((price * (1 + (k % 90) / 1000.0::DOUBLE) - price) / price * 100, 3) > 4 THEN 'late_entry' END AS reason FROM ticks",
     "outcome_pct": "SELECT tick_id, round((ask - bid) / bid * 100, 6) AS pct FROM ticks",
-    "feature_quality_mask": "SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN n_trades IS NULL THEN 'n_trades=missing_critical' END, CASE WHEN stage_pct IS NULL THEN 'stage_pct=missing_optional' END, CASE WHEN noise IS NULL THEN 'noise=missing_optional' END], lambda x: x IS NOT NULL)), ',') AS mask, CAST((n_trades IS NULL)::INT + (stage_pct IS NULL)::INT + (noise IS NULL)::INT AS INT) AS missing, n_trades IS NULL AS is_degraded FROM features",
+    "feature_quality_mask": "SELECT tick_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN tick_id % {7 + 2 * i} = {i} THEN '{c}=missing_{'critical' if i < 3 else 'optional'}' END" for i, c in enumerate((*qf.CRITICAL, *qf.OPTIONAL))) + "], lambda x: x IS NOT NULL)), ',') AS mask, "
+    + " + ".join(f"(tick_id % {7 + 2 * i} = {i})::INT" for i in range(11)) + " AS missing, tick_id % 7 = 0 OR tick_id % 9 = 1 OR tick_id % 11 = 2 AS is_degraded FROM ticks",
     "signal_expand": "SELECT event_id, h AS horizon_min, us + h * 60000000::BIGINT AS due_us, 'pending' AS status FROM candidates, (VALUES (5), (15), (30), (60), (120)) v(h)",
-    "event_id_hash": "SELECT tick_id, 'ev_' || substr(sha256(symbol || '|' || CASE WHEN k % 5 != 0 THEN CAST(us AS VARCHAR) ELSE 'none' END || '|v1'), 1, 32) AS hash FROM ticks",
-    "attempt_sequence": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS INT) AS attempt_n, greatest(0, (k - 10) * 100) AS duration_ms FROM ev",
+    "event_id_hash": """SELECT tick_id, 'ev_' || substr(sha256(symbol || '|' || CASE WHEN k % 5 != 0 THEN iso ELSE 'none' END || '|' || CASE WHEN k % 7 = 0 OR us % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' ELSE iso END || '|v1|' || substr(sha256('{"k": ' || k % 3 || '}'), 1, 16)), 1, 32) AS hash
+        FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 > 0 THEN '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS iso FROM ticks)""",
+    "attempt_sequence": """SELECT e.event_id, CAST(coalesce(n, 0) + row_number() OVER (PARTITION BY e.event_id ORDER BY us, id) AS INT) AS attempt_n, us AS started_us, greatest(0, (k - 10) * 100)::BIGINT AS duration_ms, CASE k % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'bad' END AS result_quality,
+        CASE WHEN k % 2 = 0 THEN CASE WHEN k * 7 + 1 > 100 THEN 'E' || repeat('x', 96) || '...' ELSE 'E' || repeat('x', k * 7) END END AS error_class,
+        CASE WHEN k % 3 = 0 THEN CASE WHEN k * 7 + 1 > 500 THEN 'm' || repeat('x', 496) || '...' ELSE 'm' || repeat('x', k * 7) END END AS error_message
+      FROM (SELECT 'u' || user_id AS event_id, event_id AS id, us, k FROM ev WHERE event_id >= (SELECT max(event_id) // 2 FROM ev)) e LEFT JOIN (SELECT 'u' || user_id AS event_id, count(*) AS n FROM ev WHERE event_id < (SELECT max(event_id) // 2 FROM ev) GROUP BY ALL) USING (event_id)""",
     "cooldown_filter": f"""SELECT tick_id, symbol, us FROM c""",
     "ema": """SELECT tick_id, symbol, round(e1, 6) AS ema20, round(e2, 6) AS ema50 FROM (SELECT symbol, unnest(list(tick_id ORDER BY us, tick_id)) AS tick_id, unnest(list(price ORDER BY us, tick_id)) AS price, unnest(range(1, count(*) + 1)) AS rn FROM ticks GROUP BY symbol) JOIN e USING (symbol, rn)""",
     "rule_breakout": """SELECT symbol, open_us, rule, round(CASE WHEN rule = 'bo_up' THEN hi ELSE lo END, 4) AS level, round(e1, 4) AS ema FROM (SELECT *,
-        CASE WHEN c > hi * 1.002::DOUBLE AND c > e1 AND v >= m AND notional >= 500 THEN 'bo_up' WHEN c < lo * 0.999::DOUBLE AND v >= 1.2 * m AND notional >= 800 THEN 'bo_dn' END AS rule
+        CASE WHEN c > hi * 1.002::DOUBLE AND c > e1 AND v >= m AND notional >= 500 THEN 'bo_up' WHEN c < lo AND v >= 0.5 * m AND notional >= 300 THEN 'bo_dn' END AS rule
         FROM (SELECT *, CASE WHEN med = 0 THEN 1 ELSE med END AS m, v * (h + l + c) / 3 AS notional FROM b JOIN e USING (symbol, rn))) WHERE rn >= 37 AND rule IS NOT NULL""",
     "rule_ema_cross": f"""SELECT symbol, open_us, rule, round(e1, 4) AS ema_fast, round(e2, 4) AS ema_slow FROM (SELECT *, CASE WHEN before <= 0 AND e1 > e2 THEN 'cross_up' WHEN before >= 0 AND e1 < e2 THEN 'cross_dn' END AS rule
         FROM (SELECT *, lag(e1 - e2) OVER (PARTITION BY symbol ORDER BY rn) AS before FROM b JOIN e USING (symbol, rn))) WHERE rn >= 37 AND rule IS NOT NULL AND v >= CASE WHEN med = 0 THEN 1 ELSE med END AND v * (h + l + c) / 3 >= 2000""",
