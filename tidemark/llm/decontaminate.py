@@ -260,12 +260,12 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, window: int =
     """(doc_id, n_words, spans, items) of each row of ``docs`` (doc_id, text): merged word spans that occurrences of
     benchmark windows cover, and the item_ids with an occurring window, as sorted strings.
 
-    Null or empty texts have no words and no spans; repeated documents and items count for themselves; an item with a
+    Null or empty texts have no words and no spans; repeated documents count for themselves; a repeated item counts once, and one with a
     null id has an empty name. Other columns are left out. The benchmark goes to the executors in passes of at most
     ``pass_chars`` characters (or one item); with more than one pass, spans are merged by document and text.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-chars // pass_chars))
     schema = f"doc_id long, n_words long, spans {SPANS}, items array<string>"
