@@ -318,7 +318,7 @@ def fingerprint_links(fps: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     small = keyed.join(large, "key", "left_anti") if some_large else keyed
     pairs = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_buckets(radius), "a long, b long")
     if some_large:
-        middles = keyed.join(large, "key", "left_semi").select("fp").distinct().mapInArrow(_emit_middles(radius), "middle long, fp long")
+        middles = written(keyed.join(large, "key", "left_semi").select("fp").distinct().mapInArrow(_emit_middles(radius), "middle long, fp long"), "middles")
         hub = middles.groupBy("middle").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("middle", "a")
         pairs = pairs.union(middles.join(hub, "middle").filter("fp <> a").select("a", F.col("fp").alias("b")))
     return pairs.distinct()
