@@ -19,11 +19,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.op2_language(spark, table(spark, sf_dir, "documents"))
+    return kept_only(spark, lambda: langid.op2_language(spark, table(spark, sf_dir, "documents")), "op2_language")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.op3_query(spark, sf_dir)
+    return kept_only(spark, lambda: decontaminate.op3_query(spark, sf_dir), "op3_decontaminate")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.op7_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kept_only(spark, lambda: quality.op7_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "op7_quality")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
