@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .edges import with_neighbours
 from .spans import Trailing, over_spans
+from .timejoin import asof_unbounded
 from .windows import realised
 
 
@@ -172,6 +173,21 @@ def regime_scores(facts: DataFrame, width_us: int) -> DataFrame:
     return told.select(*facts.columns, *made_)
 
 
+#: What an event takes over from the snapshot that it falls under, beside the lag between them.
+AT_EVENT = ("snapshot_us", "feature_us", "source_lag_ms", "health_status", "worker_status", *(f"{n}_score" for n in SCORES), "stress_state", "trend_state")
+
+
+def regime_at(events: DataFrame, snapshots: DataFrame, *, bucket_us: int, joinable: bool = True) -> DataFrame:
+    """Each event (event_id, us) with the newest snapshot not after it: AT_EVENT and join_lag_ms, nulls where there is none; no event is dropped.
+
+    ``snapshots`` has AT_EVENT, ``joinable`` and ``observable``; of these flags the first must hold, or with ``joinable`` off the second. Of snapshots
+    with one feature time the one taken last counts. There is no symbol to join by, so both sides meet by time buckets.
+    """
+    good = snapshots.filter("joinable" if joinable else "observable").select(F.col("feature_us").alias("us"), *AT_EVENT)
+    found = asof_unbounded(events.select("event_id", F.col("us").alias("_at")), good, "_at", key="event_id", value=list(AT_EVENT), bucket_us=bucket_us, tie="snapshot_us")
+    return found.select("event_id", *AT_EVENT, (F.col("asof_lag_us") / 1000.0).alias("join_lag_ms"))
+
+
 def tag(score: Column, low: float, high: float, names: tuple[str, str, str], stale: Column) -> Column:
     """Low, middle or high by thresholds; null where the snapshot is stale or has no score."""
     return F.when(stale | score.isNull(), None).when(score >= high, names[2]).when(score < low, names[0]).otherwise(names[1])

@@ -11,7 +11,7 @@ from ..functions import quotes as qf
 from ..operators import dataset as ds
 from ..operators import labels as lb
 from ..operators.stage import staged
-from ..operators.timejoin import asof, asof_unbounded
+from ..operators.timejoin import asof
 from ..sources import market
 
 P = lb.FIXTURE
@@ -185,17 +185,6 @@ def asof_forward(s: SparkSession, d: str) -> DataFrame:
     return rounded(asof(e, market.ticks(s, d), "target", H // 2, key="event_id", value=["price"], forward=True).select("event_id", "asof_price", "asof_lag_us"))
 
 
-def _snapshots(s, d):
-    t = market.ticks(s, d).filter("symbol = 'view'")
-    return t.select("us", "k", (F.col("k") % 3 != 0).alias("joinable"))
-
-
-def pit_regime_join(s: SparkSession, d: str) -> DataFrame:
-    e = market.candidates(s, d).select("event_id", "us")
-    out = asof_unbounded(e.withColumnRenamed("us", "t"), _snapshots(s, d).filter("joinable"), "t", key="event_id", value=["k"], bucket_us=6 * H)
-    return out.select("event_id", "k", (F.col("asof_lag_us") / 1000.0).alias("join_lag_ms"))
-
-
 def _state(s, d):
     e = market.candidates(s, d).join(market.events(s, d).select(F.concat(F.lit("ev_"), F.col("event_id").cast("string")).alias("event_id"), "k"), "event_id")
     k = F.col("k")
@@ -345,7 +334,6 @@ ORACLES = {
     "dup_check": "SELECT count(*) AS n, count(DISTINCT event_id) AS ids, (SELECT count(*) FROM labels) AS labelled, count(*) - count(DISTINCT event_id) AS duplicates FROM clean",
     "asof_backward": _ASOF.format(arg="arg_max", lag=f"c.us + {H} - max(t.us)", low="c.us", high=f"c.us + {H}"),
     "asof_forward": _ASOF.format(arg="arg_min", lag=f"min(t.us) - (c.us + {H})", low=f"c.us + {H}", high=f"c.us + {H + H // 2}"),
-    "pit_regime_join": "SELECT c.event_id, arg_max(t.k, t.us) AS k, (c.us - max(t.us)) / 1000.0 AS join_lag_ms FROM candidates c LEFT JOIN ticks t ON t.symbol = 'view' AND t.k % 3 != 0 AND t.us <= c.us GROUP BY c.event_id, c.us",
     "retry_classify": "SELECT * EXCLUDE (k, reason_code) FROM rcl",
     "pending_events": f"""SELECT c.event_id, c.symbol, coalesce(r.retry_count, 0) AS retry_count, r.reason_code AS quality_reason_code FROM candidates c LEFT JOIN (SELECT * FROM rcl WHERE k % 4 != 0) r USING (event_id) LEFT JOIN policy p ON p.reason_code = r.reason_code
         WHERE c.us < (SELECT max(us) FROM candidates) - {24 * H} AND (r.event_id IS NULL OR (worker_status = 'retry_wait' AND is_retryable AND next_retry_us <= (SELECT max(us) FROM candidates) AND r.retry_count < coalesce(max_retries, 0)))""",

@@ -64,6 +64,17 @@ def regime_health(s, d):
     return _healthy(s, d).select("tick_id", "freshness", "completeness", "validity", "health", "missing", "reasons")
 
 
+def pit_regime_join(s, d):
+    """Every candidate with the snapshot of one symbol, the market's, that it falls under."""
+    worker = F.when(F.col("health") == "fresh", "live").when(F.col("health") == "degraded", "degraded").otherwise("stalled")
+    told = _healthy(s, d).filter("symbol = 'view'").withColumns({f"{n}_tag": c for n, c in rg.regime_tags(F.col("health") == "stale").items()})
+    snapshots = told.select(
+        (F.col("us") + 2_000_000).alias("snapshot_us"), F.col("us").alias("feature_us"), (F.col("book_lag") / 1000.0).alias("source_lag_ms"), F.col("health").alias("health_status"), worker.alias("worker_status"),
+        *(f"{n}_score" for n in rg.SCORES), F.col("stress_tag").alias("stress_state"), F.col("trend_tag").alias("trend_state"), "joinable", "observable",
+    )
+    return rounded(rg.regime_at(market.candidates(s, d), snapshots, bucket_us=6 * HOUR), 4, NUDGE)
+
+
 def latest_scores(s, d):
     """The newest snapshot of each symbol."""
     t = regime_snapshots(s, d)
@@ -177,6 +188,10 @@ ORACLES = {
     "spread_dynamics": _FACTS + "SELECT tick_id, round(stability, 6) AS stability, round(recovery, 6) AS recovery FROM sp",
     "regime_scores": _SCORED + f"SELECT tick_id, {_ROUNDED} FROM scored",
     "regime_snapshots": _SNAPSHOTS + f"SELECT tick_id, symbol, us, {_ROUNDED}, {_TAGS}, freshness, completeness, validity, health, validity != 'invalid' AS observable, health != 'stale' AND validity = 'valid' AS joinable, missing, reasons FROM healthy",
+    "pit_regime_join": _SNAPSHOTS
+    + "SELECT c.event_id, s.us + 2000000 AS snapshot_us, s.us AS feature_us, round(book_lag / 1000.0::DOUBLE + 1e-9, 4) AS source_lag_ms, health AS health_status, CASE health WHEN 'fresh' THEN 'live' WHEN 'degraded' THEN 'degraded' WHEN 'stale' THEN 'stalled' END AS worker_status, "
+    + ", ".join(f"round({n}_score + {NUDGE}, 4) AS {n}_score" for n in _PARTS)
+    + f", stress_tag AS stress_state, trend_tag AS trend_state, round((c.us - s.us) / 1000.0::DOUBLE + 1e-9, 4) AS join_lag_ms FROM candidates c ASOF LEFT JOIN (SELECT *, {_TAGS} FROM healthy WHERE symbol = 'view' AND health != 'stale' AND validity = 'valid') s ON s.us <= c.us",
     "latest_scores": _SNAPSHOTS + "SELECT symbol, us, " + ", ".join(f"round({n}_score + {NUDGE}, 4) AS {n}_score" for n in _PARTS) + ", health FROM healthy QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY us DESC, tick_id DESC) = 1",
     "regime_tags": _SNAPSHOTS + f"SELECT tick_id, {_TAGS} FROM healthy",
     "regime_health": _SNAPSHOTS + "SELECT tick_id, freshness, completeness, validity, health, missing, reasons FROM healthy",
