@@ -12,6 +12,7 @@ from tidemark.operators import audit as au
 from tidemark.operators import dataset as ds
 from tidemark.operators import detect as dt
 from tidemark.operators import moves as mv
+from tidemark.operators import outcomes as oc
 from tidemark.operators import sinks as sk
 from tidemark.operators import universe as un
 from tidemark.operators import windows as wn
@@ -225,3 +226,29 @@ def test_all_features_are_masked(spark):
     a, b, c = df.collect()
     assert (a.m, a.n, a.d) == ({}, 0, False) and (b.n, b.d) == (11, True) and (c.n, c.d) == (8, False)
     assert b.m["rel_vol"] == "missing_critical" and b.m["stage_pct"] == "missing_optional"
+
+
+def test_outcomes_of_streams_are_those_of_the_batch(spark, tmp_path):
+    """Jobs and ticks come shuffled over batches; what comes last is far ahead and closes all that is open."""
+    rnd, S = random.Random(6), 1_000_000
+    ticks = [(i, rnd.choice("ab"), i * 60 * S + rnd.randrange(S), 100 + rnd.gauss(0, 1)) for i in range(300)]
+    due = [(f"j{i}", rnd.choice("abc"), rnd.randrange(18_000) * S, 100.0) for i in range(80)]
+    stamp = lambda rows, schema, of, to: spark.createDataFrame(rows, schema).withColumn(to, F.timestamp_micros(of)).coalesce(1)
+    tick, job = "tick_id long, symbol string, us long, price double", "job_id string, symbol string, due_us long, start_price double"
+    for name, rows, schema, of, to in (("t", ticks, tick, "us", "ts"), ("j", due, job, "due_us", "due_ts")):
+        mixed = sorted(rows, key=lambda r: r[2] + rnd.uniform(-250, 250) * S)
+        for k in range(4):
+            stamp(mixed[k * len(mixed) // 4 : (k + 1) * len(mixed) // 4], schema, of, to).write.parquet(f"{tmp_path}/{name}/{k}")
+            time.sleep(0.02)
+        far = (999, "z", 10**6 * S, 1.0) if name == "t" else ("end", "z", 10**6 * S, 1.0)
+        stamp([far], schema, of, to).write.parquet(f"{tmp_path}/{name}/end")
+    read = lambda name, schema, to: spark.readStream.schema(f"{schema}, {to} timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}")
+    got = {r.job_id: r for r in jobs.run_available(jobs.stream_outcomes(read("j", job, "due_ts"), read("t", tick, "ts"), back="90 seconds", forward="200 seconds", late_s=600)).collect()}
+    bars = spark.createDataFrame([], "symbol string, open_us long, c double")
+    want = {r.job_id: r for r in oc.resolved(spark.createDataFrame(due, job), spark.createDataFrame(ticks, tick), bars, back_us=90 * S, forward_us=200 * S).collect()}
+    assert set(got) == set(want) and {"done", "error"} == {r.next_status for r in got.values()}
+    for i, w in want.items():
+        assert tuple(got[i][c] for c in ("asof_price", "asof_pct", "asof_status", "next_price", "next_pct", "next_status")) == tuple(w[c] for c in ("asof_price", "asof_pct", "asof_status", "next_price", "next_pct", "next_status"))
+        assert got[i].attempts == (3 if "error" in (w.asof_status, w.next_status) else 1)
+    with pytest.raises(ValueError):
+        jobs.stream_outcomes(read("j", job, "due_ts"), read("t", tick, "ts"), back="1 second", forward="1 second", late_s=179)

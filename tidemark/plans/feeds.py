@@ -341,6 +341,14 @@ def late_side_table(s, d):
     return late.select("event_id", "status", "delay_ms")
 
 
+def stream_outcomes(s, d):
+    """Outcomes of candidates five hours on, as streams of jobs and ticks meet; some symbols' ticks are few, so that some jobs find none."""
+    e = jobs.event_stream(s, d)
+    due = e.filter("event_id % 20 = 3").select(F.concat(F.lit("job_"), F.col("event_id").cast("string")).alias("job_id"), F.col("event_type").alias("symbol"), (F.col("ts") + F.expr("interval 5 hours")).alias("due_ts"), F.col("price").alias("start_price"))
+    ticks = e.select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("symbol"), "ts", "price").filter("symbol <> 'error' or tick_id % 7 = 0")
+    return rounded(jobs.run_available(jobs.stream_outcomes(due, ticks, back="30 minutes", forward="2 hours", late_s=3600)))
+
+
 def stream_batch_ledger(s, d):
     """Candidates of the stream, each batch of which comes twice, once after a writer that died, in a table that is never read to write it."""
     ledger = sk.BatchLedger(s, shared_path(s, "ledger"))
@@ -422,6 +430,10 @@ ORACLES = {
     **{q: _violated_sql(t) for q, t in (("constraint_violations", "regime"), ("label_violations", "label"), ("markout_violations", "markout"))},
     "quarantine": _quarantine_sql(),
     "late_side_table": f"SELECT event_id, CASE WHEN delay <= 15000000 THEN 'late' ELSE 'stale' END AS status, delay / 1000.0 AS delay_ms FROM (SELECT *, {_DELAY} AS delay FROM ev) WHERE delay > 3000000",
+    "stream_outcomes": f"""SELECT job_id, round(a, 6) AS asof_price, round((a - p) / p * 100, 6) AS asof_pct, CASE WHEN a IS NULL THEN 'error' ELSE 'done' END AS asof_status, round(n, 6) AS next_price, round((n - p) / p * 100, 6) AS next_pct, CASE WHEN n IS NULL THEN 'error' ELSE 'done' END AS next_status, CASE WHEN a IS NULL OR n IS NULL THEN 3 ELSE 1 END AS attempts
+      FROM (SELECT j.job_id, j.p, arg_max(t.price, t.us) FILTER (t.us <= j.due) AS a, arg_min(t.price, t.us) FILTER (t.us >= j.due) AS n
+        FROM (SELECT 'job_' || tick_id AS job_id, symbol, price AS p, us + {5 * HOUR} AS due FROM ticks WHERE tick_id % 20 = 3) j LEFT JOIN ticks t ON t.symbol = j.symbol AND (t.symbol <> 'error' OR t.tick_id % 7 = 0) AND t.us BETWEEN j.due - {HOUR // 2} AND j.due + {2 * HOUR}
+        WHERE j.due // {HOUR} * {HOUR} + {HOUR} <= (SELECT max(us) FROM ticks WHERE symbol <> 'error' OR tick_id % 7 = 0) // 1000 * 1000 - {3 * HOUR} GROUP BY ALL)""",
     "stream_batch_ledger": "SELECT event_id, event_type AS symbol FROM ev WHERE event_id % 20 = 3",
 }
 _OWN = ("symbol_list_source", "base_symbol", "universe_signature", "outcome_status_join", "stream_move_states")

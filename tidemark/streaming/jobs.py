@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quotes import outcome_pct
 from ..operators.audit import delay_status
 from ..operators.stage import shared_path
 
@@ -65,6 +66,28 @@ def stream_trade_flow(events: DataFrame, width: str, slide: str, late: str, leas
     return flow.select("symbol", F.unix_micros("window.start").alias("open_us"), "n", r.alias("buy_ratio"), ((F.col("n") >= least) & (r >= ratio)).alias("confirmed"))
 
 
+#: Attempts that an outcome has, and the seconds between them, more each time: it is an error after the last.
+ATTEMPTS, BACKOFF_S = 3, 60
+
+
+def stream_outcomes(due: DataFrame, ticks: DataFrame, *, back: str, forward: str, late_s: int, width: str = "1 hour") -> DataFrame:
+    """Outcomes of a stream of jobs (job_id, symbol, due_ts, start_price) from a stream of ticks (tick_id, symbol, ts, price): the last price within ``back`` before the due time and the first within ``forward`` after it.
+
+    Both streams may come ``late_s`` seconds late. Each job meets the ticks of its interval as either comes, and is told once, when no more can come: a side without
+    a tick is an error then, its attempts being used up, for ``late_s`` is no less than all delays between them. Jobs still open when the stream ends are not in the result.
+    The batch form is ``resolved`` with ticks alone.
+    """
+    if late_s < BACKOFF_S * sum(range(ATTEMPTS)):
+        raise ValueError("an outcome is told before its last attempt")
+    late = f"{late_s} seconds"
+    t = ticks.select(F.col("tick_id").alias("t_id"), F.col("symbol").alias("t_symbol"), F.col("ts").alias("t_ts"), F.col("price").alias("t_price")).withWatermark("t_ts", late)
+    met = due.withWatermark("due_ts", late).join(t, F.expr(f"symbol = t_symbol AND t_ts >= due_ts - interval {back} AND t_ts <= due_ts + interval {forward}"), "leftOuter")
+    place = F.struct("t_ts", "t_id")
+    told = met.groupBy(F.window("due_ts", width), "job_id", "start_price").agg(F.max_by("t_price", F.when(F.col("t_ts") <= F.col("due_ts"), place)).alias("asof_price"), F.min_by("t_price", F.when(F.col("t_ts") >= F.col("due_ts"), place)).alias("next_price"))
+    sides = [c for side in ("asof", "next") for c in (F.col(f"{side}_price"), outcome_pct(F.col(f"{side}_price"), F.col("start_price")).alias(f"{side}_pct"), F.when(F.col(f"{side}_price").isNull(), "error").otherwise("done").alias(f"{side}_status"))]
+    return told.select("job_id", *sides, F.when(F.col("asof_price").isNull() | F.col("next_price").isNull(), ATTEMPTS).otherwise(1).alias("attempts"))
+
+
 def candidate_sessions(events: DataFrame, ttl: str, late: str) -> DataFrame:
     """Lifetimes of candidates: every trigger extends the session by ``ttl``; the first trigger's price is kept."""
     s = events.withWatermark("ts", late).groupBy(F.col("event_type").alias("symbol"), F.session_window("ts", ttl).alias("w")).agg(F.min_by("price", "ts").alias("first_price"), F.count(F.lit(1)).alias("n"))
