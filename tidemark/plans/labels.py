@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import quotes as qf
 from ..operators import dataset as ds
 from ..operators import labels as lb
-from ..operators.stage import staged
+from ..operators.stage import kept_only, staged
 from ..operators.timejoin import asof
 from ..sources import market
 
@@ -347,7 +347,9 @@ ORACLES = {
 
 
 def queries():
-    return {name: globals()[name] for name in ORACLES}
+    """Those that the label job makes tables for keep their rows alone."""
+    of_job = "anchor_price sigma_event horizon_price markouts triple_barrier label_quality clean_dataset bucket_profile trades_profile clean_view_asserts clean_view_asserts_broken quality_ratio null_profile dup_check".split()
+    return {name: kept_only(globals()[name]) if name in of_job else globals()[name] for name in ORACLES}
 
 
 def oracle_sql():

@@ -14,6 +14,7 @@ from ..operators import rules as rl
 from ..operators import windows as wn
 from ..operators.cooldown import cooldown_filter as keep_distance
 from ..operators.labels import HOUR
+from ..operators.stage import kept_only
 from ..sources import market
 from ..streaming import jobs
 from .labels import rounded
@@ -287,7 +288,8 @@ _BEFORE = {"ema": _EMA, "cooldown_filter": _COOL, "rule_pump_dump": _averaged(6
 
 
 def queries():
-    return {name: globals()[name] for name in ORACLES}
+    writing = ("volume_percentile", "cooldown_filter", "stream_bars", "stream_trade_flow", "candidate_sessions")
+    return {name: kept_only(globals()[name]) if name in writing else globals()[name] for name in ORACLES}
 
 
 def oracle_sql():
