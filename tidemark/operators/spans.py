@@ -90,10 +90,10 @@ class Trailing:
         return self._bounds[width_us]
 
     def total(self, x: np.ndarray, width_us: int, low: np.ndarray | None = None) -> np.ndarray:
-        """Sum of what is not NaN."""
-        run = np.concatenate(([0.0], np.cumsum(np.nan_to_num(x.astype(np.float64)))))
+        """Sum of what is not NaN. It runs in extended precision, so that windows of equal values, which ranks compare, have equal sums wherever they lie."""
+        run = np.concatenate(([0.0], np.cumsum(np.nan_to_num(x.astype(np.float64)).astype(np.longdouble))))
         lo, hi = self.bounds(width_us)
-        return run[hi] - run[lo if low is None else np.minimum(low, hi)]
+        return (run[hi] - run[lo if low is None else np.minimum(low, hi)]).astype(np.float64)
 
     def count(self, x: np.ndarray, width_us: int, low: np.ndarray | None = None) -> np.ndarray:
         return np.rint(self.total(~np.isnan(x), width_us, low))
