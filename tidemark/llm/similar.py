@@ -30,7 +30,7 @@ _KEY_BITS = 26
 #: Fingerprints under one key whose bits are all compared at once; beyond it, those with one of them.
 BUCKET = 2048
 #: Members of a list that are compared by their bits in one task, and candidate pairs for each member that are made; beyond either, sets meet in blocks.
-TOGETHER, PAIRS = 4096, 4
+TOGETHER, PAIRS = 4096, 1
 #: Members of a group, outside its largest part, whose sets one task holds while those of all members pass.
 BLOCK = 256
 
@@ -132,7 +132,7 @@ def _meetings(reach: int, bucket: int):
 def _candidates(star: bool, total: int, seeds: int, together: int):
     """Rows (list, node, n, comp, f0, f1, ...) sorted by list: (a, b) that may be similar by size and bits, with one node of the list, or else of different components.
 
-    Of a list that is too long for the latter, or has too many such pairs, the components that have any, each as (component, null, list)."""
+    Of a list that is too long for the latter, or has too many such pairs, the components that have any, each beside the smallest of them, and marked, once for all lists that are looked at together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, n, comp, *fps in _whole_keys(batches):
@@ -142,7 +142,7 @@ def _candidates(star: bool, total: int, seeds: int, together: int):
                 if not star and (comp[lo:hi] == comp[lo]).all():
                     continue
                 if not star and hi - lo > together:
-                    dense.append((key[lo], np.unique(comp[lo:hi])))
+                    dense.append(np.unique(comp[lo:hi]))
                     continue
                 # lists of the same nodes have different hubs
                 hub = lo + int(key[lo]) % (hi - lo)
@@ -160,17 +160,17 @@ def _candidates(star: bool, total: int, seeds: int, together: int):
                     y_of.append(g[close])
                 f, g = np.concatenate(x_of), np.concatenate(y_of)
                 if not star and len(f) > PAIRS * (hi - lo):
-                    dense.append((key[lo], np.unique(comp[np.concatenate((f, g))])))
+                    dense.append(np.unique(comp[np.concatenate((f, g))]))
                 else:
                     a.append(node[f])
                     b.append(node[g])
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["a", "b", "list"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.zeros(pairs.shape[1], bool))], ["a", "b", "dense"])
             if dense:
-                parts = np.concatenate([c for _, c in dense])
-                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.nulls(len(parts), pa.int64()), pa.array(np.repeat([k for k, _ in dense], [len(c) for _, c in dense]))], ["a", "b", "list"])
+                met = np.unique(np.stack((np.concatenate([c[1:] for c in dense]), np.concatenate([np.full(len(c) - 1, c[0]) for c in dense]))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(met[0]), pa.array(met[1]), pa.array(np.ones(met.shape[1], bool))], ["a", "b", "dense"])
 
     return run
 
@@ -250,11 +250,10 @@ def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _joined_in_blocks(dense: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, block: int) -> DataFrame:
-    """Links (a, b) between the ``nodes`` (node, comp) of components that lists (comp, list) hold: lists that share a component are one group, and each block of those outside its largest component meets all of the group."""
+    """Links (a, b) between the ``nodes`` (node, comp) of components that ``dense`` (a, b) joins to groups: each block of those outside a group's largest component meets all of the group."""
     if dense.isEmpty():
-        return dense.selectExpr("comp AS a", "comp AS b").limit(0)
-    lead = dense.groupBy("list").agg(F.min("comp").alias("lead"))
-    whole = connected_components(dense.join(lead, "list").select(F.col("comp").alias("a"), F.col("lead").alias("b")))
+        return dense.limit(0)
+    whole = connected_components(dense)
     told = written(nodes.join(whole.select(F.col("node").alias("comp"), F.col("component").alias("group")), "comp").select("group", "comp", "node"), "similar-dense")
     largest = told.groupBy("group", "comp").count().groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
     small = told.join(largest, "group").filter("comp <> most")
@@ -303,7 +302,7 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
 
     def listed(of: DataFrame, star: bool) -> DataFrame:
         rows = of.select("list", "node", "n", "comp", *(F.col("fps")[k].alias(f"f{k}") for k in range(seeds)))
-        return rows.repartition(parts, "list").sortWithinPartitions("list", "node").mapInArrow(_candidates(star, total, seeds, together), "a long, b long, list long")
+        return rows.repartition(parts, "list").sortWithinPartitions("list", "node").mapInArrow(_candidates(star, total, seeds, together), "a long, b long, dense boolean")
 
     # a group of near copies has many pairs a member: first each node with the smallest that it met, then what is still apart
     proposed = written(close(pairs).union(listed(shared.withColumn("comp", F.col("node")), True).select("a", "b")).distinct(), "similar-candidates")
@@ -325,8 +324,8 @@ def similar_groups(docs: DataFrame, *, size: int = 5, seeds: int = 3, reach: int
     wide = pairs.filter("a_many > 1 or b_many > 1").select("seed", F.xxhash64(F.lit("wide"), "seed", "a", "b").alias("list"), F.explode(F.array("a", "b")).alias("fp"))
     lists = grouped(members.select("list", *own).union(shared.select("list", *own)).union(wide.join(by_fp, ["seed", "fp"]).select("list", *own)))
     more = written(listed(lists, False), "similar-more")
-    some = more.filter("b is not null").select("a", "b").distinct().join(proposed, ["a", "b"], "left_anti")
-    links = links.union(_judged(some, sets)).union(_joined_in_blocks(more.filter("b is null").select(F.col("a").alias("comp"), "list"), grouped(sets.select("node")), sets, parts, block))
+    some = more.filter("not dense").select("a", "b").distinct().join(proposed, ["a", "b"], "left_anti")
+    links = links.union(_judged(some, sets)).union(_joined_in_blocks(more.filter("dense").select("a", "b"), grouped(sets.select("node")), sets, parts, block))
     groups = written(connected_components(links), "similar-groups")
     return copies.join(groups, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
 
