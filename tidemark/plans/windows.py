@@ -23,6 +23,10 @@ D6 = "6 hours"
 
 
 def latest_per_symbol(s, d):
+    return rounded(wn.latest_per_symbol(market.ticks(s, d)))
+
+
+def latest_of_active(s, d):
     """Newest ticks of symbols that are not silent; half an hour stands for the ten seconds of a live feed."""
     t = market.ticks(s, d)
     now = t.agg(F.max("us")).first()[0] or 0
@@ -205,7 +209,8 @@ _OUT = f"(SELECT max(us) - {HOUR} FROM ev)"
 _ORDER = "(PARTITION BY symbol ORDER BY us, tick_id)"
 
 ORACLES = {
-    "latest_per_symbol": "SELECT symbol, arg_max(tick_id, us) AS tick_id, max(us) AS us, round(arg_max(price, us), 6) AS price FROM ticks WHERE us >= (SELECT max(us) FROM ticks) - 1800000000 GROUP BY ALL",
+    "latest_per_symbol": "SELECT symbol, arg_max(tick_id, us) AS tick_id, max(us) AS us, round(arg_max(price, us), 6) AS price FROM ticks GROUP BY ALL",
+    "latest_of_active": "SELECT symbol, arg_max(tick_id, us) AS tick_id, max(us) AS us, round(arg_max(price, us), 6) AS price FROM ticks WHERE us >= (SELECT max(us) FROM ticks) - 1800000000 GROUP BY ALL",
     "price_delta_pct": f"SELECT tick_id, symbol, us, round(price, 6) AS price, round(delta_pct, 6) AS delta_pct FROM ({_DELTA})",
     "rolling_returns": f"SELECT tick_id, {_RET} FROM ticks",
     "rolling_zscore": f"""SELECT tick_id, round(z, 6) AS z, round(tanh(greatest(-3, least(3, z))) + CASE WHEN z IS NULL THEN NULL ELSE 0 END, 6) AS norm FROM (SELECT tick_id, CASE WHEN count(price) {_Z} >= 30 AND stddev_samp(price) {_Z} >= 1e-9 THEN (price - avg(price) {_Z}) / stddev_samp(price) {_Z} END AS z FROM ticks)""",
