@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
@@ -164,3 +166,41 @@ def test_a_large_group_of_near_copies_meets_in_blocks(spark):
     assert {r.row: r.component for r in groups.collect()} == dict(enumerate(low))
     found, every = similar.measured_recall(docs, groups, sample=50)
     assert found == every > 100
+
+
+def test_members_of_many_lists_are_one_row_each():
+    """Near copies meet at most of their keys; what is listed of them does not grow with the keys, and at the keys all meet again."""
+    rnd = random.Random(4)
+    base = rnd.getrandbits(63)
+    fps = sorted({base ^ sum(1 << k for k in rnd.sample(range(63), 3)) for _ in range(120)})
+    rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), 2)), pa.array(fps)], ["seed", "fp"])
+    keyed = pa.Table.from_batches(similar._emit_keys(iter([rows]))).sort_by("key")
+    met = pa.Table.from_batches(similar._meetings(12, 2048)(iter(keyed.to_batches()))).to_pylist()
+    marked = [(r["seed"], r["a"]) for r in met if r["b"] is None]
+    assert len(marked) == len(set(marked)) <= len(fps) < keyed.num_rows / 20
+    assert all((r["a"] ^ r["b"]).bit_count() <= 12 for r in met if r["b"] is not None)
+
+    members = pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(np.arange(len(fps)) + k) for k in range(3))], ["seed", "fp", "node", "n", "comp"])
+    again = pa.Table.from_batches(similar._lists_again(iter([members])))
+    assert sorted((r["list"], fps[r["node"]]) for r in again.to_pylist()) == sorted((r["key"], r["fp"]) for r in keyed.to_pylist())
+    assert all(r["n"] == r["node"] + 1 and r["comp"] == r["node"] + 2 for r in again.slice(0, 50).to_pylist())
+
+
+def test_pairs_beyond_the_first_hubs_are_found(spark, monkeypatch):
+    rnd, texts = random.Random(6), []
+    for i in range(3):
+        base = [f"b{i}w{rnd.randint(0, 400)}" for _ in range(120)]
+        for _ in range(25):
+            near = list(base)
+            for _ in range(rnd.randint(0, 5)):
+                near[rnd.randrange(len(near))] = f"x{rnd.randint(0, 99999)}"
+            texts.append(" ".join(near))
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3), "test")
+    got = []
+    for hubs in (1, 64):
+        monkeypatch.setattr(similar, "HUBS", hubs)
+        groups = written(similar.similar_groups(docs, seeds=6, reach=24, total=384), "test")
+        got.append({r.row: r.component for r in groups.collect()})
+        found, every = similar.measured_recall(docs, groups, sample=80)
+        assert found == every > 100
+    assert got[0] == got[1]
