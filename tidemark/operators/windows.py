@@ -58,9 +58,9 @@ def rolling_zscore(ticks: DataFrame, width_us: int, least: int = 30) -> DataFram
     return over_spans(ticks, ["price"], width_us, {"z": "double", "norm": "double"}, compute).drop("symbol", "us")
 
 
-def trade_flow(trades: DataFrame, width_us: int) -> DataFrame:
+def trade_flow(trades: DataFrame, width_us: int, *, timed: bool = False) -> DataFrame:
     """Trailing facts at each trade: count, quote volume, signed flow (a maker that buys counts as a sale), buy ratio by
-    quantity, median gap between trades, trades a second, and the same over a window twice as wide."""
+    quantity, median gap between trades, trades a second, and the same over a window twice as wide. ``timed`` keeps the trade's time ``us``."""
 
     def compute(t: Trailing) -> dict[str, np.ndarray]:
         low, high = t.bounds(width_us)
@@ -76,7 +76,8 @@ def trade_flow(trades: DataFrame, width_us: int) -> DataFrame:
 
     made = {"n_trades": "long"} | dict.fromkeys(("quote_vol", "flow", "buy_ratio", "gap_ms", "rate", "intensity"), "double")
     rows = trades.withColumn("maker", F.col("is_buyer_maker").cast("int"))
-    return over_spans(rows, ["price", "qty", "maker"], 2 * width_us, made, compute, key="trade_id").drop("us")
+    told = over_spans(rows, ["price", "qty", "maker"], 2 * width_us, made, compute, key="trade_id")
+    return told if timed else told.drop("us")
 
 
 def bars(ticks: DataFrame, width: str) -> DataFrame:

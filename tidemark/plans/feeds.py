@@ -246,8 +246,7 @@ def _gated(s, d) -> DataFrame:
 
 
 def _flow_before(s, d) -> DataFrame:
-    flow = wn.trade_flow(market.trades(s, d), 6 * HOUR)
-    rows = market.trades(s, d).select("trade_id", "us", "symbol").join(flow.drop("symbol"), "trade_id").withColumnRenamed("trade_id", "tick_id")
+    rows = wn.trade_flow(market.trades(s, d), 6 * HOUR, timed=True).withColumnRenamed("trade_id", "tick_id")
     at = market.ticks(s, d).select(F.col("tick_id").alias("of"), "symbol", F.col("us").alias("at"))
     found = asof(at, rows, "at", 6 * HOUR, key="of", value=["n_trades", "buy_ratio", "quote_vol"])
     return found.select(F.col("of").alias("tick_id"), F.col("asof_n_trades").alias("n_trades"), F.col("asof_buy_ratio").alias("buy_ratio"), F.col("asof_quote_vol").alias("quote_vol"))
