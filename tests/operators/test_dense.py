@@ -36,6 +36,7 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
     [
         feed_plans.pump_fast_alerts,
         feed_plans.pump_fast_detect,
+        feed_plans.seeded_detection,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constraints as cs
@@ -265,22 +265,21 @@ def pump_fast_alerts(s, d):
     return rounded(dt.pump_fast_detect(_gated(s, d), _flow_before(s, d), dt.DetectParams(**_DETECTION)), 4)
 
 
-def _seeded_from(s, d) -> tuple[DataFrame, DataFrame]:
-    """Seeds from the first ten days, and the ticks after them."""
+def _seeded_from(s, d) -> tuple[DataFrame, Column]:
+    """Seeds from the first ten days, and which ticks come after them."""
     t = market.ticks(s, d)
     begin = (t.agg(F.min("us")).first()[0] or 0) + 10 * DAY
-    return mv.noise_seed(t, begin, 5 * DAY), t.filter(F.col("us") > begin)
+    return mv.noise_seed(t, begin, 5 * DAY), F.col("us") > begin
 
 
 def seeded_move_states(s, d):
-    seeds, ticks = _seeded_from(s, d)
-    return rounded(mv.move_states(ticks, seeds=seeds))
+    seeds, after = _seeded_from(s, d)
+    return rounded(mv.move_states(market.ticks(s, d).filter(after), seeds=seeds))
 
 
 def seeded_detection(s, d):
-    seeds, ticks = _seeded_from(s, d)
-    gated = _gated(s, d).join(ticks.select("tick_id"), "tick_id", "left_semi")
-    return rounded(dt.pump_fast_detect(gated, _flow_before(s, d), dt.DetectParams(**_DETECTION), seeds=seeds), 4)
+    seeds, after = _seeded_from(s, d)
+    return rounded(dt.pump_fast_detect(_gated(s, d).filter(after), _flow_before(s, d), dt.DetectParams(**_DETECTION), seeds=seeds), 4)
 
 
 def stream_move_states(s, d):
