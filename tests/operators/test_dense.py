@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.timejoin import asof
 from tidemark.plans import feeds as feed_plans
+from tidemark.plans import markets as market_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +38,7 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
         feed_plans.pump_fast_alerts,
         feed_plans.pump_fast_detect,
         feed_plans.seeded_detection,
+        market_plans.outcome_maturation,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):

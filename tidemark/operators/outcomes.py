@@ -20,8 +20,8 @@ def resolved(jobs: DataFrame, ticks: DataFrame, bars: DataFrame, *, back_us: int
     out = jobs
     for side, forward, tolerance in (("asof", False, back_us), ("next", True, forward_us)):
         for source, rows in zip(names, (ticks, b.withColumn("us", F.col("us") + (0 if forward else strict_us))), strict=True):
-            found = asof(jobs.select("job_id", "symbol", "due_us"), rows, "due_us", tolerance, key="job_id", value=["price"], forward=forward)
-            out = out.join(found.select("job_id", F.col("asof_price").alias(f"_{side}_{source}"), F.col("asof_lag_us").alias(f"_{side}_{source}_lag")), "job_id", "left")
+            # jobs pass through with all their columns, so nothing is joined back by job
+            out = asof(out, rows, "due_us", tolerance, key="job_id", value=["price"], forward=forward).withColumnsRenamed({"asof_price": f"_{side}_{source}", "asof_lag_us": f"_{side}_{source}_lag"})
     made: dict[str, Column] = {}
     for side in ("asof", "next"):
         first, second = (F.col(f"_{side}_{n}") for n in names)
