@@ -39,6 +39,7 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
         feed_plans.pump_fast_detect,
         feed_plans.seeded_detection,
         market_plans.outcome_maturation,
+        feed_plans.outcome_status_join,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):
