@@ -40,6 +40,7 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
         feed_plans.seeded_detection,
         market_plans.outcome_maturation,
         feed_plans.outcome_status_join,
+        market_plans.signal_rollup,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):
