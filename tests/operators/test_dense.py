@@ -41,6 +41,7 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
         market_plans.outcome_maturation,
         feed_plans.outcome_status_join,
         market_plans.signal_rollup,
+        market_plans.source_fallback,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):
