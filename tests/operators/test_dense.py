@@ -42,6 +42,7 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
         feed_plans.outcome_status_join,
         market_plans.signal_rollup,
         market_plans.source_fallback,
+        feed_plans.stale_feed,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):
