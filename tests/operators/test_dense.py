@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.timejoin import asof
 from tidemark.plans import feeds as feed_plans
+from tidemark.plans import labels as label_plans
 from tidemark.plans import markets as market_plans
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +44,7 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
         market_plans.signal_rollup,
         market_plans.source_fallback,
         feed_plans.stale_feed,
+        label_plans.asof_backward,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):
