@@ -45,6 +45,7 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
         market_plans.source_fallback,
         feed_plans.stale_feed,
         label_plans.asof_backward,
+        label_plans.asof_forward,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):
