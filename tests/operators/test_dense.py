@@ -7,6 +7,7 @@ from tidemark.operators.timejoin import asof
 from tidemark.plans import feeds as feed_plans
 from tidemark.plans import labels as label_plans
 from tidemark.plans import markets as market_plans
+from tidemark.plans import regime as regime_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,7 +47,20 @@ def test_asof_of_a_dense_second_makes_no_pairs(spark, forward):
         feed_plans.stale_feed,
         label_plans.asof_backward,
         label_plans.asof_forward,
+        regime_plans.pit_regime_join,
     ],
 )
 def test_queries_meet_by_time_without_pairs(spark, query):
     assert not time_joins(query(spark, SF))
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        lambda s, d: regime_plans._healthy(s, d, "view"),
+    ],
+)
+def test_snapshots_are_not_joined_by_their_ids(spark, query):
+    """One pass makes facts, ranks and lags; the only join is that of the edges of blocks."""
+    plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "tick_id" in line]

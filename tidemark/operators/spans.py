@@ -1,16 +1,18 @@
 """Trailing windows in time that cost no more than sorting, however many rows a window holds.
 
 A range frame of Spark computes its aggregate anew for each row, the product of rows and window. Here a symbol's series
-is cut into spans of time, each with the window before it copied in, so that a hot symbol is many tasks; within a span
-all windows follow from running sums, from minima over powers of two, and from counts in a wavelet matrix.
+is cut into spans of time, each with the window before it copied in, so that a hot symbol is many tasks; a span passes
+through its task in chunks behind the window that they reach back over, in which all windows follow from running sums, from
+minima over powers of two, and from counts in a wavelet matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,7 @@ def medians(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     rank[order] = np.arange(n)
     levels = []
     for b in range(max(1, int(n).bit_length()) - 1, -1, -1):
-        levels.append((b, np.concatenate(([0], np.cumsum(rank >> b & 1)))))
+        levels.append((b, np.concatenate(([0], np.cumsum(rank >> b & 1))).astype(np.int32 if n < 1 << 31 else np.int64)))
         rank = np.concatenate((rank[rank >> b & 1 == 0], rank[rank >> b & 1 == 1]))
     some = np.flatnonzero(high > low)
     out = np.full(len(low), np.nan)
@@ -75,19 +77,25 @@ def extremes(x: np.ndarray, low: np.ndarray, high: np.ndarray, better: np.ufunc)
 
 
 class Trailing:
-    """The rows of a span in order of time, with the trailing window of each."""
+    """Rows of a span in order of time, with the trailing window of each. Those before ``start`` only fill the windows of the others: what is computed for them is not used."""
 
-    def __init__(self, us: np.ndarray, columns: dict[str, np.ndarray]):
-        self.us, self.columns, self._bounds = us, columns, {}
+    def __init__(self, us: np.ndarray, columns: dict[str, np.ndarray], start: int = 0):
+        self.us, self.columns, self.start, self._low, self._high = us, columns, start, {}, None
 
     def __getitem__(self, name: str) -> np.ndarray:
         return self.columns[name]
 
     def bounds(self, width_us: int) -> tuple[np.ndarray, np.ndarray]:
         """[low, high) of each row's window: from ``width_us`` before it up to its own time, with all rows of that time."""
-        if width_us not in self._bounds:
-            self._bounds[width_us] = np.searchsorted(self.us, self.us - width_us, "left"), np.searchsorted(self.us, self.us, "right")
-        return self._bounds[width_us]
+        if self._high is None:
+            self._high = np.searchsorted(self.us, self.us, "right")
+        if width_us not in self._low:
+            self._low[width_us] = np.searchsorted(self.us, self.us - width_us, "left")
+        return self._low[width_us], self._high
+
+    def filled(self, x: np.ndarray) -> np.ndarray:
+        """What is known from ``start`` on, as a value of each row."""
+        return np.concatenate((np.full(self.start, np.nan), x))
 
     def total(self, x: np.ndarray, width_us: int, low: np.ndarray | None = None) -> np.ndarray:
         """Sum of what is not NaN. It runs in extended precision, so that windows of equal values, which ranks compare, have equal sums wherever they lie."""
@@ -117,33 +125,102 @@ class Trailing:
         bound = x if bound is None else bound
         lo, hi = self.bounds(width_us)
         n, some = self.count(x, width_us), ~np.isnan(bound)
+        some[: self.start] = False
         out = np.full(len(x), np.nan)
         out[some] = counts_below(x, lo[some], hi[some], bound[some], equal=equal)
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(some & (n >= least), out / n, np.nan)
 
 
-def over_spans(rows: DataFrame, columns: list[str], width_us: int, made: dict[str, str], compute: Callable[[Trailing], dict[str, np.ndarray]], *, key: str = "tick_id", span_us: int | None = None) -> DataFrame:
-    """(key, symbol, us, and the columns ``made``: name to type) of every row of ``rows`` (key, symbol, us, columns).
-
-    ``compute`` gets the rows of a span sorted by (us, key), with ``columns`` as doubles, and gives an array for each name of
-    ``made``; NaN becomes null. Its windows must not reach back further than ``width_us``. A span is ``span_us`` long, four
-    windows by default, and is held by one task. Rows without a time are left out; other columns are left out; repeated rows
-    count each; an empty table gives an empty one.
+#: Arrays by name, all at once or, to hold few of them, one after another.
+Compute = Callable[[Trailing], dict[str, np.ndarray] | Iterator[tuple[str, np.ndarray]]]
+
+
+def _series(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Batches sorted by (symbol, _span), cut where these change and into pieces of ``most`` rows."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        ends = {t.num_rows}
+        for c in ("symbol", "_span"):
+            ends |= set(pc.run_end_encode(t.column(c).combine_chunks()).run_ends.to_pylist())
+        at = 0
+        for end in sorted(ends):
+            now = t.column("symbol")[at].as_py(), t.column("_span")[at].as_py()
+            for low in range(at, end, most):
+                yield now, t.slice(low, min(most, end - low))
+            at = end
+
+
+def over_spans(
+    rows: DataFrame, columns: list[str], width_us: int, made: dict[str, str], compute: Compute, *, key: str = "tick_id", span_us: int | None = None, keep: list[str] | None = None, then: tuple[list[str], dict[str, str], Compute] | None = None, chunk_rows: int = 1 << 16
+) -> DataFrame:
+    """(key, symbol, us, the columns ``keep``, and the columns ``made``: name to type) of every row of ``rows`` (key, symbol, us, columns, keep).
+
+    ``compute`` gets rows of a span sorted by (us, key), with ``columns`` as doubles, and gives an array for each name of
+    ``made``; NaN becomes null. Its windows must not reach back further than ``width_us``. ``then`` has further columns and what
+    computes them from those that it names of ``columns`` and ``made``, over windows of that width again. A span is ``span_us`` long, four
+    windows by default, and passes through one task, which holds a window and a chunk of a quarter as many rows (``chunk_rows`` at least; rows of one
+    time are never parted). Rows without a time are left out; other columns are left out; repeated rows count each; an empty
+    table gives an empty one.
     """
-    span = span_us or 4 * width_us
+    again, more, compute_more = then or ([], {}, None)
+    reach = 2 * width_us if then else width_us
+    span = span_us or 4 * reach
+    kept, types = keep or [], made | more
     at = F.expr(f"us div {span}")
+    given = {c: F.col(c).cast("double").alias(f"_{c}") for c in columns if c not in kept or rows.schema[c].dataType != T.DoubleType()}
     # a row serves its own span and those whose first window reaches back to it
-    copies = rows.select(key, "symbol", "us", *(F.col(c).cast("double").alias(c) for c in columns), at.alias("_own"), F.explode(F.sequence(at, F.expr(f"(us + {width_us}) div {span}"))).alias("_span"))
-    schema = T.StructType([rows.schema[key], rows.schema["symbol"], T.StructField("us", T.LongType()), *(T.StructField(n, T.BooleanType() if t == "boolean" else T.LongType() if t == "long" else T.DoubleType()) for n, t in made.items())])
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("us", "ascending"), (key, "ascending")]).combine_chunks()
-        own = np.flatnonzero(table.column("_own").to_numpy() == table.column("_span").to_numpy())
-        got = compute(Trailing(table.column("us").to_numpy(), {c: table.column(c).to_numpy().astype(np.float64) for c in columns}))
-        kinds = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
-        out = [pa.array(x := got[n][own].astype(np.float64), mask=np.isnan(x)).cast(kinds[t]) for n, t in made.items()]
-        mine = table.select([key, "symbol", "us"]).take(pa.array(own))
-        return pa.table([*mine.columns, *out], [key, "symbol", "us", *made])
-
-    return copies.groupBy("symbol", "_span").applyInArrow(run, schema)
+    copies = rows.select(key, "symbol", "us", *kept, *given.values(), at.alias("_own"), F.explode(F.sequence(at, F.expr(f"(us + {reach}) div {span}"))).alias("_span"))
+    schema = T.StructType([rows.schema[key], rows.schema["symbol"], T.StructField("us", T.LongType()), *(rows.schema[c] for c in kept), *(T.StructField(n, T.BooleanType() if t == "boolean" else T.LongType() if t == "long" else T.DoubleType()) for n, t in types.items())])
+    named = {c: f"_{c}" if c in given else c for c in columns}
+    used = [*columns, *(n for n in again if n in made)]
+    kinds = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
+    nothing = {"us": np.empty(0, np.int64)} | {c: np.empty(0) for c in used}
+
+    def taken(table: pa.Table, held: dict[str, np.ndarray]) -> tuple[pa.Table, dict[str, np.ndarray]]:
+        """The rows of ``table`` with what is made for them, and the window that the next ones reach back over."""
+        start = len(held["us"])
+        us = np.concatenate((held["us"], table.column("us").to_numpy()))
+        seen = {c: np.concatenate((held.pop(c), table.column(n).to_numpy().astype(np.float64))) for c, n in named.items()}
+        own = int(np.searchsorted(table.column("_own").to_numpy(), table.column("_span")[0].as_py()))
+        out: dict[str, pa.Array] = {}
+
+        def fill(how: Compute) -> None:
+            got = how(Trailing(us, dict(seen), start))
+            for n, x in got.items() if isinstance(got, dict) else got:
+                x = x[start:].astype(np.float64)
+                if n in held:
+                    seen[n] = np.concatenate((held.pop(n), x))
+                out[n] = pa.array(x[own:], mask=np.isnan(x[own:])).cast(kinds[types[n]])
+
+        fill(compute)
+        if compute_more:
+            fill(compute_more)
+        low = int(np.searchsorted(us, us[-1] - width_us, "left"))
+        mine = table.slice(own).select([key, "symbol", "us", *kept])
+        return pa.table([*mine.columns, *(out[n] for n in types)], [*mine.column_names, *types]), {"us": us[low:].copy()} | {c: seen.pop(c)[low:].copy() for c in used}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, held, waiting, n = None, dict(nothing), [], 0
+        for now, part in _series(batches, chunk_rows):
+            if now != series:
+                if waiting:
+                    yield from taken(pa.concat_tables(waiting).combine_chunks(), held)[0].to_batches(1 << 14)
+                series, held, waiting, n = now, dict(nothing), [], 0
+            waiting.append(part)
+            n += part.num_rows
+            if n < max(chunk_rows, len(held["us"]) // 4):
+                continue
+            table = pa.concat_tables(waiting).combine_chunks()
+            us = table.column("us").to_numpy()
+            whole = int(np.searchsorted(us, us[-1], "left"))
+            waiting, n = [table.slice(whole)], table.num_rows - whole
+            if whole:
+                made_, held = taken(table.slice(0, whole), held)
+                yield from made_.to_batches(1 << 14)
+        if waiting:
+            yield from taken(pa.concat_tables(waiting).combine_chunks(), held)[0].to_batches(1 << 14)
+
+    return copies.repartition("symbol", "_span").sortWithinPartitions("symbol", "_span", "us", key).mapInArrow(run, schema)

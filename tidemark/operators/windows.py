@@ -58,25 +58,29 @@ def rolling_zscore(ticks: DataFrame, width_us: int, least: int = 30) -> DataFram
     return over_spans(ticks, ["price"], width_us, {"z": "double", "norm": "double"}, compute).drop("symbol", "us")
 
 
+#: The facts of ``trade_flow``.
+FLOW = {"n_trades": "long"} | dict.fromkeys(("quote_vol", "flow", "buy_ratio", "gap_ms", "rate", "intensity"), "double")
+
+
+def flow_facts(t: Trailing, width_us: int) -> dict[str, np.ndarray]:
+    low, high = t.bounds(width_us)
+    value, sale = t["price"] * t["qty"], t["maker"] > 0
+    gap = np.diff(t.us, prepend=t.us[:1]) / 1000.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = t.total(np.where(sale, 0.0, t["qty"]), width_us) / t.total(t["qty"], width_us)
+    wide = t.bounds(2 * width_us)
+    return {
+        "n_trades": high - low, "quote_vol": t.total(value, width_us), "flow": t.total(np.where(sale, -value, value), width_us), "buy_ratio": ratio,
+        "gap_ms": t.filled(medians(gap, np.minimum(low + 1, high)[t.start :], high[t.start :])), "rate": (high - low) / (width_us / 1e6), "intensity": (wide[1] - wide[0]) / (2 * width_us / 1e6),
+    }
+
+
 def trade_flow(trades: DataFrame, width_us: int, *, timed: bool = False) -> DataFrame:
     """Trailing facts at each trade: count, quote volume, signed flow (a maker that buys counts as a sale), buy ratio by
     quantity, median gap between trades, trades a second, and the same over a window twice as wide. ``timed`` keeps the trade's time ``us``."""
 
-    def compute(t: Trailing) -> dict[str, np.ndarray]:
-        low, high = t.bounds(width_us)
-        value, sale = t["price"] * t["qty"], t["maker"] > 0
-        gap = np.diff(t.us, prepend=t.us[:1]) / 1000.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = t.total(np.where(sale, 0.0, t["qty"]), width_us) / t.total(t["qty"], width_us)
-        wide = t.bounds(2 * width_us)
-        return {
-            "n_trades": high - low, "quote_vol": t.total(value, width_us), "flow": t.total(np.where(sale, -value, value), width_us), "buy_ratio": ratio,
-            "gap_ms": medians(gap, np.minimum(low + 1, high), high), "rate": (high - low) / (width_us / 1e6), "intensity": (wide[1] - wide[0]) / (2 * width_us / 1e6),
-        }
-
-    made = {"n_trades": "long"} | dict.fromkeys(("quote_vol", "flow", "buy_ratio", "gap_ms", "rate", "intensity"), "double")
     rows = trades.withColumn("maker", F.col("is_buyer_maker").cast("int"))
-    told = over_spans(rows, ["price", "qty", "maker"], 2 * width_us, made, compute, key="trade_id")
+    told = over_spans(rows, ["price", "qty", "maker"], 2 * width_us, FLOW, lambda t: flow_facts(t, width_us), key="trade_id")
     return told if timed else told.drop("us")
 
 
