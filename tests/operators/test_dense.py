@@ -59,6 +59,7 @@ def test_queries_meet_by_time_without_pairs(spark, query):
     [
         lambda s, d: regime_plans._healthy(s, d, "view"),
         regime_plans.regime_tags,
+        regime_plans.regime_snapshots,
     ],
 )
 def test_snapshots_are_not_joined_by_their_ids(spark, query):
