@@ -1,8 +1,10 @@
 """Queries whose rows must grow with the tables, not with how dense they are in time: no join may pair both sides by time."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.spans import over_spans
 from tidemark.operators.timejoin import asof
 from tidemark.plans import feeds as feed_plans
 from tidemark.plans import labels as label_plans
@@ -60,9 +62,26 @@ def test_queries_meet_by_time_without_pairs(spark, query):
         lambda s, d: regime_plans._healthy(s, d, "view"),
         regime_plans.regime_tags,
         regime_plans.regime_snapshots,
+        regime_plans.regime_health,
     ],
 )
 def test_snapshots_are_not_joined_by_their_ids(spark, query):
     """One pass makes facts, ranks and lags; the only join is that of the edges of blocks."""
     plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join" in line and "tick_id" in line]
+
+
+def test_a_dense_span_passes_in_chunks(spark):
+    """No chunk holds more than its window and a few rows, and what is made of what was made sees the whole window of it."""
+    most, rows = spark.sparkContext.accumulator(0), [(i, "ab"[i % 2], i // 4, float(i * 7919 % 101)) for i in range(4000)]
+
+    def total(t):
+        most.add(int(len(t.us) > 200))
+        return {"total": t.total(t["x"], 20)}
+
+    got = over_spans(spark.createDataFrame(rows, "tick_id long, symbol string, us long, x double"), ["x"], 20, {"total": "double"}, total, span_us=5000, then=(["total"], {"least": "double"}, lambda t: {"least": np.array([t["total"][a:b].min() for a, b in zip(*t.bounds(20))])}), chunk_rows=50)
+    told = {r.tick_id: (r.total, r.least) for r in got.collect()}
+    want = {i: sum(y for j, s, v, y in rows[max(0, i - 100) : i + 5] if s == rows[i][1] and u - 20 <= v <= u) for i, _, u, _ in rows}
+    assert most.value == 0 and len(told) == len(rows)
+    for i, s, u, _ in rows:
+        assert told[i] == (want[i], min(want[j] for j, t, v, _ in rows[max(0, i - 100) : i + 5] if t == s and u - 20 <= v <= u))
