@@ -64,6 +64,7 @@ def test_queries_meet_by_time_without_pairs(spark, query):
         regime_plans.regime_snapshots,
         regime_plans.regime_health,
         regime_plans.regime_scores,
+        regime_plans.latest_scores,
     ],
 )
 def test_snapshots_are_not_joined_by_their_ids(spark, query):
