@@ -70,18 +70,22 @@ def stream_trade_flow(events: DataFrame, width: str, slide: str, late: str, leas
 ATTEMPTS, BACKOFF_S = 3, 60
 
 
-def stream_outcomes(due: DataFrame, ticks: DataFrame, *, back: str, forward: str, late_s: int, width: str = "1 hour") -> DataFrame:
+def stream_outcomes(due: DataFrame, ticks: DataFrame, *, back: str, forward: str, late_s: int, width: str = "1 hour", bucket_us: int = 1_800_000_000) -> DataFrame:
     """Outcomes of a stream of jobs (job_id, symbol, due_ts, start_price) from a stream of ticks (tick_id, symbol, ts, price): the last price within ``back`` before the due time and the first within ``forward`` after it.
 
     Both streams may come ``late_s`` seconds late. Each job meets the ticks of its interval as either comes, and is told once, when no more can come: a side without
     a tick is an error then, its attempts being used up, for ``late_s`` is no less than all delays between them. Jobs still open when the stream ends are not in the result.
     The batch form is ``resolved`` with ticks alone.
+
+    Jobs are copied to the buckets of time that their interval covers and meet ticks by (symbol, bucket), so that a tick is held against the jobs near it and
+    not against all of its symbol.
     """
     if late_s < BACKOFF_S * sum(range(ATTEMPTS)):
         raise ValueError("an outcome is told before its last attempt")
     late = f"{late_s} seconds"
-    t = ticks.select(F.col("tick_id").alias("t_id"), F.col("symbol").alias("t_symbol"), F.col("ts").alias("t_ts"), F.col("price").alias("t_price")).withWatermark("t_ts", late)
-    met = due.withWatermark("due_ts", late).join(t, F.expr(f"symbol = t_symbol AND t_ts >= due_ts - interval {back} AND t_ts <= due_ts + interval {forward}"), "leftOuter")
+    t = ticks.select(F.col("tick_id").alias("t_id"), F.col("symbol").alias("t_symbol"), F.col("ts").alias("t_ts"), F.col("price").alias("t_price"), F.expr(f"unix_micros(ts) div {bucket_us}").alias("t_bucket")).withWatermark("t_ts", late)
+    covered = F.explode(F.expr(f"sequence(unix_micros(due_ts - interval {back}) div {bucket_us}, unix_micros(due_ts + interval {forward}) div {bucket_us})"))
+    met = due.withWatermark("due_ts", late).withColumn("_bucket", covered).join(t, F.expr(f"symbol = t_symbol AND _bucket = t_bucket AND t_ts >= due_ts - interval {back} AND t_ts <= due_ts + interval {forward}"), "leftOuter")
     place = F.struct("t_ts", "t_id")
     told = met.groupBy(F.window("due_ts", width), "job_id", "start_price").agg(F.max_by("t_price", F.when(F.col("t_ts") <= F.col("due_ts"), place)).alias("asof_price"), F.min_by("t_price", F.when(F.col("t_ts") >= F.col("due_ts"), place)).alias("next_price"))
     sides = [c for side in ("asof", "next") for c in (F.col(f"{side}_price"), outcome_pct(F.col(f"{side}_price"), F.col("start_price")).alias(f"{side}_pct"), F.when(F.col(f"{side}_price").isNull(), "error").otherwise("done").alias(f"{side}_status"))]
