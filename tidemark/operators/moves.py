@@ -116,7 +116,7 @@ class Move:
         return None
 
 
-_STATES = "tick_id long, symbol string, us long, state string, noise double, start_price double, peak double, cusum double, cusum_pass boolean, build_us long, confirm_us long, trigger_price double, ended string"
+STATES = "tick_id long, symbol string, us long, state string, noise double, start_price double, peak double, cusum double, cusum_pass boolean, build_us long, confirm_us long, trigger_price double, ended string"
 
 
 class Tick(NamedTuple):
@@ -170,7 +170,29 @@ def move_states(ticks: DataFrame, rules: MoveRules = MoveRules(), seeds: DataFra
     seed_price, seed_us), as ``noise_seed`` makes them from ticks before these, set what a symbol begins with.
     """
     priced = ticks.filter("price is not null and not isnan(price)").select("tick_id", "symbol", "us", "price")
-    return in_order(with_seeds(priced, seeds), "symbol", ["us", "tick_id"], seeded, lambda m, row: _step(m, row, rules), _STATES)
+    return in_order(with_seeds(priced, seeds), "symbol", ["us", "tick_id"], seeded, lambda m, row: _step(m, row, rules), STATES)
+
+
+def states_after(rows: DataFrame, moves: DataFrame, rules: MoveRules) -> DataFrame:
+    """``move_states`` of ``rows`` (tick_id, symbol, us, price) that go on from ``moves`` (symbol, move), with a column ``move``: it is null but for one further row of each symbol, which has the move after its last tick and is no tick. Numbers of the further row are zero, for a null would make a batch's ids inexact."""
+    names = [*(f.split()[0] for f in STATES.split(", ")), "move"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, m = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if m is None or row.symbol != at:
+                    if m is not None:
+                        out.append((0, at, 0, *[None] * (len(names) - 4), json.dumps(asdict(m))))
+                    at, m = row.symbol, Move(**json.loads(row.move)) if isinstance(row.move, str) else Move()
+                out.append((*_step(m, row, rules), None))
+            yield pd.DataFrame(out, columns=names)
+        if m is not None:
+            yield pd.DataFrame([(0, at, 0, *[None] * (len(names) - 4), json.dumps(asdict(m)))], columns=names)
+
+    known = F.broadcast(moves.withColumnRenamed("symbol", "_symbol"))
+    return rows.join(known, F.col("symbol").eqNullSafe(F.col("_symbol")), "left").drop("_symbol").repartition("symbol").sortWithinPartitions("symbol", "us", "tick_id").mapInPandas(run, f"{STATES}, move string")
 
 
 def stream_move_states(ticks: DataFrame, late: str, rules: MoveRules = MoveRules()) -> DataFrame:  # noqa: B008
@@ -178,9 +200,10 @@ def stream_move_states(ticks: DataFrame, late: str, rules: MoveRules = MoveRules
 
     A symbol's ticks wait in its state until the watermark, ``late`` behind the newest tick, has passed them, and are then taken in order of
     (us, tick_id), in the batch that moved it or by a timer; so the state is a move and the ticks of that time. A tick that comes later still is dropped,
-    as the watermark drops it; ticks that the watermark has not passed when the stream ends are not in the result.
+    as the watermark drops it; ticks that the watermark has not passed when the stream ends are not in the result. For batches that
+    a task cannot hold, ``run_move_states`` keeps the waiting ticks as a table.
     """
-    names = [f.split()[0] for f in _STATES.split(", ")]
+    names = [f.split()[0] for f in STATES.split(", ")]
     columns = ["us", "tick_id", "price"]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -198,4 +221,4 @@ def stream_move_states(ticks: DataFrame, late: str, rules: MoveRules = MoveRules
         yield pd.DataFrame(out, columns=names)
 
     priced = ticks.filter("price is not null and not isnan(price)").select("tick_id", "symbol", "ts", "us", "price").withWatermark("ts", late)
-    return priced.groupBy("symbol").applyInPandasWithState(run, _STATES, "move string, held string", "append", "EventTimeTimeout")
+    return priced.groupBy("symbol").applyInPandasWithState(run, STATES, "move string, held string", "append", "EventTimeTimeout")

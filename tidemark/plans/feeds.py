@@ -285,7 +285,7 @@ def seeded_detection(s, d):
 def stream_move_states(s, d):
     """The state machine on the stream; its rows are those of the batch form up to the watermark."""
     stream = jobs.event_stream(s, d).select(F.col("event_id").alias("tick_id"), F.col("event_type").alias("symbol"), "ts", F.unix_micros("ts").alias("us"), "price")
-    return rounded(jobs.run_available(mv.stream_move_states(stream, "1 hour")))
+    return rounded(jobs.run_move_states(stream, HOUR))
 
 
 #: Checks and rows for them: every check is broken by some rows and null in others, told by the tick's number.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quotes import outcome_pct
 from ..operators.audit import delay_status
+from ..operators.moves import STATES, MoveRules, states_after
 from ..operators.stage import shared_path
 
 
@@ -66,6 +67,36 @@ def stream_trade_flow(events: DataFrame, width: str, slide: str, late: str, leas
     return flow.select("symbol", F.unix_micros("window.start").alias("open_us"), "n", r.alias("buy_ratio"), ((F.col("n") >= least) & (r >= ratio)).alias("confirmed"))
 
 
+def run_move_states(ticks: DataFrame, late_us: int, rules: MoveRules | None = None) -> DataFrame:
+    """``stream_move_states`` of a stream (tick_id, symbol, ts, us, price), run over what there is, for batches of any size.
+
+    Ticks that the watermark has not passed are a table and not a symbol's state, and so are the moves after each batch: what it has passed is sorted
+    by Spark and goes through a task row by row, so that memory does not grow with a batch. A tick not after the watermark of the batches before its own is dropped.
+    """
+    spark, r = ticks.sparkSession, rules or MoveRules()
+    at, made, known = shared_path(spark, "moves"), [], {"mark": None, "held": None, "moves": None}
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = batch.filter("price is not null and not isnan(price)").select("tick_id", "symbol", "us", "price")
+        newest = rows.agg(F.max("us")).first()[0]
+        if newest is None:
+            return
+        mark = max(x for x in (known["mark"], (newest // 1000 - late_us // 1000) * 1000) if x is not None)
+        if known["mark"] is not None:
+            rows = rows.filter(F.col("us") > known["mark"]).unionByName(known["held"])
+        moves = known["moves"] if known["moves"] is not None else batch.sparkSession.createDataFrame([], "symbol string, move string")
+        states_after(rows.filter(F.col("us") < mark), moves, r).write.mode("overwrite").parquet(f"{at}/made/{n}")
+        rows.filter(F.col("us") >= mark).write.mode("overwrite").parquet(f"{at}/held/{n}")
+        read = batch.sparkSession.read
+        told = read.parquet(f"{at}/made/{n}").filter("move is not null").select("symbol", "move")
+        told.unionByName(moves.join(told.select(F.col("symbol").alias("_symbol")), F.col("symbol").eqNullSafe(F.col("_symbol")), "left_anti")).write.mode("overwrite").parquet(f"{at}/after/{n}")
+        known.update(mark=mark, held=read.parquet(f"{at}/held/{n}"), moves=read.parquet(f"{at}/after/{n}"))
+        made.append(f"{at}/made/{n}")
+
+    run_into(ticks, write)
+    return (spark.read.schema(f"{STATES}, move string").parquet(*made) if made else spark.createDataFrame([], f"{STATES}, move string")).filter("move is null").drop("move")
+
+
 #: Attempts that an outcome has, and the seconds between them, more each time: it is an error after the last.
 ATTEMPTS, BACKOFF_S = 3, 60
 
